@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .minhash import near_dedup
+from .suffix_repeats import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,10 +66,15 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_decontaminate": op4_decontaminate,
+    "op10_suffix_repeats": op10_suffix_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {

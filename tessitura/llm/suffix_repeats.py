@@ -356,7 +356,7 @@ def _one_of_each(rows: DataFrame, base: DataFrame, classes: DataFrame) -> DataFr
         base.join(classes.select("sha", "rep"), "sha").where(~F.col("doc_id").eqNullSafe(F.col("rep"))).select("sha", "doc_id").distinct(), "later-copies"
     )
     plain = "doc" in classes.columns and classes.where("doc <> rep or rep is null").isEmpty()
-    same = base.groupBy("doc_id", "sha").count().where("count > 1").isEmpty()
+    same = base.groupBy("doc_id").count().where("count > 1").isEmpty()
     texts = rows.where(F.octet_length("text") >= LENGTH)
     if plain and same:
         texts = texts.join(checked_broadcast(extra.select("doc_id")), "doc_id", "left_anti")
