@@ -24,8 +24,8 @@ from .words import text_column
 
 #: Fixed pattern of the byte-level pre-tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose encodings a worker keeps; beyond that it starts anew. Longer words (bytes) are encoded in pieces of no cache.
-KEEP, LONG = 300_000, 256
+#: Words whose encodings a worker keeps (about 330 bytes each); beyond that it starts anew.
+KEEP = 500_000
 
 
 def byte_letters() -> dict[str, int]:

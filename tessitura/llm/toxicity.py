@@ -24,10 +24,12 @@ from .words import text_column
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 2000, 4000, 1 << 16
 #: Bytes of a window; of a gram; of a dictionary.
 WINDOW, GRAM, DICTIONARY = 256, 5, 2048
-#: A gram counts for a kind when it has so many different contexts there, and so many times its share in the other kind.
-CONTEXTS, ODDS = 30, 50
-#: Neighbouring grams with less than this share of a run's best count are cut off; pieces need so many occurrences.
-EDGE, PIECES = 0.35, 10
+#: A gram counts for a kind when it has so many different contexts for each text there (four at least), and so many times its share in the other kind.
+CONTEXTS, ODDS = 0.03, 40
+#: Neighbouring grams with less than this share of a run's best count are cut off; pieces need so many occurrences for each text (two at least).
+EDGE, PIECES = 0.35, 0.01
+#: One labelled text of so many sets the thresholds, the others train the dictionaries.
+SET_ASIDE = 4
 #: What stands before and after each window, so that blocks always compress and matches can end at the window's end.
 _BEFORE, _AFTER = b"\n" * 160, b"\n" * 16
 
@@ -82,7 +84,7 @@ def pieces(texts: list[bytes], own: tuple[np.ndarray, np.ndarray], other: tuple[
     if len(other[0]):
         at = np.minimum(np.searchsorted(other[0], grams), len(other[0]) - 1)
         elsewhere = np.where(other[0][at] == grams, other[1][at], 0)
-    marked = (counts >= CONTEXTS) & (counts / counts.sum() >= ODDS * (elsewhere + 1) / max(other[1].sum(), 1))
+    marked = (counts >= max(4, CONTEXTS * len(texts))) & (counts / counts.sum() >= ODDS * (elsewhere + 1) / max(other[1].sum(), 1))
     grams, counts = grams[marked], counts[marked]
     out: Counter = Counter()
     if not len(grams):
@@ -101,11 +103,11 @@ def _runs(flags: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).reshape(-1, 2)
 
 
-def dictionary(found: Counter) -> bytes:
+def dictionary(found: Counter, texts: int) -> bytes:
     """Raw dictionary content: the commonest pieces last, where matches are cheapest."""
     out = b"\x01" * 16  # the last bytes of a dictionary are not indexed
     for piece, n in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if n < PIECES or len(out) + len(piece) > DICTIONARY:
+        if n < max(2, PIECES * texts) or len(out) + len(piece) > DICTIONARY:
             break
         out = piece + b"\x01" + out
     return out.rjust(64, b"\x01")
@@ -152,13 +154,13 @@ def features(text: bytes, toxic: zstandard.ZstdCompressor, ordinary: zstandard.Z
 
 
 def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """Even rows train the dictionaries, odd rows the thresholds. With one kind of label only, the score is that label's rate."""
+    """With one kind of label only, the score is that label's rate."""
     marks = np.array(labels, float)
-    halves = [[(t, y) for k, (t, y) in enumerate(zip(texts, labels, strict=True)) if k % 2 == odd] for odd in (0, 1)]
+    halves = [[(t, y) for k, (t, y) in enumerate(zip(texts, labels, strict=True)) if (k % SET_ASIDE == 0) == aside] for aside in (False, True)]
     toxic = [prepared(t) for t, y in halves[0] if y]
     ordinary = [prepared(t) for t, y in halves[0] if not y]
     one, two = contexts(toxic), contexts(ordinary)
-    dicts = dictionary(pieces(toxic, one, two)), dictionary(pieces(ordinary, two, one))
+    dicts = dictionary(pieces(toxic, one, two), len(toxic)), dictionary(pieces(ordinary, two, one), len(ordinary))
     rate = float(np.clip(marks.mean() if len(marks) else 0.0, 1e-6, 1 - 1e-6))
     weights = np.array([np.log(rate / (1 - rate)), 0, 0, 0])
     y = np.array([m for _, m in halves[1]], float)
