@@ -1,0 +1,145 @@
+"""Measures of spectra and sound: built-in array functions where they suffice, NumPy in UDFs for transforms."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+TAPS = 9
+
+
+def moving_average(rows: DataFrame, key: str, order: str, value: str, taps: int = TAPS) -> DataFrame:
+    """Centred mean that counts what lies beyond the edges as zero: the sum over the taps there are, by all taps."""
+    half = taps // 2
+    w = Window.partitionBy(key).orderBy(order).rowsBetween(-half, half)
+    return rows.withColumn("smooth", F.sum(value).over(w) / F.lit(float(taps)))
+
+
+def mean_spectrum(frames: DataFrame, key: str, spectrum: str) -> DataFrame:
+    """Mean power of each bin over a group's frames: key, bin, power."""
+    each = frames.select(key, F.posexplode(spectrum).alias("bin", "value"))
+    return each.groupBy(key, "bin").agg((F.sum(F.col("value").cast("double") * F.col("value").cast("double")) / F.count(F.lit(1))).alias("power"))
+
+
+def spectrum_metrics(spectrum: DataFrame, key: str, reference: tuple[int, int], high: tuple[int, int], drop_db: float = 30.0) -> DataFrame:
+    """Of a power spectrum (key, bin, power): level of the reference bins, cutoff (the last bin within `drop_db` of it), level of the high bins."""
+    db = spectrum.withColumn("db", 10 * F.log10(F.greatest("power", F.lit(1e-12))))
+    smooth = moving_average(db, key, "bin", "db")
+    ref = F.avg(F.when(F.col("bin").between(*reference), F.col("smooth"))).over(Window.partitionBy(key))
+    return (
+        smooth.withColumn("ref", ref)
+        .groupBy(key)
+        .agg(
+            F.first("ref").alias("ref_db"),
+            F.max(F.when(F.col("smooth") > F.col("ref") - drop_db, F.col("bin"))).alias("cutoff_bin"),
+            (F.avg(F.when(F.col("bin").between(*high), F.col("smooth"))) - F.first("ref")).alias("high_db"),
+        )
+    )
+
+
+def peak(spectrum: Column, least: float) -> Column:
+    """Struct of the highest bin, its level and prominence over the upper median, and whether it stands out by `least`.
+
+    The upper median is element n/2 of the sorted values; a peak whose double frequency is nearly as
+    strong is a tone with harmonics, not a whistle.
+    """
+    n = F.size(spectrum)
+    ordered = F.array_sort(spectrum)
+    median = F.element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
+    top = F.array_max(spectrum)
+    at = (F.array_position(spectrum, top) - 1).cast("int")
+    double = F.get(spectrum, at * 2)
+    return F.struct(at.alias("bin"), top.alias("level"), (top - median).alias("prominence"), ((top - median >= least) & F.coalesce(double < top - 6, F.lit(True))).alias("stands_out"))
+
+
+def confirmed_runs(frames: DataFrame, key: str, order: str, need: int = 6, near: int = 2, fall: float = 1.0) -> DataFrame:
+    """Frames at which a peak has held for `need` frames: within `near` bins of where its run began, falling at most `fall`.
+
+    The run's reference moves only when it breaks, so it is a fold over each key's frames in order.
+    """
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        begin = level = None
+        count, out = 0, []
+        for at, b, v in zip(frame[order], frame["bin"], frame["level"], strict=True):
+            if begin is not None and abs(b - begin) <= near and v >= level - fall:
+                count += 1
+            else:
+                begin, count = b, 1
+            level = v
+            out.append((frame[key].iloc[0], at, int(begin), count, count >= need))
+        return pd.DataFrame(out, columns=[key, order, "run_bin", "run_length", "confirmed"])
+
+    types = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
+    return frames.groupBy(key).applyInPandas(run, f"{key} {types[key]}, {order} {types[order]}, run_bin int, run_length int, confirmed boolean")
+
+
+def power_spectrum(samples: Column, size: int = 2048) -> Column:
+    """Mean power of windowed frames of a sound, for each bin."""
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        window = np.hanning(size)
+
+        def of(x) -> list[float]:
+            x = np.asarray(x, np.float64)
+            n = len(x) // size
+            if not n:
+                return []
+            return (np.abs(np.fft.rfft(x[: n * size].reshape(n, size) * window, axis=1)) ** 2).mean(axis=0).tolist()
+
+        return s.map(of)
+
+    return run(samples)
+
+
+def loudness(samples: Column) -> Column:
+    """Struct (rms_db, clip_pct) of samples in -1 to 1."""
+    n = F.size(samples)
+    square = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    clipped = F.size(F.filter(samples, lambda x: F.abs(x) >= 0.999))
+    return F.struct((20 * F.log10(F.greatest(F.sqrt(square / n), F.lit(1e-9)))).alias("rms_db"), (100.0 * clipped / n).alias("clip_pct"))
+
+
+def envelope(samples: np.ndarray, rate: int, hop: float = 0.1, frame: float = 0.2) -> np.ndarray:
+    """Root mean square of sliding frames."""
+    step, wide = int(rate * hop), int(rate * frame)
+    if len(samples) < wide:
+        return np.empty(0)
+    frames = np.lib.stride_tricks.sliding_window_view(np.asarray(samples, np.float64), wide)[::step]
+    return np.sqrt((frames**2).mean(axis=1))
+
+
+def best_offset(samples: np.ndarray, lines: list[tuple[float, float]], rate: int, reach: float = 15.0, hop: float = 0.1, least: float = 3.0) -> tuple[float, float] | None:
+    """(seconds, certainty) by which lines must move to meet the voice: the peak of the cross-correlation of
+    loudness and lines, with how many standard deviations it stands above the mean; None if that is too little."""
+    loud = envelope(samples, rate, hop)
+    if not len(loud) or loud.std() == 0 or not lines:
+        return None
+    loud = (loud - loud.mean()) / loud.std()
+    sung = np.zeros(len(loud))
+    for start, end in lines:
+        sung[max(0, int(start / hop)) : max(0, int(end / hop))] = 1
+    if sung.std() == 0:
+        return None
+    sung = (sung - sung.mean()) / sung.std()
+    shifts = np.arange(-int(reach / hop), int(reach / hop) + 1)
+    corr = np.array([np.dot(loud[max(0, k) : len(loud) + min(0, k)], sung[max(0, -k) : len(sung) + min(0, -k)]) if abs(k) < len(loud) else 0.0 for k in shifts])
+    spread = corr.std()
+    at = int(corr.argmax())
+    certainty = float((corr[at] - corr.mean()) / spread) if spread else 0.0
+    return (round(float(shifts[at] * hop), 3), certainty) if certainty >= least else None
+
+
+def offsets(songs: DataFrame, rate: int = 16000) -> DataFrame:
+    """Songs (id, samples, lines as array of (start, end)) with offset and certainty, null where none is sure."""
+
+    def run(batches):
+        for frame in batches:
+            rows = [best_offset(np.asarray(s), [(x["start"], x["end"]) for x in ls], rate) or (None, None) for s, ls in zip(frame["samples"], frame["lines"], strict=True)]
+            yield pd.DataFrame({"id": frame["id"], "offset": [r[0] for r in rows], "certainty": [r[1] for r in rows]})
+
+    return songs.select("id", "samples", "lines").mapInPandas(run, f"id {songs.schema['id'].dataType.simpleString()}, offset double, certainty double")
