@@ -10,7 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import normalize, query_terms
+from .text import normalize, parse_query
 
 #: Scores of an exact hit in each field; what a prefix and an inner hit lose; phonetic and initial hits; title with artist.
 EXACT = (120, 115, 105)
@@ -50,7 +50,7 @@ def term_score(index: Column, term: Column) -> Column:
 
 
 def query_score(index: Column, needle: Column) -> Column:
-    """Relevance of a song for a parsed query (`query_terms`), below zero without a hit, 0 for an empty query.
+    """Relevance of a song for a parsed query, a struct (text, terms), below zero without a hit, 0 for an empty query.
 
     The best of the whole query as one term, of title and artist together, and of the mean over the
     terms if each has a hit.
@@ -70,7 +70,8 @@ def search(songs: DataFrame, query: str, table: Mapping[str, str] | None = None)
 
     A URL that holds the query scores 10 if nothing scores more.
     """
-    needle = query_terms(F.lit(query), table)
+    text, terms = parse_query(query, table)
+    needle = F.struct(F.lit(text).alias("text"), F.array(*map(F.lit, terms)).cast("array<string>").alias("terms"))
     rows = songs.withColumn("relevance", query_score(F.col("index"), needle))
     if "url" in songs.columns and query.strip():
         in_url = (needle.getField("text") != "") & F.lower(F.coalesce("url", F.lit(""))).contains(query.strip().casefold())

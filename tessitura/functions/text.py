@@ -6,12 +6,14 @@ skips them for plain ASCII.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Mapping
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Punctuation that keys drop. Deduplication and matching keep different sets.
 DEDUPE_PUNCTUATION = r"""[\s\-_·,，.。'’"“”!！?？()（）\[\]【】~～/／]"""
@@ -22,20 +24,20 @@ WIDE = r"[\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}]"
 _EDGE = r"^[\s\x{3000}\x{00a0}]+|[\s\x{3000}\x{00a0}]+$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("string")
-def _folded(s: pd.Series) -> pd.Series:
-    def fold(v: str | None) -> str | None:
-        if v is None:
-            return None
-        text = unicodedata.normalize("NFKC", v).lower().replace("ß", "ss").replace("ς", "σ")
-        return "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c)[0] != "M")
+def fold(value: str) -> str:
+    """Compatibility form in lower case without marks; sharp and final s as plain ones."""
+    text = unicodedata.normalize("NFKC", value).lower().replace("ß", "ss").replace("ς", "σ")
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if unicodedata.category(c)[0] != "M")
+
 
-    return s.map(fold)
+@F.pandas_udf(StringType())
+def _folded(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else fold(v))
 
 
 def words(value: Column, table: Mapping[str, str] | None = None) -> Column:
@@ -87,6 +89,15 @@ def query_terms(value: Column, table: Mapping[str, str] | None = None) -> Column
     return F.struct(F.replace(text, F.lit(" "), F.lit("")).alias("text"), terms.alias("terms"))
 
 
+def parse_query(value: str | None, table: Mapping[str, str] | None = None) -> tuple[str, list[str]]:
+    """As `query_terms`, for one query on the driver."""
+    text = "".join((table or {}).get(c, c) for c in fold(value or ""))
+    words_ = "".join(c if unicodedata.category(c)[0] in "LN" else " " for c in text).split()
+    han = "\u3400-\u9fff\uf900-\ufaff\U00020000-\U000323af"
+    broken = re.sub(f"(?<=[{han}])(?=[a-z0-9])|(?<=[a-z0-9])(?=[{han}])", " ", " ".join(words_))
+    return "".join(words_), list(dict.fromkeys(broken.split()))
+
+
 def display_width(text: Column) -> Column:
     """Columns on screen: wide characters take two."""
     text = F.coalesce(text, F.lit(""))

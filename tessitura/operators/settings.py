@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,10 +44,11 @@ def allowed(settings: Column, keys: list[str]) -> Column:
 
 def overlay(*maps: Column) -> Column:
     """Later maps win over earlier ones, whatever the session says about repeated keys."""
-    out = maps[0]
-    for m in maps[1:]:
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k)), m)
-    return out
+
+    def over(below: Column, above: Column) -> Column:
+        return F.map_concat(F.map_filter(below, lambda k, _: ~F.map_contains_key(above, k)), above)
+
+    return reduce(over, maps)
 
 
 def effective(devices: DataFrame, accounts: DataFrame) -> DataFrame:

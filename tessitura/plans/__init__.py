@@ -1 +1,6 @@
 """Named queries over the analytic tables, with the SQL that checks them."""
+
+from . import history, state, text, timed
+
+QUERIES = history.QUERIES | text.QUERIES | timed.QUERIES | state.QUERIES
+SQL = history.SQL | text.SQL | timed.SQL | state.SQL

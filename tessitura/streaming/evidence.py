@@ -61,14 +61,14 @@ def _none(value):
 def confirmed(reports: DataFrame) -> DataFrame:
     """Confirming reports (key, generation, at_ms, position_ms, status; id orders equal times): a fold over each key in order of time."""
 
-    def run(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
         state, out = None, []
-        frame = pd.concat(list(batches)).sort_values(["at_ms", "id"])
+        frame = frame.sort_values(["at_ms", "id"])
         for g, at, position, status in zip(frame["generation"], frame["at_ms"], frame["position_ms"], frame["status"], strict=True):
             state, yes = observe(state, (int(g), int(at), int(position), status))
             if yes:
                 out.append((key[0], int(g), int(at), int(position)))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in CONFIRMED.split(", ")])
+        return pd.DataFrame(out, columns=[f.split()[0] for f in CONFIRMED.split(", ")])
 
     return reports.select("key", "generation", "at_ms", "position_ms", "status", "id").groupBy("key").applyInPandas(run, CONFIRMED)
 
