@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .words import text_column
 
 #: Fixed pattern of the byte-level pre-tokenizer.
@@ -237,6 +238,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 names.append("token_ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(F.col(text_col)).alias("text"))
     extra = ", token_ids array<int>" if with_ids else ""
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + extra)

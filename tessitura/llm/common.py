@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch between the JVM and Python workers, which hold a few copies of it.
+BATCH_BYTES = 8 << 20
 #: Rows up to which `checked_broadcast` broadcasts a side of a few fixed-width columns (about 64 bytes a row).
 BROADCAST_ROWS = 500_000
 
@@ -51,6 +53,13 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to BATCH_BYTES, so that rows with long texts don't add up."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -15,6 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .words import text_column
 
 #: Share of a template's words that a confirmed block may lack; characters of a block on either side of a cue.
@@ -131,5 +132,6 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
             names = ["doc_id", "start", "end", "license", "saved", "n_lacking", "n_more", "exact", "confirmed"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(F.col(text_col)).alias("text"))
     return rows.mapInArrow(run, "doc_id long, start int, end int, license string, saved double, n_lacking int, n_more int, exact boolean, confirmed boolean")

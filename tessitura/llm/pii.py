@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bound_batches, written
 from .words import text_column
 
 #: Kinds in the order in which spans with equal starts are listed; the last is only found by the method.
@@ -241,6 +241,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     kind:start:end in code points. Null counts as empty; an empty text has no spans. Rows with null or
     repeated ids get a row each. Other columns are ignored; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(F.col(text_col)).alias("text"))
     found = written(rows.mapInArrow(_find, _FOUND), "spans")
     each = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.size").count()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, written
+from .common import bound_batches, checked_broadcast, written
 from .words import blocks, text_column
 
 #: Bytes of a repeat that is removed; bytes of the gram that anchors it.
@@ -318,6 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count in the order of their texts' SHA-256; null ids come last. Texts under 100 bytes lose
     nothing. Other columns are ignored; an empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(F.col(text_col)).alias("text"))
     rows = rows.select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("sha"))
     base = written(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "texts")

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, encoder, vocabulary_text
+from .common import bound_batches
 from .words import text_column
 
 RULES = ("first", "last", "split")
@@ -87,5 +88,6 @@ def token_counts(
                 types = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "section", "start", "end", "n_tokens"])
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(F.col(text_col)).alias("text"))
     return rows.mapInArrow(run, "doc_id long, section int, start int, end int, n_tokens double")

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, scratch, written
+from .common import bound_batches, checked_broadcast, scratch, written
 
 #: Payload bytes of a chunk; payloads from which equal ones become revisits; date of the records.
 CHUNK, REVISIT, DATE = 1 << 20, 1000, "2024-01-01T00:00:00Z"
@@ -104,6 +104,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     REVISIT bytes the largest id is the response, others (null ids too) are revisits of it; without any id
     they all are responses. Rows that repeat the largest id are all responses.
     """
+    bound_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     size = F.octet_length("html").cast("long")
