@@ -9,10 +9,10 @@ Stages, all over tables:
    signatures are read batch by batch and a pair is dropped as soon as the posterior probability that
    its similarity reaches the threshold falls below `MISS`. The best survivor of each class is
    verified on the full shingle sets, and verified links form components.
-4. Buckets whose members are not all in one component are then searched in blocks for pairs that
-   cross components. Each class takes its best few untested survivors to the exact check, a number
-   that grows until none is left. So every candidate pair is either in one component already,
-   pruned by the posterior bound, or verified exactly.
+4. Buckets whose members are not all in one component are then searched in blocks for links that cross
+   components: signatures batch by batch as before, survivors exactly on the full sets, each pair in the
+   first band that it shares only. A class stops at a component once it is linked to it. So every candidate pair
+   is in one component, pruned by the posterior bound, or verified exactly, and only links leave a task.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, components, written
+from .common import bound_batches, checked_broadcast, components, written
 from .words import sequence_digest, text_column, word_hashes
 
 #: Words of a shingle, least similarity of a link (as NEED of 100).
@@ -33,11 +33,9 @@ SHINGLE, NEED = 5, 75
 #: Hash functions; values of a band. 32 bands of 4 miss a pair at similarity 0.75 with probability 5e-6.
 PERMS, ROWS = 128, 4
 #: Signature values read between two looks at the posterior, and the miss probability of each look.
-BATCH, MISS = 32, 1e-6
-#: Untested survivors that a class takes to the exact check in each round; None is all of them.
-TAKE = (4, 64, None)
+BATCH, MISS = 32, 1e-5
 #: Members of a block in the search of a bucket.
-BLOCK = 2048
+BLOCK = 1024
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -132,6 +130,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row each; their texts all count as that id's. Other columns are ignored; an empty table gives an
     empty result.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(F.col(text_col)).alias("text"))
     signed = written(
         rows.mapInArrow(_sequence_keys, "doc_id long, seq binary, n_shingles long, sig binary"), "signatures"
@@ -202,102 +201,110 @@ def _linked(reps: DataFrame, texts: DataFrame) -> DataFrame:
     )
     alive = met.select("a", "b", "sa", "sb").mapInArrow(_survivors, "a long, b long, same long")
     best = alive.groupBy("a").agg(F.max_by("b", F.struct("same", -F.col("b"))).alias("b"))
-    tested = written(_verified(best, texts), "tested")
-    links = tested.where("linked").select("a", "b")
+    links = written(_verified(best, texts).where("linked").select("a", "b"), "star-links")
     roots = written(components(links), "roots")
-    for take in TAKE:
-        while True:
-            more = written(_crossing(shared, roots, sig, tested, take), "crossing")
-            if more.isEmpty():
-                return roots
-            checked = written(_verified(more, texts), "tested")
-            tested = tested.unionByName(checked)
-            fresh = checked.where("linked").select("a", "b")
-            if fresh.isEmpty():
-                break
-            links = links.unionByName(fresh)
-            roots = written(components(links), "roots")
-        if take is None:
-            return roots
-    return roots
-
-
-def _crossing(shared: DataFrame, roots: DataFrame, sig: DataFrame, tested: DataFrame, take: int | None) -> DataFrame:
-    """Untested survivors between components, the best `take` of each class.
+    more = written(_crossing(shared, roots, sig, texts), "crossing-links")
+    if more.isEmpty():
+        return roots
+    return written(components(links.unionByName(more)), "roots")
+
+
+def _crossing(shared: DataFrame, roots: DataFrame, sig: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components: a, b.
 
     A bucket's members outside its largest component face all its members, block against block, so
     no task holds more than two blocks and pairs within a component are not formed.
     """
     place = shared.select("band", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    place = place.select("band", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+    place = written(place.select("band", "doc_id", F.coalesce("root", "doc_id").alias("root")), "placed-bands")
     sizes = place.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
+    blocks = lambda n: (F.floor((n - 1) / BLOCK) + 1).cast("long")
     mixed = (
         sizes.groupBy("band")
         .agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("major"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.max("c").alias("c"))
         .where("k > 1")
-        .select("band", "major", (F.floor((F.col("n") - 1) / BLOCK) + 1).alias("blocks"), (F.floor((F.col("n") - F.col("c") - 1) / BLOCK) + 1).alias("minor_blocks"))
+        .select("band", "major", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("c")).alias("minor_blocks"))
     )
     open_ = written(place.join(mixed, "band"), "open-buckets")
-    if open_.isEmpty():
-        return tested.select("a", "b").where("false")
-    spread = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    every = open_.select("band", "doc_id", "root", F.lit(False).alias("minor"), spread.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)).alias("j"))
+    every = open_.select("band", "doc_id", "root", "major", F.lit(False).alias("minor"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)).alias("j"))
     few = open_.where("root <> major").select(
-        "band", "doc_id", "root", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("doc_id"), F.col("minor_blocks")).alias("j")
+        "band", "doc_id", "root", "major", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("doc_id"), "minor_blocks").alias("j")
     )
     used = checked_broadcast(written(open_.select("doc_id").distinct(), "open-ids"))
-    own = sig.join(used, "doc_id")
-    cells = every.unionByName(few).join(own, "doc_id")
-    met = (
-        cells.repartition(F.col("band"), F.col("i"), F.col("j"))
+    sets = texts.join(used, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, set binary")
+    own = written(sig.join(used, "doc_id").join(sets, "doc_id"), "open-sets")
+    return (
+        every.unionByName(few)
+        .join(own, "doc_id")
+        .repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j", "minor", "doc_id")
-        .select("band", "i", "j", "minor", "doc_id", "root", "sig")
-        .mapInArrow(_cell_pairs, "a long, b long, same long")
-        .groupBy("a", "b")
-        .agg(F.max("same").alias("same"))
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        .select("band", "i", "j", "minor", "doc_id", F.struct("root", "major").alias("at"), "sig", "set")
+        .mapInArrow(_cell_links, "a long, b long")
+        .distinct()
     )
-    if take is None:
-        return met.select("a", "b")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("same").desc(), "b"))
-    return met.withColumn("r", rank).where(F.col("r") <= take).select("a", "b")
 
 
-def _cell_pairs(batches):
-    """Cells of (band, i, j), in order, each with all members of block i before the minor ones of block j -> surviving pairs across components."""
-    bounds = prune_bounds()
+def _linked_sets(p: np.ndarray, q: np.ndarray) -> bool:
+    """Exact test of two sorted sets, without the intersection where their sizes rule it out."""
+    if 100 * min(len(p), len(q)) < NEED * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return both > 0 and 100 * both >= NEED * (len(p) + len(q) - both)
+
+
+def _cell_links(batches):
+    """Cells of (band, i, j), in order, each with all members of block i before the minor ones of block j -> links across components."""
+    bounds, step = prune_bounds(), PERMS // ROWS
 
-    def out(rows):
-        minor = np.array([r[0] for r in rows])
-        ids, root = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    def found(band, rows):
+        nth = int(band) & (step - 1)
+        split = next((k for k, r in enumerate(rows) if r[0]), len(rows))
+        if not 0 < split < len(rows):
+            return [], []
+        ids = np.array([r[1] for r in rows], np.int64)
+        root = np.array([r[2]["root"] for r in rows], np.int64)
+        major = rows[0][2]["major"]
         sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), PERMS)
-        members = np.flatnonzero(~minor)
-        got = ([], [], [])
-        for u in np.flatnonzero(minor):
-            alive = members[(root[members] != root[u])]
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        sizes = np.array([len(s) for s in sets])
+        left, right = [], []
+        for u in range(split, len(rows)):
+            # of two minor members the larger id asks; pairs of another earlier band are asked there
+            ask = (root[:split] != root[u]) & ((root[:split] == major) | (ids[:split] < ids[u]))
+            ask &= 100 * np.minimum(sizes[:split], sizes[u]) >= NEED * np.maximum(sizes[:split], sizes[u])
+            alive = np.flatnonzero(ask)
             same = np.zeros(len(alive), np.int64)
             for look, least in enumerate(bounds):
                 cut = slice(look * BATCH, (look + 1) * BATCH)
                 same = same + (sig[alive, cut] == sig[u, cut]).sum(axis=1)
                 stay = same >= least
                 alive, same = alive[stay], same[stay]
-            for v, s in zip(ids[alive], same, strict=True):
-                got[0].append(max(ids[u], v))
-                got[1].append(min(ids[u], v))
-                got[2].append(s)
-        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in got], names=["a", "b", "same"])
+            if nth and len(alive):
+                head = sig[alive, : nth * ROWS] == sig[u, : nth * ROWS]
+                met = head.reshape(len(alive), nth, ROWS).all(axis=2).any(axis=1)
+                alive, same = alive[~met], same[~met]
+            joined: set[int] = set()
+            for v in alive[np.argsort(-same, kind="stable")]:
+                if root[v] not in joined and _linked_sets(sets[u], sets[v]):
+                    joined.add(root[v])
+                    left.append(max(ids[u], ids[v]))
+                    right.append(min(ids[u], ids[v]))
+        return left, right
+
+    def out(cell, rows):
+        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in found(cell[0], rows)], names=["a", "b"])
 
     cell, rows = None, []
     for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in range(7)]
-        for band, i, j, minor, doc, root, sig in zip(*cols, strict=True):
+        cols = [batch.column(k).to_pylist() for k in range(8)]
+        for band, i, j, minor, doc, at, sig, own in zip(*cols, strict=True):
             if (band, i, j) != cell:
                 if rows:
-                    yield out(rows)
+                    yield out(cell, rows)
                 cell, rows = (band, i, j), []
-            rows.append((minor, doc, root, sig))
+            rows.append((minor, doc, at, sig, own))
     if rows:
-        yield out(rows)
+        yield out(cell, rows)
 
 
 def _sets(batches):
@@ -311,11 +318,8 @@ def _sets(batches):
 
 def _jaccard(batches):
     for batch in batches:
-        linked = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            linked.append(both > 0 and 100 * both >= NEED * (len(p) + len(q) - both))
+        pairs = zip(batch.column(2), batch.column(3), strict=True)
+        linked = [_linked_sets(*(np.frombuffer(x.as_buffer(), np.uint64) for x in pair)) for pair in pairs]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
