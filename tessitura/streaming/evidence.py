@@ -74,13 +74,13 @@ def confirmed(reports: DataFrame) -> DataFrame:
 
 
 class EvidenceProcessor(StatefulProcessor):
-    """The same fold as keyed state of a stream; a key that reports nothing for `idle_ms` is dropped."""
+    """The same fold as keyed state of a stream; with `idle_ms` a key that reports nothing for so long is dropped."""
 
-    def __init__(self, idle_ms: int = 3_600_000):
+    def __init__(self, idle_ms: int | None = None):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("window", _STATE, self.idle_ms)
+        self.state = handle.getValueState("window", _STATE, *([self.idle_ms] if self.idle_ms else []))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = tuple(map(_none, self.state.get())) if self.state.exists() else None
@@ -98,10 +98,14 @@ class EvidenceProcessor(StatefulProcessor):
         pass
 
 
-def confirmed_stream(reports: DataFrame) -> DataFrame:
-    """A stream of confirmations. Needs the RocksDB state store (see `use_rocksdb`)."""
+def confirmed_stream(reports: DataFrame, idle_ms: int | None = None) -> DataFrame:
+    """A stream of confirmations. Needs the RocksDB state store (see `use_rocksdb`).
+
+    Dropping idle keys takes processing time, under which a stream keeps running batches: leave it out where
+    a trigger is to end by itself.
+    """
     cols = reports.select("key", "generation", "at_ms", "position_ms", "status", "id")
-    return cols.groupBy("key").transformWithStateInPandas(EvidenceProcessor(), CONFIRMED, "append", "processingTime")
+    return cols.groupBy("key").transformWithStateInPandas(EvidenceProcessor(idle_ms), CONFIRMED, "append", "processingTime" if idle_ms else "none")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
