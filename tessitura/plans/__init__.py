@@ -1,6 +1,7 @@
 """Named queries over the analytic tables, with the SQL that checks them."""
 
-from . import history, state, text, timed
+from . import catalog, history, state, text, timed
 
-QUERIES = history.QUERIES | text.QUERIES | timed.QUERIES | state.QUERIES
-SQL = history.SQL | text.SQL | timed.SQL | state.SQL
+_PARTS = (history, text, timed, state, catalog)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+SQL = {name: s for part in _PARTS for name, s in part.SQL.items()}
