@@ -44,10 +44,9 @@ def tokens_before(own: Encoder, word: str, cut: int, rule: str) -> float:
     return sum(min(max(cut - a, 0), b - a) / (b - a) for a, b in spans)
 
 
-def section_counts(own: Encoder, text: str, ends: list[int], rule: str) -> list[float]:
-    """Tokens of consecutive sections that end at the given places, the last at the text's end."""
-    words = own.words(text)
-    found = own.entries(words)
+def section_counts(own: Encoder, words: list[str], ends: list[int], rule: str) -> list[float]:
+    """Tokens of consecutive sections of a text, given by its words, that end at the given places, the last at the text's end."""
+    found = map(own.known.__getitem__, words)
     starts = [0, *accumulate(map(len, words))]
     before = [0, *accumulate(e[1] for e in found)]
     upto = []
@@ -76,17 +75,23 @@ def token_counts(
         own, cut = encoder(spec.value), re.compile(boundary)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for at in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(at, 256).to_pylist()
-                own.learn({w for t in texts for w in own.words(t)})
+            at = 0
+            while at < batch.num_rows:  # groups of texts of about two MB share one walk
+                texts, words, total = [], [], 0
+                while at + len(texts) < batch.num_rows and (total < 1 << 21 or not texts):
+                    texts.append(batch.column(1)[at + len(texts)].as_py())
+                    words.append(own.words(texts[-1]))
+                    total += len(texts[-1])
+                own.learn({w for ws in words for w in ws})
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for doc, text in zip(ids[at : at + 256], texts, strict=True):
+                for doc, text, split in zip(ids[at : at + len(texts)], texts, words, strict=True):
                     ends = [m.end() for m in cut.finditer(text) if 0 < m.end() < len(text)] + [len(text)]
-                    counts = section_counts(own, text, ends, rule)
+                    counts = section_counts(own, split, ends, rule)
                     for column, values in zip(rows, ([doc] * len(ends), range(len(ends)), [0, *ends[:-1]], ends, counts), strict=True):
                         column.extend(values)
                 types = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["doc_id", "section", "start", "end", "n_tokens"])
+                at += len(texts)
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(F.col(text_col)).alias("text"))
