@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder; it goes when the driver ends, or by `sweep`."""
+    """A new folder name under the shared folder; it goes when the driver ends, or with `scratch_of`."""
     path = f"{scratch_root(spark)}/tessitura/{name}-{uuid.uuid4().hex[:12]}"
     if not _made:
         atexit.register(sweep)
@@ -36,10 +37,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def sweep() -> None:
-    """Delete every scratch folder made so far. Call it only when all results that read them are written."""
+    """Delete every scratch folder made so far: at the driver's end."""
     while _made:
-        spark, path = _made.pop()
-        drop(spark, path)
+        drop(*_made.pop())
+
+
+@contextmanager
+def scratch_of(step: list[tuple[SparkSession, str]]):
+    """Within it, what `step` lists is deleted first and the folders made meanwhile are listed instead.
+
+    For chains of steps that each write their result before the next one begins.
+    """
+    while step:
+        drop(*step.pop())
+    before = len(_made)
+    yield
+    step += _made[before:]
 
 
 def drop(spark: SparkSession, path: str) -> None:
