@@ -86,7 +86,7 @@ def _anchors(batches):
 
 
 def _contexts(batches):
-    """doc, text, places (pos, gram, n) -> the bytes around each anchor; part spreads the suffixes of a frequent gram."""
+    """doc, text, places (pos, gram, split, part) -> the bytes around each anchor; part spreads the suffixes of a frequent gram."""
     for batch in batches:
         for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             raw = text.as_buffer().to_pybytes()
@@ -96,7 +96,7 @@ def _contexts(batches):
                     [
                         pa.array([p["gram"] for p in cut], pa.int64()),
                         pa.array([p["part"] for p in cut], pa.int64()),
-                        pa.array([p["n"] > SPLIT for p in cut], pa.bool_()),
+                        pa.array([p["split"] for p in cut], pa.bool_()),
                         pa.array([doc] * len(cut), pa.int64()),
                         pa.array([p["pos"] for p in cut], pa.int32()),
                         pa.array([raw[max(0, p["pos"] - REACH) : p["pos"]][::-1] for p in cut], pa.binary()),
@@ -285,7 +285,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     part = F.expr(f"CASE WHEN n > {SPLIT} THEN pmod(xxhash64(doc, pos), 1 + n div {SPLIT}) ELSE 0 END").alias("part")
     places = written(
         anchors.join(again, "gram")
-        .select("doc", F.struct("pos", "gram", "n", part).alias("place"))
+        .select("doc", F.struct("pos", "gram", F.expr(f"n > {SPLIT}").alias("split"), part).alias("place"))
         .groupBy("doc")
         .agg(F.collect_list("place").alias("places")),
         "places",
