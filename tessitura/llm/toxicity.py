@@ -22,7 +22,7 @@ from .common import bound_batches
 from .words import text_column
 
 #: Labelled texts of each kind that are sampled at most (lowest hash of their id first), and bytes of a text that may train.
-TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 2000, 4000, 1 << 16
+TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 1600, 3000, 1 << 14
 #: Bytes of a window; of a gram; of a dictionary.
 WINDOW, GRAM, DICTIONARY = 256, 5, 2048
 #: A gram counts for a kind when it has so many different contexts for each text there (four at least), and so many times its share in the other kind.
@@ -61,19 +61,27 @@ def _grams(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Grams and in how many different contexts (the five bytes before) each of them stands."""
-    keys = []
-    for at in range(0, len(texts), 256):
-        raw = np.frombuffer((b"\0" * 8).join([b"", *texts[at : at + 256], b""]), np.uint8)
-        grams = _grams(raw)
-        before = np.zeros(len(grams), np.uint64)
-        for k in range(1, 6):
-            before[k:] = before[k:] * np.uint64(1000003) + raw[: len(grams) - k]
-        keys.append(np.unique(grams << np.uint64(24) | (before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)))
-    if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    return np.unique(np.unique(np.concatenate(keys)) >> np.uint64(24), return_counts=True)
+def contexts(texts: list[bytes], parts: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Grams and in how many different contexts (the five bytes before) each of them stands.
+
+    One part of the grams after the other, so that memory stays far below the texts' size times eight.
+    """
+    counted = []
+    for part in range(parts):
+        keys = [np.empty(0, np.uint64)]
+        for at in range(0, len(texts), 64):
+            raw = np.frombuffer((b"\0" * 8).join([b"", *texts[at : at + 64], b""]), np.uint8)
+            grams = _grams(raw)
+            mine = np.flatnonzero((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48) & np.uint64(parts - 1) == part)
+            mine = mine[mine >= 5]
+            before = np.zeros(len(mine), np.uint64)
+            for k in range(1, 6):
+                before = before * np.uint64(1000003) + raw[mine - k]
+            keys.append(np.unique(grams[mine] << np.uint64(24) | (before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)))
+        counted.append(np.unique(np.unique(np.concatenate(keys)) >> np.uint64(24), return_counts=True))
+    grams, counts = (np.concatenate(x) for x in zip(*counted, strict=True))
+    order = np.argsort(grams)
+    return grams[order], counts[order]
 
 
 def pieces(texts: list[bytes], own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> Counter:
