@@ -108,5 +108,5 @@ def test_offset_of_a_synthetic_voice():
     for shift in (-9.0, -5.8, -2.0, 3.5, 11.0):
         found, certainty = signal.best_offset(sound, [(a + shift, b + shift) for a, b in lines], rate)
         assert abs(found + shift) <= 0.5 and certainty > 1
-    assert signal.best_offset(sound, lines, rate)[0] == 0.0
+    assert abs(signal.best_offset(sound, lines, rate)[0]) <= 0.2
     assert signal.best_offset(sound, [], rate) == (0.0, 0.0)
