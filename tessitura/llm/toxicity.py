@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, written
 from .words import text_column
 
 #: Labelled texts of each kind that are sampled at most (lowest hash of their id first), and bytes of a text that may train.
@@ -162,24 +162,31 @@ def features(text: bytes, toxic: zstandard.ZstdCompressor, ordinary: zstandard.Z
     return np.array([1.0, min(best, 12), np.log1p(total), np.log1p(len(cut))])
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """With one kind of label only, the score is that label's rate."""
+def fit(texts: list[bytes], labels: list[int], totals: tuple[int, int] | None = None) -> Model:
+    """With one kind of label only, the score is that label's rate.
+
+    totals: labelled rows of either kind (ordinary, toxic) that the texts were sampled from, if more than the texts.
+    Each kind weighs as much in the fit as it has there, so that the sampling rates don't move the threshold.
+    """
     marks = np.array(labels, float)
     halves = [[(t, y) for k, (t, y) in enumerate(zip(texts, labels, strict=True)) if (k % SET_ASIDE == 0) == aside] for aside in (False, True)]
     toxic = [prepared(t) for t, y in halves[0] if y]
     ordinary = [prepared(t) for t, y in halves[0] if not y]
     one, two = contexts(toxic), contexts(ordinary)
     dicts = dictionary(pieces(toxic, one, two), len(toxic)), dictionary(pieces(ordinary, two, one), len(ordinary))
-    rate = float(np.clip(marks.mean() if len(marks) else 0.0, 1e-6, 1 - 1e-6))
+    ordinary_rows, toxic_rows = totals or (len(marks) - marks.sum(), marks.sum())
+    share = toxic_rows / max(ordinary_rows + toxic_rows, 1)
+    rate = float(np.clip(share, 1e-6, 1 - 1e-6))
     weights = np.array([np.log(rate / (1 - rate)), 0, 0, 0])
     y = np.array([m for _, m in halves[1]], float)
     if 0 < y.sum() < len(y):
         by = [_compressor(d) for d in dicts]
         x = np.array([features(t, *by) for t, _ in halves[1]])
+        weigh = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
         for _ in range(50):  # Newton steps with a small ridge
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            slope = x.T @ (p - y) + 0.01 * weights
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(4), slope)
+            slope = x.T @ (weigh * (p - y)) + 0.01 * weights
+            step = np.linalg.solve((x * (weigh * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(4), slope)
             weights = weights - step
             if np.abs(step).max() < 1e-6:
                 break
@@ -193,15 +200,18 @@ def held_out(id_col: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """A model from labelled rows that are not held out: at most TOXIC_SAMPLE toxic and ORDINARY_SAMPLE
-    ordinary ones of at most SAMPLE_BYTES each, the lowest hashes of their ids first, fitted on the driver."""
+    ordinary ones of at most SAMPLE_BYTES each, the lowest hashes of their ids first, fitted on the driver.
+    The rates of the kinds are those of all labelled documents that are not held out, at every size."""
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     marked = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+    marked = written(marked.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi"), "labelled")
+    totals = tuple(marked.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first())
     order = F.xxhash64("doc_id")
     some = marked.where("y = 1").orderBy(order, "doc_id").limit(TOXIC_SAMPLE).unionByName(marked.where("y = 0").orderBy(order, "doc_id").limit(ORDINARY_SAMPLE))
     texts = docs.select(F.col(id_col).alias("doc_id"), text_column(F.col(text_col)).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
     rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r["y"], r["doc_id"]))
-    return fit([r["text"].encode() for r in rows], [r["y"] for r in rows])
+    return fit([r["text"].encode() for r in rows], [r["y"] for r in rows], totals)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -203,3 +203,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {i for i, r in got.items() if r.predicted == 0}
     none = toxicity.train(docs, labels.limit(0))
     assert {r.predicted for r in toxicity.score(docs, none).collect()} == {0}
+
+
+def test_toxicity_rate_is_that_of_all_labels(spark, monkeypatch):
+    # texts that say nothing about their label: the score is the rate of all labels, whatever the caps of the sample
+    r = random.Random(8)
+    words = ["".join(r.choice("abdeghinorstw") for _ in range(r.randint(2, 8))) for _ in range(50)]
+    docs = frame(spark, [(k, " ".join(r.choice(words) for _ in range(30))) for k in range(1000)])
+    labels = spark.createDataFrame([(k, int(k % 8 == 0)) for k in range(1000)] + [(k, 1) for k in range(5000, 5900)], "doc_id long, toxic int")
+    scores = []
+    for caps in ((1000, 1000), (60, 110)):
+        monkeypatch.setattr(toxicity, "TOXIC_SAMPLE", caps[0])
+        monkeypatch.setattr(toxicity, "ORDINARY_SAMPLE", caps[1])
+        got = [x.score for x in toxicity.score(docs, toxicity.train(docs, labels)).collect()]
+        scores.append(sum(got) / len(got))
+    assert scores == pytest.approx([0.125, 0.125], abs=0.03)
