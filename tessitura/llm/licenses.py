@@ -1,13 +1,16 @@
 """License notices by conditional compression.
 
-Lines that hold a cue word are candidate blocks. Each is compressed alone and with every template as a
-raw zstandard dictionary; templates rank by the share of the length that they save. The winner is
-confirmed by the wording itself: the words of the template that the block lacks.
+Two ways lead to a row. The wording of every template is aligned with the words of the text, over line
+breaks and comment marks, around words of which a notice has one at least; what aligns but for a few words is
+confirmed. Lines that hold a cue word are candidate blocks besides. Each is compressed alone and with every
+template as a raw zstandard dictionary; templates rank by the share of the length that they save, and the
+winner is confirmed by the words of the template that the block lacks.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -20,6 +23,8 @@ from .words import text_column
 
 #: Share of a template's words that a confirmed block may lack; characters of a block on either side of a cue.
 LACKING, AROUND = 0.1, 1200
+#: Words in between that a word of a template is worth in an alignment; first words of a template that are its cue.
+WORTH, CUE_WORDS = 6, 3
 
 #: Cue words, in lower case.
 CUES = ("licen", "rights reserved", "copyright", "without warranty", "permission is hereby", "spdx", "public domain")
@@ -42,19 +47,34 @@ TEMPLATES: dict[str, str] = {
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Character spans of lines with a cue; a long line gives what is around its cues."""
+def cues(templates: dict[str, str]) -> tuple[str, ...]:
+    """The fixed cues, and the first words of each template that holds none of them."""
+    low = [t.lower() for t in templates.values()]
+    return (*CUES, *(" ".join(t.split()[:CUE_WORDS]) for t in low if t.strip() and not any(c in t for c in CUES)))
+
+
+def lowered(text: str) -> str:
+    """Lower case, letter for letter."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change length; keep places
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    return low
+
+
+def _lines(low: str, first: int, last: int) -> tuple[int, int]:
+    """The whole lines of a span; of long ones what is around it."""
+    begin = max(low.rfind("\n", max(0, first - AROUND), first) + 1, first - AROUND, 0)
+    end = low.find("\n", last, last + AROUND)
+    return begin, min(len(low), last + AROUND) if end < 0 else end
+
+
+def blocks(low: str, by: tuple[str, ...] = CUES) -> list[tuple[int, int]]:
+    """Character spans of lines with a cue; a long line gives what is around its cues."""
     spans = []
-    for cue in CUES:
+    for cue in by:
         at = low.find(cue)
         while at >= 0:
-            begin = max(low.rfind("\n", max(0, at - AROUND), at) + 1, at - AROUND, 0)
-            end = low.find("\n", at, at + AROUND)
-            end = min(len(low), at + AROUND) if end < 0 else end
-            spans.append((begin, end))
+            spans.append(_lines(low, at, at))
             at = low.find(cue, at + len(cue))
     out: list[tuple[int, int]] = []
     for begin, end in sorted(spans):
@@ -74,6 +94,9 @@ class Matcher:
             data = zstandard.ZstdCompressionDict(text.lower().encode().ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.by[name] = zstandard.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_dict_id=False, write_checksum=False)
         self.known: dict[str, tuple] = {}
+        self.cues = cues(templates)
+        self.needed = {name: _needed(words) for name, words in self.words.items() if words}
+        self.anchors = tuple({w for words in self.needed.values() for w in words})
 
     def rank(self, block: str) -> list[tuple[float, str]]:
         """(share saved, template), best first. Lengths are compared with the template's own, so that one
@@ -99,6 +122,94 @@ class Matcher:
         return self.known[block]
 
 
+    def notices(self, low: str) -> list[tuple[int, int, str]]:
+        """Character spans, first word to last, where the wording of a template stands, and the template."""
+        if not any(a in low for a in self.anchors):
+            return []
+        found = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(low)]
+        here, places = [w for w, _, _ in found], defaultdict(list)
+        for k, word in enumerate(here):
+            places[word].append(k)
+        out = []
+        for name, needed in self.needed.items():
+            want = self.words[name]
+            far, least = len(want) * (1 + WORTH), len(want) - int(LACKING * len(want))
+            parts: list[list[int]] = []
+            for k in sorted(k for w in needed for k in places.get(w, ())):
+                if parts and k - far <= parts[-1][1]:
+                    parts[-1][1] = k + far + 1
+                else:
+                    parts.append([max(0, k - far), k + far + 1])
+            for a, b in parts:
+                part, counts = here[a:b], Counter(want)
+                if (counts & Counter(part)).total() >= least:
+                    out += [(found[a + x][1], found[a + y][2], name) for x, y in aligned(want, part, least)]
+        return out
+
+    def scan(self, text: str) -> list[tuple]:
+        """Rows of a text, by place: start, end, and what `match` gives."""
+        low = lowered(text)
+        rows = {}
+        for first, last, name in self.notices(low):
+            begin, end = _lines(low, first, last)
+            rows.setdefault((begin, end, name), self.row(text[begin:end], name, low[first:last]))
+        sure = list(rows)
+        for begin, end in blocks(low, self.cues):
+            best = self.match(text[begin:end])
+            over = [name for a, b, name in sure if a < end and begin < b]
+            if not over or best[-1] and best[0] not in over:
+                rows.setdefault((begin, end, best[0]), best)
+        return [(begin, end, *rows[begin, end, name]) for begin, end, name in sorted(rows)]
+
+    def row(self, block: str, name: str, wording: str) -> tuple:
+        """As `match`, for a template whose wording stands in the block."""
+        raw, want = block.lower().encode(), self.words[name]
+        alone = len(self.plain.compress(raw))
+        lacking = len(want) - _common(want, _WORD.findall(wording))
+        here = _WORD.findall(block.lower())
+        return name, (alone - len(self.by[name].compress(raw))) / alone, lacking, len(here) - (len(want) - lacking), lacking == 0 and _inside(want, here), True
+
+
+def _needed(words: list[str]) -> list[str]:
+    """Words, the longest, of which a notice that lacks no more than it may has one at least."""
+    return sorted(set(words), key=lambda w: (-len(w), w))[: int(LACKING * len(words)) + 1]
+
+
+def _common(want: list[str], here: list[str]) -> int:
+    """Length of the longest common subsequence."""
+    row = [0] * (len(want) + 1)
+    for word in here:
+        old = 0
+        for i, w in enumerate(want, 1):
+            old, row[i] = row[i], old + 1 if w == word else max(row[i], row[i - 1])
+    return row[-1]
+
+
+def aligned(want: list[str], here: list[str], least: int) -> list[tuple[int, int]]:
+    """First and last place of each local alignment with at least so many words of a template, in order.
+
+    A word that fits counts WORTH, a word in between costs one; of alignments that overlap the best stays.
+    """
+    start = (0, 0, -1)  # score, words, first place
+    row, ends = [start] * (len(want) + 1), []
+    for j, word in enumerate(here):
+        old, best = start, start
+        for i, w in enumerate(want, 1):
+            over = row[i]
+            cell = (over[0] - 1, over[1], over[2]) if over[0] > 1 else start
+            if w == word:
+                cell = max(cell, (old[0] + WORTH, old[1] + 1, old[2] if old[1] else j))
+            best = max(best, cell)
+            old, row[i] = over, best
+        if best[1] >= least:
+            ends.append((-best[0], j - best[2], best[2], j))
+    out: list[tuple[int, int]] = []
+    for _, _, a, b in sorted(ends):
+        if all(b < x or y < a for x, y in out):
+            out.append((a, b))
+    return out
+
+
 def _inside(want: list[str], here: list[str]) -> bool:
     return f" {' '.join(want)} " in f" {' '.join(here)} "
 
@@ -111,9 +222,11 @@ def _lacking(want: list[str], here: list[str]) -> int:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each candidate block: doc_id, start, end (code points), license, saved, n_lacking, n_more, exact, confirmed.
+    """One row for each notice of a template and for each other candidate block: doc_id, start, end (code points), license,
+    saved, n_lacking, n_more, exact, confirmed.
 
-    license is the best template, confirmed whether the block has all but LACKING of its words in order,
+    start and end are those of the lines it stands on, which several templates may share. A notice may be wrapped over lines.
+    license of a block without one is the best template, confirmed whether the block has all but LACKING of its words in order,
     exact whether it holds its wording whole. Texts without a cue, empty and null ones give no row;
     rows with null or repeated ids give theirs each. Other columns are ignored.
     """
@@ -124,9 +237,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
         for batch in batches:
             rows = []
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = value.as_py()
-                for begin, end in blocks(text):
-                    rows.append((doc, begin, end, *own.match(text[begin:end])))
+                rows += [(doc, *found) for found in own.scan(value.as_py())]
             columns = list(zip(*rows, strict=True)) or [()] * 9
             types = pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()
             names = ["doc_id", "start", "end", "license", "saved", "n_lacking", "n_more", "exact", "confirmed"]

@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 
 import public_tokenizers
 import pytest
@@ -151,6 +152,26 @@ def test_licenses(spark):
     assert 3 not in got and 4 not in got and not got[6].exact if 6 in got else True
 
 
+def test_licenses_wrapped_and_several(spark):
+    def wrapped(name, width=40, mark="# "):
+        return "\n".join(mark + x for x in textwrap.wrap(licenses.TEMPLATES[name], width))
+
+    long_names = ["MIT-grant", "Apache-2.0-header", "GPL-2.0", "BSD"]
+    rows = [(k, f"code\n{wrapped(n)}\nmore code") for k, n in enumerate(long_names)]
+    rows += [(10, licenses.TEMPLATES["BSD"]), (11, "Released under the MIT License. Some words between. All rights reserved."), (12, "Some rights reserved.\nAll in all, prose."), (13, "\n".join([wrapped("BSD"), "x", wrapped("GPL-2.0"), "Released under the\nMIT License."]))]
+    rows += [(14, wrapped("BSD").replace("Redistribution", "Copying")), (15, "Released under the MIT License.\nprose\nReleased under the MIT License.")]
+    got = {}
+    for r in licenses.scan_licenses(frame(spark, rows)).collect():
+        if r.confirmed:
+            got.setdefault(r.doc_id, []).append(r.license)
+    for k, name in enumerate(long_names):
+        assert name in got[k], name
+    assert got[10] == ["BSD"] and sorted(got[11]) == ["MIT", "all-rights-reserved"] and 12 not in got
+    assert sorted(got[13]) == ["BSD", "GPL-2.0", "MIT"] and got[14] == ["BSD"] and got[15] == ["MIT", "MIT"]
+    one = next(r for r in licenses.scan_licenses(frame(spark, rows[:1])).collect() if r.license == "MIT-grant")
+    assert (one.start, one.end, one.n_lacking) == (5, len(rows[0][1]) - len("\nmore code"), 0)
+
+
 PAGES = "page_id long, url string, html string, sha string, keep long"
 
 
