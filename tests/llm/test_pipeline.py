@@ -50,3 +50,30 @@ def test_each_stage_is_judged_on_its_input(spark, folder, tmp_path):
 def test_run(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 200
+
+
+def test_rows_without_or_with_repeated_ids(spark, tmp_path):
+    r = random.Random(9)
+    words = ["".join(r.choice("abdeghinorstw") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    a, b, c, d, e, item = (" ".join(r.choice(words) for _ in range(60)) for _ in range(6))
+    near = " ".join([*d.split()[:-1], "other"])
+    rows = [(1, a), (None, a), (2, b), (2, b), (None, c), (None, c), (3, d), (3, e), (None, near), (4, e), (None, item), (5, item), (5, "clean " + c[::-1])]
+    made = [(i, t, "en", "s", len(t)) for i, t in rows]
+    spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def left(name, docs):
+        out = stages[name](spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    def pairs(docs):
+        return sorted(((x.doc_id, x.text) for x in docs.collect()), key=str)
+
+    exact = left("exact_dedup", docs)
+    assert pairs(exact) == sorted([(1, a), (2, b), (None, c), (3, d), (3, e), (None, near), (5, item), (5, "clean " + c[::-1])], key=str)
+    deduped = left("near_dedup", exact)
+    assert pairs(deduped) == sorted([(1, a), (2, b), (None, c), (3, d), (3, e), (5, item), (5, "clean " + c[::-1])], key=str)
+    assert pairs(left("decontaminate", docs)) == sorted([x for x in rows if x[1] != item], key=str)
