@@ -31,12 +31,12 @@ RANKED = KEPT + """, ranked AS (
 
 @query(sql(RANKED + " SELECT * FROM ranked WHERE place <= 500", PLAYS))
 def play_ranking(spark, sf):
-    return history.ranking(history.retain(A.plays(spark, sf), 50))
+    return history.ranking(history.retain(A.plays(spark, sf)))
 
 
 @query(sql(RANKED + " SELECT account_id, sum(plays)::BIGINT AS total_plays, count(*) AS songs FROM ranked WHERE place <= 500 GROUP BY 1", PLAYS))
 def ranking_totals(spark, sf):
-    return history.ranking_totals(history.ranking(history.retain(A.plays(spark, sf), 50)))
+    return history.ranking_totals(history.ranking(history.retain(A.plays(spark, sf))))
 
 
 FOLD = """, fold AS (
