@@ -187,9 +187,9 @@ FLAT = "' ' || trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')
 n AS (SELECT conv_id, left(regexp_extract(text, '^\\S+ \\S+'), 40) AS name FROM conversations WHERE turn = 0)
 SELECT doc_id, conv_id FROM t JOIN n ON trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) <> '' AND contains({FLAT.format('title')}, {FLAT.format('name')})""")
 def substring_match(spark, sf):
-    titles_ = _docs(spark, sf).where("lang = 'en'").select("doc_id", F.split("text", "\n").getItem(0).alias("title"))
-    names = A.table(spark, sf, "conversations").where("turn = 0").select("conv_id", F.left(F.regexp_extract("text", r"^\S+ \S+", 0), F.lit(40)).alias("name"))
-    return match.contained(titles_, names, "doc_id", "title", "conv_id", "name").select("doc_id", "conv_id")
+    titles_ = _docs(spark, sf).select("doc_id", F.split("text", "\n").getItem(0).alias("title"))
+    names = A.table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("at"), F.regexp_extract("text", r"^\S+ \S+", 0).alias("name"))
+    return match.contained(titles_, names, "doc_id", "title", "at", "name").select("doc_id", "at.conv_id")
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, p_brand AS key, length(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '', 'g')) AS n, abs(p_size - 25) AS off FROM part),

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import __spark_entry__ as entry
 import duckdb
 
@@ -17,3 +19,25 @@ def test_rankings_keep_the_newest_500(spark):
     own = duckdb.sql(f"SELECT user_id, count(*) FROM '{SF}/events.parquet' WHERE regexp_extract(props, '\"k\": ?(-?\\d+)', 1) <> '' GROUP BY 1").fetchall()
     want = {str(u): n for u, n in own}
     assert {str(k): v for k, v in played.items()} == want == listed
+
+
+def test_containment_has_all_languages_turns_and_whole_names(spark, tmp_path):
+    long_ = "extraordinarily-long-hyphenated-first-word and-a-second-one"
+    docs = [(1, "ein lied vom meer\nx", "de"), (2, f"on {long_} tonight", "en"), (3, "on extraordinarily-long-hyphenated-first-wo", "en"), (4, None, "fr")]
+    turns = [(1, 0, "nothing here"), (1, 1, "vom meer kam er"), (1, 2, "vom meer her"), (2, 0, f"{long_} said"), (3, 0, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(tuple(r) for r in entry.queries()["substring_match"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1), (1, 1), (2, 2)]
+
+
+def test_containment_equals_brute_force(spark):
+    def words(t):
+        return " " + re.sub(r"[\W_]+", " ", t.lower()).strip() + " "
+
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall()
+    turns = duckdb.sql(f"SELECT conv_id, regexp_extract(text, '^\\S+ \\S+') FROM '{SF}/conversations.parquet' WHERE text IS NOT NULL").fetchall()
+    names = [(c, w) for c, n in turns if (w := words(n)).strip()]
+    want = sorted((d, c) for d, t in docs for title in [words(t.split("\n")[0])] for c, n in names if n in title)
+    got = sorted(tuple(r) for r in entry.queries()["substring_match"](spark, SF).collect())
+    assert want and got == want
