@@ -118,3 +118,20 @@ def test_intervals_and_losers():
 @pytest.mark.parametrize("run", [exact_dedup.exact_dedup, minhash.near_dedup, suffix_repeats.remove_repeats])
 def test_empty_table(spark, run):
     assert run(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_true_link_is_hardly_ever_pruned():
+    # chance that a pair at the threshold falls below a bound at any look
+    t, alive, lost, last = minhash.NEED / 100, {0: 1.0}, 0.0, 0
+    for k, least in enumerate(minhash.prune_bounds(), 1):
+        for _ in range(last, k * minhash.BATCH):
+            step: dict = {}
+            for m, p in alive.items():
+                step[m + 1] = step.get(m + 1, 0.0) + p * t
+                step[m] = step.get(m, 0.0) + p * (1 - t)
+            alive = step
+        last = k * minhash.BATCH
+        lost += sum(p for m, p in alive.items() if m < least)
+        alive = {m: p for m, p in alive.items() if m >= least}
+    bands = (1 - t**minhash.ROWS) ** (minhash.PERMS // minhash.ROWS)
+    assert lost < 5e-6 and lost + bands < 1.1e-5, (lost, bands)
