@@ -5,7 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from contextlib import contextmanager
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,23 +17,39 @@ BATCH_BYTES = 8 << 20
 BROADCAST_ROWS = 500_000
 
 _made: list[tuple[SparkSession, str]] = []
+_scope: ContextVar[list | None] = ContextVar("scratch", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session of one machine (a local master) gets a temporary folder; on a cluster, whose
+    executors would write to disks of their own, that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tessitura-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme; one without is on the session's default file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name under the shared folder; it goes when the driver ends, or with `scratch_of`."""
+    """A new folder name under the shared folder; it goes when the driver ends, or with `settled`."""
     path = f"{scratch_root(spark)}/tessitura/{name}-{uuid.uuid4().hex[:12]}"
     if not _made:
         atexit.register(sweep)
     _made.append((spark, path))
+    if (scope := _scope.get()) is not None:
+        scope.append((spark, path))
     return path
 
 
@@ -42,17 +59,23 @@ def sweep() -> None:
         drop(*_made.pop())
 
 
-@contextmanager
-def scratch_of(step: list[tuple[SparkSession, str]]):
-    """Within it, what `step` lists is deleted first and the folders made meanwhile are listed instead.
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What `make` returns, as a written table; the scratch folders made on the way there are deleted, also if it fails.
 
-    For chains of steps that each write their result before the next one begins.
+    Folders are those of this call's own context, so calls in other threads keep theirs.
     """
-    while step:
-        drop(*step.pop())
-    before = len(_made)
-    yield
-    step += _made[before:]
+    outer, own = _scope.get(), []
+    token = _scope.set(own)
+    try:
+        out = written(make(), name)
+        last = own.pop()
+    finally:
+        _scope.reset(token)
+        for spark, path in own:
+            drop(spark, path)
+    if outer is not None:
+        outer.append(last)
+    return out
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -81,6 +104,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _scans_files(docs: DataFrame) -> bool:
+    """Whether docs is a reading of files, but for projections and filters, so that each of its rows is one of theirs."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
+def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
+    """docs with a number of its own for each row, the same at every reading, and the name of that column.
+
+    Rows of Parquet files are numbered by their file and their place in it, so nothing is written and no
+    row moves; other tables are written first, of which only the given columns are kept. The driver sees the names of
+    the files.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    if not _scans_files(docs):
+        return numbered(written(docs.select(*columns), "rows"), *columns)
+    file, place = f"_file{name}", f"_place{name}"
+    meta = docs.metadataColumn("_metadata")
+    placed = docs.select("*", meta["file_path"].alias(file), meta["row_index"].alias(place))
+    paths = sorted(r[0] for r in placed.select(file).distinct().collect())
+    files = docs.sparkSession.createDataFrame([(p, k << 33) for k, p in enumerate(paths)], f"{file} string, {name} long")
+    rows = placed.join(F.broadcast(files), file).withColumn(name, F.col(name) + F.col(place))
+    return rows.drop(file, place), name
+
+
+def without(rows: DataFrame, gone: DataFrame, row_col: str) -> DataFrame:
+    """The rows that `gone` doesn't number, without their numbers."""
+    return rows.join(gone, row_col, "left_anti").drop(row_col)
+
+
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, otherwise as it is (the join then shuffles).
 

@@ -12,14 +12,17 @@ from pyspark.sql import functions as F
 
 #: Bytes that end a word: blank, tab, line feed, vertical tab, form feed, carriage return.
 GAP = b" \t\n\x0b\x0c\r"
-#: Bytes of text handled at once; a longer text is a block of its own.
+#: Bytes of text handled at once; a longer text is handled in pieces that end between words.
 BLOCK_BYTES = 1 << 19
+#: Bytes of a word that are hashed in steps of eight; longer words are hashed by BLAKE2.
+STEPPED = 64
 
 _IS_GAP = np.zeros(256, bool)
 _IS_GAP[list(GAP)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_KEY = b"tessitura words"
 
 
 def text_column(col: Column) -> Column:
@@ -28,8 +31,8 @@ def text_column(col: Column) -> Column:
 
 
 def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Number of the first text, bytes and offsets (from 0) of runs of texts of about BLOCK_BYTES. No nulls."""
-    column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
+    """Number of the first text, bytes and offsets (from 0) of runs of texts, or of bytes, of about BLOCK_BYTES. No nulls."""
+    column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     n = len(column)
     if not n:
         return
@@ -44,45 +47,84 @@ def blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = end
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+def hashes_of(low: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words of lower-cased bytes: eight bytes after the other are mixed into what the ones before gave."""
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(low) + 1,), "<u8", padded, strides=(1,))
+    h = _mixed(width.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    some = np.flatnonzero(width <= STEPPED)
+    step = 0
+    while len(some):
+        piece = eight[start[some] + step] & _MASKS[np.minimum(width[some] - step, 8)]
+        h[some] = _mixed(h[some] ^ (piece * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(step + 1)))
+        step += 8
+        some = some[width[some] > step]
+    for k in np.flatnonzero(width > STEPPED):
+        word = low[start[k] : start[k] + width[k]].tobytes()
+        h[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=_KEY).digest(), "little")
+    return h
+
+
+def _words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and first place and width of each word."""
+    word = np.concatenate([[False], ~_IS_GAP[raw], [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    return _LOWER[raw], edges[::2], edges[1::2] - edges[::2]
+
+
+def _pieces(raw: np.ndarray) -> Iterator[np.ndarray]:
+    """A text in pieces of about BLOCK_BYTES that end between words (a word longer than that is in one piece)."""
+    at = 0
+    while at < len(raw):
+        end = at + BLOCK_BYTES
+        while end < len(raw):
+            gap = np.flatnonzero(_IS_GAP[raw[end : end + BLOCK_BYTES]])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end += BLOCK_BYTES
+        yield raw[at:end]
+        at = end
+
+
 def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each block: number of the first text, 64-bit hashes of the lower-cased words, words of each text."""
     for first, raw, off in blocks(column):
         n = len(off) - 1
-        if not len(raw):
-            yield first, np.empty(0, np.uint64), np.zeros(n, np.int64)
+        if n == 1 and len(raw) > BLOCK_BYTES:
+            found = np.concatenate([hashes_of(*_words_of(piece)) for piece in _pieces(raw)])
+            yield first, found, np.array([len(found)], np.int64)
             continue
-        word = ~_IS_GAP[raw]
-        edge = np.zeros(len(raw) + 1, bool)
-        edge[off[(off > 0) & (off < len(raw))]] = True  # a text's end ends a word
-        begins = word.copy()
-        begins[1:] &= ~word[:-1] | edge[1:-1]
-        start = np.flatnonzero(begins)
-        # polynomial hash modulo 2**64: letters times powers counted from the word's start, mixed at the end
-        width = np.diff(np.append(start, len(raw)))
-        ordinal = np.arange(len(raw)) - np.repeat(start, width) if len(start) and start[0] == 0 else None
-        if ordinal is None:
-            ordinal = np.arange(len(raw))
-            if len(start):
-                ordinal[start[0] :] -= np.repeat(start, width)
-        top = int(ordinal.max()) + 1 if len(ordinal) else 1
-        powers = np.cumprod(np.full(top, _BASE, np.uint64))
-        terms = (_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers[ordinal]
-        terms[~word] = 0
-        if len(start):
-            hashes = np.add.reduceat(terms, start)
-            hashes ^= hashes >> np.uint64(31)
-            hashes *= np.uint64(0x94D049BB133111EB)
-            hashes ^= hashes >> np.uint64(29)
-        else:
-            hashes = np.empty(0, np.uint64)
+        low, start, width = _words_of(raw)
+        if n > 1 and len(start):  # words that touch a text's end are cut there
+            cut = off[1:-1]
+            at = np.searchsorted(start, cut, side="right") - 1
+            inside = (at >= 0) & (start[at] < cut) & (cut < start[at] + width[at])
+            if inside.any():
+                ends = start + width
+                start = np.unique(np.concatenate([start, cut[inside]]))
+                ends = np.unique(np.concatenate([ends, cut[inside]]))
+                width = ends - start
         counts = np.searchsorted(start, off[1:], side="left") - np.searchsorted(start, off[:-1], side="left")
-        yield first, hashes, counts.astype(np.int64)
+        yield first, hashes_of(low, start, width), counts.astype(np.int64)
 
 
 def sequence_digest(column: pa.Array) -> list[bytes | None]:
     """For each text a 128-bit digest of its lower-cased word sequence, None without words."""
     out: list[bytes | None] = []
     for text in column:
-        words = text.as_buffer().to_pybytes().lower().split()
-        out.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+        raw = np.frombuffer(text.as_buffer(), np.uint8)
+        digest, words = hashlib.blake2b(digest_size=16), 0
+        for piece in _pieces(raw):
+            split = piece.tobytes().lower().split()
+            if split:
+                digest.update((b" " if words else b"") + b" ".join(split))
+                words += len(split)
+        out.append(digest.digest() if words else None)
     return out
