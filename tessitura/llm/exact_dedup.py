@@ -2,8 +2,8 @@
 
 Arrivals (digest, identifier, content locator) run through a streaming aggregation whose keyed state
 sits in RocksDB on disk and never expires. The state keeps, for each digest, the smallest identifier,
-the file that holds its content, and how many rows hit the key. Every hit is then checked on its full
-bytes against the content the state points to; rows whose bytes differ in spite of equal digests form
+the place of its content (file and row), and how many rows hit the key. For every hit the contents are fetched by
+their locators and checked on their full bytes; rows whose bytes differ in spite of equal digests form
 classes of their own.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, scratch, written
+from .common import checked_broadcast, numbered, scratch, written
 
 #: Rows of one group that share a copy of the kept text in the byte check; larger groups get more copies.
 ROWS_PER_SALT = 2048
@@ -72,7 +72,7 @@ def digest_state(spark: SparkSession, arrivals_path: str, schema, checkpoint: st
     )
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bytes: int = 32, row_col: str | None = None) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after `normalised`. The row with the smallest id stays. Null text
@@ -80,23 +80,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other; a class of null ids only has keep_id null and its rows are kept. Rows that repeat an id
     each get a row and share its decision. An empty table gives an empty result. Other columns, of
     whatever name, are ignored. digest_bytes shortens the state key (for tests of the byte check);
-    results do not depend on it.
+    results do not depend on it. row_col: a column that numbers the rows, if there is one.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm")).withColumn(
-        "sha", F.sha2("norm", 256)
-    )
-    key = F.substring(F.unhex("sha"), 1, digest_bytes).alias("digest")
+    rows, at = (docs, row_col) if row_col else numbered(docs, id_col, text_col)
+    rows = rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(at).alias("locator"))
+    hashed = rows.withColumn("sha", F.sha2(normalised(F.col("text")), 256))
+    arrivals = hashed.select("doc_id", F.substring(F.unhex("sha"), 1, digest_bytes).alias("digest"), F.unhex("sha").alias("sha"), "locator")
     path = scratch(spark, "arrivals")
-    arrivals = texts.select("doc_id", key, F.unhex("sha").alias("sha"), F.input_file_name().alias("locator"))
     arrivals.write.parquet(path)
-    schema = arrivals.schema
-    state = written(digest_state(spark, path, schema, scratch(spark, "digest-state")), "digest-classes")
-    arrived = spark.read.schema(schema).parquet(path).select("doc_id", "digest", "sha")
-    out = arrived.join(state.drop("locator"), "digest")
+    state = written(digest_state(spark, path, arrivals.schema, scratch(spark, "digest-state")), "digest-classes")
+    arrived = spark.read.schema(arrivals.schema).parquet(path)
+    out = written(arrived.join(state.withColumnRenamed("locator", "first"), "digest"), "classed")
 
-    other = written(_differing(texts.select("doc_id", key, "norm"), state), "collisions")
-    if not other.isEmpty():
+    wrong = written(_differing(rows.select("locator", "text"), out), "collisions")
+    if not wrong.isEmpty():
+        other = written(out.join(wrong, "locator"), "colliding-rows")
         own = other.groupBy("digest", "sha").agg(F.min("doc_id").alias("own_id"), F.count(F.lit(1)).alias("own_size"))
         less = own.groupBy("digest").agg(F.sum("own_size").alias("gone"))
         out = (
@@ -114,19 +113,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _differing(texts: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows of classes of two or more whose bytes are not those of the kept row: digest and full sha of each."""
-    shared = state.where("group_size > 1").select("digest", "keep_id", "group_size")
-    salts = F.expr(f"1 + group_size div {ROWS_PER_SALT}")
-    hit = texts.join(checked_broadcast(shared), "digest").withColumn("salts", salts)
-    kept = (
-        hit.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .dropDuplicates(["digest"])
-        .select("digest", F.col("norm").alias("kept_norm"), F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
-    )
-    return (
-        hit.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.length("norm")), "salts"))
-        .join(kept, ["digest", "salt"])
-        .where("norm <> kept_norm")
-        .select("doc_id", "digest", F.unhex(F.sha2("norm", 256)).alias("sha"))
-    )
+def _differing(texts: DataFrame, classed: DataFrame) -> DataFrame:
+    """Locators of rows, in classes of two or more, whose bytes are not those of the row that the class keeps."""
+    hits = written(classed.where("group_size > 1").select("locator", "first", "group_size"), "hits")
+    bodies = written(texts.join(checked_broadcast(hits), "locator").select("locator", "first", "group_size", normalised(F.col("text")).alias("norm")), "hit-texts")
+    bodies = bodies.withColumn("salts", F.expr(f"1 + group_size div {ROWS_PER_SALT}"))
+    kept = bodies.where("locator = first").select("first", F.col("norm").alias("kept_norm"), F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"))
+    asked = bodies.where("locator <> first").select("locator", "first", "norm", F.pmod(F.xxhash64("locator"), "salts").alias("salt"))
+    return asked.join(kept, ["first", "salt"]).where("norm <> kept_norm").select("locator")
