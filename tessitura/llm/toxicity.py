@@ -1,15 +1,17 @@
-"""Toxicity by compression distance: one zstandard dictionary of toxic, one of ordinary text.
-
-Each window of a text is compressed with either dictionary; the difference of the two lengths says which kind
-of text it is nearer to. The dictionaries are trained on contrast: the runs of grams that come in many
-different contexts in one kind and hardly in the other, so common words, long passages and copies of
-a document, which say nothing about the kind, don't enter. A logistic model of a text's windows, fitted
-on labelled texts that trained no dictionary, turns differences into a probability.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
+
+All dictionaries come from zstandard's trainer. The ground is trained on ordinary texts, then on the words of
+further ordinary texts that it leaves uncompressed. What the ground leaves of toxic texts trains a toxic
+dictionary, what it leaves of ordinary ones an ordinary dictionary, in each of a few folds of the texts. Each window of
+a text is compressed with either dictionary in front of the same ground, so what all texts share costs both the same
+and the difference of the lengths says which kind the rest is nearer to; the mean over the folds evens out what a
+dictionary matches by chance. A logistic model of a text's differences, fitted on labelled texts that trained
+no dictionary, sets the thresholds and turns differences into a probability.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,21 +20,23 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, written
+from .common import bound_batches, checked_broadcast, numbered, without, written
 from .words import text_column
 
-#: Labelled texts of each kind that are sampled at most (lowest hash of their id first), and bytes of a text that may train.
-TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 1600, 3000, 1 << 14
-#: Bytes of a window; of a gram; of a dictionary.
-WINDOW, GRAM, DICTIONARY = 256, 5, 2048
-#: A gram counts for a kind when it has so many different contexts for each text there (four at least), and so many times its share in the other kind.
-CONTEXTS, ODDS = 0.03, 40
-#: Neighbouring grams with less than this share of a run's best count are cut off; pieces need so many occurrences for each text (two at least).
-EDGE, PIECES = 0.35, 0.01
-#: One labelled text of so many sets the thresholds, the others train the dictionaries.
+#: Labelled texts of each kind that are sampled at most (lowest hash of their id first), and bytes of a text that may train a dictionary.
+TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 2000, 6000, 1 << 14
+#: One sampled text of so many sets the thresholds, whatever its length; the others train the dictionaries.
 SET_ASIDE = 4
+#: Folds of the texts that train class dictionaries; bytes of the ground's two parts, of a class dictionary, and of the trainer's segments in texts and in words.
+FOLDS, GROUND, MORE, DICTIONARY, SEGMENT, WORD_SEGMENT = 3, 112 << 10, 32 << 10, 700, 64, 12
+#: Bytes of a window, of a shortest match, of the shortest word that may be left, and of a piece of a longer one.
+WINDOW, MATCH, SHORT, PIECE = 48, 5, 4, 24
+#: Ridge of the logistic weights.
+RIDGE = 0.1
 #: What stands before and after each window, so that blocks always compress and matches can end at the window's end.
-_BEFORE, _AFTER = b"\n" * 160, b"\n" * 16
+_BEFORE, _AFTER = b"\n" * 64, b"\n" * 16
+#: Words whose savings are kept at a time.
+_KNOWN = 200_000
 
 
 def prepared(text: bytes) -> bytes:
@@ -52,145 +56,116 @@ def windows(text: bytes, size: int = WINDOW) -> list[bytes]:
     return out
 
 
-def _grams(raw: np.ndarray) -> np.ndarray:
-    wide = raw.astype(np.uint64)
-    n = len(raw) - GRAM + 1
-    out = np.zeros(max(n, 0), np.uint64)
-    for k in range(GRAM):
-        out = out << np.uint64(8) | wide[k : k + len(out)]
-    return out
-
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary of zstandard's trainer; of samples that are too few for it, their last bytes."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=6, split_point=1.0, level=1).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
 
-def contexts(texts: list[bytes], parts: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Grams and in how many different contexts (the five bytes before) each of them stands.
 
-    One part of the grams after the other, so that memory stays far below the texts' size times eight.
-    """
-    counted = []
-    for part in range(parts):
-        keys = [np.empty(0, np.uint64)]
-        for at in range(0, len(texts), 64):
-            raw = np.frombuffer((b"\0" * 8).join([b"", *texts[at : at + 64], b""]), np.uint8)
-            grams = _grams(raw)
-            mine = np.flatnonzero((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48) & np.uint64(parts - 1) == part)
-            mine = mine[mine >= 5]
-            before = np.zeros(len(mine), np.uint64)
-            for k in range(1, 6):
-                before = before * np.uint64(1000003) + raw[mine - k]
-            keys.append(np.unique(grams[mine] << np.uint64(24) | (before * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)))
-        counted.append(np.unique(np.unique(np.concatenate(keys)) >> np.uint64(24), return_counts=True))
-    grams, counts = (np.concatenate(x) for x in zip(*counted, strict=True))
-    order = np.argsort(grams)
-    return grams[order], counts[order]
-
-
-def pieces(texts: list[bytes], own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> Counter:
-    """Runs of grams that mark `texts` off from the other kind, with their counts."""
-    grams, counts = own
-    if not len(grams):
-        return Counter()
-    elsewhere = np.zeros(len(grams), np.int64)
-    if len(other[0]):
-        at = np.minimum(np.searchsorted(other[0], grams), len(other[0]) - 1)
-        elsewhere = np.where(other[0][at] == grams, other[1][at], 0)
-    marked = (counts >= max(4, CONTEXTS * len(texts))) & (counts / counts.sum() >= ODDS * (elsewhere + 1) / max(other[1].sum(), 1))
-    grams, counts = grams[marked], counts[marked]
-    out: Counter = Counter()
-    if not len(grams):
-        return out
-    for text in texts:
-        here = _grams(np.frombuffer(text, np.uint8))
-        at = np.minimum(np.searchsorted(grams, here), len(grams) - 1)
-        count = np.where(grams[at] == here, counts[at], 0)
-        for a, b in _runs(count > 0):
-            for x, y in _runs(count[a:b] >= EDGE * count[a:b].max()):
-                out[text[a + x : a + y + GRAM - 1]] += 1
-    return out
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    # the fast strategy leaves literals as they are, so lengths differ only by what the dictionary matches
+    how = zstandard.ZstdCompressionParameters(
+        window_log=19, chain_log=14, hash_log=18, search_log=4, min_match=MATCH, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_dict_id=False, write_checksum=False
+    )
+    data = zstandard.ZstdCompressionDict(content.rjust(64, b"\x01"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    data.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(compression_params=how, dict_data=data)
 
 
-def _runs(flags: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))).reshape(-1, 2)
+def _length(by: zstandard.ZstdCompressor, part: bytes) -> int:
+    return len(by.compress(_BEFORE + part + _AFTER))
 
 
-def dictionary(found: Counter, texts: int) -> bytes:
-    """Raw dictionary content: the commonest pieces last, where matches are cheapest."""
-    out = b"\x01" * 16  # the last bytes of a dictionary are not indexed
-    for piece, n in sorted(found.items(), key=lambda x: (-x[1], x[0])):
-        if n < max(2, PIECES * texts) or len(out) + len(piece) > DICTIONARY:
-            break
-        out = piece + b"\x01" + out
-    return out.rjust(64, b"\x01")
+def leftovers(texts: Iterable[bytes], ground: bytes) -> list[bytes]:
+    """Of each text the distinct words, in order, that the ground doesn't shorten; texts without any are left out."""
+    plain, by = compressor(b""), compressor(ground)
+    known: dict[bytes, bool] = {}
+    out = []
+    for text in texts:
+        pieces = dict.fromkeys(w[k : k + PIECE] for w in text.split() for k in range(0, len(w), PIECE))
+        if len(known) > _KNOWN:
+            known.clear()
+        for w in pieces:
+            if w not in known:
+                known[w] = len(w) >= SHORT and _length(plain, b" " + w + b" ") <= _length(by, b" " + w + b" ")
+        left = [w for w in pieces if known[w]]
+        if left:
+            out.append(b" " + b" ".join(left) + b" ")
+    return out
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    # the fast strategy leaves literals as they are, so lengths differ only by what the dictionary matches
-    how = zstandard.ZstdCompressionParameters(
-        window_log=17, chain_log=14, hash_log=14, search_log=4, min_match=GRAM, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False, write_dict_id=False, write_checksum=False
-    )
-    data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    data.precompute_compress(compression_params=how)
-    return zstandard.ZstdCompressor(compression_params=how, dict_data=data)
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[tuple[bytes, ...], tuple[bytes, ...], bytes]:
+    """(toxic dictionaries, ordinary dictionaries, ground) of prepared texts; of the ordinary ones a third each trains the ground, its second part, and the dictionaries."""
+    ground = trained(ordinary[::3], GROUND, SEGMENT)
+    ground = trained(leftovers(ordinary[1::3], ground), MORE, WORD_SEGMENT) + ground
+    left = [leftovers(texts, ground) or texts for texts in (toxic, ordinary[2::3])]
+    own = [tuple(trained(texts[k::FOLDS], DICTIONARY, WORD_SEGMENT) for k in range(FOLDS)) for texts in left]
+    return own[0], own[1], ground
 
 
 @dataclass(frozen=True)
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    toxic: tuple[bytes, ...]
+    ordinary: tuple[bytes, ...]
+    ground: bytes
     weights: tuple[float, ...]
 
+    def measure(self):
+        """A function from a text to the features of its windows."""
+        # of equal length, so that the ground is indexed at the same places behind both
+        size = max(map(len, self.ordinary + self.toxic), default=0)
+        by = [tuple(compressor(d.rjust(size, b"\x01") + self.ground) for d in pair) for pair in zip(self.ordinary, self.toxic, strict=True)]
+
+        def of(text: bytes) -> np.ndarray:
+            blocks = [_BEFORE + w + _AFTER for w in windows(prepared(text))]
+            saved = [sum([len(o.compress(b)) - len(t.compress(b)) for o, t in by]) for b in blocks]
+            return features(np.array(saved) / len(by))
+
+        return of
+
     def scorer(self):
         """A function from a text to its probability."""
-        toxic, ordinary = _compressor(self.toxic), _compressor(self.ordinary)
-        weights = np.array(self.weights)
+        of, weights = self.measure(), np.array(self.weights)
+        return lambda text: float(1 / (1 + np.exp(-np.clip(of(text) @ weights, -30, 30))))
 
-        def score(text: bytes) -> float:
-            return float(1 / (1 + np.exp(-np.clip(features(text, toxic, ordinary) @ weights, -30, 30))))
 
-        return score
+def features(gains: np.ndarray) -> np.ndarray:
+    """Of the bytes that the toxic dictionary saves over the ordinary one in each window: the most, the sums, how many
+    windows save enough, the number of windows, and the mean; what grows with a text's length on a log scale."""
+    if not len(gains):
+        gains = np.zeros(1)
+    several = [np.log1p(np.count_nonzero(gains >= k)) for k in (2, 3)]
+    return np.array([1.0, min(gains.max(), 12), np.log1p(gains[gains > 1].sum()), np.log1p(len(gains)), np.clip(gains.sum(), -20, 40) / 10, *several, np.clip(gains, -5, 5).mean()])
 
 
-def features(text: bytes, toxic: zstandard.ZstdCompressor, ordinary: zstandard.ZstdCompressor) -> np.ndarray:
-    """1, the largest difference, the sum of those above the noise, and the number of windows, both on a log scale."""
-    best = total = 0
-    cut = windows(prepared(text))
-    for w in cut:
-        block = _BEFORE + w + _AFTER
-        gain = len(ordinary.compress(block)) - len(toxic.compress(block))
-        best = max(best, gain)
-        if gain > 1:
-            total += gain
-    return np.array([1.0, min(best, 12), np.log1p(total), np.log1p(len(cut))])
+N_FEATURES = 8
 
 
-def fit(texts: list[bytes], labels: list[int], totals: tuple[int, int] | None = None) -> Model:
-    """With one kind of label only, the score is that label's rate.
-
-    totals: labelled rows of either kind (ordinary, toxic) that the texts were sampled from, if more than the texts.
-    Each kind weighs as much in the fit as it has there, so that the sampling rates don't move the threshold.
-    """
-    marks = np.array(labels, float)
-    halves = [[(t, y) for k, (t, y) in enumerate(zip(texts, labels, strict=True)) if (k % SET_ASIDE == 0) == aside] for aside in (False, True)]
-    toxic = [prepared(t) for t, y in halves[0] if y]
-    ordinary = [prepared(t) for t, y in halves[0] if not y]
-    one, two = contexts(toxic), contexts(ordinary)
-    dicts = dictionary(pieces(toxic, one, two), len(toxic)), dictionary(pieces(ordinary, two, one), len(ordinary))
-    ordinary_rows, toxic_rows = totals or (len(marks) - marks.sum(), marks.sum())
-    share = toxic_rows / max(ordinary_rows + toxic_rows, 1)
+def weigh(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
+    """Logistic weights; either kind counts as much as it has of all labels (share: of toxic ones), not as much as was sampled."""
     rate = float(np.clip(share, 1e-6, 1 - 1e-6))
-    weights = np.array([np.log(rate / (1 - rate)), 0, 0, 0])
-    y = np.array([m for _, m in halves[1]], float)
+    weights = np.zeros(N_FEATURES)
+    weights[0] = np.log(rate / (1 - rate))
     if 0 < y.sum() < len(y):
-        by = [_compressor(d) for d in dicts]
-        x = np.array([features(t, *by) for t, _ in halves[1]])
-        weigh = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-        for _ in range(50):  # Newton steps with a small ridge
+        count = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
+        ridge = np.r_[0.0, np.full(N_FEATURES - 1, RIDGE)]
+
+        def loss(w: np.ndarray) -> float:
+            return float((count * np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))).sum() + (ridge * w * w).sum() / 2)
+
+        for _ in range(100):  # Newton steps, halved until they help
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            slope = x.T @ (weigh * (p - y)) + 0.01 * weights
-            step = np.linalg.solve((x * (weigh * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(4), slope)
-            weights = weights - step
-            if np.abs(step).max() < 1e-6:
+            slope = x.T @ (count * (p - y)) + ridge * weights
+            step = np.linalg.solve((x * (count * p * (1 - p))[:, None]).T @ x + np.diag(ridge) + 1e-9 * np.eye(N_FEATURES), slope)
+            at, size = loss(weights), 1.0
+            while size > 1e-6 and loss(weights - size * step) > at:
+                size /= 2
+            weights = weights - size * step
+            if np.abs(size * step).max() < 1e-6:
                 break
-    return Model(*dicts, tuple(float(w) for w in weights))
+    return weights
 
 
 def held_out(id_col: Column) -> Column:
@@ -199,19 +174,42 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from labelled rows that are not held out: at most TOXIC_SAMPLE toxic and ORDINARY_SAMPLE
-    ordinary ones of at most SAMPLE_BYTES each, the lowest hashes of their ids first, fitted on the driver.
-    The rates of the kinds are those of all labelled documents that are not held out, at every size."""
+    """A model from labelled rows that are not held out, at most TOXIC_SAMPLE toxic and ORDINARY_SAMPLE ordinary ones.
+
+    One of SET_ASIDE, of any length, is measured by the executors and sets the thresholds; of the others those of at
+    most SAMPLE_BYTES train the dictionaries on the driver. The rates of the kinds are those of all labelled documents
+    that are not held out, at every size. With labels of one kind, or none, the score is the rate. Rows without an id or
+    a label are not learnt from; of labels that repeat an id the larger counts, of texts the least.
+    """
+    bound_batches(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y is not null")
     marked = marked.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     marked = written(marked.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi"), "labelled")
-    totals = tuple(marked.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first())
-    order = F.xxhash64("doc_id")
-    some = marked.where("y = 1").orderBy(order, "doc_id").limit(TOXIC_SAMPLE).unionByName(marked.where("y = 0").orderBy(order, "doc_id").limit(ORDINARY_SAMPLE))
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_column(F.col(text_col)).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
-    rows = sorted(rows, key=lambda r: (r["y"], r["doc_id"]))
-    return fit([r["text"].encode() for r in rows], [r["y"] for r in rows], totals)
+    ordinary_rows, toxic_rows = marked.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+    share = toxic_rows / max(ordinary_rows + toxic_rows, 1)
+    picked = []
+    for kind, most in ((0, ORDINARY_SAMPLE), (1, TOXIC_SAMPLE)):
+        some = marked.where(F.col("y") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        picked += [(r["doc_id"], kind, k % SET_ASIDE == 0) for k, r in enumerate(some)]
+    chosen = docs.sparkSession.createDataFrame(picked, f"doc_id {marked.schema['doc_id'].dataType.simpleString()}, y int, aside boolean")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_column(F.col(text_col)).alias("text"))
+    sample = written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y", "aside").agg(F.min("text").alias("text")), "sample")
+
+    rows = sample.where(~F.col("aside") & (F.octet_length("text") <= SAMPLE_BYTES)).select("doc_id", "y", "text").collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    kinds = ([prepared(r["text"].encode()) for r in rows if r["y"] == y] for y in (1, 0))
+    model = Model(*dictionaries(*kinds), (0.0,) * N_FEATURES)
+
+    def run(batches):
+        of = model.measure()
+        for batch in batches:
+            x = [of(t.as_buffer().to_pybytes()).tolist() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+
+    measured = sample.where("aside").select("y", "text").mapInArrow(run, "y int, x array<double>").collect()
+    x = np.array([r["x"] for r in measured]).reshape(-1, N_FEATURES)
+    weights = weigh(x, np.array([r["y"] for r in measured], float), share)
+    return Model(model.toxic, model.ordinary, model.ground, tuple(float(w) for w in weights))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,16 +232,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that the model doesn't find toxic."""
-    bound_batches(docs.sparkSession)
-    fields = docs.columns
-    at = fields.index(text_col)
+def toxic_rows(rows: DataFrame, model: Model, row_col: str, text_col: str = "text") -> DataFrame:
+    """Numbers (of the column that numbers the rows) of the rows whose text the model finds toxic."""
+    return score(rows, model, row_col, text_col).where("predicted = 1").select(F.col("doc_id").alias(row_col))
 
-    def run(batches):
-        of = model.scorer()
-        for batch in batches:
-            keep = [of(t.as_buffer().to_pybytes() if t.is_valid else b"") < 0.5 for t in batch.column(at)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def reject(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the model doesn't find toxic."""
+    rows, at = numbered(docs, *docs.columns)
+    return without(rows, checked_broadcast(written(toxic_rows(rows, model, at, text_col), "toxic")), at)
