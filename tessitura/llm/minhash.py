@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checked_broadcast, components, written
+from .common import bound_batches, checked_broadcast, components, numbered, written
 from .words import sequence_digest, text_column, word_hashes
 
 #: Words of a shingle, least similarity of a link (as NEED of 100).
@@ -34,8 +34,8 @@ SHINGLE, NEED = 5, 75
 PERMS, ROWS = 128, 4
 #: Signature values read between two looks at the posterior, and the miss probability of each look.
 BATCH, MISS = 32, 1e-6
-#: Members of a block in the search of a bucket.
-BLOCK = 1024
+#: Members of a block in the search of a bucket, and bytes of their shingle sets together (a larger set is alone).
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,7 +103,7 @@ def signatures(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _sequence_keys(batches):
-    """id, text -> id, key of the word sequence (null without words), number of distinct shingles, signature of the first of a key in this batch."""
+    """number, text, id -> number, key of the word sequence (null without words), number of distinct shingles, signature, id."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         n_shingles = np.zeros(len(ids), np.int64)
@@ -114,44 +114,43 @@ def _sequence_keys(batches):
             for row, at in enumerate(np.flatnonzero(counts)):
                 sigs[first + at] = sig[row].tobytes()
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(sequence_digest(texts), pa.binary()), pa.array(n_shingles), pa.array(sigs, pa.binary())],
-            names=["doc_id", "seq", "n_shingles", "sig"],
+            [ids, pa.array(sequence_digest(texts), pa.binary()), pa.array(n_shingles), pa.array(sigs, pa.binary()), batch.column(2)],
+            names=["doc_id", "seq", "n_shingles", "sig", "id"],
         )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept.
 
     Words are runs other than blanks of the text with A-Z lower-cased. Documents are linked when the
     sets of their 5-word shingles have a Jaccard similarity of 0.75 or more; component_id is the
     smallest id reachable. A text without words (null, empty, blank) has no set and is linked with
     nothing; a text of fewer than five words has its whole sequence as its only shingle. Equal texts
-    are linked through their class. Null ids are linked with nothing and kept. Rows that repeat an id get a
-    row each; their texts all count as that id's. Other columns are ignored; an empty table gives an
-    empty result.
+    are linked through their class. Every row is judged on its own text, also where ids repeat; null ids are larger
+    than any, so component_id is null where a component has no other. row_col: a column that numbers the rows, if there
+    is one. Other columns are ignored; an empty table gives an empty result.
     """
     bound_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(F.col(text_col)).alias("text"))
+    rows, at = (docs, row_col) if row_col else numbered(docs, id_col, text_col)
+    rows = rows.select(F.col(at).alias("doc_id"), text_column(F.col(text_col)).alias("text"), F.col(id_col).cast("long").alias("id"))
     signed = written(
-        rows.mapInArrow(_sequence_keys, "doc_id long, seq binary, n_shingles long, sig binary"), "signatures"
+        rows.mapInArrow(_sequence_keys, "doc_id long, seq binary, n_shingles long, sig binary, id long"), "signatures"
     )
-    have = signed.where("seq is not null and doc_id is not null")
+    have = signed.where("seq is not null")
     classes = written(have.groupBy("seq").agg(F.min("doc_id").alias("rep")), "word-classes")
     reps = written(
-        have.join(classes.withColumnRenamed("rep", "doc_id"), ["seq", "doc_id"])
-        .dropDuplicates(["doc_id"])
-        .select("doc_id", "n_shingles", "sig"),
-        "class-signatures",
+        have.join(classes.withColumnRenamed("rep", "doc_id"), ["seq", "doc_id"]).select("doc_id", "n_shingles", "sig"), "class-signatures"
     )
-    texts = rows.where("doc_id is not null")
-    roots = _linked(reps, texts)
-    member = signed.select("doc_id", "n_shingles", "seq")
-    out = (
-        member.join(classes, "seq", "left")
+    roots = _linked(reps, rows.select("doc_id", "text"))
+    placed = (
+        signed.select("doc_id", "id", "n_shingles", "seq")
+        .join(classes, "seq", "left")
         .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")))
+        .select("id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("root"))
     )
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    placed = written(placed, "placed")
+    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
+    return placed.join(least, "root").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _bands(batches):
@@ -165,8 +164,8 @@ def _bands(batches):
             key ^= key >> np.uint64(31)
         key = (key & ~np.uint64(31)) | np.arange(step, dtype=np.uint64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(batch.column(0).to_numpy(), step)), pa.array(key.reshape(-1).view(np.int64))],
-            names=["doc_id", "band"],
+            [pa.array(np.repeat(batch.column(0).to_numpy(), step)), pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(2).to_numpy(), step))],
+            names=["doc_id", "band", "n_shingles"],
         )
 
 
@@ -191,7 +190,7 @@ def _survivors(batches):
 
 def _linked(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """node, root of every class that has a verified link."""
-    bands = written(reps.select("doc_id", "sig").mapInArrow(_bands, "doc_id long, band long"), "bands")
+    bands = written(reps.select("doc_id", "sig", "n_shingles").mapInArrow(_bands, "doc_id long, band long, n_shingles long"), "bands")
     pivots = bands.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = written(bands.join(pivots, "band"), "shared-bands")
     star = shared.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct()
@@ -215,15 +214,16 @@ def _crossing(shared: DataFrame, roots: DataFrame, sig: DataFrame, texts: DataFr
     A bucket's members outside its largest component face all its members, block against block, so
     no task holds more than two blocks and pairs within a component are not formed.
     """
-    place = shared.select("band", "doc_id").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    place = written(place.select("band", "doc_id", F.coalesce("root", "doc_id").alias("root")), "placed-bands")
-    sizes = place.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"))
-    blocks = lambda n: (F.floor((n - 1) / BLOCK) + 1).cast("long")
+    place = shared.select("band", "doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    place = written(place.select("band", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root")), "placed-bands")
+    sizes = place.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c"), (F.sum("n_shingles") * 8).alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("long")
+    most = F.max(F.struct("c", -F.col("root"), "bytes"))
     mixed = (
         sizes.groupBy("band")
-        .agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("major"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.max("c").alias("c"))
+        .agg(F.max_by("root", F.struct("c", -F.col("root"))).alias("major"), F.count(F.lit(1)).alias("k"), F.sum("c").alias("n"), F.sum("bytes").alias("bytes"), most.alias("m"))
         .where("k > 1")
-        .select("band", "major", blocks(F.col("n")).alias("blocks"), blocks(F.col("n") - F.col("c")).alias("minor_blocks"))
+        .select("band", "major", blocks(F.col("n"), F.col("bytes")).alias("blocks"), blocks(F.col("n") - F.col("m.c"), F.col("bytes") - F.col("m.bytes")).alias("minor_blocks"))
     )
     open_ = written(place.join(mixed, "band"), "open-buckets")
     every = open_.select("band", "doc_id", "root", "major", F.lit(False).alias("minor"), F.pmod(F.xxhash64("doc_id"), "blocks").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("minor_blocks") - 1)).alias("j"))
@@ -231,7 +231,7 @@ def _crossing(shared: DataFrame, roots: DataFrame, sig: DataFrame, texts: DataFr
         "band", "doc_id", "root", "major", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("doc_id"), "minor_blocks").alias("j")
     )
     used = checked_broadcast(written(open_.select("doc_id").distinct(), "open-ids"))
-    sets = texts.join(used, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, set binary")
+    sets = texts.join(used, "doc_id").mapInArrow(_sets, "doc_id long, set binary")
     own = written(sig.join(used, "doc_id").join(sets, "doc_id"), "open-sets")
     return (
         every.unionByName(few)
@@ -327,7 +327,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b, linked: the exact similarity of full shingle sets against the threshold."""
     pairs = written(pairs.select("a", "b"), "pairs")
     used = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "pair-ids")
-    sets = written(texts.join(checked_broadcast(used), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, set binary"), "sets")
+    sets = written(texts.join(checked_broadcast(used), "doc_id").mapInArrow(_sets, "doc_id long, set binary"), "sets")
     met = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("xa")), "a").join(
         sets.select(F.col("doc_id").alias("b"), F.col("set").alias("xb")), "b"
     )
