@@ -5,7 +5,8 @@ up to `SHINGLE` words. To contain a window whole, a document must have every tok
 is a sufficient prefix: the one that is rarest in the documents. One pass over the documents finds
 where benchmark tokens stand; their counts order each window's tokens by rarity; occurrences of the
 prefix token that leave room for the window on both sides (positional and length bounds) are
-candidates; the words of the document there are then compared with the window's.
+candidates; the words of the document there are then compared with the window's. Documents and windows go by
+numbers of their own, so only tokens are hashes, and those are only a filter.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, written
+from .common import checked_broadcast, numbered, written
 
 WINDOW, SHINGLE = 13, 3
 #: A document is contaminated when 20 * hit words >= words.
@@ -46,20 +47,20 @@ def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", row_col: str | None = None) -> DataFrame:
     """One row for each input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     n_hit counts the words inside any occurrence of a window, n_items the items that have one;
     items_sha256 is of their ids, sorted as strings and joined by commas. Null and empty texts have
     no words and are clean. Null document ids are results of their own; rows that repeat an id are
     judged on their own text. Items without words have no window; a null item id counts for hits but not
-    for n_items. An empty benchmark leaves all documents clean. Other columns are ignored.
+    for n_items. An empty benchmark leaves all documents clean. row_col: a column that numbers the rows, if there is
+    one. Other columns are ignored.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("key"), words(F.col("text")).alias("w")
-    )
+    rows, at = (docs, row_col) if row_col else numbered(docs, id_col, text_col)
+    texts = rows.select(F.col(id_col).alias("doc_id"), F.col(at).alias("key"), words(F.col(text_col)).alias("w"))
     windows = written(item_windows(benchmark, item_col, item_text), "windows")
-    distinct = windows.select("win", "length").distinct().withColumn("wid", F.xxhash64("win", F.lit("window")))
+    distinct = windows.select("win", "length").distinct().withColumn("wid", F.monotonically_increasing_id())
     distinct = written(distinct, "distinct-windows")
     widths = sorted(r[0] for r in distinct.select(F.least("length", F.lit(SHINGLE)).alias("k")).distinct().collect())
 
@@ -117,7 +118,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         "candidates",
     )
     open_ = checked_broadcast(written(candidates.select("key").distinct(), "candidate-docs"))
-    bodies = texts.select("key", "w").join(open_, "key").dropDuplicates(["key"])
+    bodies = texts.select("key", "w").join(open_, "key")
     hits = written(
         candidates.join(bodies, "key").where("slice(w, start + 1, length) = win").select("doc_id", "key", "start", "length", "wid"),
         "hits",
@@ -135,7 +136,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = (
         hits.select("key", "wid")
         .distinct()
-        .join(checked_broadcast(written(windows.select("item_id", F.xxhash64("win", F.lit("window")).alias("wid")).distinct(), "window-items")), "wid")
+        .join(checked_broadcast(written(windows.join(distinct, "win").select("item_id", "wid").distinct(), "window-items")), "wid")
         .select("key", F.col("item_id").cast("string").alias("item"))
         .distinct()
         .groupBy("key")
