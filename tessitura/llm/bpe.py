@@ -10,10 +10,13 @@ prefix with the word before is the path that stays on the stack.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import os
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -25,8 +28,12 @@ from .words import text_column
 
 #: Fixed pattern of the byte-level pre-tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words whose encodings a worker keeps (about 330 bytes each); beyond that it starts anew.
-KEEP = 500_000
+#: Bytes of word encodings that a worker keeps; beyond that only those of the words at hand stay.
+KEEP_BYTES = 48 << 20
+#: Bytes of a word that is kept at all, and pairs of tokens whose test is kept.
+KEEP_WORD, KEEP_PAIRS = 1 << 10, 200_000
+#: Letters of texts that share one walk; words of a longer text that do.
+GROUP, WORDS = 1 << 20, 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -77,7 +84,7 @@ class Vocabulary:
         """Whether the two tokens stay two when their bytes are encoded together."""
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > KEEP_PAIRS:
                 self._fits.clear()
             known = self._fits[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
@@ -136,36 +143,54 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.find = regex.compile(SPLIT).findall
+        self.split = regex.compile(SPLIT)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(vocabulary.added, key=len, reverse=True))) if vocabulary.added else None
-        #: word -> (ids joined by commas, number of ids, decoded bytes, ends of the tokens in bytes)
+        #: word -> (ids joined by commas, number of ids, decoded bytes)
         self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.used = 0
         self.marks = {t: (str(i), 1, vocabulary.tokens[i]) for t, i in vocabulary.added.items()}
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text in order; special tokens are words of their own."""
         if self.special is None or not any(t in text for t in self.marks):
-            return self.find(text)
+            return self.split.findall(text)
         out, at = [], 0
         for m in self.special.finditer(text):
-            out += self.find(text[at : m.start()])
+            out += self.split.findall(text, at, m.start())
             out.append(m.group())
             at = m.end()
-        return out + self.find(text[at:])
+        return out + self.split.findall(text, at)
+
+    def runs(self, text: str) -> Iterator[list[str]]:
+        """The words of a text, those of one longer than GROUP in runs of at most WORDS."""
+        if len(text) <= GROUP:
+            yield self.words(text)
+            return
+        ends = [(m.start(), m.end()) for m in self.special.finditer(text)] if self.special else []
+        at = 0
+        for begin, end in [*ends, (len(text), len(text))]:
+            found = (m.group() for m in self.split.finditer(text, at, begin))
+            while run := list(islice(found, WORDS)):
+                yield run
+            if end > begin:
+                yield [text[begin:end]]
+            at = end
 
     def learn(self, words: set[str]) -> None:
         """Encode the words not known yet, all in one walk of their trie."""
         fresh = [w for w in words if w not in self.known]
         if not fresh:
             return
-        if len(self.known) + len(fresh) > KEEP:
-            self.known.clear()
-            fresh = list(words)
+        if self.used > KEEP_BYTES:
+            self.known = {w: self.known[w] for w in words if w in self.known and len(w) <= KEEP_WORD}
+            fresh = [w for w in words if w not in self.known]
+            self.used = sum(map(_cost, self.known))
         codes = self.vocabulary.encode_words([w.encode() for w in fresh])
         tokens = self.vocabulary.tokens
         for w in fresh:
             code = codes[w.encode()]
             self.known[w] = (",".join(map(str, code)), len(code), b"".join([tokens[i] for i in code]))
+            self.used += _cost(w)
         self.known.update(self.marks)
 
     def entries(self, words: list[str]) -> list[tuple[str, int, bytes]]:
@@ -173,12 +198,17 @@ class Encoder:
         return list(map(self.known.__getitem__, words))
 
     def ids(self, text: str) -> list[int]:
-        return [int(i) for e in self.entries(self.words(text)) for i in e[0].split(",")]
+        return [int(i) for run in self.runs(text) for e in self.entries(run) for i in e[0].split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.vocabulary.tokens[i] for i in ids]).decode("utf-8", "replace")
 
 
+def _cost(word: str) -> int:
+    """Bytes, about, that a word and its entry take."""
+    return 300 + 6 * len(word)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -198,6 +228,28 @@ def vocabulary_text(spark: SparkSession, path: str) -> str:
         return f.read()
 
 
+def encoded_texts(own: Encoder, texts: pa.Array) -> Iterator[Iterator[tuple[list[str], list[tuple[str, int, bytes]]]]]:
+    """For each text, in order, its words in runs and their encodings. Texts of about GROUP letters together are learnt in one walk,
+    a longer one run by run, so a worker holds the words of no more than that."""
+    at = 0
+    while at < len(texts):
+        group, letters = [], 0
+        while at < len(texts) and letters < GROUP:
+            text = texts[at].as_py()
+            if len(text) > GROUP:
+                break
+            group.append(own.words(text))
+            letters += len(text)
+            at += 1
+        if group:
+            own.learn({w for words in group for w in words})
+            for words in group:
+                yield iter([(words, list(map(own.known.__getitem__, words)))])
+        else:
+            yield ((run, own.entries(run)) for run in own.runs(texts[at].as_py()))
+            at += 1
+
+
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """One row for each input row: doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids: token_ids.
 
@@ -211,32 +263,25 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     def run(batches):
         own = encoder(spec.value)
         for batch in batches:
-            n = batch.num_rows
-            sizes, codes, texts, ids = [], [], [], []
-            at = 0
-            while at < n:  # groups of texts of a few MB share one walk
-                words, total = [], 0
-                while at + len(words) < n and (total < 1 << 21 or not words):
-                    text = batch.column(1)[at + len(words)].as_py()
-                    words.append(own.words(text))
-                    total += len(text)
-                own.learn({w for ws in words for w in ws})
-                for ws in words:
-                    found = list(map(own.known.__getitem__, ws))
+            columns: tuple[list, ...] = ([], [], [], [])
+            for runs in encoded_texts(own, batch.column(1)):
+                size, codes, text, ids = 0, hashlib.sha256(), hashlib.sha256(), []
+                decoder = codecs.getincrementaldecoder("utf-8")("replace")
+                for _, found in runs:
                     joined = ",".join([e[0] for e in found])
-                    sizes.append(sum([e[1] for e in found]))
-                    codes.append(hashlib.sha256(joined.encode()).hexdigest())
-                    decoded = b"".join([e[2] for e in found]).decode("utf-8", "replace").encode()
-                    texts.append(hashlib.sha256(decoded).hexdigest())
-                    if with_ids:
-                        ids.append([int(i) for i in joined.split(",")] if joined else [])
-                at += len(words)
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(codes, pa.string()), pa.array(texts, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("token_ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    codes.update(b"," * bool(size and found) + joined.encode())
+                    size += sum([e[1] for e in found])
+                    text.update(decoder.decode(b"".join([e[2] for e in found])).encode())
+                    if with_ids and joined:
+                        ids += map(int, joined.split(","))
+                text.update(decoder.decode(b"", True).encode())
+                for column, value in zip(columns, (size, codes.hexdigest(), text.hexdigest(), ids), strict=True):
+                    column.append(value)
+            out = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())), strict=True))]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+            yield pa.RecordBatch.from_arrays(out if with_ids else out[:-1], names=names if with_ids else names[:-1])
+            del batch, out
+            pa.default_memory_pool().release_unused()
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(F.col(text_col)).alias("text"))
