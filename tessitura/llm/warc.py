@@ -21,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checked_broadcast, scratch, written
+from .common import BROADCAST_ROWS, bound_batches, checked_broadcast, qualified, scratch, written
 
 #: Payload bytes of a chunk; payloads from which equal ones become revisits; date of the records.
 CHUNK, REVISIT, DATE = 1 << 20, 1000, "2024-01-01T00:00:00Z"
+#: Keys over which the pages of one payload are spread; revisits that share a copy of the response's facts; most bytes of a record's head.
+SALTS, ROWS_PER_SALT, HEAD = 16, 4096, 1 << 20
 
 CHUNK_SCHEMA = "record_id string, record_type string, page_id long, target_uri string, refers_to_id string, declared_digest string, chunk_no int, data binary, sha1 string, n_bytes long, last boolean"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,7 +38,8 @@ def record_id(page_id: int | None, digest: str = "") -> str:
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """The file system of a path with a scheme, and the path there."""
+    return fs.FileSystem.from_uri(path)
 
 
 def _head(kind: str, ident: str, length: int, fields: list[tuple[str, str]]) -> bytes:
@@ -105,15 +108,22 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     they all are responses. Rows that repeat the largest id are all responses.
     """
     bound_batches(pages.sparkSession)
+    folder = qualified(pages.sparkSession, folder)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     size = F.octet_length("html").cast("long")
     facts = rows.where(size >= REVISIT).select("page_id", F.unhex(F.sha2("html", 256)).alias("sha"))
     kept = facts.groupBy("sha").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1 and keep is not null").select("sha", "keep")
     kept = written(kept, "responses")
-    pages_out = rows.withColumn("sha", F.when(size >= REVISIT, F.unhex(F.sha2("html", 256)))).join(checked_broadcast(kept), "sha", "left")
+    rows = rows.withColumn("sha", F.when(size >= REVISIT, F.unhex(F.sha2("html", 256))))
+    if kept.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        met = rows.join(F.broadcast(kept), "sha", "left")
+    else:  # small pages have no part in the join; a payload that many pages share is spread over SALTS keys
+        spread = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = rows.where("sha is not null").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        met = large.join(spread, ["sha", "salt"], "left").drop("salt").unionByName(rows.where("sha is null").withColumn("keep", F.lit(None).cast("long")))
     refers = F.when(F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep"))
-    pages_out = pages_out.select("page_id", "url", "html", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), size.alias("n"), refers.alias("keep"))
+    pages_out = met.select("page_id", "url", "html", F.sha1(F.encode("html", "UTF-8")).alias("sha1"), size.alias("n"), refers.alias("keep"))
     return written(pages_out.mapInArrow(_writer(folder), "path string, records long"), "warc-manifest")
 
 
@@ -140,8 +150,10 @@ class _Source:
                 return True
 
     def until(self, mark: bytes) -> bytes | None:
-        """Bytes up to a mark, which is skipped; None at the end."""
+        """Bytes up to a mark, which is skipped; None at the end. More than HEAD bytes without it are no archive."""
         while (at := self.ready.find(mark)) < 0:
+            if len(self.ready) > HEAD:
+                raise ValueError("a record's head has no end")
             if not self.more():
                 return None
         out, self.ready = self.ready[:at], self.ready[at + len(mark) :]
@@ -230,7 +242,13 @@ def payloads(chunks: DataFrame) -> DataFrame:
         raise ValueError("a payload differs from the digest in its header")
     response = ends.where("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("of"), F.max("n_bytes").alias("whole"))
     revisit: Column = F.col("record_type") == "revisit"
-    back = ends.where(revisit).join(response.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left")
+    revisits = ends.where(revisit)
+    asked = revisits.groupBy("refers_to_id").agg(F.expr(f"1 + count(*) div {ROWS_PER_SALT}").alias("salts"))
+    asked = written(asked.join(response.withColumnRenamed("record_id", "refers_to_id"), "refers_to_id", "left"), "referred")
+    busy = checked_broadcast(asked.where("salts > 1").select("refers_to_id", F.col("salts").alias("spread")))
+    spread = asked.withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)")))
+    salted = revisits.join(busy, "refers_to_id", "left").withColumn("salt", F.pmod(F.xxhash64("record_id"), F.coalesce("spread", F.lit(1).cast("long"))))
+    back = salted.join(spread, ["refers_to_id", "salt"], "left")
     back = back.select("page_id", F.col("whole").alias("payload_bytes"), F.col("declared_digest").alias("payload_digest"), "record_type", F.col("of").alias("refers_to"))
     own = ends.where(~revisit).select("page_id", F.col("n_bytes").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     return own.unionByName(back)
