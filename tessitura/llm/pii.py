@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 #: Proposals beyond the base rules.
 _MORE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?[\[(]at[\])]\s?[A-Za-z0-9-]{1,64}(?:\s?(?:\.|[\[(]dot[\])])\s?[A-Za-z0-9-]{1,64}){1,8}"),
+    "email": re.compile(r"[\[(]at[\])]\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[(]dot[\])])\s?[A-Za-z0-9-]+)+"),  # from the sign on
     "phone": re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,128}={0,2}(?![A-Za-z0-9+/_=-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])"),
 }
 #: Gazetteers.
 _TOP = frozenset("com org net edu gov io info biz example de fr es uk us it nl eu".split())
@@ -62,13 +64,18 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _local(text: str, at: int, done: int) -> int:
+    """Where the letters of a local part that end at a place begin, not before `done`."""
+    while at > done and text[at - 1] in _LOCAL:
+        at -= 1
+    return at
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """Leftmost non-overlapping addresses: from each @ back over letters of a local part, not into the match before."""
     done, at = 0, text.find("@")
     while at >= 0:
-        begin = at
-        while begin > done and text[begin - 1] in _LOCAL:
-            begin -= 1
+        begin = _local(text, at, done)
         m = _DOMAIN.match(text, at) if begin < at else None
         if m:
             yield begin, m.end()
@@ -76,6 +83,17 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
+def written_out(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses whose sign is written as (at) or [at], with a blank on either side at most."""
+    done = 0
+    for m in _MORE["email"].finditer(text):
+        end = m.start() - (text[m.start() - 1 : m.start()].isspace())
+        begin = _local(text, end, done)
+        if begin < end:
+            yield begin, m.end()
+            done = m.end()
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) by start and kind; what fails its check is dropped without a second try."""
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
@@ -94,32 +112,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-_DIGIT, _DIGITS = re.compile("[0-9]"), frozenset("0123456789")
+_DIGIT, _LETTER, _DIGITS = re.compile("[0-9]"), re.compile("[A-Za-z]"), frozenset("0123456789")
 
 
-def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans beside the base ones that overlap none of them."""
-    taken = [(a, b) for a, _, b in base]
-    out: list[tuple[int, int, int]] = []
+class _Taken:
+    """Spans, of which those given first may overlap, and whether another span overlaps any: by binary searches."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts, self.own = [a for a, _ in spans], [b for _, b in spans]
+        self.ends = list(accumulate(self.own, max))
+        self.added: list[tuple[int, int]] = []  # free of overlaps
+
+    def add(self, a: int, b: int, around: bool = False) -> bool:
+        """Take a span unless it overlaps one that is taken; around: it may hold whole ones of those given first."""
+        k, n = bisect_left(self.starts, a if around else b), bisect_left(self.added, (b,))
+        if k and self.ends[k - 1] > a or n and self.added[n - 1][1] > a:
+            return False
+        if around and any(end > b for end in self.own[k : bisect_left(self.starts, b)]):
+            return False
+        insort(self.added, (a, b))
+        return True
 
-    def add(a: int, kind: str, b: int) -> None:
-        if not any(a < y and x < b for x, y in taken):
-            out.append((a, KINDS.index(kind), b))
-            taken.append((a, b))
 
+def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans beside the base ones, of kinds in this order: email, secret, card, phone. None overlaps one before it or a base
+    one, but that a secret, of letters and digits, may hold base ones."""
+    taken = _Taken([(a, b) for a, _, b in base])
+    found: list[tuple[str, int, int]] = []
     if "at)" in text or "at]" in text:
-        for m in _MORE["email"].finditer(text):
-            add(m.start(), "email", m.end())
+        found += [("email", a, b) for a, b in written_out(text)]
     if _DIGIT.search(text):
-        for m in _CARD.finditer(text):
-            if 12 <= sum(c in _DIGITS for c in m.group()) <= 19:
-                add(m.start(), "card", m.end())
-        for m in _MORE["phone"].finditer(text):
-            add(m.start(), "phone", m.end())
-        for m in _MORE["secret"].finditer(text):
-            if _DIGIT.search(m.group()):
-                add(m.start(), "secret", m.end())
-    return sorted(out)
+        found += [("secret", *m.span()) for m in _MORE["secret"].finditer(text) if _DIGIT.search(m.group()) and _LETTER.search(m.group())]
+        found += [("card", *m.span()) for m in _CARD.finditer(text) if 12 <= sum(c in _DIGITS for c in m.group()) <= 19]
+        found += [("phone", *m.span()) for m in _MORE["phone"].finditer(text)]
+    return sorted((a, KINDS.index(kind), b) for kind, a, b in found if taken.add(a, b, kind == "secret"))
 
 
 def votes(text: str, start: int, kind: int, end: int, base: bool) -> tuple[int, ...]:
@@ -238,8 +265,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and base_sha256 are of the base rules; spans lists those and what the classifier adds, as
-    kind:start:end in code points. Null counts as empty; an empty text has no spans. Rows with null or
-    repeated ids get a row each. Other columns are ignored; an empty table gives an empty result.
+    kind:start:end in code points. Addresses and secrets may have any length. Null counts as empty; an empty text
+    has no spans. Rows with null or repeated ids get a row each. Other columns are ignored; an empty table gives an
+    empty result.
     """
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_column(F.col(text_col)).alias("text"))
