@@ -1,18 +1,21 @@
 """License notices by conditional compression.
 
-Two ways lead to a row. The wording of every template is aligned with the words of the text, over line
-breaks and comment marks, around words of which a notice has one at least; what aligns but for a few words is
-confirmed. Lines that hold a cue word are candidate blocks besides. Each is compressed alone and with every
-template as a raw zstandard dictionary; templates rank by the share of the length that they save, and the
-winner is confirmed by the words of the template that the block lacks.
+Words of which every notice of a template has one at least mark candidate blocks: stretches of words, over line
+breaks and comment marks, long enough for the template on either side. A block is compressed alone and with
+each template that its words don't rule out as a raw zstandard dictionary, and templates rank by the bytes
+that they save. In that order the wording of each is looked for in the block; what stands there in order, but for a few
+words, is confirmed with its exact differences. Of templates that claim the same words the one that explains most of
+them wins. Places that speak of licenses without such a wording are rows too, unconfirmed, with the template of
+the first rank.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from difflib import SequenceMatcher
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -21,36 +24,60 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 from .words import text_column
 
-#: Share of a template's words that a confirmed block may lack; characters of a block on either side of a cue.
-LACKING, AROUND = 0.1, 1200
-#: Words in between that a word of a template is worth in an alignment; first words of a template that are its cue.
-WORTH, CUE_WORDS = 6, 3
+#: Shares of a template's words that a confirmed notice may lack, and have in between.
+LACKING, MORE = 0.1, 0.25
 
 #: Cue words, in lower case.
 CUES = ("licen", "rights reserved", "copyright", "without warranty", "permission is hereby", "spdx", "public domain")
 
-#: Notices by license.
+_MIT_GRANT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD_CLAUSES = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+
+
+def _gnu(work: str, license: str, version: str) -> str:
+    return (
+        f"This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU {license} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version. "
+        f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {license} for more details."
+    )
+
+
+#: Notices by license, whole ones and the short forms that stand alone.
 TEMPLATES: dict[str, str] = {
     "MIT": "Released under the MIT License.",
-    "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+    "MIT-grant": _MIT_GRANT,
+    "MIT-text": _MIT_GRANT + " The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "Apache-2.0-text": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION 1. Definitions. \"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License.",
-    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "GPL-2.0-header": _gnu("program", "General Public License", "2"),
+    "GPL-3.0-header": _gnu("program", "General Public License", "3"),
+    "LGPL-2.1-header": _gnu("library", "Lesser General Public License", "2.1"),
+    "AGPL-3.0-header": _gnu("program", "Affero General Public License", "3"),
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSD": _BSD_START,
+    "BSD-2-Clause": f"{_BSD_START}: {_BSD_CLAUSES} {_BSD_WARRANTY}",
+    "BSD-3-Clause": f"{_BSD_START}: {_BSD_CLAUSES} {_BSD_THIRD} {_BSD_WARRANTY}",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has dedicated this work to the public domain.",
+    "CC0-1.0-text": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
     "all-rights-reserved": "All rights reserved.",
 }
+TEMPLATES |= {f"SPDX {name}": f"SPDX-License-Identifier: {name}" for name in ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-only", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0")}
 
-_WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-
-
-def cues(templates: dict[str, str]) -> tuple[str, ...]:
-    """The fixed cues, and the first words of each template that holds none of them."""
-    low = [t.lower() for t in templates.values()]
-    return (*CUES, *(" ".join(t.split()[:CUE_WORDS]) for t in low if t.strip() and not any(c in t for c in CUES)))
+_WORD = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*")
 
 
 def lowered(text: str) -> str:
@@ -61,174 +88,202 @@ def lowered(text: str) -> str:
     return low
 
 
-def _lines(low: str, first: int, last: int) -> tuple[int, int]:
-    """The whole lines of a span; of long ones what is around it."""
-    begin = max(low.rfind("\n", max(0, first - AROUND), first) + 1, first - AROUND, 0)
-    end = low.find("\n", last, last + AROUND)
-    return begin, min(len(low), last + AROUND) if end < 0 else end
-
-
-def blocks(low: str, by: tuple[str, ...] = CUES) -> list[tuple[int, int]]:
-    """Character spans of lines with a cue; a long line gives what is around its cues."""
-    spans = []
-    for cue in by:
-        at = low.find(cue)
-        while at >= 0:
-            spans.append(_lines(low, at, at))
-            at = low.find(cue, at + len(cue))
-    out: list[tuple[int, int]] = []
-    for begin, end in sorted(spans):
-        if out and begin < out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((begin, end))
-    return out
+class Wording:
+    """The words of a template, and where they stand in others in order."""
+
+    def __init__(self, text: str):
+        self.words = _WORD.findall(text.lower())
+        n = len(self.words)
+        self.count = Counter(self.words)
+        self.least, self.most = n - int(LACKING * n), n + int(MORE * n)
+        self.masks = self._masks(self.words), self._masks(self.words[::-1])
+        #: The longest words, so many that a notice that lacks no more than it may has one of them at least.
+        self.needed: list[str] = []
+        for word in sorted(self.count, key=lambda w: (-len(w), w)):
+            if sum(self.count[w] for w in self.needed) > n - self.least:
+                break
+            self.needed.append(word)
+
+    @staticmethod
+    def _masks(words: list[str]) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for k, word in enumerate(words):
+            out[word] = out.get(word, 0) | 1 << k
+        return out
+
+    def common(self, words: list[str], back: bool = False, enough: int | None = None) -> tuple[int, int]:
+        """Length of the longest common subsequence with the template, and how many of the words it takes to reach it, or to reach `enough`.
+
+        One bit of `row` for each word of the template; a bit that falls is a word that the subsequence gains. back: from the ends of both.
+        """
+        masks, full = self.masks[back], (1 << len(self.words)) - 1
+        row, best, at = full, 0, 0
+        for k, word in enumerate(reversed(words) if back else words, 1):
+            hit = row & masks.get(word, 0)
+            if hit:
+                row = ((row + hit) | (row - hit)) & full
+                n = len(self.words) - row.bit_count()
+                if n > best:
+                    best, at = n, k
+                    if enough is not None and n >= enough:
+                        break
+        return best, at
+
+    def places(self, words: list[str]) -> list[tuple[int, int, int]]:
+        """(first, end, common words) of stretches of at most `most` words with at least `least` words of the template in order; they don't overlap."""
+        out, at = [], 0
+        while len(words) - at >= self.least > 0:
+            n, used = self.common(words[at:], enough=self.least)
+            if n < self.least:
+                break
+            end = at + used
+            first = end - self.common(words[at:end], back=True, enough=self.least)[1]
+            if end - first > self.most:
+                at = first + 1
+                continue
+            end = first + self.common(words[first : first + self.most])[1]
+            n, used = self.common(words[max(at, end - self.most) : end], back=True)
+            out.append((end - used, end, n))
+            at = end
+        return out
 
 
 class Matcher:
     def __init__(self, templates: dict[str, str]):
-        self.plain = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
-        self.by = {}
-        self.words = {name: _WORD.findall(text.lower()) for name, text in templates.items()}
+        self.plain = zstandard.ZstdCompressor(level=12, write_content_size=False, write_checksum=False)
+        self.by, self.wordings = {}, {}
+        self.anchors = ahocorasick.Automaton()
+        owners: dict[str, list[str]] = defaultdict(list)
         for name, text in templates.items():
+            wording = Wording(text)
+            if not wording.words:
+                continue
+            self.wordings[name] = wording
             data = zstandard.ZstdCompressionDict(text.lower().encode().ljust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.by[name] = zstandard.ZstdCompressor(level=19, dict_data=data, write_content_size=False, write_dict_id=False, write_checksum=False)
-        self.known: dict[str, tuple] = {}
-        self.cues = cues(templates)
-        self.needed = {name: _needed(words) for name, words in self.words.items() if words}
-        self.anchors = tuple({w for words in self.needed.values() for w in words})
-
-    def rank(self, block: str) -> list[tuple[float, str]]:
-        """(share saved, template), best first. Lengths are compared with the template's own, so that one
-        that holds a short notice among much else doesn't beat the notice itself."""
-        raw = block.lower().encode()
-        alone = len(self.plain.compress(raw))
-        return sorted(((alone - len(c.compress(raw))) / alone, name) for name, c in self.by.items())[::-1]
-
-    def match(self, block: str) -> tuple:
-        """license, share saved, words lacking, words more, exact, confirmed."""
-        if block not in self.known:
-            if len(self.known) > 10_000:
+            self.by[name] = zstandard.ZstdCompressor(level=12, dict_data=data, write_content_size=False, write_dict_id=False, write_checksum=False)
+            for word in wording.needed:
+                owners[word].append(name)
+        self.owners = dict(owners)
+        for word in {*self.owners, *CUES}:
+            self.anchors.add_word(word, word)
+        self.anchors.make_automaton()
+        self.reach = max((w.most for w in self.wordings.values()), default=0)
+        self.known: dict[tuple, float] = {}
+
+    def saved(self, block: str, name: str | None = None) -> float:
+        """Bytes of a block, compressed alone or with a template as dictionary."""
+        if (block, name) not in self.known:
+            if len(self.known) > 5_000:
                 self.known.clear()
-            here = _WORD.findall(block.lower())
-            best = None
-            for share, name in self.rank(block)[:3]:
-                want = self.words[name]
-                lacking = _lacking(want, here)
-                key = (lacking > LACKING * len(want), lacking / len(want), -share)
-                if best is None or key < best[0]:
-                    best = key, (name, share, lacking, len(here) - (len(want) - lacking), lacking == 0 and _inside(want, here), not key[0])
-            self.known[block] = best[1]
-        return self.known[block]
-
-
-    def notices(self, low: str) -> list[tuple[int, int, str]]:
-        """Character spans, first word to last, where the wording of a template stands, and the template."""
-        if not any(a in low for a in self.anchors):
-            return []
-        found = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(low)]
-        here, places = [w for w, _, _ in found], defaultdict(list)
-        for k, word in enumerate(here):
-            places[word].append(k)
-        out = []
-        for name, needed in self.needed.items():
-            want = self.words[name]
-            far, least = len(want) * (1 + WORTH), len(want) - int(LACKING * len(want))
-            parts: list[list[int]] = []
-            for k in sorted(k for w in needed for k in places.get(w, ())):
-                if parts and k - far <= parts[-1][1]:
-                    parts[-1][1] = k + far + 1
+            self.known[block, name] = len((self.plain if name is None else self.by[name]).compress(block.encode()))
+        return self.known[block, name]
+
+    def rank(self, block: str, names) -> list[tuple[float, str]]:
+        """(share saved, template), best first; the shares are of the block's length when compressed alone."""
+        alone = self.saved(block)
+        return sorted((((alone - self.saved(block, name)) / alone, name) for name in names), key=lambda x: (-x[0], x[1]))
+
+    def notices(self, low: str, words: list[str], spans: list[tuple[int, int]]) -> list[tuple]:
+        """(first word, end, template, share saved, words lacking, words more) of confirmed notices, no word in two of them."""
+        places: dict[str, list[int]] = defaultdict(list)
+        for k, word in enumerate(words):
+            if word in self.owners:
+                places[word].append(k)
+        hits: dict[str, list[int]] = defaultdict(list)
+        for word, at in places.items():
+            for name in self.owners[word]:
+                hits[name] += at
+        # blocks of each template, then blocks of all: stretches in which a notice that holds a needed word must lie
+        parts: list[tuple[int, int, str]] = []
+        for name, at in hits.items():
+            far = self.wordings[name].most
+            for k in sorted(at):
+                if parts and parts[-1][2] == name and k - far <= parts[-1][1]:
+                    parts[-1] = (parts[-1][0], k + far + 1, name)
                 else:
-                    parts.append([max(0, k - far), k + far + 1])
-            for a, b in parts:
-                part, counts = here[a:b], Counter(want)
-                if (counts & Counter(part)).total() >= least:
-                    out += [(found[a + x][1], found[a + y][2], name) for x, y in aligned(want, part, least)]
-        return out
+                    parts.append((max(0, k - far), k + far + 1, name))
+        found = []
+        for a, b, names in _merged(parts):
+            here = Counter(words[a:b])
+            able = [name for name in names if (self.wordings[name].count & here).total() >= self.wordings[name].least]
+            if able:
+                block = low[spans[a][0] : spans[min(b, len(words)) - 1][1]]
+                for share, name in self.rank(block, able):
+                    n = len(self.wordings[name].words)
+                    found += [(a + x, a + y, name, share, n - c, y - x - c) for x, y, c in self.wordings[name].places(words[a:b])]
+        out: list[tuple] = []
+        for row in sorted(found, key=lambda r: (-(len(self.wordings[r[2]].words) - 2 * r[4] - r[5]), -r[3], r[2], r[0])):
+            if all(row[1] <= x[0] or x[1] <= row[0] for x in out):
+                out.append(row)
+        return sorted(out)
 
     def scan(self, text: str) -> list[tuple]:
-        """Rows of a text, by place: start, end, and what `match` gives."""
+        """Rows of a text, by place: start, end, license, share saved, words lacking, words more, exact, confirmed."""
         low = lowered(text)
-        rows = {}
-        for first, last, name in self.notices(low):
-            begin, end = _lines(low, first, last)
-            rows.setdefault((begin, end, name), self.row(text[begin:end], name, low[first:last]))
-        sure = list(rows)
-        for begin, end in blocks(low, self.cues):
-            best = self.match(text[begin:end])
-            over = [name for a, b, name in sure if a < end and begin < b]
-            if not over or best[-1] and best[0] not in over:
-                rows.setdefault((begin, end, best[0]), best)
-        return [(begin, end, *rows[begin, end, name]) for begin, end, name in sorted(rows)]
-
-    def row(self, block: str, name: str, wording: str) -> tuple:
-        """As `match`, for a template whose wording stands in the block."""
-        raw, want = block.lower().encode(), self.words[name]
-        alone = len(self.plain.compress(raw))
-        lacking = len(want) - _common(want, _WORD.findall(wording))
-        here = _WORD.findall(block.lower())
-        return name, (alone - len(self.by[name].compress(raw))) / alone, lacking, len(here) - (len(want) - lacking), lacking == 0 and _inside(want, here), True
-
-
-def _needed(words: list[str]) -> list[str]:
-    """Words, the longest, of which a notice that lacks no more than it may has one at least."""
-    return sorted(set(words), key=lambda w: (-len(w), w))[: int(LACKING * len(words)) + 1]
-
-
-def _common(want: list[str], here: list[str]) -> int:
-    """Length of the longest common subsequence."""
-    row = [0] * (len(want) + 1)
-    for word in here:
-        old = 0
-        for i, w in enumerate(want, 1):
-            old, row[i] = row[i], old + 1 if w == word else max(row[i], row[i - 1])
-    return row[-1]
-
-
-def aligned(want: list[str], here: list[str], least: int) -> list[tuple[int, int]]:
-    """First and last place of each local alignment with at least so many words of a template, in order.
-
-    A word that fits counts WORTH, a word in between costs one; of alignments that overlap the best stays.
-    """
-    start = (0, 0, -1)  # score, words, first place
-    row, ends = [start] * (len(want) + 1), []
-    for j, word in enumerate(here):
-        old, best = start, start
-        for i, w in enumerate(want, 1):
-            over = row[i]
-            cell = (over[0] - 1, over[1], over[2]) if over[0] > 1 else start
-            if w == word:
-                cell = max(cell, (old[0] + WORTH, old[1] + 1, old[2] if old[1] else j))
-            best = max(best, cell)
-            old, row[i] = over, best
-        if best[1] >= least:
-            ends.append((-best[0], j - best[2], best[2], j))
-    out: list[tuple[int, int]] = []
-    for _, _, a, b in sorted(ends):
-        if all(b < x or y < a for x, y in out):
-            out.append((a, b))
-    return out
-
-
-def _inside(want: list[str], here: list[str]) -> bool:
-    return f" {' '.join(want)} " in f" {' '.join(here)} "
+        cues = [(end - len(word) + 1, end + 1) for end, word in self.anchors.iter(low)]
+        if not cues:
+            return []
+        spans = [m.span() for m in _WORD.finditer(low)]
+        words = [low[a:b] for a, b in spans]
+        rows = []
+        for a, b, name, share, lacking, more in self.notices(low, words, spans):
+            rows.append((*_lines(low, spans[a][0], spans[b - 1][1]), name, share, lacking, more, lacking == more == 0, True))
+        return sorted(rows + self.others(low, words, spans, [r[:2] for r in rows]))
+
+    def others(self, low: str, words: list[str], spans: list[tuple[int, int]], sure: list[tuple[int, int]]) -> list[tuple]:
+        """Unconfirmed rows: the lines of cues that no confirmed notice stands on, with the template of the first rank."""
+        starts, rows, done = [a for a, _ in spans], [], 0
+        for cue in CUES:
+            at = low.find(cue)
+            while at >= 0:
+                begin, end = _lines(low, at, at + len(cue))
+                if not any(a < end and begin < b for a, b in sure):
+                    rows.append((begin, end, at))
+                at = low.find(cue, at + len(cue))
+        out = []
+        for begin, end, at in sorted(rows):
+            if begin < done:
+                continue
+            done = end
+            k = bisect_left(starts, at)
+            a, b = max(0, k - self.reach), min(len(words), k + self.reach)
+            block = low[max(begin, spans[a][0]) : min(end, spans[b - 1][1])] if a < b else low[begin:end]
+            if not block or not self.by:
+                continue
+            share, name = self.rank(block, self.by)[0]
+            wording, here = self.wordings[name], _WORD.findall(block)
+            n = wording.common(here)[0]
+            out.append((begin, end, name, share, len(wording.words) - n, len(here) - n, False, False))
+        return out
 
 
-def _lacking(want: list[str], here: list[str]) -> int:
-    """Words of the template that are not in the block in order."""
-    if _inside(want, here):
-        return 0
-    return len(want) - sum(m.size for m in SequenceMatcher(None, want, here, autojunk=False).get_matching_blocks())
+def _lines(low: str, first: int, last: int) -> tuple[int, int]:
+    """The whole lines of a span."""
+    end = low.find("\n", last)
+    return low.rfind("\n", 0, first) + 1, len(low) if end < 0 else end
+
+
+def _merged(parts: list[tuple[int, int, str]]) -> list[tuple[int, int, list[str]]]:
+    """Stretches that overlap as one, with all their names."""
+    out: list[tuple[int, int, list[str]]] = []
+    for a, b, name in sorted(parts):
+        if out and a < out[-1][1]:
+            names = out[-1][2] if name in out[-1][2] else [*out[-1][2], name]
+            out[-1] = (out[-1][0], max(b, out[-1][1]), names)
+        else:
+            out.append((a, b, [name]))
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each notice of a template and for each other candidate block: doc_id, start, end (code points), license,
-    saved, n_lacking, n_more, exact, confirmed.
-
-    start and end are those of the lines it stands on, which several templates may share. A notice may be wrapped over lines.
-    license of a block without one is the best template, confirmed whether the block has all but LACKING of its words in order,
-    exact whether it holds its wording whole. Texts without a cue, empty and null ones give no row;
-    rows with null or repeated ids give theirs each. Other columns are ignored.
+    """One row for each notice of a template and for each other line that speaks of licenses: doc_id, start, end (code
+    points), license, saved, n_lacking, n_more, exact, confirmed.
+
+    start and end are those of the lines it stands on, which several notices may share. A notice may be wrapped over lines and
+    stand behind comment marks; confirmed ones have all but LACKING of a template's words in order and at most MORE of them in
+    between (n_lacking, n_more). Of templates that fit the same words the one with most words and fewest differences is the
+    row, then the one that saves more, then the first by name. Texts without a cue, empty and null ones give no row,
+    an empty table none at all; rows with null or repeated ids give theirs each. Other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
 
