@@ -14,13 +14,15 @@ task sees the whole corpus:
 4. A gram with more than `SPLIT` suffixes is cut into parts. Passages that are first in their part
    meet again by the digest of their bytes, at most one from each part.
 
-Repeats are reported within `LENGTH` bytes to the right of the anchor and `LENGTH - GRAM` to its left;
-longer ones are covered by the overlapping reports of their anchors.
+For the removal, repeats are reported within `LENGTH` bytes to the right of the anchor and `LENGTH - GRAM` to its left;
+longer ones are covered by the overlapping reports of their anchors. `repeat_groups` gives the maximal repeats
+themselves, each with all its occurrences, from contexts of any reach. Long texts are handled in pieces of `PIECE` bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -28,14 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checked_broadcast, written
+from .common import BROADCAST_ROWS, bound_batches, checked_broadcast, numbered, written
 from .words import blocks, text_column
 
 #: Bytes of a repeat that is removed; bytes of the gram that anchors it.
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM
-#: Suffixes of a gram that one task sorts together; suffixes gathered before a scan.
-SPLIT, GATHER = 4096, 16384
+#: Suffixes of a gram that one task sorts together; suffixes gathered before a scan; bytes of a piece of a text.
+SPLIT, GATHER, PIECE = 4096, 16384, 1 << 20
+#: Keys over which a frequent gram is spread where such grams are too many to broadcast.
+SALTS = 64
+#: Different contexts of a gram beyond which they are dealt out by how far their repeats reach to the right of the anchor.
+BANDED = 20_000
 
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
@@ -74,36 +80,55 @@ def anchors_of(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, h[at]
 
 
+def pieces(texts: DataFrame, before: int, after: int) -> DataFrame:
+    """doc, piece, base, raw: texts (doc, text) in pieces of PIECE bytes, with so many bytes of the text before and after each; base is where raw begins."""
+    raw = texts.select("doc", F.encode("text", "UTF-8").alias("raw"))
+    each = raw.select("doc", "raw", F.explode(F.expr(f"sequence(0, int(greatest(octet_length(raw) - 1, 0) div {PIECE}))")).alias("piece"))
+    base = F.expr(f"greatest(piece * {PIECE} - {before}, 0)").cast("int")
+    end = F.expr(f"(piece + 1) * {PIECE} + {after}")
+    return each.select("doc", "piece", base.alias("base"), F.substring("raw", base + 1, (end - base).cast("int")).alias("raw"))
+
+
 def _anchors(batches):
+    """doc, base, raw of pieces that begin one window early -> gram, doc, pos of their anchors."""
     for batch in batches:
-        ids = batch.column(0).to_numpy()
-        for first, raw, off in blocks(batch.column(1)):
+        ids, bases = (batch.column(k).to_numpy() for k in (0, 1))
+        for first, raw, off in blocks(batch.column(2)):
             at, h = anchors_of(raw, off)
             text = np.searchsorted(off, at, side="right") - 1
+            fresh = np.ones(len(at), bool)
+            fresh[1:] = text[1:] != text[:-1]
+            own = ~(fresh & (bases[first + text] > 0))  # the anchor of the early window is the piece's before
+            at, h, text = at[own], h[own], text[own]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(ids[first + text]), pa.array((at - off[text]).astype(np.int32))], names=["gram", "doc", "pos"]
+                [pa.array(h.view(np.int64)), pa.array(ids[first + text]), pa.array((at - off[text] + bases[first + text]).astype(np.int32))], names=["gram", "doc", "pos"]
             )
 
 
-def _contexts(batches):
-    """doc, text, places (pos, gram, split, part) -> the bytes around each anchor; part spreads the suffixes of a frequent gram."""
-    for batch in batches:
-        for doc, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            raw = text.as_buffer().to_pybytes()
-            for k in range(0, len(places), 4096):
-                cut = places[k : k + 4096]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([p["gram"] for p in cut], pa.int64()),
-                        pa.array([p["part"] for p in cut], pa.int64()),
-                        pa.array([p["split"] for p in cut], pa.bool_()),
-                        pa.array([doc] * len(cut), pa.int64()),
-                        pa.array([p["pos"] for p in cut], pa.int32()),
-                        pa.array([raw[max(0, p["pos"] - REACH) : p["pos"]][::-1] for p in cut], pa.binary()),
-                        pa.array([raw[p["pos"] : p["pos"] + LENGTH] for p in cut], pa.binary()),
-                    ],
-                    names=["gram", "part", "split", "doc", "pos", "left", "right"],
-                )
+def _contexts(left: int, right: int):
+    """doc, base, raw, places (pos, gram, split, part) -> so many bytes on the left, reversed, and from each anchor on; part spreads the suffixes of a frequent gram."""
+
+    def run(batches):
+        for batch in batches:
+            for doc, base, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+                raw = text.as_buffer().to_pybytes()
+                for k in range(0, len(places), 4096):
+                    cut = places[k : k + 4096]
+                    at = [p["pos"] - base for p in cut]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([p["gram"] for p in cut], pa.int64()),
+                            pa.array([p["part"] for p in cut], pa.int64()),
+                            pa.array([p["split"] for p in cut], pa.bool_()),
+                            pa.array([doc] * len(cut), pa.int64()),
+                            pa.array([p["pos"] for p in cut], pa.int32()),
+                            pa.array([raw[max(0, p - left) : p][::-1] for p in at], pa.binary()),
+                            pa.array([raw[p : p + right] for p in at], pa.binary()),
+                        ],
+                        names=["gram", "part", "split", "doc", "pos", "left", "right"],
+                    )
+
+    return lambda batches: _gathered(run(batches))
 
 
 def _gathered(batches):
@@ -254,51 +279,61 @@ def _first_passages(group, lost, firsts) -> None:
 
 
 def _kept(batches):
-    """doc, text, covered intervals -> bytes removed, maximal removed runs, digest of what is left."""
+    """doc, text, removed runs -> bytes removed, their number, digest of what is left."""
     for batch in batches:
         out: tuple[list, list, list] = ([], [], [])
         for text, cuts in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-            raw = text.as_buffer().to_pybytes()
-            left, n, spans, done = hashlib.sha256(), 0, 0, 0
-            reach = -1
-            for cut in sorted((c["start"], c["end"]) for c in cuts):
-                if cut[0] > reach:
-                    left.update(raw[done : cut[0]])
-                    spans += 1
-                    n += cut[1] - cut[0]
-                    done = reach = cut[1]
-                elif cut[1] > reach:
-                    n += cut[1] - reach
-                    done = reach = cut[1]
+            raw = memoryview(text.as_buffer())
+            left, n, done = hashlib.sha256(), 0, 0
+            for start, end in sorted((c["start"], c["end"]) for c in cuts):
+                left.update(raw[done:start])
+                n += end - start
+                done = end
             left.update(raw[done:])
-            for column, value in zip(out, (n, spans, left.hexdigest()), strict=True):
+            for column, value in zip(out, (n, len(cuts), left.hexdigest()), strict=True):
                 column.append(value)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names=["doc", "n_removed", "n_spans", "kept_sha256"]
         )
 
 
+CONTEXT = "gram long, part long, split boolean, doc long, pos int, left binary, right binary"
+
+
+def contexts(texts: DataFrame, left: int, right: int) -> DataFrame:
+    """CONTEXT: the anchors of `texts` (doc, text; one row for each doc) whose gram occurs again, with the bytes around them.
+
+    Grams with more than SPLIT anchors are spread over parts before anything is joined on them.
+    """
+    begun = pieces(texts, 1, LENGTH - 1).select("doc", "base", "raw")
+    anchors = written(begun.mapInArrow(_anchors, "gram long, doc long, pos int"), "anchors")
+    again = written(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "grams")
+    hot, cold = again.where(f"n > {SPLIT}"), again.where(f"n <= {SPLIT}")
+    part = F.expr(f"pmod(xxhash64(doc, pos), 1 + n div {SPLIT})")
+    if hot.isEmpty():
+        met = anchors.join(cold, "gram").withColumn("part", F.lit(0).cast("long"))
+    else:
+        on = ["gram"]
+        if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            hot = F.broadcast(hot)
+        else:
+            on = ["gram", "salt"]
+            hot = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            anchors = anchors.withColumn("salt", F.pmod(F.xxhash64("pos", "doc"), F.lit(SALTS)).cast("int"))
+        seldom = anchors.join(hot, on, "left_anti").join(cold, "gram").withColumn("part", F.lit(0).cast("long"))
+        met = anchors.join(hot, on).withColumn("part", part).select("gram", "doc", "pos", "n", "part").unionByName(seldom.select("gram", "doc", "pos", "n", "part"))
+    place = F.struct("pos", "gram", F.expr(f"n > {SPLIT}").alias("split"), "part").alias("place")
+    places = met.select("doc", F.expr(f"pos div {PIECE}").cast("int").alias("piece"), place)
+    places = written(places.groupBy("doc", "piece").agg(F.collect_list("place").alias("places")), "places")
+    open_ = checked_broadcast(written(places.select("doc").distinct(), "open-docs"))
+    around = pieces(texts.join(open_, "doc"), left, right).join(places, ["doc", "piece"]).select("doc", "base", "raw", "places")
+    return around.mapInArrow(_contexts(left, right), CONTEXT)
+
+
 def repeated_spans(texts: DataFrame) -> DataFrame:
-    """doc, start, end: bytes of `texts` (doc, text; one row for each doc) in repeats whose first occurrence is elsewhere. Intervals may overlap."""
-    anchors = written(texts.mapInArrow(_anchors, "gram long, doc long, pos int"), "anchors")
-    again = anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    part = F.expr(f"CASE WHEN n > {SPLIT} THEN pmod(xxhash64(doc, pos), 1 + n div {SPLIT}) ELSE 0 END").alias("part")
-    places = written(
-        anchors.join(again, "gram")
-        .select("doc", F.struct("pos", "gram", F.expr(f"n > {SPLIT}").alias("split"), part).alias("place"))
-        .groupBy("doc")
-        .agg(F.collect_list("place").alias("places")),
-        "places",
-    )
-    open_ = checked_broadcast(places.select("doc"))
-    around = texts.join(open_, "doc").join(places, "doc").select("doc", "text", "places")
-    contexts = around.mapInArrow(
-        lambda batches: _gathered(_contexts(batches)), "gram long, part long, split boolean, doc long, pos int, left binary, right binary"
-    )
-    found = written(
-        contexts.repartition("gram", "part").sortWithinPartitions("gram", "part").mapInArrow(_removed, "passage binary, doc long, start int, end int"),
-        "repeats",
-    )
+    """doc, start, end: bytes of `texts` (doc, text; one row for each doc) in repeats whose first occurrence is elsewhere, as maximal runs."""
+    found = contexts(texts, REACH, LENGTH).repartition("gram", "part").sortWithinPartitions("gram", "part")
+    found = written(found.mapInArrow(_removed, "passage binary, doc long, start int, end int"), "repeats")
     first = F.min(F.struct("doc", "start")).over(Window.partitionBy("passage"))
     later = (
         found.where("passage is not null")
@@ -306,7 +341,117 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
         .where(F.struct("doc", "start") != F.col("first"))
         .select("doc", "start", "end")
     )
-    return found.where("passage is null").select("doc", "start", "end").unionByName(later)
+    cuts = found.where("passage is null").select("doc", "start", "end").unionByName(later)
+    in_order = Window.partitionBy("doc").orderBy("start", "end")
+    reach = F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = cuts.withColumn("opens", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    runs = opened.withColumn("run", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("doc", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
+def maximal_repeats(left: list[bytes], right: list[bytes], copies: list[int], length: int, first: int, end: int) -> Iterator[tuple[int, int, list[int]]]:
+    """(left bytes, right bytes, members) of the maximal repeats of at least `length` bytes that reach `first` to `end` - 1 bytes to the right of the anchor.
+
+    Members are different contexts (left ones reversed) around one gram, each standing for so many copies. The
+    common-prefix intervals of the suffix array give the right ends; within each, the intervals of the members sorted by
+    what stands on their left give the left ends where extensions differ. A set that shares more on the right belongs
+    to a deeper interval.
+    """
+    for k, (a, b, n) in enumerate(zip(left, right, copies, strict=True)):
+        if n > 1 and len(a) + len(b) >= length and first <= len(b) < end:
+            yield len(a), len(b), [k]
+    if len(left) < 2:
+        return
+    wide = max(map(len, left)), max(map(len, right))
+    lnum = [int.from_bytes(x.ljust(wide[0], b"\0"), "big") for x in left]
+    rnum = [int.from_bytes(x.ljust(wide[1], b"\0"), "big") for x in right]
+    array = sorted(range(len(right)), key=right.__getitem__)
+    lcp = [min(common_prefix(rnum[a], rnum[b], 8 * wide[1]), len(right[a]), len(right[b])) for a, b in pairwise(array)]
+    rank = {k: n for n, k in enumerate(array)}
+    lefts = {k: n for n, k in enumerate(sorted(range(len(left)), key=left.__getitem__))}
+    for depth, i, j in intervals(lcp):
+        if not first <= depth < end or depth + wide[0] < length:
+            continue
+        members = sorted(array[i : j + 1], key=lefts.__getitem__)
+        lcs = [min(common_prefix(lnum[a], lnum[b], 8 * wide[0]), len(left[a]), len(left[b])) for a, b in pairwise(members)]
+        for d, x, y in intervals(lcs):
+            if d + depth < length:
+                continue
+            own = members[x : y + 1]
+            places = [rank[k] for k in own]
+            if min(lcp[min(places) : max(places)]) == depth:
+                yield d, depth, own
+
+
+def _bands(length: int) -> list[tuple[int, int]]:
+    """Ranges of how far repeats reach to the right of the anchor."""
+    cuts = [*range(GRAM, length, 16), length, 1 << 30]
+    return list(pairwise(cuts))
+
+
+def _grouped(length: int):
+    """key, first, end, left, right, copies, context, in order of key -> maximal repeats: digest, left and right bytes, context."""
+
+    def found(rows):
+        for d, depth, members in maximal_repeats([r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], length, rows[0][1], rows[0][2]):
+            whole = rows[members[0]]
+            digest = hashlib.blake2b(whole[3][:d][::-1] + whole[4][:depth], digest_size=16).digest()
+            for k in members:
+                yield digest, d, depth, rows[k][6]
+
+    def out(made):
+        columns = list(zip(*made, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["repeat", "l", "r", "context"])
+
+    def run(batches):
+        rows, made = [], []
+        for row in (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if rows and rows[0][0] != row[0]:
+                made += found(rows)
+                rows = []
+                if len(made) > GATHER:
+                    yield out(made)
+                    made = []
+            rows.append(row)
+        made += found(rows) if rows else []
+        if made:
+            yield out(made)
+
+    return run
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 1024) -> DataFrame:
+    """Maximal repeats with all their occurrences: repeat (digest of its bytes), n_bytes, clipped, doc_id, start.
+
+    A maximal repeat is a string of at least LENGTH bytes that stands at two places or more, not all of them with the same
+    byte before, nor with the same byte after (a text's end is like no byte). Exact for repeats of up to `reach` bytes; of longer ones
+    there are the pieces within `reach` bytes of each anchor, marked clipped. Null texts are empty; every row is a
+    document of its own, also where ids are null or repeat. Equal contexts, so all copies of a passage, are one member in the
+    scan and are joined back to their occurrences, whatever their number; a gram with more than BANDED different contexts is
+    dealt out by how far its repeats reach. Other columns are ignored; an empty table gives an empty result.
+    """
+    bound_batches(docs.sparkSession)
+    rows, at = numbered(docs, id_col, text_col)
+    rows = rows.select(F.col(at).alias("doc"), F.col(id_col).alias("doc_id"), text_column(F.col(text_col)).alias("text"))
+    around = contexts(rows.where(F.octet_length("text") >= LENGTH).select("doc", "text"), reach, reach)
+    key = F.unhex(F.sha2(F.concat(F.length("left").cast("string").cast("binary"), F.lit(b" "), "left", "right"), 256))
+    around = written(around.select("gram", "doc", "pos", key.alias("context"), "left", "right"), "contexts")
+    each = around.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("copies"), F.first("left").alias("left"), F.first("right").alias("right"))
+    each = written(each, "different-contexts")
+    many = checked_broadcast(written(each.groupBy("gram").count().where(f"count > {BANDED}").select("gram", F.lit(True).alias("many")), "wide-grams"))
+    each = each.join(many, "gram", "left")
+    few = each.where("many is null").select(F.col("gram").cast("string").cast("binary").alias("key"), F.lit(0).alias("first"), F.lit(1 << 30).alias("end"), "left", "right", "copies", "context")
+    for first, end in _bands(LENGTH):
+        shared = max(0, LENGTH - end + 1)  # a repeat of this band has so many bytes on the left, and `first` on the right
+        here = each.where(F.col("many") & (F.length("right") >= first) & (F.length("left") >= shared))
+        own = F.concat(F.lit(f"{first} ".encode()), F.substring("left", 1, shared), F.substring("right", 1, first))
+        few = few.unionByName(here.select(F.unhex(F.sha2(own, 256)).alias("key"), F.lit(first).alias("first"), F.lit(end).alias("end"), "left", "right", "copies", "context"))
+    groups = few.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped(LENGTH), "repeat binary, l int, r int, context binary")
+    found = written(groups, "repeat-groups").join(around.select("context", "doc", "pos"), "context")
+    clipped = (F.col("l") == reach) | (F.col("r") == reach)
+    found = found.select("repeat", (F.col("l") + F.col("r")).alias("n_bytes"), clipped.alias("clipped"), "doc", (F.col("pos") - F.col("l")).alias("start"))
+    found = found.groupBy("repeat", "n_bytes", "doc", "start").agg(F.bool_and("clipped").alias("clipped"))
+    return found.join(rows.select("doc", "doc_id"), "doc").select(F.lower(F.hex("repeat")).alias("repeat"), "n_bytes", "clipped", "doc_id", "start")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
