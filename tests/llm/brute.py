@@ -58,3 +58,25 @@ def cut_repeats(docs: list[tuple[int, str | None]], length: int = 100) -> dict[i
         spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[doc] = (len(raw), sum(gone), spans, hashlib.sha256(left).hexdigest())
     return out
+
+
+def maximal_repeats(docs: list[tuple[int, str | None]], length: int = 100) -> set[tuple[bytes, int, int]]:
+    """(string, doc_id, start) of every occurrence of every maximal repeat: the strings of pairs of places that differ, or end, on both sides."""
+    raws = {d: (t or "").encode() for d, t in docs}
+    places = defaultdict(list)
+    for d, raw in raws.items():
+        for i in range(len(raw) - length + 1):
+            places[raw[i : i + length]].append((d, i))
+    strings = set()
+    for at in places.values():
+        for k, (d, i) in enumerate(at):
+            for e, j in at[:k]:
+                a, b = raws[d], raws[e]
+                if i and j and a[i - 1] == b[j - 1]:
+                    continue
+                n = length
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                strings.add(a[i : i + n])
+    return {(w, d, i) for w in strings for d, i in places[w[:length]] if raws[d][i : i + len(w)] == w}
+
