@@ -29,7 +29,7 @@ from .words import text_column
 #: Fixed pattern of the byte-level pre-tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of word encodings that a worker keeps; beyond that only those of the words at hand stay.
-KEEP_BYTES = 48 << 20
+KEEP_BYTES = 32 << 20
 #: Bytes of a word that is kept at all, and pairs of tokens whose test is kept.
 KEEP_WORD, KEEP_PAIRS = 1 << 10, 200_000
 #: Letters of texts that share one walk; words of a longer text that do.

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between the JVM and Python workers, which hold a few copies of it.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Rows up to which `checked_broadcast` broadcasts a side of a few fixed-width columns (about 64 bytes a row).
 BROADCAST_ROWS = 500_000
 

@@ -17,11 +17,12 @@ from .common import checked_broadcast, numbered, scratch, written
 #: Rows of one group that share a copy of the kept text in the byte check; larger groups get more copies.
 ROWS_PER_SALT = 2048
 
-#: Settings of the state store. Its native memory is bounded for each executor.
+#: Settings of the state store. Its native memory is bounded for each executor, and stores of a query that has ended are soon closed.
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "192",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "10s",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }

@@ -35,7 +35,7 @@ PERMS, ROWS = 128, 4
 #: Signature values read between two looks at the posterior, and the miss probability of each look.
 BATCH, MISS = 32, 1e-6
 #: Members of a block in the search of a bucket, and bytes of their shingle sets together (a larger set is alone).
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
