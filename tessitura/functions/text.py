@@ -29,6 +29,10 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
+
+
 def fold(value: str) -> str:
     """Compatibility form in lower case without marks; sharp and final s as plain ones."""
     text = unicodedata.normalize("NFKC", value).lower().replace("ß", "ss").replace("ς", "σ")
@@ -46,7 +50,7 @@ def words(value: Column, table: Mapping[str, str] | None = None) -> Column:
     Compatibility forms, case, sharp and final s, marks and, with `table`, single characters fold. Null is empty.
     """
     text = F.coalesce(value, F.lit(""))
-    folded = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(_folded(text))
+    folded = F.when(is_ascii(text), F.lower(text)).otherwise(_folded(text))
     folded = translated(folded, table)
     return F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " "))
 
@@ -154,7 +158,7 @@ def _found(text: Column, pattern: str) -> Column:
 
 def is_dynamic_playlist(ident: Column) -> Column:
     """Mixes and personal lists change with each visitor."""
-    return F.coalesce(ident.rlike("^(RD|UL|LL|WL|HL)"), F.lit(False))
+    return F.coalesce(ident.rlike("^(RD|UL|LL|WL)"), F.lit(False))
 
 
 def video_url(ident: Column) -> Column:
@@ -166,20 +170,34 @@ def playlist_url(ident: Column) -> Column:
 
 
 def safe_name(text: Column, limit: int = 120) -> Column:
-    """A file name without reserved or control characters, of at most `limit` characters, never empty."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r'[\\/:*?"<>|\x00-\x1f]+', " ")
-    bare = F.regexp_replace(F.trim(F.regexp_replace(bare, r"\s+", " ")), r"^[. ]+|[. ]+$", "")
-    return F.coalesce(F.nullif(F.left(bare, F.lit(limit)), F.lit("")), F.lit("untitled"))
+    """A file name without reserved or control characters, of at most `limit` characters; empty if nothing is left."""
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r'[/\\:*?"<>|\x00-\x1f]', " ")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), r"^[ .]+|[ .]+$", "")
+    return F.left(bare, F.lit(limit))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any script at the ends; null as empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
-def canonical_name(artist: Column, track: Column, ident: Column) -> Column:
-    """`artist - track [id]`, each part only if it is there."""
-    names = F.concat_ws(" - ", F.nullif(artist, F.lit("")), F.nullif(track, F.lit("")))
-    return F.when(F.coalesce(ident, F.lit("")) == "", safe_name(names)).otherwise(F.concat(safe_name(names), F.lit(" ["), ident, F.lit("]")))
+def canonical_name(artist: Column, track: Column, ident: Column, suffix: Column | None = None) -> Column:
+    """`artist - track [id]` and the suffix, artist and id only if they are there; null without a track."""
+    artist, track = trimmed(artist), trimmed(track)
+    base = F.when(artist == "", track).otherwise(F.concat(artist, F.lit(" - "), track))
+    tail = F.when(F.coalesce(ident, F.lit("")) == "", "").otherwise(F.concat(F.lit(" ["), ident, F.lit("]")))
+    return F.when(track != "", F.concat(safe_name(base), tail, F.coalesce(suffix, F.lit("")) if suffix is not None else F.lit("")))
 
 
-#: Signs of failures that pass.
-TRANSIENT = r"(?i)timed? ?out|temporar|connection (?:reset|refused|aborted)|too many requests|\b(?:429|500|502|503|504)\b"
+#: Signs of a crash that may pass when tried again: exits by a signal, the C++ runtime, no output.
+TRANSIENT = r"(?iU)退出码 -\d+|libc\+\+abi|std::__1::system_error|recursive_mutex|Segmentation fault|produced no output files|Bus error|Resource temporarily unavailable"
+#: Words in a listing's error and its kind, the first that fits.
+LISTING_ERRORS = [
+    (("does not exist", "not found", "404"), "not found"),
+    (("private",), "private"),
+    (("sign in", "login", "cookies", "bot"), "login required"),
+    (("unavailable",), "unavailable"),
+]
 
 
 def is_transient(message: Column) -> Column:
@@ -187,14 +205,12 @@ def is_transient(message: Column) -> Column:
 
 
 def friendly_error(message: Column) -> Column:
-    low = F.lower(F.coalesce(message, F.lit("")))
-    return (
-        F.when(low.contains("private"), "private")
-        .when(low.contains("unavailable") | low.contains("removed"), "unavailable")
-        .when(low.contains("sign in") | low.contains("login"), "login required")
-        .when(is_transient(message), "try again")
-        .otherwise("failed")
-    )
+    """Kind of a listing's error, else `failed: ` and the first 200 letters of the message."""
+    raw = F.coalesce(message, F.lit(""))
+    case = F.when(F.lit(False), F.lit(""))
+    for signs, kind in LISTING_ERRORS:
+        case = case.when(F.lower(raw).rlike("|".join(signs)), kind)
+    return case.otherwise(F.concat(F.lit("failed: "), F.left(raw, F.lit(200))))
 
 
 def origin(url: Column) -> Column:
@@ -222,7 +238,8 @@ def hidden_path(path: Column) -> Column:
 
 
 def suggestion(title: Column, limit: int = 28) -> Column:
-    """A search text from a title: without brackets and what follows a bar, cut to `limit` characters."""
-    bare = F.regexp_replace(F.coalesce(title, F.lit("")), r"[（(【\[][^)）】\]]*[)）】\]]", " ")
-    bare = F.regexp_replace(bare, r"\s*[|｜].*$", "")
-    return F.left(F.trim(F.regexp_replace(bare, r"\s+", " ")), F.lit(limit))
+    """A search text from a title: without what brackets and quotes hold, but with the name in book marks; cut to `limit` characters."""
+    title = F.coalesce(title, F.lit(""))
+    name = F.regexp_extract(title, r"(?U)《\s*([^《》]+?)\s*》", 1)
+    bare = trimmed(F.regexp_replace(F.regexp_replace(title, r"[\(（\[【『「][^)）\]】』」]*[\)）\]】』」]", " "), r"(?U)\s+", " "))
+    return F.left(F.when((name != "") & ~bare.contains(name), trimmed(F.concat_ws(" ", bare, name))).otherwise(bare), F.lit(limit))
