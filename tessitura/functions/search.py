@@ -6,6 +6,7 @@ An index is an array of three structs (text, phonetics, initials): shown title,
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,14 +66,21 @@ def query_score(index: Column, needle: Column) -> Column:
     return F.when(text == "", F.lit(0.0)).otherwise(best)
 
 
-def search(songs: DataFrame, query: str, table: Mapping[str, str] | None = None) -> DataFrame:
-    """Songs with an `index` column that a query finds, best first; ties by the names' sound, then text, then id.
+def search(songs: DataFrame, query: str, table: Mapping[str, str] | None = None, most: int | None = None) -> DataFrame:
+    """Songs with an `index` column that a query finds, best first, at most `most`; ties by the names' sound, then text, then id.
 
-    A URL that holds the query scores 10 if nothing scores more.
+    A URL that holds the query scores 10 if nothing scores more. A song is scored only if each term, or the whole query,
+    stands somewhere in its index, which one look at all its texts together decides.
     """
     text, terms = parse_query(query, table)
     needle = F.struct(F.lit(text).alias("text"), F.array(*map(F.lit, terms)).cast("array<string>").alias("terms"))
-    rows = songs.withColumn("relevance", query_score(F.col("index"), needle))
+    rows = songs.withColumn("_all", F.array_join(F.flatten(F.transform("index", lambda f: F.concat(F.array(f["text"]), f["phonetics"], f["initials"]))), "\n"))
+    near = F.col("_all").contains(text)
+    if terms:
+        near |= reduce(lambda a, b: a & b, (F.col("_all").contains(t) for t in terms))
+    title, artist = F.col("index").getItem(0)["text"], F.col("index").getItem(1)["text"]
+    near |= (F.length(title) + F.length(artist) == len(text)) & (F.concat(title, artist).isin(text) | F.concat(artist, title).isin(text))
+    rows = rows.withColumn("relevance", F.when(near, query_score(F.col("index"), needle)).otherwise(F.lit(-1.0))).drop("_all")
     if "url" in songs.columns and query.strip():
         in_url = (needle.getField("text") != "") & F.lower(F.coalesce("url", F.lit(""))).contains(query.strip().casefold())
         rows = rows.withColumn("relevance", F.when(in_url, F.greatest("relevance", F.lit(float(URL_HIT)))).otherwise(F.col("relevance")))
@@ -81,4 +89,5 @@ def search(songs: DataFrame, query: str, table: Mapping[str, str] | None = None)
         field = F.col("index").getItem(k)
         return [F.coalesce(F.try_element_at(field.getField("phonetics"), F.lit(1)), field.getField("text")), field.getField("text")]
 
-    return rows.where("relevance >= 0").orderBy(F.col("relevance").desc(), *names(0), *names(1), F.col("id").cast("string"))
+    found = rows.where("relevance >= 0").orderBy(F.col("relevance").desc(), *names(0), *names(1), F.col("id").cast("string"))
+    return found if most is None else found.limit(most)

@@ -30,21 +30,22 @@ def language_bucket(title: Column) -> Column:
 
 
 def song_info(songs: DataFrame) -> DataFrame:
-    """Shown title and artist, language, number of Han characters, first letter."""
+    """Shown title and artist, language, number of Han characters, and the letters of song and artist by the search index."""
     title = F.coalesce(F.expr("nullif(track, '')") if "track" in songs.columns else F.lit(None).cast("string"), F.expr("nullif(title, '')"), F.lit("未命名"))
-    artist = F.coalesce("artist", F.lit(""))
-    return (
-        songs.withColumn("shown_title", title)
-        .withColumn("shown_artist", artist)
-        .withColumn("lang", language_bucket(F.col("title")))
-        .withColumn("chars", F.regexp_count("shown_title", F.lit(HAN)))
-        .withColumn("letter", letter(F.coalesce(F.expr("nullif(shown_artist, '')"), F.col("shown_title"))))
-    )
-
-
-def letter(text: Column) -> Column:
-    """A-Z by the first letter or digit of a folded text, # for all else."""
-    first = F.upper(F.substring(text, 1, 1))
+    return songs.withColumns({
+        "shown_title": title,
+        "shown_artist": F.coalesce("artist", F.lit("")),
+        "lang": language_bucket(F.col("title")),
+        "chars": F.regexp_count(title, F.lit(HAN)),
+        "letter": letter(F.col("index").getItem(0)),
+        "artist_letter": letter(F.col("index").getItem(1)),
+    })
+
+
+def letter(field: Column) -> Column:
+    """A-Z by how an index field is read, full sounds before its folded text; # for all else."""
+    sound = F.coalesce(F.nullif(F.try_element_at(field["phonetics"], F.lit(1)), F.lit("")), field["text"])
+    first = F.upper(F.left(sound, F.lit(1)))
     return F.when(first.rlike("^[A-Z]$"), first).otherwise(F.lit("#"))
 
 

@@ -7,11 +7,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.functions.text import trimmed
+from tessitura.functions.titles import cleaned_artist
+
 
 def safe_metadata(songs: DataFrame, limit: int = 400) -> DataFrame:
-    """Trimmed names of at most `limit` characters; an empty title falls back to the track, then to a placeholder."""
-    cut = lambda c: F.nullif(F.left(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(limit)), F.lit(""))
-    return songs.withColumn("title", F.coalesce(cut("title"), cut("track"), F.lit("未命名"))).withColumn("artist", F.coalesce(cut("artist"), F.lit("")))
+    """What guests see of songs: id, title, track, artist, duration. Names are trimmed and of at most `limit` letters; an
+    empty title is the track, else a placeholder, an empty track the title."""
+    cut = lambda c: F.left(trimmed(F.col(c)), F.lit(limit))
+    title = F.coalesce(F.nullif(cut("title"), F.lit("")), F.nullif(cut("track"), F.lit("")), F.lit("Untitled song"))
+    return songs.select("id", title.alias("title"), F.coalesce(F.nullif(cut("track"), F.lit("")), title).alias("track"), cut("artist").alias("artist"), F.col("duration").cast("double").alias("duration"))
 
 
 def playable(songs: DataFrame) -> DataFrame:
@@ -19,10 +24,25 @@ def playable(songs: DataFrame) -> DataFrame:
     return songs.where("state = 'done' AND coalesce(instrumental, '') <> ''")
 
 
-def keep_artist(old: Column, new: Column, has_han: Column) -> Column:
-    """A stored artist stays when the new one is empty, or lacks the Han script that the old one has."""
-    stays = (F.coalesce(new, F.lit("")) == "") | (old.rlike(r"[\x{4e00}-\x{9fff}]") & ~has_han)
-    return F.when((F.coalesce(old, F.lit("")) != "") & stays, old).otherwise(new)
+def keep_artist(jobs: DataFrame) -> DataFrame:
+    """Plans (artist, track, planned_artist, planned_track, changed) in which a stored artist that cleaning leaves anything of
+    stays: its cleaned form replaces a planned artist that is neither it nor the stored one. changed is then anew."""
+    now, planned = trimmed(F.col("artist")), F.coalesce("planned_artist", F.lit(""))
+    clean = cleaned_artist(now)
+    keeps = (now != "") & (clean != "") & (planned != now) & (planned != clean)
+    track = F.nullif(trimmed(F.col("track")), F.lit(""))
+    moved = ~F.nullif(F.col("planned_track"), F.lit("")).eqNullSafe(track) | (clean != now)
+    return jobs.withColumns({"planned_artist": F.when(keeps, clean).otherwise(F.col("planned_artist")), "changed": F.when(keeps, moved).otherwise(F.col("changed"))})
+
+
+def to_maintain(songs: DataFrame, most_lines: int | None = None, without_artist: bool = False, limit: int | None = None) -> DataFrame:
+    """Songs that a maintenance run takes: finished ones of at most so many lines (unknown is none), or those without an artist; by id, at most `limit`."""
+    rows = songs
+    if most_lines is not None:
+        rows = rows.where((F.col("state") == "done") & (F.coalesce("line_count", F.lit(0)) <= most_lines))
+    if without_artist:
+        rows = rows.where(trimmed(F.col("artist")) == "")
+    return rows if limit is None else rows.orderBy("id").limit(limit)
 
 
 def queued_markers(songs: DataFrame, queue: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.functions.states import ACTIVE, PENDING
+
 from .history import latest_match
 
-ACTIVE = ("queued", "downloading", "separating", "transcribing")
 IMPORTABLE = ("new", "failed")
 LONGEST_SECONDS = 900
 
@@ -18,7 +19,8 @@ def newest(jobs: DataFrame, key: str, states: list[str] | None = None) -> DataFr
 
 
 def status_of(state: Column) -> Column:
-    return F.when(state.isNull(), "new").when(state == "done", "done").when(state.isin("error", "cancelled"), "failed").otherwise("pending")
+    """new without a job; only queued and running jobs are pending, all but finished ones else have failed."""
+    return F.when(state.isNull(), "new").when(state == "done", "done").when(state.isin(*PENDING), "pending").otherwise("failed")
 
 
 def duration_ok(duration: Column, longest: float = LONGEST_SECONDS) -> Column:
@@ -28,15 +30,15 @@ def duration_ok(duration: Column, longest: float = LONGEST_SECONDS) -> Column:
 
 def listing_status(entries: DataFrame, jobs: DataFrame, longest: float = LONGEST_SECONDS) -> DataFrame:
     """Entries of a listing with their state: unavailable, too long, else that of the newest job of the same video."""
-    last = newest(jobs.select("video_id", "id", "state", "created_at"), "video_id").select("video_id", F.col("id").alias("job_id"), F.col("state").alias("job_state"))
+    last = newest(jobs.where("video_id <> ''").select("video_id", "id", "state", "created_at"), "video_id").select("video_id", F.col("id").alias("job_id"), F.col("state").alias("job_state"))
     status = F.when(F.coalesce("unavailable", F.lit(False)), "unavailable").when(~duration_ok(F.col("duration"), longest), "too_long").otherwise(status_of(F.col("job_state")))
     return entries.join(last, "video_id", "left").withColumn("status", status)
 
 
 def local_status(entries: DataFrame, jobs: DataFrame) -> DataFrame:
     """Files with the state of the newest job of their video, else of their path: two equi-joins, no OR."""
-    by_video = newest(jobs.select("video_id", "id", "state", "created_at"), "video_id").select("video_id", F.col("id").alias("_v"), F.col("state").alias("_vs"))
-    by_path = newest(jobs.select(F.col("local_path").alias("path"), "id", "state", "created_at"), "path").select("path", F.col("id").alias("_p"), F.col("state").alias("_ps"))
+    by_video = newest(jobs.where("video_id <> ''").select("video_id", "id", "state", "created_at"), "video_id").select("video_id", F.col("id").alias("_v"), F.col("state").alias("_vs"))
+    by_path = newest(jobs.where("local_path <> ''").select(F.col("local_path").alias("path"), "id", "state", "created_at"), "path").select("path", F.col("id").alias("_p"), F.col("state").alias("_ps"))
     met = entries.join(by_video, "video_id", "left").join(by_path, "path", "left")
     return met.withColumn("job_id", F.coalesce("_v", "_p")).withColumn("status", status_of(F.coalesce("_vs", "_ps"))).drop("_v", "_vs", "_p", "_ps")
 
@@ -56,14 +58,11 @@ def summary(entries: DataFrame, column: str = "status") -> DataFrame:
 
 
 def create_or_reuse(requests: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(requests that need a new job, requests with the newest active or finished job of their video or path)."""
-    live = jobs.where(F.col("state").isin(*ACTIVE, "done")).select("id", "video_id", "local_path", "created_at")
-    by_video = requests.join(live.select("id", "video_id", "created_at"), "video_id")
-    by_path = requests.join(live.select("id", F.col("local_path").alias("path"), "created_at"), "path")
-    both = by_video.select("request_id", "id", "created_at").unionByName(by_path.select("request_id", "id", "created_at"))
-    reused = both.groupBy("request_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("job_id"))
-    fresh = requests.join(live.where("video_id <> ''"), "video_id", "left_anti").join(live.select(F.col("local_path").alias("path")).where("path <> ''"), "path", "left_anti")
-    return fresh, reused
+    """(requests that need a new job, requests with the newest active or finished job of their video or path). Blank videos and paths are those of nothing."""
+    live = jobs.where(F.col("state").isin(*ACTIVE, "done")).select("id", "video_id", F.col("local_path").alias("path"), "created_at")
+    found = [requests.join(live.where(F.col(key) != "").select("id", key, "created_at"), key).select("request_id", "id", "created_at") for key in ("video_id", "path")]
+    reused = found[0].unionByName(found[1]).groupBy("request_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("job_id"))
+    return requests.join(reused, "request_id", "left_anti"), reused
 
 
 def distinct_entries(entries: DataFrame, key: str, order: str) -> DataFrame:
@@ -96,14 +95,18 @@ def stems_agree(stems: DataFrame) -> DataFrame:
 
 
 def rename_plan(files: DataFrame) -> DataFrame:
-    """What a renaming would do to each file (id, path, target): missing, same, clash or renamed."""
-    taken = files.groupBy(F.col("target").alias("_t")).agg(F.count(F.lit(1)).alias("_same_target"))
+    """What a renaming would do to each file (id, path, target): missing, same (also without a target), clash with a file that is there, or renamed."""
     there = files.select(F.col("path").alias("_e")).where("_e is not null").distinct()
-    met = files.join(taken, F.col("target") == F.col("_t"), "left").join(there, F.col("target") == F.col("_e"), "left")
+    met = files.join(there, F.col("target") == F.col("_e"), "left")
     plan = (
         F.when(F.col("path").isNull(), "missing")
-        .when(F.col("path") == F.col("target"), "same")
-        .when(F.col("_e").isNotNull() | (F.col("_same_target") > 1), "clash")
+        .when((F.coalesce("target", F.lit("")) == "") | (F.col("path") == F.col("target")), "same")
+        .when(F.col("_e").isNotNull(), "clash")
         .otherwise("renamed")
     )
-    return met.withColumn("plan", plan).drop("_t", "_e", "_same_target")
+    return met.withColumn("plan", plan).drop("_e")
+
+
+def skipped(entries: DataFrame, column: str = "status") -> DataFrame:
+    """Entries that are not imported, with the reason: their state."""
+    return entries.where(~F.col(column).isin(*IMPORTABLE)).withColumn("reason", F.col(column))

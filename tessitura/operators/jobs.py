@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessitura.functions.clock import trial_expiry
+from tessitura.functions.states import TERMINAL
 
 JOB_STATE = "job_id string, state string, generation int, progress int, accepted int, refused int"
-TERMINAL = ("done", "error", "cancelled")
 
 
 def fold_job(events: list[dict]) -> dict:
@@ -62,6 +62,24 @@ def trials(selections: DataFrame) -> DataFrame:
     return one.withColumn("expires_at", trial_expiry(F.col("session_end"), F.col("at"), F.col("duration")))
 
 
+def select_trial(held: DataFrame, request: dict, now: float) -> tuple[DataFrame, str]:
+    """(trials after a guest's selection, what came of it) for a request (guest, job_id, duration, session_end).
+
+    A guest has one selection: asking for the same song again is answered by it ("same"), another song is refused
+    ("refused"); after its end, or the session's, all are ("over"). A new selection ("accepted") purges trials whose session has ended.
+    """
+    own = held.where(F.col("guest") == request["guest"]).limit(1).collect()  # one guest's row
+    if own:
+        over = own[0]["completed_at"] is not None or own[0]["expires_at"] <= now
+        return held, "over" if over else "same" if own[0]["job_id"] == request["job_id"] else "refused"
+    if now >= request["session_end"]:
+        return held, "over"
+    row = held.sparkSession.range(1).select(*(F.lit(request[c]).alias(c) for c in ("guest", "job_id", "duration", "session_end")), F.lit(now).alias("at"), F.lit(None).cast("double").alias("completed_at"))
+    row = row.withColumn("expires_at", trial_expiry(F.col("session_end"), F.col("at"), F.col("duration")))
+    kept = held.where(F.col("session_end") > now)
+    return kept.unionByName(row.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in held.schema.fields))), "accepted"
+
+
 def trial_state(rows: DataFrame, now: float) -> DataFrame:
     """complete before expired before active before available, with the seconds that are left."""
     state = (

@@ -82,10 +82,16 @@ def public_view(rooms: DataFrame, after: int | None) -> DataFrame:
     return rooms.select(*(F.when(changed, F.col(c)).alias(c) if c in ("queue", "current", "playback") else c for c in rooms.columns))
 
 
-def failures_in_window(attempts: DataFrame, seconds: int = JOIN_SECONDS, most: int = JOIN_FAILURES) -> DataFrame:
-    """Attempts with the failures of the same key in the seconds before, this one included, and whether that is too many."""
-    w = Window.partitionBy("key").orderBy("at").rangeBetween(-seconds, 0)
-    return attempts.withColumn("recent", F.sum(F.when(F.col("failed"), 1).otherwise(0)).over(w)).withColumn("refused", F.col("recent") >= most)
+def failures_in_window(attempts: DataFrame, milliseconds: int = 1000 * JOIN_SECONDS, most: int = JOIN_FAILURES) -> DataFrame:
+    """Attempts (key, at in milliseconds, seq, failed) with the failures of the same key before them, less than so long ago, and whether those are too many.
+
+    failed is whether a failure was recorded: a refused attempt records none. Attempts at the same time go by seq.
+    """
+    failed = F.when(F.col("failed"), 1).otherwise(0)
+    same = Window.partitionBy("key", "at").orderBy(F.col("seq").desc())
+    late = F.sum(failed).over(same)  # this one and later ones of the same time
+    near = F.sum(failed).over(Window.partitionBy("key").orderBy("at").rangeBetween(1 - milliseconds, 0))
+    return attempts.withColumn("recent", near - late).withColumn("refused", F.col("recent") >= most)
 
 
 def recent_values(log: DataFrame, key: list[str], value: str, at: str, most: int = 192) -> DataFrame:
@@ -103,15 +109,27 @@ def work_list(jobs: DataFrame, shown: int = 50) -> DataFrame:
 
 
 def queue_status(tasks: DataFrame, workers: DataFrame, now: float) -> DataFrame:
-    """One row: waiting tasks, ids of running ones, workers seen lately and those of them without a task."""
+    """One row: waiting and running tasks, workers seen lately, and those of them without a task."""
     busy = tasks.where("state = 'running'").select("worker_id").distinct()
     seen = workers.where(now - F.col("seen_at") <= WORKER_SECONDS)
     idle = seen.join(busy, "worker_id", "left_anti").agg(F.count(F.lit(1)).alias("idle"))
     alive = seen.agg(F.count(F.lit(1)).alias("workers"))
-    state = tasks.agg(F.count_if(F.col("state") == "waiting").alias("waiting"), F.array_sort(F.collect_list(F.when(F.col("state") == "running", F.col("task_id")))).alias("running"))
+    state = tasks.agg(F.count_if(F.col("state") == "waiting").alias("waiting"), F.count_if(F.col("state") == "running").alias("running"))
     return state.crossJoin(alive).crossJoin(idle)  # one row each
 
 
+def running_tasks(tasks: DataFrame, now: float) -> DataFrame:
+    """Tasks that run, with their worker and the seconds that their lease has left."""
+    return tasks.where("state = 'running'").select("task_id", "kind", "worker_id", F.greatest(F.lit(0.0), F.col("lease_expires") - now).alias("left"))
+
+
+def idle_workers(tasks: DataFrame, workers: DataFrame, now: float) -> DataFrame:
+    """Workers seen lately, with how long ago and whether they have no task."""
+    busy = tasks.where("state = 'running'").select("worker_id", F.lit(True).alias("_busy")).distinct()
+    seen = workers.where(now - F.col("seen_at") <= WORKER_SECONDS).join(busy, "worker_id", "left")
+    return seen.select("worker_id", (now - F.col("seen_at")).alias("ago"), F.col("_busy").isNull().alias("idle"))
+
+
 def next_task(tasks: DataFrame, workers: DataFrame) -> DataFrame:
     """For each worker the oldest waiting task of a kind it can do."""
     can = workers.select("worker_id", F.explode("kinds").alias("kind"))
@@ -120,15 +138,30 @@ def next_task(tasks: DataFrame, workers: DataFrame) -> DataFrame:
 
 
 def requeued(tasks: DataFrame, now: float) -> DataFrame:
-    """Tasks whose lease has ended wait again, with one attempt more and no holder."""
+    """Tasks whose lease has ended wait again without a holder; their attempts were counted when they were claimed."""
     late = (F.col("state") == "running") & (F.col("lease_expires") <= now)
-    return tasks.select(
-        *(c for c in tasks.columns if c not in ("state", "attempts", "worker_id", "claim_token")),
-        F.when(late, "waiting").otherwise(F.col("state")).alias("state"),
-        F.when(late, F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"),
-        F.when(~late, F.col("worker_id")).alias("worker_id"),
-        F.when(~late, F.col("claim_token")).alias("claim_token"),
-    )
+    return tasks.withColumns({
+        "state": F.when(late, "waiting").otherwise(F.col("state")),
+        "worker_id": F.when(~late, F.col("worker_id")),
+        "claim_token": F.when(~late, F.col("claim_token")),
+        "lease_expires": F.when(late, F.lit(0).cast(tasks.schema["lease_expires"].dataType)).otherwise(F.col("lease_expires")),
+    })
+
+
+def claimed(tasks: DataFrame, worker_id, kinds: list[str], now: float, token: str, lease: float) -> DataFrame:
+    """Tasks after a worker's claim: late ones are requeued, then the first waiting task of its kinds is its own, under the token, with one attempt more."""
+    tasks = requeued(tasks, now)
+    first = tasks.where((F.col("state") == "waiting") & F.col("kind").isin(kinds)).agg(F.min(F.struct("created_at", "task_id")).alias("f")).select(F.col("f.task_id").alias("task_id"), F.lit(True).alias("_own"))
+    own = F.col("_own").isNotNull()
+    met = tasks.join(F.broadcast(first), "task_id", "left")  # one row
+    kind = lambda c: tasks.schema[c].dataType
+    return met.withColumns({
+        "state": F.when(own, "running").otherwise(F.col("state")),
+        "worker_id": F.when(own, F.lit(worker_id).cast(kind("worker_id"))).otherwise(F.col("worker_id")),
+        "claim_token": F.when(own, F.lit(token)).otherwise(F.col("claim_token")),
+        "attempts": (F.col("attempts") + own.cast("int")).cast(kind("attempts")),
+        "lease_expires": F.when(own, F.lit(now + lease).cast(kind("lease_expires"))).otherwise(F.col("lease_expires")),
+    }).drop("_own")
 
 
 def fenced(reports: DataFrame, tasks: DataFrame, now: float) -> DataFrame:

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TAPS = 9
 
 
+@dataclass(frozen=True)
+class Howl:
+    """The band in which a peak is sought, how far it must stand above the median, above which level harmonics
+    make it a voice, the level below which all is quiet, frames that confirm it, bins within which it holds."""
+
+    min_hz: float = 180
+    max_hz: float = 8000
+    over_median: float = 18
+    harmonic: float = 10
+    quiet: float = -70
+    frames: int = 6
+    near: int = 2
+
+
 def moving_average(rows: DataFrame, key: str, order: str, value: str, taps: int = TAPS) -> DataFrame:
     """Centred mean that counts what lies beyond the edges as zero: the sum over the taps there are, by all taps."""
     half = taps // 2
@@ -39,42 +57,64 @@ def spectrum_metrics(spectrum: DataFrame, key: str, reference: tuple[int, int],
     )
 
 
-def peak(spectrum: Column, least: float) -> Column:
-    """Struct of the highest bin, its level and prominence over the upper median, and whether it stands out by `least`.
+def peak(spectrum: Column, bin_hz: float, rule: Howl = Howl()) -> Column:
+    """Struct (bin, hz, db, prominence) of the peak of a spectrum in dB that may be a whistle, else null.
 
-    The upper median is element n/2 of the sorted values; a peak whose double frequency is nearly as
-    strong is a tone with harmonics, not a whistle.
+    The highest finite level of the band (the first of equal ones) must not be quiet and stand above the band's upper median.
+    A voice has harmonics: where both the second and the third multiple of the peak, a bin to either side, stand above the median,
+    there is no whistle; multiples beyond the band don't count.
     """
-    n = F.size(spectrum)
-    ordered = F.array_sort(spectrum)
-    median = F.element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
-    top = F.array_max(spectrum)
-    at = (F.array_position(spectrum, top) - 1).cast("int")
-    double = F.get(spectrum, at * 2)
-    return F.struct(at.alias("bin"), top.alias("level"), (top - median).alias("prominence"), ((top - median >= least) & F.coalesce(double < top - 6, F.lit(True))).alias("stands_out"))
-
-
-def confirmed_runs(frames: DataFrame, key: str, order: str, need: int = 6, near: int = 2, fall: float = 1.0) -> DataFrame:
-    """Frames at which a peak has held for `need` frames: within `near` bins of where its run began, falling at most `fall`.
-
-    The run's reference moves only when it breaks, so it is a fold over each key's frames in order.
+    low = max(1, math.ceil(rule.min_hz / bin_hz))
+    high = F.least(F.size(spectrum) - 1, F.lit(math.floor(rule.max_hz / bin_hz)))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    band = F.slice(spectrum, F.lit(low + 1), F.greatest(high - low + 1, F.lit(0)))
+    levels = F.array_sort(F.filter(band, finite))
+    top, n = F.array_max(levels), F.size(levels)
+    at = F.array_position(band, top).cast("int") + (low - 1)
+    median = F.get(levels, F.floor(n / 2).cast("int"))
+    prominence = top - median
+
+    def stands(k: int) -> Column:
+        around = F.array_max(F.filter(F.slice(spectrum, at * k, F.lit(3)), finite))
+        return F.coalesce((at * k + 1 <= high) & (around - median >= rule.harmonic), F.lit(False))
+
+    whistle = (high - low >= 8) & (n >= 8) & (top >= rule.quiet) & (prominence >= rule.over_median)
+    whistle = whistle & ~(stands(2) & stands(3))
+    return F.when(whistle, F.struct(at.alias("bin"), (at * F.lit(float(bin_hz))).alias("hz"), top.alias("db"), prominence.alias("prominence")))
+
+
+def confirmed_runs(frames: DataFrame, key: str, order: str, rule: Howl = Howl()) -> DataFrame:
+    """Frames (key, order, bin, db; no peak is null) at which a peak has held for `rule.frames`: key, order, bin, db.
+
+    A run goes on while the peak is within `rule.near` bins of where the run began; a frame without a peak ends it. A frame
+    at which the level falls by 1 dB or more counts but isn't told; once told, the run counts from zero. A run's bin depends
+    on its own beginning, so frames are folded in order, but only between breaks that neighbours show: no peak, or a step of
+    more than twice `near`. Those pieces are dealt out, so no task needs all frames of a key.
     """
+    w = Window.partitionBy(key).orderBy(order)
+    before = F.lag("bin").over(w)
+    breaks = F.col("bin").isNull() | before.isNull() | (F.abs(F.col("bin") - before) > 2 * rule.near)
+    cut = frames.withColumn("_breaks", breaks.cast("int")).withColumn("_last", F.when(F.col("bin").isNotNull() & before.isNotNull(), F.lag("db").over(w)))
+    pieces = cut.withColumn("_piece", F.sum("_breaks").over(w)).where("bin IS NOT NULL").select(key, "_piece", order, F.col("bin").cast("int").alias("bin"), F.col("db").cast("double").alias("db"), "_last")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        begin = level = None
-        count, out = 0, []
-        for at, b, v in zip(frame[order], frame["bin"], frame["level"], strict=True):
-            if begin is not None and abs(b - begin) <= near and v >= level - fall:
-                count += 1
-            else:
-                begin, count = b, 1
-            level = v
-            out.append((frame[key].iloc[0], at, int(begin), count, count >= need))
-        return pd.DataFrame(out, columns=[key, order, "run_bin", "run_length", "confirmed"])
+    def run(batches):
+        piece, begin, hits = None, 0, 0
+        for batch in batches:
+            told = []
+            rows = zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4, 5)), strict=True)
+            for k, (of, number, at, level, last) in enumerate(rows):
+                if (of, number) == piece and abs(at - begin) <= rule.near:
+                    hits += 1
+                else:
+                    begin, hits = at, 1
+                piece = of, number
+                if hits >= rule.frames and (last is None or level > last - 1):
+                    hits = 0
+                    told.append(k)
+            yield batch.take(pa.array(told, pa.int64())).select([0, 2, 3, 4])
 
     types = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
-    return frames.groupBy(key).applyInPandas(run, f"{key} {types[key]}, {order} {types[order]}, run_bin int, run_length int, confirmed boolean")
+    return pieces.repartition(key, "_piece").sortWithinPartitions(key, "_piece", order).mapInArrow(run, f"{key} {types[key]}, {order} {types[order]}, bin int, db double")
 
 
 def power_spectrum(samples: Column, size: int = 2048) -> Column:

@@ -33,10 +33,28 @@ def playable_songs(spark, sf):
     return catalog.playable(songs).select("id", "artist")
 
 
-@query(sql(" SELECT id, left(trim(title), 40) AS title FROM catalog WHERE trim(title) <> '' UNION ALL SELECT id, artist FROM catalog WHERE coalesce(trim(title), '') = ''", CATALOG))
+@query(sql(""", m AS (SELECT id, left(trim(coalesce(CASE WHEN id % 5 <> 0 THEN title END, '')), 40) AS t, left(trim(CASE WHEN id % 3 <> 0 THEN artist ELSE '' END), 40) AS k, left(trim(coalesce(artist, '')), 40) AS artist, duration FROM catalog),
+n AS (SELECT *, coalesce(nullif(t, ''), nullif(k, ''), 'Untitled song') AS title FROM m) SELECT id, title, coalesce(nullif(k, ''), title) AS track, artist, duration FROM n""", CATALOG))
 def safe_metadata(spark, sf):
-    songs = A.catalog(spark, sf).withColumn("track", F.col("artist"))
-    return catalog.safe_metadata(songs, 40).select("id", "title")
+    songs = A.catalog(spark, sf).withColumns({"track": F.when(F.col("id") % 3 != 0, F.col("artist")).otherwise(""), "title": F.when(F.col("id") % 5 != 0, F.col("title"))})
+    return catalog.safe_metadata(songs, 40)
+
+
+@query("""WITH j AS (SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 5 = 1 THEN 'Official' WHEN p_size % 5 = 2 THEN p_brand || ' • 49M plays' ELSE p_brand END AS artist, p_name AS track,
+  CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN p_partkey % 3 = 1 THEN p_type END AS planned, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE left(p_name, 5) END AS planned_track, p_size % 5 AS kind, p_brand FROM part),
+c AS (SELECT *, CASE WHEN kind < 2 THEN '' ELSE p_brand END AS clean FROM j), k AS (SELECT *, clean <> '' AND coalesce(planned, '') <> artist AND coalesce(planned, '') <> clean AS keeps FROM c)
+SELECT id, CASE WHEN keeps THEN clean ELSE planned END AS planned_artist, CASE WHEN keeps THEN planned_track <> track OR clean <> artist ELSE true END AS changed FROM k""")
+def keep_artist(spark, sf):
+    n, k = F.col("p_size") % 5, F.col("p_partkey")
+    artist = F.when(n == 0, "").when(n == 1, "Official").when(n == 2, F.concat("p_brand", F.lit(" • 49M plays"))).otherwise(F.col("p_brand"))
+    planned = F.when(k % 3 == 0, F.col("p_brand")).when(k % 3 == 1, F.col("p_type"))
+    jobs = A.table(spark, sf, "part").select(k.alias("id"), artist.alias("artist"), F.col("p_name").alias("track"), planned.alias("planned_artist"), F.when(k % 2 == 0, F.col("p_name")).otherwise(F.left("p_name", F.lit(5))).alias("planned_track"), F.lit(True).alias("changed"))
+    return catalog.keep_artist(jobs).select("id", "planned_artist", "changed")
+
+
+@query(sql(" SELECT id FROM catalog WHERE state = 'done' AND coalesce(line_count, 0) <= 4", CATALOG))
+def songs_to_refetch(spark, sf):
+    return catalog.to_maintain(A.catalog(spark, sf), most_lines=4).select("id")
 
 
 @query(sql(" SELECT id, id IN (SELECT o_custkey FROM orders) AS queued FROM catalog", CATALOG))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessitura.functions import phonetic
 from tessitura.operators import browse, history
 from tessitura.sources import adapters as A
 
-from .tables import CATALOG, PLAYS, sql
+from .tables import CATALOG, PLAYS, WORDS, sql
 
 QUERIES, SQL = {}, {}
 
@@ -22,7 +23,7 @@ def query(text: str | None = None):
     return add
 
 
-KEPT = ", kept AS (SELECT * FROM plays QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY id DESC) <= 50)"
+KEPT = ", kept AS (SELECT * FROM plays QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY id DESC) <= 500)"
 RANKED = KEPT + """, ranked AS (
   SELECT account_id, job_id, count(*) AS plays, max(started_at) AS last_played_at,
          row_number() OVER (PARTITION BY account_id ORDER BY count(*) DESC, max(started_at) DESC, job_id) AS place
@@ -127,17 +128,17 @@ BUCKET = """CASE WHEN regexp_matches(title, '(?i)粤语|粵語|廣東話|广东
  WHEN regexp_matches(title, '(?i)韩语|韓語|korean|k-?pop') THEN '韩语'
  WHEN regexp_matches(title, '(?i)闽南|閩南|台语|台語|hokkien') THEN '闽南语'
  WHEN regexp_matches(title, '[\\x{4e00}-\\x{9fff}]') THEN '国语' WHEN regexp_matches(title, '[a-zA-Z]') THEN '英语' ELSE '其他' END"""
+LETTER = "CASE WHEN regexp_matches(left({0}, 1), '^[a-z]$') THEN upper(left({0}, 1)) ELSE '#' END"
 INFO = f""", info AS (
   SELECT id, coalesce(nullif(title, ''), '未命名') AS shown_title, coalesce(artist, '') AS shown_artist, {BUCKET} AS lang,
          len(regexp_extract_all(coalesce(nullif(title, ''), '未命名'), '[\\x{{4e00}}-\\x{{9fff}}]')) AS chars,
-         CASE WHEN regexp_matches(upper(left(coalesce(nullif(title, ''), '未命名'), 1)), '^[A-Z]$') THEN upper(left(title, 1)) ELSE '#' END AS letter
+         {LETTER.format("replace(" + WORDS.format('title') + ", ' ', '')")} AS letter, {LETTER.format("replace(" + WORDS.format('artist') + ", ' ', '')")} AS artist_letter
   FROM catalog)"""
 
 
 def _info(spark, sf):
-    own = A.catalog(spark, sf)
-    info = browse.song_info(own.withColumn("artist", F.lit(None).cast("string")))
-    return info.select("id", "shown_title", "lang", "chars", "letter").join(own.select("id", F.coalesce("artist", F.lit("")).alias("shown_artist")), "id")
+    songs = phonetic.indexed(A.catalog(spark, sf).withColumn("track", F.lit(None).cast("string")))[0]
+    return browse.song_info(songs).select("id", "shown_title", "shown_artist", "lang", "chars", "letter", "artist_letter")
 
 
 @query(sql(INFO + " SELECT * FROM info", CATALOG))
@@ -163,11 +164,10 @@ def artist_groups_mode(spark, sf):
     return browse.artist_groups(part, "key", "spelling", "position")
 
 
-@query(sql(""", r AS (SELECT job_id, count(*) AS plays, max(started_at) AS last_played_at FROM plays WHERE account_id = '5' AND job_id <> '' GROUP BY 1)
-SELECT doc_id::VARCHAR AS job_id, lang, plays, last_played_at FROM documents JOIN r ON doc_id::VARCHAR = job_id""", PLAYS))
+@query(sql(RANKED + " SELECT account_id, job_id, lang, plays, last_played_at FROM documents JOIN ranked ON doc_id::VARCHAR = job_id WHERE place <= 500", PLAYS))
 def popular_join(spark, sf):
     songs = A.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("job_id"), "lang")
-    ranked = history.ranking(A.plays(spark, sf).where("account_id = '5'")).select("job_id", "plays", "last_played_at")
+    ranked = history.ranking(history.retain(A.plays(spark, sf))).select("account_id", "job_id", "plays", "last_played_at")
     return browse.popular(songs, ranked)
 
 

@@ -58,11 +58,13 @@ def room_directory(spark, sf):
     return rooms.directory(every.withColumn("queue", F.slice(F.array(*map(F.lit, "abc")), F.lit(1), (F.col("room_id") % 4).cast("int"))), members, NOW)
 
 
-@query("""SELECT event_id, (sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW))::BIGINT AS recent,
-  recent >= 3 AS refused FROM (SELECT event_id, user_id, event_type, date_trunc('second', ts) AS ts FROM events)""")
+@query("""WITH a AS (SELECT event_id, user_id, event_type = 'error' AS failed, epoch_us(date_trunc('minute', ts)) // 1000 AS at FROM events)
+SELECT a.event_id, count(b.event_id) AS recent, count(b.event_id) >= 3 AS refused
+FROM a LEFT JOIN a b ON a.user_id = b.user_id AND b.failed AND (b.at < a.at OR b.at = a.at AND b.event_id < a.event_id) AND a.at - b.at < 86400000 GROUP BY 1""")
 def rate_limit_window(spark, sf):
-    rows = _events(spark, sf).select("event_id", F.col("user_id").alias("key"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") == "error").alias("failed"))
-    return rooms.failures_in_window(rows, 86400, 3).select("event_id", "recent", "refused")
+    at = F.unix_millis(F.date_trunc("minute", F.col("ts").cast("timestamp")))
+    rows = _events(spark, sf).select("event_id", F.col("user_id").alias("key"), at.alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("failed"))
+    return rooms.failures_in_window(rows, 86_400_000, 3).select("event_id", "recent", "refused")
 
 
 @query("""SELECT event_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
@@ -94,7 +96,13 @@ def _tasks(spark, sf):
   (SELECT count(*) FROM customer WHERE 1000 - c_custkey % 1000 <= 90 AND c_custkey NOT IN (SELECT worker_id FROM tasks WHERE state = 'running')) AS idle FROM tasks""", TASKS))
 def queue_status(spark, sf):
     workers = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("worker_id"), (F.col("c_custkey") % 1000).alias("seen_at"))
-    return rooms.queue_status(_tasks(spark, sf), workers, 1000).withColumn("running", F.size("running").cast("long"))
+    return rooms.queue_status(_tasks(spark, sf), workers, 1000)
+
+
+@query(sql(""" SELECT c_custkey AS worker_id, 1000 - c_custkey % 1000 AS ago, c_custkey NOT IN (SELECT worker_id FROM tasks WHERE state = 'running') AS idle FROM customer WHERE 1000 - c_custkey % 1000 <= 90""", TASKS))
+def idle_workers(spark, sf):
+    workers = A.table(spark, sf, "customer").select(F.col("c_custkey").alias("worker_id"), (F.col("c_custkey") % 1000).alias("seen_at"))
+    return rooms.idle_workers(_tasks(spark, sf), workers, 1000)
 
 
 @query(sql(" SELECT c_custkey AS worker_id, arg_min(task_id, (created_at, task_id)) AS task_id FROM customer JOIN tasks ON kind IN ('1-URGENT', CASE WHEN c_custkey % 2 = 0 THEN '5-LOW' END) WHERE state = 'waiting' GROUP BY 1", TASKS))
@@ -103,10 +111,20 @@ def next_task(spark, sf):
     return rooms.next_task(_tasks(spark, sf), A.table(spark, sf, "customer").select(F.col("c_custkey").alias("worker_id"), kinds.alias("kinds")))
 
 
-@query(sql(""" SELECT task_id, CASE WHEN state = 'running' AND lease_expires <= 50 THEN 'waiting' ELSE state END AS state, CASE WHEN state = 'running' AND lease_expires <= 50 THEN attempts + 1 ELSE attempts END AS attempts,
-  CASE WHEN state = 'running' AND lease_expires <= 50 THEN NULL ELSE worker_id END AS worker_id FROM tasks""", TASKS))
+LATE = ", late AS (SELECT *, state = 'running' AND lease_expires <= 50 AS late FROM tasks), queue AS (SELECT task_id, CASE WHEN late THEN 'waiting' ELSE state END AS state, attempts, CASE WHEN NOT late THEN worker_id END AS worker_id, CASE WHEN late THEN 0 ELSE lease_expires END AS lease_expires, kind, created_at FROM late)"
+
+
+@query(sql(LATE + " SELECT task_id, state, attempts, worker_id, lease_expires FROM queue", TASKS))
 def task_requeue(spark, sf):
-    return rooms.requeued(_tasks(spark, sf), 50).select("task_id", "state", "attempts", "worker_id")
+    return rooms.requeued(_tasks(spark, sf), 50).select("task_id", "state", "attempts", "worker_id", "lease_expires")
+
+
+@query(sql(LATE + """, own AS (SELECT arg_min(task_id, (created_at, task_id)) AS own FROM queue WHERE state = 'waiting' AND kind IN ('1-URGENT', '5-LOW'))
+SELECT task_id, CASE WHEN task_id = own THEN 'running' ELSE state END AS state, CASE WHEN task_id = own THEN attempts + 1 ELSE attempts END AS attempts, CASE WHEN task_id = own THEN 77 ELSE worker_id END AS worker_id,
+  CASE WHEN task_id = own THEN 110 ELSE lease_expires END AS lease_expires, task_id = own AS claimed FROM queue, own""", TASKS))
+def task_claim(spark, sf):
+    tasks = rooms.claimed(_tasks(spark, sf), 77, ["1-URGENT", "5-LOW"], 50, "token", 60)
+    return tasks.select("task_id", "state", "attempts", "worker_id", "lease_expires", F.coalesce(F.col("claim_token") == "token", F.lit(False)).alias("claimed"))
 
 
 @query(sql(" SELECT task_id FROM tasks WHERE state = 'running' AND lease_expires > 50 AND worker_id % 2 = 0", TASKS))
@@ -194,11 +212,23 @@ def room_commands(spark, sf):
     return rooms.rooms_after(rows)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, ['create', 'update', 'update', 'cancel', 'retry', 'update'][event_id % 6 + 1] AS action,
+  event_id % 5 + 1 AS g, CASE event_id % 6 WHEN 5 THEN 'done' WHEN 2 THEN 'running' END AS to_state, event_id % 100 AS p FROM events),
+f AS (
+  SELECT DISTINCT job_id, 0::BIGINT AS n, NULL::VARCHAR AS state, 0::BIGINT AS generation, 0::BIGINT AS progress, 0::BIGINT AS accepted, 0::BIGINT AS refused FROM e
+  UNION ALL
+  SELECT job_id, n, CASE WHEN NOT ok THEN state WHEN action IN ('create', 'retry') THEN 'queued' WHEN action = 'cancel' THEN 'cancelled' ELSE coalesce(to_state, state) END,
+    CASE WHEN ok AND action IN ('create', 'retry') THEN generation + 1 ELSE generation END, CASE WHEN NOT ok OR action = 'cancel' THEN progress WHEN action = 'update' THEN p ELSE 0 END,
+    accepted + ok::INTEGER, refused + (NOT ok)::INTEGER
+  FROM (SELECT f.job_id, e.n, e.action, e.to_state, e.p, f.state, f.generation, f.progress, f.accepted, f.refused,
+          CASE e.action WHEN 'create' THEN f.state IS NULL WHEN 'retry' THEN coalesce(f.state IN ('error', 'cancelled'), false)
+            WHEN 'cancel' THEN coalesce(f.state NOT IN ('done', 'error', 'cancelled'), false) ELSE coalesce(f.state NOT IN ('done', 'error', 'cancelled'), false) AND e.g = f.generation END AS ok
+        FROM f JOIN e ON e.job_id = f.job_id AND e.n = f.n + 1))
+SELECT job_id, state, generation::INTEGER AS generation, progress::INTEGER AS progress, accepted::INTEGER AS accepted, refused::INTEGER AS refused FROM f QUALIFY n = max(n) OVER (PARTITION BY job_id)""")
 def job_lifecycle(spark, sf):
     e = _events(spark, sf)
     action = F.element_at(F.array(*map(F.lit, ["create", "update", "update", "cancel", "retry", "update"])), (F.col("event_id") % 6 + 1).cast("int"))
-    state = F.when(F.col("event_id") % 6 == 5, "done").when(F.col("event_id") % 6 == 2, "separating")
+    state = F.when(F.col("event_id") % 6 == 5, "done").when(F.col("event_id") % 6 == 2, "running")
     rows = e.select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("seq"), action.alias("action"), (F.col("event_id") % 5 + 1).cast("int").alias("generation"), state.alias("state"), (F.col("event_id") % 100).cast("int").alias("progress"))
     return jobs.jobs_after(rows)
 

@@ -26,6 +26,10 @@ BEATS = """beats AS (
   FROM events)"""
 
 
+#: A text's words in folded form.
+WORDS = "trim(regexp_replace(strip_accents(lower(replace(replace(coalesce({0}, ''), 'ß', 'ss'), 'ς', 'σ'))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+
 def sql(body: str, *ctes: str) -> str:
     """A query after common table expressions; its own may follow with a comma."""
     return "WITH " + ", ".join(ctes) + body

@@ -8,7 +8,7 @@ from tessitura.functions import clock, search, text, titles
 from tessitura.operators import dedupe, match
 from tessitura.sources import adapters as A
 
-from .tables import CATALOG, sql
+from .tables import CATALOG, WORDS, sql
 
 QUERIES, SQL = {}, {}
 
@@ -27,9 +27,6 @@ def _docs(spark, sf):
     return A.table(spark, sf, "documents")
 
 
-WORDS = "trim(regexp_replace(strip_accents(lower(replace(replace(coalesce({0}, ''), 'ß', 'ss'), 'ς', 'σ'))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
-
-
 @query(f"SELECT doc_id, sha256({WORDS.format('text')}) AS folded, replace({WORDS.format('source')}, ' ', '') AS key FROM documents")
 def fold_text(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2(text.words(F.col("text")), 256).alias("folded"), text.normalize(F.col("source")).alias("key"))
@@ -70,17 +67,50 @@ def url_ids(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", text.url_path_id(F.col("url")).alias("ident"))
 
 
-@query("""WITH n AS (SELECT c_custkey, trim(regexp_replace(regexp_replace(c_name, '[\\\\/:*?"<>|\\x00-\\x1f]+', ' ', 'g'), '\\s+', ' ', 'g')) AS b FROM customer)
-SELECT c_custkey, coalesce(nullif(left(regexp_replace(b, '^[. ]+|[. ]+$', '', 'g'), 120), ''), 'untitled') AS name FROM n""")
+SAFE = """left(regexp_replace(regexp_replace(regexp_replace({0}, '[/\\\\:*?"<>|\\x00-\\x1f]', ' ', 'g'), '\\s+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g'), 120)"""
+
+
+@query(f"SELECT page_id, {SAFE.format('url')} AS name FROM pages")
 def safe_names(spark, sf):
-    return A.table(spark, sf, "customer").select("c_custkey", text.safe_name(F.col("c_name")).alias("name"))
+    return A.table(spark, sf, "pages").select("page_id", text.safe_name(F.col("url")).alias("name"))
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN ' ' ELSE p_brand END AS a, CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_name || ': ' || p_type || '?' END AS t, CASE WHEN p_size % 3 = 0 THEN lpad(p_partkey::VARCHAR, 11, 'x') END AS v FROM part)
+SELECT id, CASE WHEN t IS NOT NULL THEN {SAFE.format("CASE WHEN trim(a) = '' THEN trim(t) ELSE trim(a) || ' - ' || trim(t) END")} || CASE WHEN v IS NULL THEN '' ELSE ' [' || v || ']' END || '.mp4' END AS name FROM p""")
+def canonical_names(spark, sf):
+    n = F.col("p_size")
+    artist, track = F.when(n % 4 == 0, " ").otherwise(F.col("p_brand")), F.when(n % 7 != 0, F.concat("p_name", F.lit(": "), "p_type", F.lit("?")))
+    ident = F.when(n % 3 == 0, F.lpad(F.col("p_partkey").cast("string"), 11, "x"))
+    return A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.canonical_name(artist, track, ident, F.lit(".mp4")).alias("name"))
+
+
+@query("""WITH m AS (SELECT p_partkey AS id, ['List does not exist', 'HTTP Error 404', 'This is a PRIVATE list', 'Please sign in', 'not a bot', 'video Unavailable', '退出码 -11', 'Bus error at ', 'produced no output files', 'HTTP 503 '][p_partkey % 10 + 1] || ' ' || p_type AS m FROM part)
+SELECT id, CASE WHEN regexp_matches(m, 'does not exist|404') THEN 'not found' WHEN contains(m, 'PRIVATE') THEN 'private' WHEN regexp_matches(m, 'sign in| bot') THEN 'login required' WHEN contains(m, 'Unavailable') THEN 'unavailable' ELSE 'failed: ' || left(m, 200) END AS kind,
+  regexp_matches(m, '退出码 -|Bus error|no output') AS transient FROM m""")
+def error_kinds(spark, sf):
+    said = ["List does not exist", "HTTP Error 404", "This is a PRIVATE list", "Please sign in", "not a bot", "video Unavailable", "退出码 -11", "Bus error at ", "produced no output files", "HTTP 503 "]
+    rows = A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", F.element_at(F.array(*map(F.lit, said)), (F.col("p_partkey") % 10 + 1).cast("int")), "p_type").alias("m"))
+    return rows.select("id", text.friendly_error(F.col("m")).alias("kind"), text.is_transient(F.col("m")).alias("transient"))
 
 
-@query("""WITH f AS (SELECT doc_id, lang, string_split(text, chr(10))[1] AS t FROM documents),
-b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '[（(【\\[][^)）】\\]]*[)）】\\]]', ' ', 'g'), '\\s*[|｜].*$', ''), '\\s+', ' ', 'g')) AS s FROM f)
-SELECT doc_id, left(s, 28) AS suggestion FROM b""")
+@query("""WITH u AS (SELECT p_partkey AS id, ['PL', 'RD', 'UL', 'LL', 'WL', 'HL', 'OL'][p_partkey % 7 + 1] || lpad(p_partkey::VARCHAR, 9, 'a') AS ident FROM part),
+v AS (SELECT *, CASE id % 3 WHEN 0 THEN 'https://www.youtube.com/watch?v=' || ident || '&list=' || ident WHEN 1 THEN 'https://youtu.be/' || ident || '?t=3' ELSE 'https://example.org/' || ident END AS url FROM u)
+SELECT id, nullif(regexp_extract(url, '(?:v=|/shorts/|youtu\\.be/|/embed/)([A-Za-z0-9_-]{11})', 1), '') AS video, nullif(regexp_extract(url, '[?&]list=([A-Za-z0-9_-]+)', 1), '') AS list, left(ident, 2) IN ('RD', 'UL', 'LL', 'WL') AS dynamic FROM v""")
+def listing_ids(spark, sf):
+    k = F.col("p_partkey")
+    ident = F.concat(F.element_at(F.array(*map(F.lit, ["PL", "RD", "UL", "LL", "WL", "HL", "OL"])), (k % 7 + 1).cast("int")), F.lpad(k.cast("string"), 9, "a"))
+    url = F.when(k % 3 == 0, F.concat(text.video_url(F.col("ident")), F.lit("&list="), "ident")).when(k % 3 == 1, F.concat(F.lit("https://youtu.be/"), "ident", F.lit("?t=3"))).otherwise(F.concat(F.lit("https://example.org/"), "ident"))
+    rows = A.table(spark, sf, "part").select(k.alias("id"), k, ident.alias("ident")).withColumn("url", url)
+    return rows.select("id", text.video_id(F.col("url")).alias("video"), text.playlist_id(F.col("url")).alias("list"), text.is_dynamic_playlist(F.col("ident")).alias("dynamic"))
+
+
+@query("""WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] || CASE WHEN doc_id % 3 = 0 THEN ' 《 ' || source || '》' WHEN doc_id % 3 = 1 THEN '【mv】（x）' ELSE ' | bar' END AS t FROM documents),
+b AS (SELECT doc_id, regexp_extract(t, '《\\s*([^《》]+?)\\s*》', 1) AS n, trim(regexp_replace(regexp_replace(t, '[\\(（\\[【『「][^)）\\]】』」]*[\\)）\\]】』」]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM f)
+SELECT doc_id, left(CASE WHEN n <> '' AND NOT contains(s, n) THEN trim(s || ' ' || n) ELSE s END, 28) AS suggestion FROM b""")
 def search_suggestion(spark, sf):
-    return _docs(spark, sf).select("doc_id", text.suggestion(F.split("text", "\n").getItem(0)).alias("suggestion"))
+    k = F.col("doc_id")
+    tail = F.when(k % 3 == 0, F.concat(F.lit(" 《 "), "source", F.lit("》"))).when(k % 3 == 1, "【mv】（x）").otherwise(" | bar")
+    return _docs(spark, sf).select("doc_id", text.suggestion(F.concat(F.split("text", "\n").getItem(0), tail)).alias("suggestion"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, trim(text) AS t FROM conversations)
@@ -180,15 +210,31 @@ def exact_names(spark, sf):
     return match.exact_names(songs, records)
 
 
-FLAT = "' ' || trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+def _quoted(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+def _sub(text: str, pattern: str, by: str = "") -> str:
+    return f"regexp_replace({text}, '(?i){_quoted(pattern)}', '{by}', 'g')"
+
+
+def _trim(text: str, letters: str = r"\s") -> str:
+    return _sub(text, f"^[{letters}]+|[{letters}]+$")
+
+
+def _junk(text: str) -> str:
+    return _trim(_sub(_sub(_sub(_sub(f"coalesce({text}, '')", titles.BIDI), titles.EMOJI, " "), titles.FILE_EXTENSION, " "), r"\s+", " "))
 
 
-@query(f"""WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents WHERE lang = 'en'),
-n AS (SELECT conv_id, left(regexp_extract(text, '^\\S+ \\S+'), 40) AS name FROM conversations WHERE turn = 0)
-SELECT doc_id, conv_id FROM t JOIN n ON trim(regexp_replace(lower(name), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) <> '' AND contains({FLAT.format('title')}, {FLAT.format('name')})""")
+LOOSE = "replace(replace(lower(" + _sub(_junk("{0}").replace("{", "{{").replace("}", "}}").replace("{{0}}", "{0}"), titles.LOOSE_PUNCTUATION) + "), 'ß', 'ss'), 'ς', 'σ')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {LOOSE.format("string_split(text, chr(10))[1]")} AS title FROM documents),
+n AS (SELECT conv_id, {LOOSE.format("regexp_extract(text, '^[^ ]+ [^ ]+')")} AS name FROM conversations)
+SELECT doc_id, conv_id FROM t JOIN n ON name <> '' AND contains(title, name)""")
 def substring_match(spark, sf):
     titles_ = _docs(spark, sf).select("doc_id", F.split("text", "\n").getItem(0).alias("title"))
-    names = A.table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("at"), F.regexp_extract("text", r"^\S+ \S+", 0).alias("name"))
+    names = A.table(spark, sf, "conversations").select(F.struct("conv_id", "turn").alias("at"), F.regexp_extract("text", r"^[^ ]+ [^ ]+", 0).alias("name"))
     return match.contained(titles_, names, "doc_id", "title", "at", "name").select("doc_id", "at.conv_id")
 
 
@@ -200,13 +246,12 @@ def substring_match_score(spark, sf):
     return match.first_best(match.containment_points(rows, "name", "off"), "key", "points", ["id"]).select("key", "id", "points", "accepted")
 
 
-@query("""WITH u AS (SELECT p_brand AS id, p_type, p_partkey AS n, 0 AS attempt FROM part WHERE p_partkey % 40 = 0 AND p_size < 10
-  UNION ALL SELECT p_brand, p_type, p_partkey, 1 FROM part WHERE p_partkey % 40 = 1), d AS (SELECT id, attempt, min(n) AS n FROM u GROUP BY 1, 2)
+@query("""WITH u AS (SELECT p_brand || ' ' || p_type AS id, p_partkey AS n, CASE WHEN p_size < 17 THEN 0 WHEN p_size < 34 THEN 1 ELSE 2 END AS attempt FROM part), d AS (SELECT id, attempt, min(n) AS n FROM u GROUP BY 1, 2)
 SELECT id, n, attempt FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY attempt) = 1""")
 def union_first_wins(spark, sf):
-    part = A.table(spark, sf, "part")
-    tries = [part.where("p_partkey % 40 = 0 AND p_size < 10"), part.where("p_partkey % 40 = 1")]
-    return match.union_first([t.groupBy(F.col("p_brand").alias("id")).agg(F.min("p_partkey").alias("n")) for t in tries], "id")
+    part = A.table(spark, sf, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("id"), F.col("p_partkey").alias("n"), "p_size")
+    tries = [part.where("p_size < 17"), part.where("p_size >= 17 AND p_size < 34"), part.where("p_size >= 34")]
+    return match.union_first([t.groupBy("id").agg(F.min("n").alias("n")) for t in tries], "id")
 
 
 @query("SELECT page_id, CASE WHEN starts_with(url, 'http://') THEN 'a:' || substr(url, 8) WHEN starts_with(url, 'https://m.') THEN 'm:' || substr(url, 11) ELSE url END AS url FROM pages")
@@ -233,24 +278,60 @@ def pseudonyms(spark, sf):
     return A.table(spark, sf, "customer").select("c_custkey", clock.pseudonym(F.lit("presence"), F.col("c_mktsegment"), F.col("c_custkey").cast("string")).alias("ident"))
 
 
-@query()
+def _clean_title_sql(text: str) -> str:
+    for pattern in (titles.NOISE, titles.PAREN_NOISE, titles.TRAILING, *[titles.TAIL_WORDS] * 4):
+        text = _sub(text, pattern)
+    return _trim(_trim(_sub(text, r"\s+", " "), " \\-–—|·丨｜_"))
+
+
+_EDGE = " \\-–—_·,、"
+# each layer of the tail goes on its own, unless nothing but edge letters would be left
+_LAYERS = ", ".join(f"t{k} AS (SELECT *, CASE WHEN {_trim(_sub(f's{k - 1}', titles.TAIL_JUNK + '$'), _EDGE)} <> '' THEN {_sub(f's{k - 1}', titles.TAIL_JUNK + '$')} ELSE s{k - 1} END AS s{k} FROM t{k - 1})" for k in range(1, 5))
+_NAMED = """WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS page FROM pages),
+m AS (SELECT page_id, page || ['', ' (Official Video)', ' HD 完整版', ' - Official MV', '【高清】 4K', ' 海 Sea of Songs', ' • 49M plays'][page_id % 7 + 1] AS title FROM p)"""
+_MADE = ["", " (Official Video)", " HD 完整版", " - Official MV", "【高清】 4K", " 海 Sea of Songs", " • 49M plays"]
+
+
+@query(f"""{_NAMED}, a AS (SELECT page_id, title, {_sub(_junk('title'), '[（(][^）)]*[）)]', ' ')} AS x FROM m),
+b AS (SELECT *, {_sub('x', '[【「『〖[][^】」』〗\\]]*[】」』〗\\]]', ' ')} AS y FROM a),
+c AS (SELECT *, regexp_split_to_array(CASE WHEN {_trim('y', _EDGE)} <> '' THEN y ELSE x END, '\\s+[-–—]\\s+') AS z FROM b),
+d AS (SELECT *, CASE WHEN len(z) > 1 AND regexp_matches(z[len(z)], '(?i){_quoted(titles.JUNK_TRACK)}') THEN array_to_string(z[1:len(z) - 1], ' ') ELSE CASE WHEN {_trim('y', _EDGE)} <> '' THEN y ELSE x END END AS e FROM c),
+t0 AS (SELECT *, coalesce(nullif(regexp_extract(e, '(?i)^(.*?{titles.HAN}[^A-Za-z]*)\\s*[A-Za-z][A-Za-z''’,.\\s!?&-]*$', 1), ''), e) AS s0 FROM d), {_LAYERS},
+g AS (SELECT page_id, {_sub(_junk('title'), titles.CHANNEL_STATS)} AS q FROM m),
+h AS (SELECT page_id, CASE WHEN regexp_matches(q, '{titles.HAN}') THEN coalesce([x FOR x IN regexp_split_to_array({_sub('q', "[（(][A-Za-z .'’-]+[）)]", ' ')}, '\\s+[-–—]\\s+') IF regexp_matches(x, '{titles.HAN}')][1], q) ELSE q END AS r FROM g),
+i AS (SELECT page_id, {_trim(_sub('r', '\\s+', ' '), _EDGE)} AS v FROM h)
+SELECT page_id, {_clean_title_sql('title')} AS cleaned, {_trim(_sub('s4', '\\s+', ' '), _EDGE)} AS track, CASE WHEN regexp_matches(v, '(?i){titles.ONLY_JUNK}') THEN '' ELSE v END AS artist FROM t4 JOIN i USING (page_id)""")
 def clean_tracks(spark, sf):
-    page = A.table(spark, sf, "pages").select("page_id", text.page_title(F.col("html")).alias("title"))
-    return page.select("page_id", titles.cleaned_title(F.col("title")).alias("cleaned"), titles.cleaned_track(F.col("title")).alias("track"), titles.cleaned_artist(F.col("title")).alias("artist"))
+    return _named_pages(spark, sf).select("page_id", titles.cleaned_title(F.col("title")).alias("cleaned"), titles.cleaned_track(F.col("title")).alias("track"), titles.cleaned_artist(F.col("title")).alias("artist"))
+
+
+def _named_pages(spark, sf):
+    made = F.element_at(F.array(*map(F.lit, _MADE)), (F.col("page_id") % 7 + 1).cast("int"))
+    return A.table(spark, sf, "pages").select("page_id", F.concat(text.page_title(F.col("html")), made).alias("title"))
 
 
 @query()
 def guess_meta(spark, sf):
     none = F.lit(None).cast("string")
-    page = A.table(spark, sf, "pages").select("page_id", text.page_title(F.col("html")).alias("title"))
-    return page.select("page_id", titles.guessed(F.col("title"), none, none).alias("g")).select("page_id", "g.*")
+    return titles.with_guess(_named_pages(spark, sf).withColumns({"artist": none, "track": none})).select("page_id", "guessed_artist", "guessed_track")
 
 
 @query()
-def fix_plans(spark, sf):
+def title_queries(spark, sf):
     none = F.lit(None).cast("string")
-    jobs = A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" - ", "p_brand", "p_name").alias("title"), none.alias("artist"), none.alias("track"), F.col("p_size").cast("double").alias("duration"))
-    best = A.table(spark, sf, "part").groupBy(F.col("p_brand").alias("artistName"), F.col("p_name").alias("trackName")).agg(F.min("p_size").cast("double").alias("duration"))
-    cands = jobs.withColumn("artistName", F.split("title", " - ").getItem(0)).withColumn("trackName", F.split("title", " - ").getItem(1)).drop("duration").join(best, ["artistName", "trackName"])
-    cands = cands.select("id", F.lit(0).alias("query_no"), F.lit(0).alias("cand_no"), "trackName", "artistName", "duration", F.lit(True).alias("synced"), F.lit(False).alias("instrumental"))
+    named = titles.with_guess(_named_pages(spark, sf).withColumns({"artist": none, "track": none}))
+    return named.select("page_id", titles.search_queries(F.col("title"), F.col("guessed_artist"), F.col("guessed_track")).alias("queries"))
+
+
+@query()
+def fix_plans(spark, sf):
+    part, none = A.table(spark, sf, "part"), F.lit(None).cast("string")
+    named = F.concat_ws(" - ", "p_brand", "p_name")
+    title = F.when(F.col("p_size") % 3 == 0, F.concat(named, F.lit(" Official MV"))).otherwise(named)
+    jobs = part.select(F.col("p_partkey").alias("id"), title.alias("title"), F.when(F.col("p_size") % 5 == 0, F.col("p_brand")).alias("artist"), F.when(F.col("p_size") % 5 == 0, named).alias("track"), F.col("p_size").cast("double").alias("duration"))
+    # answers to the first query name the track with its brand's own and others' lengths, to the second also other tracks of the brand
+    same = part.select("p_partkey", "p_brand", "p_name").join(part.select("p_brand", "p_name", F.col("p_partkey").alias("other"), F.col("p_size").alias("length")), ["p_brand", "p_name"])
+    near = part.select("p_partkey", "p_brand", F.col("p_container").alias("c")).join(part.select("p_brand", F.col("p_container").alias("c"), F.col("p_name").alias("p_name"), F.col("p_partkey").alias("other"), F.col("p_size").alias("length")), ["p_brand", "c"]) if "p_container" in part.columns else same
+    found = same.withColumn("query_no", F.lit(0)).select("p_partkey", "query_no", "other", "p_name", "p_brand", "length").unionByName(near.withColumn("query_no", F.lit(1)).select("p_partkey", "query_no", "other", "p_name", "p_brand", "length"))
+    cands = found.select(F.col("p_partkey").alias("id"), "query_no", F.col("other").alias("cand_no"), F.col("p_name").alias("trackName"), F.when(F.col("other") % 4 == 0, F.concat("p_brand", F.lit(" Records"))).otherwise(F.col("p_brand")).alias("artistName"), F.col("length").cast("double").alias("duration"), (F.col("other") % 2 == 0).alias("synced"), (F.col("other") % 3 == 0).alias("instrumental"))
     return titles.fix_plans(jobs, cands)

@@ -39,11 +39,15 @@ def merge_adjacent(spark, sf):
     return timed.merge_adjacent(_filled(spark, sf), "singer")
 
 
-@query(sql(""", g AS (SELECT *, end_ms - 500 AS e, lag(end_ms - 500) OVER w AS p, lead(start_ms) OVER w AS n FROM filled WINDOW w AS (PARTITION BY job_id ORDER BY line_no)),
-f AS (SELECT *, greatest(0, start_ms - 600, coalesce(start_ms - floor((start_ms - p) / 2), 0))::BIGINT AS from_ms FROM g)
-SELECT job_id, line_no, from_ms, greatest(least(e + 600, coalesce(e + floor((n - e) / 2), e + 600)), from_ms)::BIGINT AS to_ms FROM f""", FILLED))
+@query(sql(""", d AS (SELECT job_id, max(start_ms) + 2000 AS duration FROM filled GROUP BY 1),
+g AS (SELECT f.job_id, line_no, text, start_ms AS s, CASE WHEN line_no % 5 = 2 THEN start_ms ELSE end_ms - 500 END AS e0, lag(start_ms) OVER w AS p, lead(start_ms) OVER w AS n, duration
+  FROM filled f JOIN d ON f.job_id = d.job_id WINDOW w AS (PARTITION BY f.job_id ORDER BY line_no)),
+h AS (SELECT *, CASE WHEN e0 <= s THEN s + 500 ELSE e0 END AS e FROM g),
+k AS (SELECT *, greatest(0, CASE WHEN p IS NULL THEN s - 600 ELSE greatest(s - 600, (p + s) / 2) END)::DOUBLE AS from_ms, (CASE WHEN n IS NULL THEN e + 600 ELSE least(e + 600, (e + n) / 2) END)::DOUBLE AS hi FROM h)
+SELECT job_id, line_no, from_ms, least(duration::DOUBLE, greatest(hi, from_ms + 500)) AS to_ms FROM k WHERE trim(text) <> ''""", FILLED))
 def align_windows(spark, sf):
-    rows = _filled(spark, sf).withColumn("end_ms", F.col("end_ms") - 500)
+    rows = _filled(spark, sf).withColumn("end_ms", F.when(F.col("line_no") % 5 == 2, F.col("start_ms")).otherwise(F.col("end_ms") - 500))
+    rows = rows.join(rows.groupBy("job_id").agg((F.max("start_ms") + 2000).alias("duration_ms")), "job_id")
     return timed.alignment_windows(rows).select("job_id", "line_no", "from_ms", "to_ms")
 
 
@@ -116,9 +120,28 @@ def _in_seconds(spark, sf, words=False):
     return rows.select("job_id", "line_no", (F.col("start_ms") / 1000.0).alias("start"), (F.col("end_ms") / 1000.0).alias("end"), F.regexp_replace("text", "\n", " ").alias("text"), own.alias("words"))
 
 
-@query()
+def _rounded(x: str) -> str:
+    """Milliseconds of a double by its exact value, as printing it rounds."""
+    return f"printf('%.3f', {x})::DOUBLE"
+
+
+FILL = "WITH RECURSIVE " + FILLED + f""", t AS (SELECT job_id, line_no, start_ms / 1000.0::DOUBLE AS s, end_ms / 1000.0::DOUBLE AS e, [x FOR x IN string_split(text, ' ') IF x <> ''] AS ws FROM filled),
+l AS (SELECT *, len(ws) AS n, CASE WHEN e > s THEN e ELSE s + greatest(0.1 * len(ws), 0.3) END AS last FROM t WHERE len(ws) > 0),
+w AS (SELECT job_id, line_no, n, last, unnest(range(0, n)) AS k, unnest(ws) AS text, s AS line_start FROM l),
+v AS (SELECT *, CASE WHEN k % 3 <> 1 THEN line_start + k / 10.0::DOUBLE END AS start, min(CASE WHEN k % 3 <> 1 THEN line_start + k / 10.0::DOUBLE END) OVER (PARTITION BY job_id, line_no ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM w),
+f AS (
+  SELECT job_id, line_no, k, {_rounded('b')} AS start, {_rounded('d')} AS finish FROM (SELECT *, start AS b, CASE WHEN later > start THEN later ELSE start + greatest((last - start) / n, 0.15) END AS d FROM v WHERE k = 0)
+  UNION ALL
+  SELECT job_id, line_no, k, {_rounded('b')}, {_rounded('d')}
+  FROM (SELECT *, CASE WHEN later > b THEN later ELSE b + greatest((last - b) / (n - k), 0.15) END AS d
+        FROM (SELECT v.job_id, v.line_no, v.k, v.n, v.last, v.later, coalesce(v.start, f.finish) AS b FROM f JOIN v ON v.job_id = f.job_id AND v.line_no = f.line_no AND v.k = f.k + 1)))
+SELECT f.job_id, f.line_no, f.k AS word_no, trim(v.text, E' \\t\\n\\r') AS word, f.start, f.finish FROM f JOIN v USING (job_id, line_no, k)"""
+
+
+@query(FILL)
 def interpolate_words(spark, sf):
-    return timed.interpolate_words(_in_seconds(spark, sf, words=True))
+    each = timed.interpolate_words(_in_seconds(spark, sf, words=True)).select("job_id", "line_no", F.posexplode("words").alias("word_no", "w"))
+    return each.select("job_id", "line_no", F.col("word_no").cast("long").alias("word_no"), F.col("w.text").alias("word"), F.col("w.start").alias("start"), F.col("w.end").alias("finish"))
 
 
 @query()
@@ -156,33 +179,54 @@ def spectrum_metrics(spark, sf):
     return out.select("label", F.round("ref_db", 6).alias("ref_db"), F.col("cutoff_bin").cast("long").alias("cutoff_bin"), F.round("high_db", 6).alias("high_db"))
 
 
-@query("""WITH e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS s FROM embeddings),
-p AS (SELECT vec_id, list_max(s) AS top, list_position(s, list_max(s)) - 1 AS bin, list_sort(s)[len(s) // 2 + 1] AS median, s FROM e)
-SELECT vec_id, bin::INTEGER AS bin, top - median AS prominence, top - median >= 0.25 AND coalesce(s[bin * 2 + 1] < top - 6, true) AS stands_out FROM p""")
-def howl_peak(spark, sf):
-    rows = A.table(spark, sf, "embeddings").select("vec_id", signal.peak(F.col("embedding").cast("array<double>"), 0.25).alias("p"))
-    return rows.select("vec_id", "p.bin", "p.prominence", "p.stands_out")
+#: A rule of the size of the test vectors: bins 2 to 40.
+RULE = signal.Howl(min_hz=2, max_hz=40, over_median=0.2, harmonic=0.1, quiet=0.15, frames=2, near=6)
+PEAKS = """e AS (SELECT vec_id, label, [x::DOUBLE FOR x IN embedding] AS s FROM embeddings),
+b AS (SELECT vec_id, label, s, list_sort(s[3:41]) AS v FROM e),
+p AS (SELECT vec_id, label, s, v[len(v)] AS db, v[len(v) // 2 + 1] AS median, 1 + list_position(s[3:41], v[len(v)]) AS bin FROM b),
+h AS (SELECT *, (CASE WHEN bin * 2 + 1 <= 40 AND list_max(s[bin * 2 : bin * 2 + 2]) - median >= 0.1 THEN 1 ELSE 0 END) + (CASE WHEN bin * 3 + 1 <= 40 AND list_max(s[bin * 3 : bin * 3 + 2]) - median >= 0.1 THEN 1 ELSE 0 END) AS heard FROM p),
+peaks AS (SELECT vec_id, label, bin::INTEGER AS bin, db, db - median AS prominence FROM h WHERE db >= 0.15 AND db - median >= 0.2 AND heard < 2)"""
 
 
-@query()
+def _peaks(spark, sf):
+    return A.table(spark, sf, "embeddings").select("label", "vec_id", signal.peak(F.col("embedding").cast("array<double>"), 1.0, RULE).alias("p"))
+
+
+@query(sql(" SELECT vec_id, bin, bin::DOUBLE AS hz, db, prominence FROM peaks", PEAKS))
+def howl_peak(spark, sf):
+    return _peaks(spark, sf).where("p IS NOT NULL").select("vec_id", "p.*")
+
+
+@query("WITH RECURSIVE " + PEAKS + """, f AS (SELECT e.label, e.vec_id AS frame, bin, db, row_number() OVER (PARTITION BY e.label ORDER BY e.vec_id) AS n FROM e LEFT JOIN peaks USING (vec_id)),
+r AS (
+  SELECT label, n, frame, bin, db, bin AS began, CASE WHEN bin IS NULL THEN 0 ELSE 1 END AS hits, false AS told FROM f WHERE n = 1
+  UNION ALL
+  SELECT label, n, frame, bin, db, CASE WHEN bin IS NULL THEN NULL WHEN near THEN began ELSE bin END, CASE WHEN bin IS NULL OR tell THEN 0 ELSE h END, tell
+  FROM (SELECT *, bin IS NOT NULL AND h >= 2 AND (before IS NULL OR db > before - 1) AS tell
+        FROM (SELECT f.label, f.n, f.frame, f.bin, f.db, r.began, r.db AS before, coalesce(abs(f.bin - r.began) <= 6, false) AS near, CASE WHEN coalesce(abs(f.bin - r.began) <= 6, false) THEN r.hits + 1 ELSE 1 END AS h
+              FROM r JOIN f ON f.label = r.label AND f.n = r.n + 1)))
+SELECT label, frame, bin, db FROM r WHERE told""")
 def howl_runs(spark, sf):
-    rows = A.table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("frame"), signal.peak(F.col("embedding").cast("array<double>"), 0.2).alias("p"))
-    return signal.confirmed_runs(rows.select("label", "frame", "p.bin", "p.level"), "label", "frame", 3, 20, 0.2)
+    rows = _peaks(spark, sf).select("label", F.col("vec_id").alias("frame"), "p.bin", "p.db")
+    return signal.confirmed_runs(rows, "label", "frame", RULE)
 
 
-JOBS = """jobs AS (SELECT id, id % 97 AS video, CASE WHEN id % 13 = 0 THEN 'error' WHEN id % 5 = 0 THEN 'queued' ELSE state END AS state, id % 31 AS created_at FROM catalog),
-entries AS (SELECT doc_id AS entry, doc_id % 130 AS video, n_chars / 10.0::DOUBLE AS duration, doc_id % 41 = 0 AS unavailable FROM documents),
-latest AS (SELECT video, id AS job_id, state AS job_state FROM jobs QUALIFY row_number() OVER (PARTITION BY video ORDER BY created_at DESC, id DESC) = 1),
+JOBS = """jobs AS (SELECT id, CASE WHEN id % 23 = 0 THEN '' ELSE (id % 97)::VARCHAR END AS video, CASE WHEN id % 19 = 0 THEN '' ELSE (id % 71)::VARCHAR END AS path,
+  CASE WHEN id % 13 = 0 THEN 'error' WHEN id % 5 = 0 THEN 'queued' WHEN id % 7 = 1 THEN 'running' WHEN id % 11 = 2 THEN 'pending' ELSE state END AS state, id % 31 AS created_at FROM catalog),
+entries AS (SELECT doc_id AS entry, CASE WHEN doc_id % 29 = 0 THEN '' ELSE (doc_id % 130)::VARCHAR END AS video, CASE WHEN doc_id % 37 = 0 THEN '' ELSE (doc_id % 80)::VARCHAR END AS path,
+  n_chars / 10.0::DOUBLE AS duration, doc_id % 41 = 0 AS unavailable FROM documents),
+latest AS (SELECT video, id AS job_id, state AS job_state FROM jobs WHERE video <> '' QUALIFY row_number() OVER (PARTITION BY video ORDER BY created_at DESC, id DESC) = 1),
 status AS (SELECT entry, job_id, CASE WHEN unavailable THEN 'unavailable' WHEN duration > 900 THEN 'too_long' WHEN job_state IS NULL THEN 'new' WHEN job_state = 'done' THEN 'done'
-  WHEN job_state IN ('error', 'cancelled') THEN 'failed' ELSE 'pending' END AS status FROM entries LEFT JOIN latest USING (video))"""
+  WHEN job_state IN ('queued', 'running') THEN 'pending' ELSE 'failed' END AS status FROM entries LEFT JOIN latest USING (video))"""
 
 
 def _listing(spark, sf):
-    jobs = A.catalog(spark, sf).select(
-        "id", (F.col("id") % 97).cast("string").alias("video_id"), F.when(F.col("id") % 13 == 0, "error").when(F.col("id") % 5 == 0, "queued").otherwise(F.col("state")).alias("state"), (F.col("id") % 31).alias("created_at")
-    )
-    docs = A.table(spark, sf, "documents")
-    entries = docs.select(F.col("doc_id").alias("entry"), (F.col("doc_id") % 130).cast("string").alias("video_id"), (F.col("n_chars") / 10.0).alias("duration"), (F.col("doc_id") % 41 == 0).alias("unavailable"))
+    k = F.col("id")
+    state = F.when(k % 13 == 0, "error").when(k % 5 == 0, "queued").when(k % 7 == 1, "running").when(k % 11 == 2, "pending").otherwise(F.col("state"))
+    some = lambda no, n, blank: F.when(no % blank == 0, "").otherwise((no % n).cast("string"))
+    jobs = A.catalog(spark, sf).select("id", some(k, 97, 23).alias("video_id"), some(k, 71, 19).alias("local_path"), state.alias("state"), (k % 31).alias("created_at"))
+    d = F.col("doc_id")
+    entries = A.table(spark, sf, "documents").select(d.alias("entry"), some(d, 130, 29).alias("video_id"), some(d, 80, 37).alias("path"), (F.col("n_chars") / 10.0).alias("duration"), (d % 41 == 0).alias("unavailable"))
     return entries, jobs
 
 
@@ -191,6 +235,11 @@ def import_status(spark, sf):
     return imports.listing_status(*_listing(spark, sf)).select("entry", "job_id", "status")
 
 
+@query(sql(" SELECT entry, status AS reason FROM status WHERE status NOT IN ('new', 'failed')", CATALOG, JOBS))
+def skipped_entries(spark, sf):
+    return imports.skipped(imports.listing_status(*_listing(spark, sf))).select("entry", "reason")
+
+
 @query(sql(" SELECT status, count(*) AS n FROM status GROUP BY 1", CATALOG, JOBS))
 def import_summary(spark, sf):
     return imports.summary(imports.listing_status(*_listing(spark, sf)))
@@ -201,22 +250,21 @@ def importable_entries(spark, sf):
     return imports.importable(imports.listing_status(*_listing(spark, sf))).select("entry")
 
 
-@query(sql(""", bp AS (SELECT id % 71 AS path, id AS job_id, state FROM jobs QUALIFY row_number() OVER (PARTITION BY id % 71 ORDER BY created_at DESC, id DESC) = 1)
-SELECT entry, coalesce(l.job_id, bp.job_id) AS job_id FROM entries LEFT JOIN latest l USING (video) LEFT JOIN bp ON entry % 80 = bp.path""", CATALOG, JOBS))
+@query(sql(""", bp AS (SELECT path, id AS job_id, state AS path_state FROM jobs WHERE path <> '' QUALIFY row_number() OVER (PARTITION BY path ORDER BY created_at DESC, id DESC) = 1)
+SELECT entry, coalesce(l.job_id, bp.job_id) AS job_id, CASE coalesce(l.job_state, bp.path_state, 'none') WHEN 'none' THEN 'new' WHEN 'done' THEN 'done' WHEN 'queued' THEN 'pending' WHEN 'running' THEN 'pending' ELSE 'failed' END AS status
+FROM entries LEFT JOIN latest l USING (video) LEFT JOIN bp USING (path)""", CATALOG, JOBS))
 def local_status(spark, sf):
     entries, jobs = _listing(spark, sf)
-    files = entries.withColumn("path", (F.col("entry") % 80).cast("string"))
-    return imports.local_status(files, jobs.withColumn("local_path", (F.col("id") % 71).cast("string"))).select("entry", "job_id")
+    return imports.local_status(entries, jobs).select("entry", "job_id", "status")
 
 
-LIVE = """, live AS (SELECT * FROM jobs WHERE state IN ('queued', 'downloading', 'separating', 'transcribing', 'done')),
-m AS (SELECT entry, id, created_at FROM entries JOIN live USING (video) UNION ALL SELECT entry, id, created_at FROM entries JOIN live ON entry % 80 = id % 71)"""
+LIVE = """, live AS (SELECT * FROM jobs WHERE state IN ('pending', 'queued', 'running', 'done')),
+m AS (SELECT entry, id, created_at FROM entries JOIN live ON entries.video = live.video AND live.video <> '' UNION ALL SELECT entry, id, created_at FROM entries JOIN live ON entries.path = live.path AND live.path <> '')"""
 
 
 def _requests(spark, sf):
     entries, jobs = _listing(spark, sf)
-    requests = entries.select(F.col("entry").alias("request_id"), "video_id", (F.col("entry") % 80).cast("string").alias("path"))
-    return imports.create_or_reuse(requests, jobs.withColumn("local_path", (F.col("id") % 71).cast("string")))
+    return imports.create_or_reuse(entries.select(F.col("entry").alias("request_id"), "video_id", "path"), jobs)
 
 
 @query(sql(LIVE + " SELECT entry AS request_id, id AS job_id FROM m QUALIFY row_number() OVER (PARTITION BY entry ORDER BY created_at DESC, id DESC) = 1", CATALOG, JOBS))
@@ -234,13 +282,14 @@ def distinct_entries(spark, sf):
     return imports.distinct_entries(_listing(spark, sf)[0].select("video_id", "entry"), "video_id", "entry")
 
 
-@query("""WITH f AS (SELECT p_partkey AS id, CASE WHEN p_size > 45 THEN NULL ELSE p_name || ' ' || (p_partkey % 40) END AS path, p_name || ' ' || (p_partkey % 25) AS target FROM part),
-t AS (SELECT target, count(*) AS n FROM f GROUP BY 1), p AS (SELECT DISTINCT path FROM f WHERE path IS NOT NULL)
-SELECT id, CASE WHEN f.path IS NULL THEN 'missing' WHEN f.path = f.target THEN 'same' WHEN p.path IS NOT NULL OR n > 1 THEN 'clash' ELSE 'renamed' END AS plan
-FROM f JOIN t USING (target) LEFT JOIN p ON p.path = f.target""")
+@query("""WITH f AS (SELECT p_partkey AS id, CASE WHEN p_size <= 45 THEN p_name || ' ' || (p_partkey % 40) END AS path, CASE WHEN p_partkey % 31 <> 0 THEN p_name || ' ' || (p_partkey % 25) END AS target FROM part),
+p AS (SELECT DISTINCT path FROM f WHERE path IS NOT NULL)
+SELECT id, CASE WHEN f.path IS NULL THEN 'missing' WHEN target IS NULL OR f.path = target THEN 'same' WHEN p.path IS NOT NULL THEN 'clash' ELSE 'renamed' END AS plan
+FROM f LEFT JOIN p ON p.path = f.target""")
 def rename_plan(spark, sf):
-    path = F.when(F.col("p_size") <= 45, F.concat_ws(" ", "p_name", (F.col("p_partkey") % 40).cast("string")))
-    files = A.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), path.alias("path"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 25).cast("string")).alias("target"))
+    k = F.col("p_partkey")
+    to = lambda n: F.concat_ws(" ", "p_name", (k % n).cast("string"))
+    files = A.table(spark, sf, "part").select(k.alias("id"), F.when(F.col("p_size") <= 45, to(40)).alias("path"), F.when(k % 31 != 0, to(25)).alias("target"))
     return imports.rename_plan(files).select("id", "plan")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ACTIVE = ("queued", "downloading", "separating", "transcribing")
+from tessitura.functions.states import ACTIVE
+
 JOB = (
     "id string, url string, webpage_url string, title string, track string, artist string, thumbnail string, duration double, state string, step string, "
     "progress int, message string, error string, language string, stems struct<instrumental:string,vocals:string>, lyrics_file string, line_count int, "

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessitura.functions import clock, text
-from tessitura.operators import browse, match
+from tessitura.operators import browse, imports, match
 from tessitura.sources import catalog
 
 
@@ -15,7 +15,7 @@ def write(folder, name, body):
 
 
 def test_catalog_scan(spark, tmp_path):
-    good = {"id": "0123456789ab", "title": "t", "state": "separating", "duration": 10.0, "created_at": 1.0}
+    good = {"id": "0123456789ab", "title": "t", "state": "running", "duration": 10.0, "created_at": 1.0}
     write(tmp_path, "0123456789ab", json.dumps(good, indent=1))
     write(tmp_path, "aaaaaaaaaaaa", json.dumps(good | {"id": "bbbbbbbbbbbb"}))
     write(tmp_path, "cccccccccccc", "{not json")
@@ -46,12 +46,23 @@ def test_names_and_times(spark):
         text.origin(F.lit("HTTPS://Example.org:443/")).alias("o"), text.origin(F.lit("ftp://x")).alias("bad"), text.glob_escape(F.lit("a[1]*")).alias("g"),
         text.video_id(F.lit("https://youtu.be/abcdefghijk?t=3")).alias("v"), text.label(F.lit(" x ")).alias("l"), text.label(F.lit("a\tb")).alias("lb"), text.hidden_path(F.lit("a/.b/c")).alias("h"),
         clock.subtitle_seconds(F.lit("1:02:03,5")).alias("s"), clock.subtitle_seconds(F.lit("7")).alias("sb"), clock.lrc_stamp(F.lit(59.999)).alias("st"), clock.editor_seconds(F.lit("2:03.5")).alias("e"),
-        text.friendly_error(F.lit("Video unavailable")).alias("f"), text.is_transient(F.lit("HTTP 503")).alias("tr"), text.dedupe_key(F.lit(" 稻香 (Live) ")).alias("k"), text.artist_key(F.lit("ＢＥＹＯＮＣÉ  A/B")).alias("ak"),
+        text.friendly_error(F.lit("Video unavailable")).alias("f"), text.is_transient(F.lit("Segmentation fault")).alias("tr"), text.is_transient(F.lit("HTTP 503")).alias("nt"), text.suggestion(F.lit("石橋 《 夜 》【MV】")).alias("sg"), text.canonical_name(F.lit(" A "), F.lit("b/c"), F.lit("id"), F.lit(".mp4")).alias("cn"), text.canonical_name(F.lit("A"), F.lit(" "), F.lit("id")).alias("cx"), text.safe_name(F.lit(" .. ")).alias("sn"), text.dedupe_key(F.lit(" 稻香 (Live) ")).alias("k"), text.artist_key(F.lit("ＢＥＹＯＮＣÉ  A/B")).alias("ak"),
     ).first()
     assert (row.o, row.bad, row.g, row.v, row.l, row.lb, row.h) == ("https://example.org", None, "a[[]1[]][*]", "abcdefghijk", "x", None, True)
+    assert (row.nt, row.sg, row.cn, row.cx, row.sn) == (False, "石橋 《 夜 》", "A - b c [id].mp4", None, "")
     assert (row.s, row.sb, row.st, row.e, row.f, row.tr, row.k, row.ak) == (3723.5, None, "[00:60.00]", 123.5, "unavailable", True, "稻香live", "beyoncé a/b")
 
 
+def test_states_and_reuse(spark):
+    job = "id long, video_id string, local_path string, state string, created_at double"
+    rows = spark.createDataFrame([(1, "v", "", "pending", 1.0), (2, "v", "", "separating", 2.0), (3, "", "p", "done", 1.0), (4, "w", "q", "error", 1.0), (5, "x", "", "running", 1.0)], job)
+    ask = spark.createDataFrame([(1, "v", ""), (2, "", ""), (3, "", "p"), (4, "w", "q"), (5, None, None)], "request_id long, video_id string, path string")
+    fresh, reused = imports.create_or_reuse(ask, rows)
+    assert {r.request_id: r.job_id for r in reused.collect()} == {1: 1, 3: 3} and {r.request_id for r in fresh.collect()} == {2, 4, 5}
+    entries = spark.createDataFrame([(v, 10.0, False) for v in ("v", "w", "x", "", "n")], "video_id string, duration double, unavailable boolean")
+    assert {r.video_id: r.status for r in imports.listing_status(entries, rows).collect()} == {"v": "failed", "w": "failed", "x": "pending", "": "new", "n": "new"}
+
+
 def test_paging(spark):
     rows = spark.range(544).withColumnRenamed("id", "n")
     first = browse.offset_page(rows, ["n"], -3).collect()

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessitura.operators import history, jobs, rooms, settings, signal
 from tessitura.streaming import evidence
@@ -90,7 +91,7 @@ def test_room_commands():
 
 
 def test_job_fold():
-    s = jobs.fold_job([{"action": "create"}, {"action": "update", "generation": 1, "state": "separating", "progress": 40}, {"action": "cancel"}, {"action": "update", "generation": 1}, {"action": "retry"}, {"action": "update", "generation": 1}])
+    s = jobs.fold_job([{"action": "create"}, {"action": "update", "generation": 1, "state": "running", "progress": 40}, {"action": "cancel"}, {"action": "update", "generation": 1}, {"action": "retry"}, {"action": "update", "generation": 1}])
     assert (s["state"], s["generation"], s["accepted"], s["refused"]) == ("queued", 2, 4, 2)
 
 
@@ -110,3 +111,88 @@ def test_offset_of_a_synthetic_voice():
         assert abs(found + shift) <= 0.5 and certainty > 1
     assert abs(signal.best_offset(sound, lines, rate)[0]) <= 0.2
     assert signal.best_offset(sound, [], rate) == (0.0, 0.0)
+
+
+def test_claims_count_attempts(spark):
+    kind = "task_id long, kind string, state string, worker_id string, claim_token string, attempts int, lease_expires double, created_at double"
+    tasks = spark.createDataFrame([(1, "a", "waiting", None, None, 0, 0.0, 5.0), (2, "a", "running", "w", "t", 1, 9.0, 1.0), (3, "b", "waiting", None, None, 0, 0.0, 0.0)], kind)
+    one = {r.task_id: (r.state, r.worker_id, r.claim_token, r.attempts) for r in rooms.claimed(tasks, "v", ["a"], 10.0, "u", 60.0).collect()}
+    assert one == {1: ("waiting", None, None, 0), 2: ("running", "v", "u", 2), 3: ("waiting", None, None, 0)}
+    late = {r.task_id: (r.state, r.worker_id, r.attempts) for r in rooms.requeued(tasks, 10.0).collect()}
+    assert late[2] == ("waiting", None, 1)
+    held = rooms.claimed(tasks, "v", ["c"], 1.0, "u", 60.0).where("state = 'running'").collect()
+    assert [(r.task_id, r.worker_id) for r in held] == [(2, "w")]
+
+
+def test_attempts_after_eight_failures(spark):
+    rows = [("r", 1000 * k, k, True) for k in range(8)] + [("r", 7000, 8, False), ("r", 59_999, 9, False), ("r", 60_000, 10, False), ("r", 67_000, 11, True), ("q", 0, 0, True)]
+    got = {r.seq: (r.recent, r.refused) for r in rooms.failures_in_window(spark.createDataFrame(rows, "key string, at long, seq int, failed boolean")).where("key = 'r'").collect()}
+    assert got[0] == (0, False) and got[7] == (7, False) and got[8] == (8, True) and got[9] == (8, True)
+    assert got[10] == (7, False) and got[11] == (0, False)
+
+
+def test_whistle_and_voice(spark):
+    def spectrum(peaks, floor=-90.0, n=512):
+        s = [floor] * n
+        for at, db in peaks:
+            s[at] = db
+        return s
+
+    cases = {
+        "whistle": spectrum([(100, -20.0)]),
+        "voice": spectrum([(30, -25.0), (60, -28.0), (91, -30.0)]),
+        "second only": spectrum([(30, -25.0), (60, -28.0)]),
+        "beyond the band": spectrum([(250, -22.0), (500, -26.0)]),
+        "quiet": spectrum([(100, -80.0)], -120.0),
+        "flat": [-60.0] * 512,
+        "silent": [float("-inf")] * 512,
+        "short": [-60.0] * 8,
+        "below the band": spectrum([(5, -10.0)]),
+    }
+    rows = spark.createDataFrame(list(cases.items()), "name string, s array<double>")
+    got = {r.name: r.p for r in rows.select("name", signal.peak(F.col("s"), 20.0).alias("p")).collect()}
+    assert {n for n, p in got.items() if p is not None} == {"whistle", "second only", "beyond the band"}
+    assert (got["whistle"].bin, got["whistle"].hz, got["whistle"].db, got["whistle"].prominence) == (100, 2000.0, -20.0, 70.0)
+
+
+def told_frames(frames, need=6, near=2):
+    """The rule by hand: frames are (bin, db) or None."""
+    begin, hits, last, out = None, 0, None, []
+    for k, peak in enumerate(frames):
+        if peak is None:
+            begin, hits, last = None, 0, None
+            continue
+        hits = hits + 1 if begin is not None and abs(peak[0] - begin) <= near else 1
+        begin = peak[0] if hits == 1 and not (begin is not None and abs(peak[0] - begin) <= near) else begin
+        rising = last is None or peak[1] > last - 1
+        last = peak[1]
+        if hits >= need and rising:
+            out.append(k)
+            hits = 0
+    return out
+
+
+def test_confirmed_runs_equal_the_rule(spark):
+    import random
+
+    r = random.Random(3)
+    tracks = {0: [(50, -20.0)] * 14, 1: [(50, -20.0 - k) for k in range(8)] + [(51, -27.5)], 2: [(50, -20.0)] * 5 + [None] + [(50, -20.0)] * 6, 3: [(50 + k, -20.0) for k in range(12)]}
+    for k in range(4, 30):
+        at, frames = 100, []
+        for _ in range(80):
+            at = at + r.choice([-3, -1, 0, 0, 0, 0, 1, 2]) if r.random() < 0.9 else r.randint(0, 200)
+            frames.append(None if r.random() < 0.05 else (at, -20 + r.choice([0.0, 0.4, -0.9, -1.5])))
+        tracks[k] = frames
+    rows = [(key, n, *(f or (None, None))) for key, frames in tracks.items() for n, f in enumerate(frames)]
+    got = {}
+    for x in signal.confirmed_runs(spark.createDataFrame(rows, "key int, frame int, bin int, db double"), "key", "frame").collect():
+        got.setdefault(x.key, []).append(x.frame)
+    assert {k: sorted(v) for k, v in got.items()} == {k: told_frames(f) for k, f in tracks.items() if told_frames(f)}
+
+
+def test_one_selection_of_a_guest(spark):
+    held = spark.createDataFrame([("old", "s", 100.0, 50.0, 10.0, None, 60.0), ("g", "s1", 100.0, 900.0, 10.0, None, 500.0)], "guest string, job_id string, duration double, session_end double, at double, completed_at double, expires_at double")
+    ask = lambda guest, job, now=200.0, end=900.0: jobs.select_trial(held, {"guest": guest, "job_id": job, "duration": 100.0, "session_end": end}, now)
+    assert ask("g", "s1")[1] == "same" and ask("g", "s2")[1] == "refused" and ask("g", "s1", 600.0)[1] == "over" and ask("n", "s", 950.0)[1] == "over"
+    after, said = ask("n", "s9")
+    assert said == "accepted" and {(r.guest, r.expires_at) for r in after.collect()} == {("g", 500.0), ("n", 600.0)}

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import __spark_entry__ as entry
 import duckdb
 
+from tessitura.operators import match
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -31,13 +34,20 @@ def test_containment_has_all_languages_turns_and_whole_names(spark, tmp_path):
     assert got == [(1, 1), (1, 1), (2, 2)]
 
 
+def test_containment_is_of_letters_not_words(spark):
+    titles = spark.createDataFrame([(1, "林小海石橋官方"), (2, "Stonebridge, live"), (3, "sto nebri"), (4, "")], "t long, title string")
+    names = spark.createDataFrame([("a", "石橋"), ("b", "BRIDGE"), ("c", "橋"), ("d", "x"), ("e", " "), ("f", "one.bri")], "n string, name string")
+    got = sorted((r.t, r.n) for r in match.contained(titles, names, "t", "title", "n", "name").collect())
+    assert got == [(1, "a"), (1, "c"), (2, "b"), (2, "f"), (3, "f")]
+
+
 def test_containment_equals_brute_force(spark):
-    def words(t):
-        return " " + re.sub(r"[\W_]+", " ", t.lower()).strip() + " "
+    def loose(t):
+        return re.sub(r"[\s\-–—_·・.,!?！？。、·:：;；'\"“”‘’()（）\[\]【】《》〈〉|丨｜/\\]+", "", unicodedata.normalize("NFKC", t)).casefold()
 
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' WHERE text IS NOT NULL").fetchall()
-    turns = duckdb.sql(f"SELECT conv_id, regexp_extract(text, '^\\S+ \\S+') FROM '{SF}/conversations.parquet' WHERE text IS NOT NULL").fetchall()
-    names = [(c, w) for c, n in turns if (w := words(n)).strip()]
-    want = sorted((d, c) for d, t in docs for title in [words(t.split("\n")[0])] for c, n in names if n in title)
+    turns = duckdb.sql(f"SELECT conv_id, regexp_extract(text, '^[^ ]+ [^ ]+') FROM '{SF}/conversations.parquet' WHERE text IS NOT NULL").fetchall()
+    names = [(c, w) for c, n in turns if (w := loose(n))]
+    want = sorted((d, c) for d, t in docs for title in [loose(t.split("\n")[0])] for c, n in names if n in title)
     got = sorted(tuple(r) for r in entry.queries()["substring_match"](spark, SF).collect())
     assert want and got == want
