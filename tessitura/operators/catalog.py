@@ -103,3 +103,21 @@ def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The newest published version."""
     pointer = spark.read.parquet(f"{folder}/{name}/pointer")
     return spark.read.parquet(pointer.orderBy(F.col("at").desc()).first()["path"])
+
+
+def archive_outcome(files: DataFrame) -> DataFrame:
+    """What archiving does with each file (library, library_there, source_there, name, target_there, same_file, error), without replacing another.
+
+    disabled without a library, failed if it or the source is not there, skipped without a name, archived if it is there
+    already, conflict with another file of that name, failed if moving failed, else archived.
+    """
+    outcome = (
+        F.when(F.coalesce("library", F.lit("")) == "", "disabled")
+        .when(~F.col("library_there") | ~F.col("source_there"), "failed")
+        .when(F.coalesce("name", F.lit("")) == "", "skipped")
+        .when(F.col("target_there") & F.col("same_file"), "archived")
+        .when(F.col("target_there"), "conflict")
+        .when(F.col("error").isNotNull(), "failed")
+        .otherwise("archived")
+    )
+    return files.withColumn("outcome", outcome)

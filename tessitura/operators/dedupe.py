@@ -47,3 +47,8 @@ def totals(ranked: DataFrame, key: list[str], size: str | None = None) -> DataFr
 def unmeasured(songs: DataFrame, cache: DataFrame, key: list[str]) -> DataFrame:
     """Songs whose key (id, file, modification time, size) has no measurement yet."""
     return songs.join(cache.select(*key).distinct(), key, "left_anti")
+
+
+def largest_first(groups: DataFrame) -> DataFrame:
+    """Groups by size, the largest first; equal ones by their keys."""
+    return groups.select("artist_key", "track_key", "group_size").distinct().orderBy(F.col("group_size").desc(), "artist_key", "track_key")

@@ -116,3 +116,10 @@ def latest_match(rows: DataFrame, key: str, order: list, states: list[str] | Non
     rows = rows if states is None else rows.where(F.col("state").isin(states))
     fields = F.struct(*[c for c in rows.columns if c != key])
     return rows.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.max_by(fields, F.struct(*order)).alias("_r")).select(key, "_r.*")
+
+
+def valid_statistics(replies: DataFrame) -> DataFrame:
+    """Replies (account_id, asked_by, songs, total_plays, history_limit) with what is wrong: nothing, "invalid", or "account changed"."""
+    good = F.col("songs").isNotNull() & (F.col("total_plays") >= 0) & (F.col("history_limit") >= 1) & (F.size("songs") <= F.col("history_limit"))
+    wrong = F.when(~F.coalesce(good, F.lit(False)), "invalid").when(~F.col("account_id").eqNullSafe(F.col("asked_by")), "account changed")
+    return replies.withColumn("wrong", wrong)

@@ -95,6 +95,43 @@ def public_devices(devices: DataFrame, accounts: DataFrame, current: str | None
     return shown.orderBy("account_id", "created_at", "device_id")
 
 
+def device_profile(devices: DataFrame, account_id: str, device_id: str) -> DataFrame:
+    """Label and known roles of one device of one account; no row if there is none."""
+    own = devices.where((F.col("account_id") == account_id) & (F.col("device_id") == device_id))
+    listed = F.coalesce(F.from_json("roles", "array<string>"), F.array().cast("array<string>"))
+    return own.select("label", F.filter(listed, lambda r: r.isin(*ROLES)).alias("roles"))
+
+
+def updated_devices(devices: DataFrame, changes: DataFrame) -> DataFrame:
+    """Devices after at most one change of each (account_id, device_id, expected, label, roles, overrides, clear; null fields stay), with what came of it.
+
+    A change that expects another revision is a "conflict". Overrides are merged into the device's own, or replace them
+    with clear; only a device's keys stay. Label and roles (JSON) are replaced, and the revision grows.
+    """
+    known = list(ACCOUNT_DEFAULTS | DEVICE_DEFAULTS)
+    ask = changes.select("account_id", "device_id", F.col("expected").alias("_e"), *(F.col(c).alias(f"_{c}") for c in ("label", "roles", "overrides", "clear")))
+    met = devices.join(ask, ["account_id", "device_id"], "left")
+    fits = F.coalesce(F.col("_e") == F.col("revision"), F.lit(False))
+    base = F.when(F.coalesce("_clear", F.lit(False)), F.create_map().cast("map<string,string>")).otherwise(parsed(F.col("overrides")))
+    merged = F.to_json(allowed(overlay(base, parsed(F.col("_overrides"))), known))
+    return met.withColumns({
+        "said": F.when(F.col("_e").isNull(), "same").when(fits, "changed").otherwise("conflict"),
+        "label": F.when(fits, F.coalesce("_label", "label")).otherwise(F.col("label")),
+        "roles": F.when(fits, F.coalesce("_roles", "roles")).otherwise(F.col("roles")),
+        "overrides": F.when(fits & F.col("_overrides").isNotNull(), merged).otherwise(F.col("overrides")),
+        "revision": F.col("revision") + fits.cast("int"),
+    }).drop("_e", "_label", "_roles", "_overrides", "_clear")
+
+
+def without_lost_players(accounts: DataFrame, devices: DataFrame) -> DataFrame:
+    """Accounts whose preferred player is no longer a device with the role of a player have none, and one revision more."""
+    players = devices.where(F.array_contains(F.coalesce(F.from_json("roles", "array<string>"), F.array().cast("array<string>")), "player"))
+    held = players.select("account_id", F.col("device_id").alias("preferred_player"), F.lit(True).alias("_held")).distinct()
+    met = accounts.join(held, ["account_id", "preferred_player"], "left")
+    lost = F.col("preferred_player").isNotNull() & F.col("_held").isNull()
+    return met.withColumns({"revision": F.col("revision") + lost.cast("int"), "preferred_player": F.when(~lost, F.col("preferred_player"))}).select(*accounts.columns)
+
+
 def preferred_exists(accounts: DataFrame, devices: DataFrame) -> DataFrame:
     """Accounts whose preferred player is one of their devices."""
     return accounts.join(devices.select("account_id", F.col("device_id").alias("preferred_player")), ["account_id", "preferred_player"], "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessitura.operators import catalog
 from tessitura.sources import adapters as A
+from tessitura.sources import catalog as sources
 
 from .tables import CATALOG, sql
 
@@ -81,3 +82,31 @@ def lyric_source(spark, sf):
 @query()
 def collated_labels(spark, sf):
     return catalog.collated(A.table(spark, sf, "documents").select("source").distinct(), "source")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 11 = 0 THEN 'disabled' WHEN p_size % 7 = 0 OR p_size % 5 = 0 THEN 'failed' WHEN p_partkey % 13 = 0 THEN 'skipped' WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 THEN 'archived'
+  WHEN p_partkey % 3 = 0 THEN 'conflict' WHEN p_partkey % 17 = 0 THEN 'failed' ELSE 'archived' END AS outcome FROM part""")
+def archive_outcomes(spark, sf):
+    n, k = F.col("p_size"), F.col("p_partkey")
+    files = A.table(spark, sf, "part").select(
+        k.alias("id"), F.when(n % 11 != 0, "/library").alias("library"), (n % 7 != 0).alias("library_there"), (n % 5 != 0).alias("source_there"), F.when(k % 13 != 0, F.col("p_name")).alias("name"),
+        (k % 3 == 0).alias("target_there"), (k % 2 == 0).alias("same_file"), F.when(k % 17 == 0, "no space").alias("error"),
+    )
+    return catalog.archive_outcome(files).select("id", "outcome")
+
+
+@query("""WITH j AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, CASE doc_id % 4 WHEN 0 THEN 'http://h/x.jpg' WHEN 1 THEN 'cover.jpg' WHEN 2 THEN '/data/jobs/' || doc_id || '/art/c.png' END AS thumbnail,
+  CASE WHEN doc_id % 3 = 0 THEN 'own' END AS track, doc_id % 5 = 0 AS sourced, source AS artist FROM documents)
+SELECT id::VARCHAR AS id, CASE id % 4 WHEN 1 THEN '/media/' || id || '/cover.jpg' WHEN 2 THEN '/media/' || id || '/art/c.png' ELSE thumbnail END AS thumbnail,
+  CASE WHEN track IS NULL AND sourced THEN 'The Singers' ELSE artist END AS artist, CASE WHEN track IS NULL AND sourced THEN 'The - Song' ELSE coalesce(track, 'plain') END AS track,
+  CASE WHEN id % 2 = 0 THEN '/media/' || id || '/stems/i.mp3' END AS instrumental, CASE WHEN id % 6 = 0 THEN 1 ELSE 0 END AS recordings FROM j""")
+def public_catalog(spark, sf):
+    k, none = F.col("doc_id"), F.lit(None).cast("string")
+    ident = k.cast("string")
+    recording = F.struct(F.when(k % 6 == 0, "r.webm").alias("file"), F.lit("t").alias("title"))
+    jobs = A.table(spark, sf, "documents").select(
+        ident.alias("id"), F.lit("plain").alias("title"), F.when(k % 4 == 0, "http://h/x.jpg").when(k % 4 == 1, "cover.jpg").when(k % 4 == 2, F.concat(F.lit("/data/jobs/"), ident, F.lit("/art/c.png"))).alias("thumbnail"),
+        F.when(k % 3 == 0, "own").alias("track"), F.col("source").alias("artist"), F.when(k % 5 == 0, "LRCLIB · The Singers - The - Song · x").alias("lyrics_source"), none.alias("lyrics_file"), F.lit("g").alias("generation"),
+        F.struct(F.when(k % 2 == 0, "i.mp3").otherwise("").alias("instrumental"), none.alias("vocals")).alias("stems"), F.array(recording).alias("recordings"),
+    )
+    return sources.public_jobs(jobs).select("id", "thumbnail", "artist", "track", F.col("media")["instrumental"].alias("instrumental"), F.size("recordings").cast("long").alias("recordings"))

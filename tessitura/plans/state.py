@@ -299,3 +299,26 @@ def accepted_reports(spark, sf):
     reports = e.select("event_id", (F.col("user_id") % 40).alias("room_id"), (F.col("event_id") % 3).alias("current_id"), (F.col("event_id") % 2).alias("generation"), F.col("value").alias("position"))
     current = spark.range(40).select(F.col("id").alias("room_id"), (F.col("id") % 3).alias("item_id"), F.lit(1).alias("generation"))
     return evidence.accepted(reports, current)[0].select("event_id")
+
+
+@query("""WITH d AS (SELECT c_custkey AS id, c_nationkey::VARCHAR AS account_id, c_custkey::VARCHAR AS device_id, c_name AS label, c_custkey % 4 AS revision FROM customer)
+SELECT account_id, device_id, CASE WHEN id % 3 = 0 AND revision = 2 THEN 'new ' || device_id ELSE label END AS label, revision + CASE WHEN id % 3 = 0 AND revision = 2 THEN 1 ELSE 0 END AS revision,
+  CASE WHEN id % 3 = 0 AND revision = 2 THEN CASE WHEN id % 2 = 0 THEN NULL ELSE 'hall' END ELSE 'hall' END AS reverb, CASE WHEN id % 3 = 0 AND revision = 2 THEN '7' END AS volume,
+  CASE WHEN id % 3 <> 0 THEN 'same' WHEN revision = 2 THEN 'changed' ELSE 'conflict' END AS said FROM d""")
+def device_updates(spark, sf):
+    k = F.col("c_custkey")
+    rows = A.table(spark, sf, "customer").select(k, F.col("c_nationkey").cast("string").alias("account_id"), k.cast("string").alias("device_id"), F.col("c_name").alias("label"), F.lit('["player"]').alias("roles"), F.lit('{"reverb":"hall"}').alias("overrides"), (k % 4).alias("revision"))
+    ask = rows.where("c_custkey % 3 = 0").select("account_id", "device_id", F.lit(2).alias("expected"), F.concat(F.lit("new "), "device_id").alias("label"), F.lit(None).cast("string").alias("roles"), F.lit('{"mic_volume":7,"nope":1}').alias("overrides"), (k % 2 == 0).alias("clear"))
+    out = settings.updated_devices(rows.drop("c_custkey"), ask).withColumn("own", settings.parsed(F.col("overrides")))
+    return out.select("account_id", "device_id", "label", "revision", F.col("own")["reverb"].alias("reverb"), F.col("own")["mic_volume"].alias("volume"), "said")
+
+
+@query("""WITH d AS (SELECT c_nationkey::VARCHAR AS account_id, c_custkey::VARCHAR AS device_id, c_custkey % 3 <> 0 AS player FROM customer),
+a AS (SELECT n_nationkey::VARCHAR AS account_id, (SELECT min(c_custkey) FROM customer WHERE c_nationkey = n_nationkey)::VARCHAR AS preferred FROM nation)
+SELECT a.account_id, CASE WHEN player THEN preferred END AS preferred_player, CASE WHEN preferred IS NOT NULL AND NOT coalesce(player, false) THEN 6 ELSE 5 END AS revision FROM a LEFT JOIN d ON d.account_id = a.account_id AND d.device_id = a.preferred""")
+def lost_players(spark, sf):
+    c = A.table(spark, sf, "customer")
+    devices = c.select(F.col("c_nationkey").cast("string").alias("account_id"), F.col("c_custkey").cast("string").alias("device_id"), F.when(F.col("c_custkey") % 3 != 0, '["player"]').otherwise('["screen"]').alias("roles"))
+    first = c.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.min("c_custkey").cast("string").alias("preferred_player"))
+    accounts = A.table(spark, sf, "nation").join(first, "n_nationkey", "left").select(F.col("n_nationkey").cast("string").alias("account_id"), "preferred_player", F.lit(5).alias("revision"))
+    return settings.without_lost_players(accounts, devices)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.states import ACTIVE
+from tessitura.functions.text import trimmed
+from tessitura.functions.titles import with_guess
 
 JOB = (
     "id string, url string, webpage_url string, title string, track string, artist string, thumbnail string, duration double, state string, step string, "
@@ -96,14 +98,43 @@ def chosen_subtitle(subtitles: DataFrame, language: str | None = None) -> DataFr
     return subtitles.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def public_jobs(catalog: DataFrame, guessed: Column | None = None) -> DataFrame:
-    """Derived view: artist and track as stored, else as the lyric source names them, else as guessed from the title (struct artist, track)."""
-    pattern = r"^LRCLIB · (.*?) - (.*)$"
-    source = F.coalesce("lyrics_source", F.lit(""))
-    of_source = lambda k: F.nullif(F.regexp_extract(source, pattern, k), F.lit(""))
-    guess = lambda name: guessed[name] if guessed is not None else F.lit(None).cast("string")
-    out = catalog.withColumn("_a", of_source(1)).withColumn("_t", of_source(2))
-    return out.withColumn("artist", F.coalesce(F.nullif("artist", F.lit("")), "_a", guess("artist"))).withColumn("track", F.coalesce(F.nullif("track", F.lit("")), "_t", guess("track"))).drop("_a", "_t")
+def public_jobs(catalog: DataFrame) -> DataFrame:
+    """Jobs as players see them: without generation, with media (map of addresses), thumbnail and recordings as addresses, and artist
+    and track as stored, else as the lyric source names them, else as guessed from the title."""
+    at = lambda *parts: F.concat(F.lit("/media/"), "id", F.lit("/"), *parts)
+    given = lambda c: F.nullif(c, F.lit(""))
+    places = {"instrumental": at(F.lit("stems/"), given(F.col("stems.instrumental"))), "vocals": at(F.lit("stems/"), given(F.col("stems.vocals"))), "lyrics": at(given(F.col("lyrics_file")))}
+    media = F.map_filter(F.create_map(*(x for k, v in places.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
+    # thumbnails of old jobs are paths of the machine that made them
+    rel, marker = F.translate("thumbnail", "\\", "/"), F.concat(F.lit("/jobs/"), "id", F.lit("/"))
+    inside = F.when(rel.contains(marker), F.substring(rel, F.position(marker, rel) + F.length(marker), F.length(rel))).otherwise(rel)
+    local = (F.col("thumbnail") != "") & ~F.col("thumbnail").rlike("^(https?://|/media/)")
+    recordings = F.transform(F.filter(F.coalesce("recordings", F.array().cast(catalog.schema["recordings"].dataType)), lambda r: F.coalesce(r["file"], F.lit("")) != ""), lambda r: r.withField("url", at(F.lit("recordings/"), r["file"])))
+    named = F.get(F.split("lyrics_source", "·"), F.lit(1))
+    named = F.when(F.col("lyrics_source").startswith("LRCLIB") & named.contains(" - ") & given(F.col("track")).isNull(), trimmed(named))
+    out = catalog.drop("generation").withColumns({"media": media, "thumbnail": F.when(local, at(F.regexp_replace(inside, "^/+", ""))).otherwise(F.col("thumbnail")), "recordings": recordings, "_named": named})
+    rest = F.substring("_named", F.position(F.lit(" - "), F.col("_named")) + 3, F.length("_named"))
+    out = out.withColumns({
+        "artist": F.when(F.col("_named").isNotNull(), given(trimmed(F.substring_index("_named", " - ", 1)))).otherwise(F.col("artist")),
+        "track": F.when(F.col("_named").isNotNull(), given(trimmed(rest))).otherwise(F.col("track")),
+        "_none": F.lit(None).cast("string"),
+    })
+    out = with_guess(out, "title", "_none", "_none")
+    unnamed = given(F.col("track")).isNull()
+    return out.withColumns({"artist": F.when(unnamed, F.coalesce(given(F.col("artist")), "guessed_artist")).otherwise(F.col("artist")), "track": F.coalesce(given(F.col("track")), "guessed_track")}).drop("_named", "_none", "guessed_artist", "guessed_track")
+
+
+TRIALS = "guest string, session_end double, job_id string, duration double, at double, expires_at double, completed_at double"
+
+
+def trials(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """The table of guests' trials, one row for each guest; an empty one without a path."""
+    return spark.createDataFrame([], TRIALS) if path is None else spark.read.schema(TRIALS).parquet(path)
+
+
+def write_operations(log: DataFrame, path: str) -> None:
+    """The operation log as JSON lines, as `operations` reads it; readers see the old files or the new ones."""
+    log.write.mode("overwrite").json(path)
 
 
 def eligible(catalog: DataFrame, longest: float = 900) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessitura.functions import clock, text
-from tessitura.operators import browse, imports, match
+from tessitura.operators import browse, history, imports, match, settings
 from tessitura.sources import catalog
 
 
@@ -73,3 +73,19 @@ def test_paging(spark):
 def test_union_first_wins(spark):
     a, b = (spark.createDataFrame(rows, "id int, v string") for rows in ([(1, "a")], [(1, "b"), (2, "b")]))
     assert {(r.id, r.v) for r in match.union_first([a, b], "id").collect()} == {(1, "a"), (2, "b")}
+
+
+def test_profiles_trials_and_replies(spark):
+    devices = spark.createDataFrame([("a", "d", "tv", '["screen", "pilot"]'), ("b", "d", "x", None)], "account_id string, device_id string, label string, roles string")
+    assert [(r.label, r.roles) for r in settings.device_profile(devices, "a", "d").collect()] == [("tv", ["screen"])]
+    assert settings.device_profile(devices, "a", "e").count() == 0 and settings.device_profile(devices, "b", "d").first().roles == []
+    assert catalog.trials(spark).count() == 0
+    replies = spark.createDataFrame([("a", "a", ["s"], 3, 5), ("a", "b", ["s"], 3, 5), ("a", "a", ["s"], -1, 5), ("a", "a", ["s", "t"], 3, 1), ("a", "a", None, 3, 5)], "account_id string, asked_by string, songs array<string>, total_plays int, history_limit int")
+    assert [r.wrong for r in history.valid_statistics(replies).collect()] == [None, "account changed", "invalid", "invalid", "invalid"]
+
+
+def test_operation_log_is_written_and_read(spark, tmp_path):
+    log = spark.createDataFrame([("o", "j", "align", "running", 1.0, 2.0, "t", None)], "id string, job_id string, kind string, state string, created_at double, updated_at double, token string, error string")
+    catalog.write_operations(log, str(tmp_path / "ops"))
+    back = catalog.operations(spark, str(tmp_path / "ops")).collect()
+    assert [(r.id, r.state) for r in back] == [("o", "queued")] and "token" not in catalog.public_operations(catalog.operations(spark, str(tmp_path / "ops"))).columns
