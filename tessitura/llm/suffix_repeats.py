@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, bound_batches, checked_broadcast, numbered, written
+from .common import BROADCAST_ROWS, bound_batches, checked_broadcast, numbered, settled, written
 from .words import blocks, text_column
 
 #: Bytes of a repeat that is removed; bytes of the gram that anchors it.
@@ -300,8 +300,8 @@ def _kept(batches):
 CONTEXT = "gram long, part long, split boolean, doc long, pos int, left binary, right binary"
 
 
-def contexts(texts: DataFrame, left: int, right: int) -> DataFrame:
-    """CONTEXT: the anchors of `texts` (doc, text; one row for each doc) whose gram occurs again, with the bytes around them.
+def open_places(texts: DataFrame) -> DataFrame:
+    """doc, piece, places (pos, gram, split, part): the anchors of `texts` whose gram occurs again.
 
     Grams with more than SPLIT anchors are spread over parts before anything is joined on them.
     """
@@ -324,7 +324,12 @@ def contexts(texts: DataFrame, left: int, right: int) -> DataFrame:
         met = anchors.join(hot, on).withColumn("part", part).select("gram", "doc", "pos", "n", "part").unionByName(seldom.select("gram", "doc", "pos", "n", "part"))
     place = F.struct("pos", "gram", F.expr(f"n > {SPLIT}").alias("split"), "part").alias("place")
     places = met.select("doc", F.expr(f"pos div {PIECE}").cast("int").alias("piece"), place)
-    places = written(places.groupBy("doc", "piece").agg(F.collect_list("place").alias("places")), "places")
+    return places.groupBy("doc", "piece").agg(F.collect_list("place").alias("places"))  # of one piece of a text
+
+
+def contexts(texts: DataFrame, left: int, right: int) -> DataFrame:
+    """CONTEXT: the anchors of `texts` (doc, text; one row for each doc) whose gram occurs again, with the bytes around them."""
+    places = settled(lambda: open_places(texts), "places")
     open_ = checked_broadcast(written(places.select("doc").distinct(), "open-docs"))
     around = pieces(texts.join(open_, "doc"), left, right).join(places, ["doc", "piece"]).select("doc", "base", "raw", "places")
     return around.mapInArrow(_contexts(left, right), CONTEXT)
