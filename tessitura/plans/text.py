@@ -310,10 +310,58 @@ def _named_pages(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", F.concat(text.page_title(F.col("html")), made).alias("title"))
 
 
-@query()
+#: Beginnings and ends that make a title one of each convention.
+_KINDS = [("NO 12 ", " - 歌手甲(國語) 卡拉OK"), ("歌手甲 Singer 演唱《 歌 名", " 》(Official MV)"), ("《歌名", "》 x - Some Singer"), ("歌手乙 Two【", "】Official Video"), ("", "-(歌手丙 Three)-MV"), ("", "丨歌手丁丨K歌男唱版"), ("Group - ", " feat. Guest 『x』"), ("", " official mv")]
+
+
+def _han_sql(x: str) -> str:
+    parts = f"[trim(h) FOR h IN regexp_extract_all({x}, '[\\x{{4e00}}-\\x{{9fff}}][\\x{{4e00}}-\\x{{9fff}}·&、\\s]*')]"
+    return f"coalesce(nullif(list_reduce(list_prepend('', {parts}), lambda a, b: CASE WHEN length(b) > length(a) THEN b ELSE a END), ''), {_trim(x)})"
+
+
+def _guess_sql() -> str:
+    dash = "[-–—]"
+    disc = f"^NO\\s*{dash}?\\s*\\d+\\s*{dash}?\\s*(.+?)\\s*{dash}\\s*([^-–—(（]{{1,20}})"
+    book, bracket, paren = "(?s)^(.*?)《\\s*([^《》]+?)\\s*》(.*)$", "(?s)^(.*?)[【〖[]\\s*([^】〗\\]]+?)\\s*[】〗\\]]", f"^([^-–—]+?)\\s*{dash}\\s*[（(]\\s*([^)）]+?)\\s*[)）]"
+    split = f"(?s)^(.*?)\\s*{dash}{{1,2}}\\s*(.*)$"
+    g = lambda text, pattern, k: f"regexp_extract({text}, '(?i){pattern}', {k})"
+    has = lambda text, pattern: f"regexp_matches({text}, '(?i){_quoted(pattern)}')"
+    clean, han = _clean_title_sql, _han_sql
+    places = [("ld", g("raw", disc, 1)), ("la", g("raw", disc, 2)), ("b1", g("raw", book, 1)), ("b2", g("raw", book, 2)), ("b3", g("raw", book, 3)), ("k1", g("raw", bracket, 1)), ("k2", g("raw", bracket, 2)),
+              ("p1", g("raw", paren, 1)), ("p2", g("raw", paren, 2)), ("clean", clean("raw"))]
+    before = _trim(_sub(_sub("b1", "[（(【[][^)）】\\]]*[)）】\\]]"), titles.BEFORE_BOOK), " \\-–—|·:：、")
+    after = f"regexp_extract(b3, '{dash}\\s*([^-–—(（【[]{{1,20}})\\s*$', 1)"
+    parts = "[x FOR x IN regexp_split_to_array(clean, '\\s*[丨｜|]\\s*') IF trim(x) <> '']"
+    rules = [
+        (has("raw", disc), clean("la"), clean("ld")),
+        (has("raw", book), f"CASE WHEN before <> '' AND length(before) <= 20 THEN {han('before')} WHEN after <> '' THEN {han(clean('after'))} END", clean("b2")),
+        (f"{has('raw', bracket)} AND NOT {has('k2', titles.BRACKET_NOISE)}", han(clean("k1")), clean("k2")),
+        (f"{has('raw', paren)} AND NOT regexp_matches('(' || p2 || ')', '(?i)^{_quoted(titles.PAREN_NOISE)}')", han(clean("p2")), clean("p1")),
+        ("regexp_matches(raw, '[丨｜|]') AND len(parts) >= 2", han("parts[2]"), "trim(parts[1])"),
+        ("trim(d1) <> '' AND trim(d2) <> ''", han("d1"), "trim(d2)"),
+        ("true", "NULL", "clean"),
+    ]
+    nth = "CASE " + " ".join(f"WHEN {when} THEN {k}" for k, (when, _, _) in enumerate(rules)) + " END"
+    pick = lambda k: "CASE nth " + " ".join(f"WHEN {n} THEN {r[k]}" for n, r in enumerate(rules)) + " END"
+    kinds = " ".join(f"WHEN {k} THEN '{a}' || page || '{b}'" for k, (a, b) in enumerate(_KINDS))
+    track = _trim(_sub(_sub(_sub("t", titles.FEATURED), "[『「〖][^』」〗]*[』」〗]"), "\\s+", " "), " \\-–—|·")
+    artist = _trim(han(_sub("a", "[『「【〖[][^』」】〗\\]]*[』」】〗\\]]")), " \\-–—|·、")
+    return f"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS page FROM pages),
+m AS (SELECT page_id, {_trim(f"CASE page_id % {len(_KINDS)} {kinds} END")} AS raw FROM p),
+g AS (SELECT *, {", ".join(f"{x} AS {n}" for n, x in places)} FROM m),
+h AS (SELECT *, {before} AS before, {after} AS after, {parts} AS parts, {g('clean', split, 1)} AS d1, {g('clean', split, 2)} AS d2 FROM g),
+n AS (SELECT *, {nth} AS nth FROM h), f AS (SELECT page_id, nullif({pick(1)}, '') AS a, nullif({pick(2)}, '') AS t FROM n)
+SELECT page_id, nullif(CASE WHEN a IS NOT NULL THEN {artist} END, '') AS guessed_artist, nullif({track}, '') AS guessed_track FROM f"""
+
+
+@query(_guess_sql())
 def guess_meta(spark, sf):
-    none = F.lit(None).cast("string")
-    return titles.with_guess(_named_pages(spark, sf).withColumns({"artist": none, "track": none})).select("page_id", "guessed_artist", "guessed_track")
+    none, kind = F.lit(None).cast("string"), F.col("page_id") % len(_KINDS)
+    page, made = text.page_title(F.col("html")), F.lit("")
+    for k, (a, b) in enumerate(_KINDS):
+        made = F.when(kind == k, F.concat(F.lit(a), page, F.lit(b))).otherwise(made)
+    rows = A.table(spark, sf, "pages").select("page_id", made.alias("title"), none.alias("artist"), none.alias("track"))
+    return titles.with_guess(rows).select("page_id", "guessed_artist", "guessed_track")
 
 
 @query()
