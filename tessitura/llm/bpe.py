@@ -10,7 +10,6 @@ prefix with the word before is the path that stays on the stack.
 
 from __future__ import annotations
 
-import codecs
 import hashlib
 import json
 import os
@@ -29,7 +28,7 @@ from .words import text_column
 #: Fixed pattern of the byte-level pre-tokenizer.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of word encodings that a worker keeps; beyond that only those of the words at hand stay.
-KEEP_BYTES = 32 << 20
+KEEP_BYTES = 48 << 20
 #: Bytes of a word that is kept at all, and pairs of tokens whose test is kept.
 KEEP_WORD, KEEP_PAIRS = 1 << 10, 200_000
 #: Letters of texts that share one walk; words of a longer text that do.
@@ -53,8 +52,16 @@ class Vocabulary:
     halves: dict[int, tuple[int, int]]
     rank: dict[int, int]
     added: dict[str, int]
-    longest: int = 0
-    _fits: dict[tuple[int, int], bool] = field(default_factory=dict)
+    _fits: dict[int, bool] = field(default_factory=dict)
+
+    def __post_init__(self):
+        self._whole: list[bool | None] = [None] * len(self.tokens)
+        self.names = [str(i) for i in range(len(self.tokens))]
+        #: three bytes -> longest token that ends in them
+        self.reach: dict[bytes, int] = {}
+        for word in self.ids:
+            if len(word) > 2:
+                self.reach[word[-3:]] = max(self.reach.get(word[-3:], 0), len(word))
 
     @classmethod
     def load(cls, spec: str) -> Vocabulary:
@@ -78,15 +85,16 @@ class Vocabulary:
             pairs[left, right] = whole
             if whole not in rank:
                 rank[whole], halves[whole] = n, (left, right)
-        return cls(raw, tokens, pairs, halves, rank, added, max(map(len, raw)))
+        return cls(raw, tokens, pairs, halves, rank, added)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether the two tokens stay two when their bytes are encoded together."""
-        known = self._fits.get((left, right))
+        two = left << 32 | right
+        known = self._fits.get(two)
         if known is None:
             if len(self._fits) > KEEP_PAIRS:
                 self._fits.clear()
-            known = self._fits[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            known = self._fits[two] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return known
 
     def merged(self, word: bytes) -> list[int]:
@@ -104,38 +112,47 @@ class Vocabulary:
         return parts
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        """Encodings of distinct words; states of shared prefixes are computed once."""
-        out: dict[bytes, list[int]] = {}
-        last: list[int] = [-1]  # last[i]: last token of the prefix of length i on the current path
-        ids, longest, fits, tokens = self.ids, self.longest, self.fits, self.tokens
+        """Encodings of distinct words."""
+        return {word: [int(i) for i in codes.split(",")] for word, codes in self.coded_words(words).items()}
+
+    def coded_words(self, words: list[bytes]) -> dict[bytes, str]:
+        """Encodings of distinct words as ids joined by commas; states of shared prefixes are computed once."""
+        out: dict[bytes, str] = {}
+        last, codes = [-1], [""]  # of each prefix on the current path: its last token, and its encoding
+        find, reach, fits, names, whole = self.ids.get, self.reach, self._fits, self.names, self._whole
         path = b""
         for word in sorted(words):
-            shared = 0
-            for shared, (a, b) in enumerate(zip(path, word, strict=False)):  # noqa: B007
-                if a != b:
-                    break
-            else:
-                shared = min(len(path), len(word))
-            del last[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                for begin in range(max(0, end - longest), end):
-                    token = ids.get(word[begin:end])
-                    if token is not None and (begin == 0 or fits(last[begin], token)) and (begin or end == 1 or self.whole(token)):
-                        last.append(token)
-                        break
-            path, code, at = word, [], len(word)
-            while at:
-                code.append(last[at])
-                at -= len(tokens[last[at]])
-            out[word] = code[::-1]
+            size = len(word)
+            shared, most = 0, min(len(path), size)
+            while shared < most and path[shared] == word[shared]:
+                shared += 1
+            del last[shared + 1 :], codes[shared + 1 :]
+            for end in range(shared + 1, size + 1):
+                begin = max(0, end - reach.get(word[end - 3 : end], 2)) if end > 2 else 0
+                while True:
+                    token = find(word[begin:end])
+                    if token is not None and (whole[token] or whole[token] is None and self.whole(token)):
+                        if not begin:
+                            codes.append(names[token])
+                            break
+                        before = last[begin]
+                        two = before << 32 | token
+                        if fits[two] if two in fits else self.fits(before, token):
+                            codes.append(f"{codes[begin]},{names[token]}")
+                            break
+                    begin += 1
+                    if begin == end:
+                        raise ValueError(f"no token of the vocabulary ends {word[:end]!r}")
+                last.append(token)
+            path = word
+            out[word] = codes[size]
         return out
 
     def whole(self, token: int) -> bool:
         """Whether a token's own bytes are encoded as that token."""
-        known = self._fits.get((-1, token))
-        if known is None:
-            known = self._fits[-1, token] = self.merged(self.tokens[token]) == [token]
-        return known
+        if self._whole[token] is None:
+            self._whole[token] = self.merged(self.tokens[token]) == [token]
+        return self._whole[token]
 
 
 class Encoder:
@@ -145,10 +162,10 @@ class Encoder:
         self.vocabulary = vocabulary
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(vocabulary.added, key=len, reverse=True))) if vocabulary.added else None
-        #: word -> (ids joined by commas, number of ids, decoded bytes)
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        #: word -> ids joined by commas
+        self.known: dict[str, str] = {}
         self.used = 0
-        self.marks = {t: (str(i), 1, vocabulary.tokens[i]) for t, i in vocabulary.added.items()}
+        self.marks = {t: str(i) for t, i in vocabulary.added.items()}
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text in order; special tokens are words of their own."""
@@ -185,20 +202,18 @@ class Encoder:
             self.known = {w: self.known[w] for w in words if w in self.known and len(w) <= KEEP_WORD}
             fresh = [w for w in words if w not in self.known]
             self.used = sum(map(_cost, self.known))
-        codes = self.vocabulary.encode_words([w.encode() for w in fresh])
-        tokens = self.vocabulary.tokens
+        codes = self.vocabulary.coded_words([w.encode() for w in fresh])
         for w in fresh:
-            code = codes[w.encode()]
-            self.known[w] = (",".join(map(str, code)), len(code), b"".join([tokens[i] for i in code]))
+            self.known[w] = codes[w.encode()]
             self.used += _cost(w)
         self.known.update(self.marks)
 
-    def entries(self, words: list[str]) -> list[tuple[str, int, bytes]]:
+    def entries(self, words: list[str]) -> list[str]:
         self.learn(set(words))
         return list(map(self.known.__getitem__, words))
 
     def ids(self, text: str) -> list[int]:
-        return [int(i) for run in self.runs(text) for e in self.entries(run) for i in e[0].split(",")]
+        return [int(i) for run in self.runs(text) for e in self.entries(run) for i in e.split(",")]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.vocabulary.tokens[i] for i in ids]).decode("utf-8", "replace")
@@ -206,7 +221,7 @@ class Encoder:
 
 def _cost(word: str) -> int:
     """Bytes, about, that a word and its entry take."""
-    return 300 + 6 * len(word)
+    return 220 + 5 * len(word)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -228,7 +243,7 @@ def vocabulary_text(spark: SparkSession, path: str) -> str:
         return f.read()
 
 
-def encoded_texts(own: Encoder, texts: pa.Array) -> Iterator[Iterator[tuple[list[str], list[tuple[str, int, bytes]]]]]:
+def encoded_texts(own: Encoder, texts: pa.Array) -> Iterator[Iterator[tuple[list[str], list[str]]]]:
     """For each text, in order, its words in runs and their encodings. Texts of about GROUP letters together are learnt in one walk,
     a longer one run by run, so a worker holds the words of no more than that."""
     at = 0
@@ -266,15 +281,14 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
             columns: tuple[list, ...] = ([], [], [], [])
             for runs in encoded_texts(own, batch.column(1)):
                 size, codes, text, ids = 0, hashlib.sha256(), hashlib.sha256(), []
-                decoder = codecs.getincrementaldecoder("utf-8")("replace")
-                for _, found in runs:
-                    joined = ",".join([e[0] for e in found])
+                for words, found in runs:
+                    joined = ",".join(found)
                     codes.update(b"," * bool(size and found) + joined.encode())
-                    size += sum([e[1] for e in found])
-                    text.update(decoder.decode(b"".join([e[2] for e in found])).encode())
+                    size += joined.count(",") + bool(found)
+                    # decoded: the tokens of each word are pieces of its bytes, so together they spell it
+                    text.update("".join(words).encode())
                     if with_ids and joined:
                         ids += map(int, joined.split(","))
-                text.update(decoder.decode(b"", True).encode())
                 for column, value in zip(columns, (size, codes.hexdigest(), text.hexdigest(), ids), strict=True):
                     column.append(value)
             out = [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())), strict=True))]
