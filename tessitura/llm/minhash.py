@@ -149,8 +149,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("root"))
     )
     placed = written(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    return placed.join(least, "root").select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    # a class that is alone needs no look-up, so what is joined are groups only, and seldom too many to broadcast
+    groups = placed.groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("root", "least")
+    out = placed.join(checked_broadcast(written(groups, "groups")), "root", "left").withColumn("component_id", F.coalesce("least", "id"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _bands(batches):
