@@ -32,22 +32,18 @@ def literal_index(title: Column, track: Column, artist: Column, table: Mapping[s
 
 def term_score(index: Column, term: Column) -> Column:
     """The best of all fields' hits of one term, -1 without any."""
-    scores = []
-    for k, exact in enumerate(EXACT):
-        field = index.getItem(k)
-        text = field.getField("text")
-        scores.append(
-            F.when((text == "") | ~text.contains(term), -1).when(text == term, exact).when(text.startswith(term), exact - PREFIX_LOSS).otherwise(exact - INNER_LOSS)
-        )
-        whole, prefix, inner = PHONETIC
-        sound = F.transform(
-            field.getField("phonetics"),
-            lambda p: F.when((p == "") | ~p.contains(term), -1).when(p == term, whole).when(p.startswith(term), prefix).otherwise(inner),
-        )
-        whole_i, prefix_i = INITIAL
-        first = F.transform(field.getField("initials"), lambda p: F.when((p == "") | ~p.startswith(term), -1).when(p == term, whole_i).otherwise(prefix_i))
-        scores += [F.array_max(sound), F.array_max(first)]
-    return F.greatest(*scores, F.lit(-1))
+
+    def hits(text: Column, whole, prefix, inner=None) -> Column:
+        found = text.startswith(term) if inner is None else text.contains(term)
+        some = F.when((text == "") | ~found, -1).when(text == term, whole)
+        return some.otherwise(prefix) if inner is None else some.when(text.startswith(term), prefix).otherwise(inner)
+
+    def of(field: Column, k: Column) -> Column:
+        exact = F.element_at(F.array(*map(F.lit, EXACT)), k + 1)
+        sounds = F.array_max(F.transform(field["phonetics"], lambda p: hits(p, *PHONETIC)))
+        return F.greatest(hits(field["text"], exact, exact - PREFIX_LOSS, exact - INNER_LOSS), sounds, F.array_max(F.transform(field["initials"], lambda p: hits(p, *INITIAL))))
+
+    return F.greatest(F.array_max(F.transform(index, of)), F.lit(-1))
 
 
 def query_score(index: Column, needle: Column) -> Column:
@@ -59,11 +55,15 @@ def query_score(index: Column, needle: Column) -> Column:
     text, terms = needle.getField("text"), needle.getField("terms")
     title, artist = index.getItem(0).getField("text"), index.getItem(1).getField("text")
     joined = (title != "") & (artist != "") & ((F.concat(title, artist) == text) | (F.concat(artist, title) == text))
-    each = F.transform(terms, lambda t: term_score(index, t))
-    total = F.aggregate(each, F.lit(0), lambda a, x: a + x)
-    mean = F.when(F.forall(each, lambda x: x >= 0), total / F.size(terms))
-    best = F.greatest(term_score(index, text).cast("double"), F.when(joined, F.lit(float(TOGETHER))), mean)
-    return F.when(text == "", F.lit(0.0)).otherwise(best)
+
+    def best(scores: Column) -> Column:
+        """Of the scores of the whole query, then of each term."""
+        each = F.slice(scores, F.lit(2), F.size(terms))
+        mean = F.when(F.forall(each, lambda x: x >= 0), F.aggregate(each, F.lit(0), lambda a, x: a + x) / F.size(terms))
+        return F.greatest(F.get(scores, F.lit(0)).cast("double"), F.when(joined, F.lit(float(TOGETHER))), mean)
+
+    scores = F.transform(F.concat(F.array(text), terms), lambda t: term_score(index, t))
+    return F.when(text == "", F.lit(0.0)).otherwise(F.get(F.transform(F.array(scores), best), F.lit(0)))
 
 
 def search(songs: DataFrame, query: str, table: Mapping[str, str] | None = None, most: int | None = None) -> DataFrame:
