@@ -169,7 +169,7 @@ def moving_average(spark, sf):
 
 
 @query(f"""WITH {SMOOTH.replace('vec_id,', 'label,')}, p AS (SELECT label, bin, sum(v * v) / count(*) AS power FROM e GROUP BY 1, 2),
-d AS (SELECT label, bin, 10 * log10(greatest(power, 1e-12)) AS db FROM p),
+d AS (SELECT label, bin, 10 * log10(greatest(power, 1e-20)) AS db FROM p),
 s AS (SELECT label, bin, sum(db) OVER (PARTITION BY label ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) / 9.0 AS smooth FROM d),
 r AS (SELECT *, avg(smooth) FILTER (bin BETWEEN 8 AND 24) OVER (PARTITION BY label) AS ref FROM s)
 SELECT label, round(min(ref), 6) AS ref_db, max(bin) FILTER (smooth > ref - 1.0) AS cutoff_bin, round(avg(smooth) FILTER (bin BETWEEN 40 AND 60) - min(ref), 6) AS high_db FROM r GROUP BY 1""")
