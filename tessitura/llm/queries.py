@@ -13,9 +13,11 @@ from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .licenses import scan_licenses
 from .minhash import near_dedup
+from .neighbours import nearest
 from .pii import find_personal_data
 from .suffix_repeats import remove_repeats
 from .token_counts import token_counts
+from .vector_codes import compress
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +114,49 @@ def op10_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+_ASSIGN = """
+d{n} AS (SELECT r, p, e, sum((x - y) * (x - y))::BIGINT AS d FROM parts JOIN book{n} USING (p, j) GROUP BY r, p, e),
+code{n} AS (SELECT r, p, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM d{n} GROUP BY r, p),"""
+_MOVE = """
+book{m} AS (
+  SELECT p, e, j, coalesce(z, y) AS y FROM book{n} LEFT JOIN (
+    SELECT p, e, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS z FROM parts JOIN code{n} USING (r, p) GROUP BY p, e, j
+  ) USING (p, e, j)
+),"""
+OP11_SQL = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS r, vec_id, label, embedding FROM embeddings
+  WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), parts AS (
+  SELECT r, i // (n // 16) AS p, i % (n // 16) AS j, floor(256 * embedding[i + 1]::DOUBLE)::HUGEINT AS x
+  FROM (SELECT r, embedding, len(embedding) AS n, unnest(range(len(embedding))) AS i FROM v)
+), book0 AS (SELECT p, r AS e, j, x AS y FROM parts WHERE r < 64),{_ASSIGN.format(n=0)}{_MOVE.format(n=0, m=1)}{_ASSIGN.format(n=1)}{_MOVE.format(n=1, m=2)}{_ASSIGN.format(n=2)}
+coded AS (SELECT r, string_agg(lpad(lower(hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM code2 GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       sha256((SELECT string_agg(y::VARCHAR, ',' ORDER BY p, e, j) FROM book2)) AS codebooks_sha256
+FROM v JOIN coded USING (r)
+"""
+
+
+def op12_vantage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))
+)
+SELECT q.vec_id AS query_id, (row_number() OVER near)::INTEGER AS rank, v.vec_id, list_distance(q.e, v.e) AS score
+FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+WINDOW near AS (PARTITION BY q.vec_id ORDER BY list_distance(q.e, v.e), v.vec_id) QUALIFY rank <= 10
+"""
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -153,6 +198,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_licenses": op9_licenses,
     "op10_suffix_repeats": op10_suffix_repeats,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_vantage_search": op12_vantage_search,
     "op13_divergence": op13_divergence,
 }
 
@@ -160,5 +207,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op4_decontaminate": OP4_SQL,
     "op7_warc": OP7_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op12_vantage_search": OP12_SQL,
     "op13_divergence": OP13_SQL,
 }
