@@ -162,8 +162,9 @@ class Encoder:
         self.vocabulary = vocabulary
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(vocabulary.added, key=len, reverse=True))) if vocabulary.added else None
-        #: word -> ids joined by commas
+        #: word -> ids joined by commas, and the bytes that these ids stand for
         self.known: dict[str, str] = {}
+        self.spelled: dict[str, bytes] = {}
         self.used = 0
         self.marks = {t: str(i) for t, i in vocabulary.added.items()}
 
@@ -200,18 +201,31 @@ class Encoder:
             return
         if self.used > KEEP_BYTES:
             self.known = {w: self.known[w] for w in words if w in self.known and len(w) <= KEEP_WORD}
+            self.spelled = {w: self.spelled[w] for w in self.known}
             fresh = [w for w in words if w not in self.known]
             self.used = sum(map(_cost, self.known))
         codes = self.vocabulary.coded_words([w.encode() for w in fresh])
         for w in fresh:
-            self.known[w] = codes[w.encode()]
+            self.known[w] = own = codes[w.encode()]
+            self.spelled[w] = self.bytes_of(own)
             self.used += _cost(w)
-        self.known.update(self.marks)
+        for mark, own in self.marks.items():
+            self.known[mark], self.spelled[mark] = own, self.bytes_of(own)
 
     def entries(self, words: list[str]) -> list[str]:
         self.learn(set(words))
         return list(map(self.known.__getitem__, words))
 
+    def bytes_of(self, codes: str) -> bytes:
+        """What ids joined by commas stand for."""
+        tokens = self.vocabulary.tokens
+        return b"".join([tokens[int(i)] for i in codes.split(",")])
+
+    def decoded(self, words: list[str]) -> bytes:
+        """Known words as their ids decode, in UTF-8; ids that spell no UTF-8 give replacement characters."""
+        raw = b"".join(map(self.spelled.__getitem__, words))
+        return raw.decode("utf-8", "replace").encode()
+
     def ids(self, text: str) -> list[int]:
         return [int(i) for run in self.runs(text) for e in self.entries(run) for i in e.split(",")]
 
@@ -221,7 +235,7 @@ class Encoder:
 
 def _cost(word: str) -> int:
     """Bytes, about, that a word and its entry take."""
-    return 220 + 5 * len(word)
+    return 280 + 6 * len(word)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -285,8 +299,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                     joined = ",".join(found)
                     codes.update(b"," * bool(size and found) + joined.encode())
                     size += joined.count(",") + bool(found)
-                    # decoded: the tokens of each word are pieces of its bytes, so together they spell it
-                    text.update("".join(words).encode())
+                    text.update(own.decoded(words))
                     if with_ids and joined:
                         ids += map(int, joined.split(","))
                 for column, value in zip(columns, (size, codes.hexdigest(), text.hexdigest(), ids), strict=True):

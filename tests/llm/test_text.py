@@ -56,6 +56,15 @@ def test_bpe_in_runs_and_with_little_memory(spark, library, monkeypatch):
     assert got == sorted((str(i), len(library.encode(t, add_special_tokens=False).ids)) for i, t in rows[:5])
 
 
+def test_a_wrong_id_shows_in_the_decoded_digest(spark):
+    own = bpe.Encoder(bpe.Vocabulary.load(open(VOCABULARY, encoding="utf-8").read()))
+    coded = own.vocabulary.coded_words
+    own.vocabulary.coded_words = lambda words: {w: c if w != b" plain" else coded([b" plane"])[b" plane"] for w, c in coded(words).items()}
+    runs = [list(r) for r in bpe.encoded_texts(own, bpe.pa.array(["a text", "a plain text"]))]
+    spelled = [b"".join(own.decoded(words) for words, _ in r) for r in runs]
+    assert spelled == [b"a text", b"a plane text"]
+
+
 def test_bpe_decodes(spark):
     rows = list(enumerate(odd_texts()))
     back = bpe.decode(bpe.encode(frame(spark, rows), VOCABULARY, with_ids=True), VOCABULARY).collect()
