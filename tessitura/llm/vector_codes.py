@@ -63,7 +63,7 @@ def whole(x: np.ndarray) -> np.ndarray:
 
 def _small(x: np.ndarray) -> bool:
     """Whether squared distances of such parts are exact in doubles."""
-    return x.dtype != object and (not x.size or 4 * x.shape[-1] * float(np.abs(x).max()) ** 2 < EXACT)
+    return x.dtype != object and (not x.size or float(np.abs(x).max()) < (EXACT / (4 * x.shape[-1])) ** 0.5)
 
 
 def _as_ints(x: np.ndarray) -> np.ndarray:
