@@ -186,8 +186,15 @@ def receipts(finishes: DataFrame) -> DataFrame:
 ROOM_STATE = "room_id string, revision int, current string, queue array<string>, playing boolean, position double, seek_version int, guide boolean, accepted int, repeated int, refused int"
 
 
+#: Fields of a command that tell it from another of the same id; the member too where the action depends on who asks.
+SIGNED = ("action", "enabled", "item_id", "job_id", "position")
+OWN_ACTIONS = ("add", "sing", "unsing")
+#: What a paired screen may ask for.
+SCREEN_ACTIONS = ("play", "pause", "guide", "seek", "restart", "next")
+
+
 class Room:
-    """A room that commands change. Applying one returns accepted, repeated or refused."""
+    """A room that commands and players' reports change. Applying a command returns accepted, repeated or refused."""
 
     def __init__(self):
         self.revision, self.seek_version, self.made = 0, 0, 0
@@ -196,12 +203,46 @@ class Room:
         self.playing = self.guide = False
         self.position = 0.0
         self.seen: dict[str, str] = {}
+        self.lease: dict | None = None
+
+    @classmethod
+    def of(cls, state: dict) -> Room:
+        room = cls()
+        vars(room).update(state)
+        return room
+
+    def restarted(self) -> None:
+        """As after a restart of the server: nothing plays, no player holds the room, clients fetch it anew."""
+        self.playing, self.lease = False, None
+        self.seek_version, self.revision = self.seek_version + 1, self.revision + 1
+
+    def report(self, report: dict, at_ms: int) -> None:
+        """A player's report takes the lease, or extends it."""
+        self.lease = {"item_id": report.get("item_id"), "generation": report.get("generation"), "position": float(report.get("position") or 0), "at_ms": int(at_ms)}
+
+    def lease_ends(self) -> int | None:
+        return self.lease["at_ms"] + 1000 * LEASE_SECONDS if self.lease else None
+
+    def lapse(self, now_ms: int) -> bool:
+        """If the player was not heard of in time: playing stops where it told last, if that was of the current item and generation."""
+        if self.lease is None or now_ms < self.lease_ends():
+            return False
+        if self.current is not None and self.lease["item_id"] == self.current["id"] and self.lease["generation"] == self.seek_version:
+            self.position = self.lease["position"]
+        self.playing, self.lease = False, None
+        self.revision += 1
+        return True
 
     def apply(self, command: dict) -> str:
-        signature = json.dumps({k: v for k, v in sorted(command.items()) if k not in ("command_id", "expected_revision", "seq")}, default=str)
-        ident = command["command_id"]
+        action, ident = command["action"], command["command_id"]
+        if command.get("role") == "screen" and action not in SCREEN_ACTIONS:
+            return "refused"
+        payload = {k: command[k] for k in SIGNED if command.get(k) is not None}
+        # signatures of additions were once without the member
+        plain = json.dumps(payload, sort_keys=True, default=str)
+        signature = json.dumps(payload | {"member_id": command.get("member_id")}, sort_keys=True, default=str) if action in OWN_ACTIONS else plain
         if ident in self.seen:
-            return "repeated" if self.seen[ident] == signature else "refused"
+            return "repeated" if self.seen[ident] == signature or action == "add" and self.seen[ident] == plain else "refused"
         expected = command.get("expected_revision")
         if expected is not None and int(expected) != self.revision:
             return "refused"
@@ -220,7 +261,7 @@ class Room:
         if not c.get("job_id") or len(self.queue) >= MOST_QUEUED:
             return False
         self.made += 1
-        self.queue.append({"id": f"i{self.made}", "job_id": c["job_id"], "singers": [c["member_id"]] if c.get("member_id") else []})
+        self.queue.append({"id": f"i{self.made}", "job_id": c["job_id"], "singers": [c["member_id"]] if c.get("member_id") else [], "duration": c.get("duration")})
         if self.current is None:
             self._step()
             self.playing = True
@@ -271,10 +312,10 @@ class Room:
         return True
 
     def _seek(self, c: dict) -> bool:
-        to = c.get("position")
-        if not self._is_current(c) or to is None or not 0 <= to < float("inf"):
+        to = 0.0 if c.get("position") is None else c["position"]
+        if not self._is_current(c) or not 0 <= to < float("inf"):
             return False
-        self.position, self.seek_version = min(float(to), float(c.get("duration") or 86400)), self.seek_version + 1
+        self.position, self.seek_version = min(float(to), float(self.current.get("duration") or 86400)), self.seek_version + 1
         return True
 
     def _restart(self, c: dict) -> bool:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessitura.operators import jobs, rooms, settings
+from tessitura.operators import claims, jobs, rooms, settings
 from tessitura.sources import adapters as A
 from tessitura.streaming import evidence
+from tessitura.streaming import rooms as room_stream
 
 from .tables import BEATS, sql
 
@@ -127,6 +128,30 @@ def task_claim(spark, sf):
     return tasks.select("task_id", "state", "attempts", "worker_id", "lease_expires", F.coalesce(F.col("claim_token") == "token", F.lit(False)).alias("claimed"))
 
 
+ASKED = """, kinds AS (SELECT task_id, created_at, CASE kind WHEN '1-URGENT' THEN 'a' WHEN '2-HIGH' THEN 'b' ELSE 'c' END AS kind FROM tasks WHERE state = 'waiting'),
+q AS (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY created_at, task_id) - 1 AS place, (created_at, task_id) AS o, task_id FROM kinds),
+w AS (SELECT row_number() OVER (ORDER BY c_custkey) AS n, c_custkey AS turn, ['a', 'b', 'ab', 'bc', 'abc', 'c', ''][c_custkey % 7 + 1] AS can FROM customer),
+f AS (
+  SELECT 0::BIGINT AS n, 0::BIGINT AS turn, NULL::BIGINT AS task_id, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c
+  UNION ALL
+  SELECT n, turn, CASE k WHEN 'a' THEN ta WHEN 'b' THEN tb WHEN 'c' THEN tc END, a + (k = 'a')::INTEGER, b + (k = 'b')::INTEGER, c + (k = 'c')::INTEGER
+  FROM (SELECT w.n, w.turn, f.a, f.b, f.c, qa.task_id AS ta, qb.task_id AS tb, qc.task_id AS tc,
+          CASE least(qa.o, qb.o, qc.o) WHEN qa.o THEN 'a' WHEN qb.o THEN 'b' WHEN qc.o THEN 'c' ELSE '' END AS k
+        FROM f JOIN w ON w.n = f.n + 1
+        LEFT JOIN q qa ON qa.kind = 'a' AND qa.place = f.a AND contains(w.can, 'a')
+        LEFT JOIN q qb ON qb.kind = 'b' AND qb.place = f.b AND contains(w.can, 'b')
+        LEFT JOIN q qc ON qc.kind = 'c' AND qc.place = f.c AND contains(w.can, 'c')))
+SELECT turn, turn AS worker_id, task_id FROM f WHERE task_id IS NOT NULL"""
+
+
+@query("WITH RECURSIVE " + TASKS + ASKED)
+def task_assignment(spark, sf):
+    kind = F.when(F.col("kind") == "1-URGENT", "a").when(F.col("kind") == "2-HIGH", "b").otherwise("c")
+    k = F.col("c_custkey")
+    can = F.array_remove(F.split(F.element_at(F.array(*map(F.lit, ["a", "b", "ab", "bc", "abc", "c", ""])), (k % 7 + 1).cast("int")), ""), "")
+    return claims.assigned(_tasks(spark, sf).withColumn("kind", kind), A.table(spark, sf, "customer").select(k.alias("turn"), k.alias("worker_id"), can.alias("kinds")))
+
+
 @query(sql(" SELECT task_id FROM tasks WHERE state = 'running' AND lease_expires > 50 AND worker_id % 2 = 0", TASKS))
 def fenced_reports(spark, sf):
     tasks = _tasks(spark, sf)
@@ -212,6 +237,18 @@ def room_commands(spark, sf):
     return rooms.rooms_after(rows)
 
 
+@query()
+def room_log(spark, sf):
+    """Outcomes of commands and players that fell silent; tests compare with a plain loop."""
+    e = _events(spark, sf)
+    k = F.col("event_id")
+    action = F.element_at(F.array(*map(F.lit, ["add", "report", "report", "next", "pause", "play", "seek", "report"])), (k % 8 + 1).cast("int"))
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = e.select((F.col("user_id") % 20).cast("string").alias("room_id"), k.alias("seq"), F.col("ts").alias("at"), F.concat(F.lit("c"), k.cast("string")).alias("command_id"), action.alias("action"), F.col("user_id").cast("string").alias("member_id"), none("string").alias("role"),
+                    F.concat(F.lit("song"), (k % 50).cast("string")).alias("job_id"), F.concat(F.lit("i"), (k % 9).cast("string")).alias("item_id"), none("int").alias("expected_revision"), (k % 5).cast("int").alias("generation"), (k % 100).cast("double").alias("position"), none("double").alias("duration"), none("boolean").alias("enabled"))
+    return room_stream.room_events(rows, 4_000_000_000_000).drop("state")
+
+
 @query("""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, ['create', 'update', 'update', 'cancel', 'retry', 'update'][event_id % 6 + 1] AS action,
   event_id % 5 + 1 AS g, CASE event_id % 6 WHEN 5 THEN 'done' WHEN 2 THEN 'running' END AS to_state, event_id % 100 AS p FROM events),
 f AS (
