@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessitura.functions.states import ACTIVE
 from tessitura.functions.text import trimmed
 from tessitura.functions.titles import with_guess
+from tessitura.sources.publish import publish, published
 
 JOB = (
     "id string, url string, webpage_url string, title string, track string, artist string, thumbnail string, duration double, state string, step string, "
@@ -16,7 +17,13 @@ JOB = (
     "recordings array<struct<file:string,title:string,duration:double,created_at:double,size:bigint,mime_type:string>>, "
     "created_at double, updated_at double, generation string"
 )
-ROOM = "id string, schema int, created_at double, updated_at double, revision int, name string, queue array<struct<id:string,job_id:string>>"
+ROOM = (
+    "id string, created_at double, updated_at double, revision int, name string, host string, pair string, controllers array<string>, "
+    "queue array<struct<id:string,job_id:string>>, current struct<id:string,job_id:string>, "
+    "playback struct<playing:boolean,guide:boolean,position:double,seek_version:int>, commands array<array<string>>"
+)
+#: Fields without which a room isn't restored; `current` may be null.
+ROOM_KEYS = ("id", "created_at", "updated_at", "host", "pair", "controllers", "queue", "current", "playback", "revision", "commands")
 MEDIA = ("mp3", "m4a", "flac", "wav", "ogg", "opus", "mp4", "mkv", "webm", "mov", "avi", "mpg", "mpeg", "wmv", "flv", "ts")
 #: Rooms that a snapshot restores; seconds that a room may be idle, and may last.
 MOST_ROOMS, IDLE, AGE = 64, 12 * 3600, 48 * 3600
@@ -44,21 +51,29 @@ def by_id(catalog: DataFrame, ident: str) -> DataFrame:
 
 
 def rooms(spark: SparkSession, path: str, now: float) -> DataFrame:
-    """Rooms of a snapshot file of schema 1: the first MOST_ROOMS with all that a room needs, not expired."""
-    snapshot = spark.read.schema(f"schema int, rooms array<struct<{ROOM.replace(' string', ':string').replace(' int', ':int').replace(' double', ':double').replace('queue array', 'queue:array')}>>").option("multiLine", True).json(path)
-    each = snapshot.where("schema = 1").select(F.posexplode(F.slice("rooms", 1, MOST_ROOMS)).alias("place", "room")).select("room.*")
-    whole = each.where("id IS NOT NULL AND created_at IS NOT NULL AND updated_at IS NOT NULL AND queue IS NOT NULL")
-    return whole.where((F.lit(now) - F.col("updated_at") <= IDLE) & (F.lit(now) - F.col("created_at") <= AGE)).drop("schema")
+    """Rooms of a snapshot of schema 1 (a file, or what `write_rooms` published): of the first MOST_ROOMS those with all that a room needs, not expired.
+
+    They are as after a restart: nothing plays, no player holds them, and clients see a new revision and seek version.
+    """
+    snapshot = spark.read.schema("schema int, rooms array<string>").option("multiLine", True).json(published(spark, path))
+    each = snapshot.where("schema = 1").select(F.posexplode(F.slice("rooms", 1, MOST_ROOMS)).alias("place", "text"))
+    whole = each.where(F.size(F.array_except(F.array(*map(F.lit, ROOM_KEYS)), F.json_object_keys("text"))) == 0)
+    rooms_ = whole.select(F.from_json("text", ROOM).alias("room")).select("room.*").where("id IS NOT NULL AND queue IS NOT NULL AND playback IS NOT NULL")
+    playback = F.col("playback").withField("playing", F.lit(False)).withField("seek_version", F.col("playback.seek_version") + 1)
+    open_ = rooms_.where((F.lit(now) - F.col("updated_at") <= IDLE) & (F.lit(now) - F.col("created_at") <= AGE))
+    return open_.withColumns({"playback": playback, "revision": F.col("revision") + 1})
 
 
-def write_rooms(state: DataFrame, path: str) -> None:
-    """Snapshot without what lives only in memory."""
-    state.drop("members", "lease", "presence", "commands").write.mode("overwrite").json(path)
+def write_rooms(state: DataFrame, path: str, generation: int = 0, expected: int | None = None) -> int:
+    """Publish a snapshot (at most MOST_ROOMS rooms) without what lives only in memory; the number of its version."""
+    kept = state.drop("lease", "presence").orderBy("created_at", "id").limit(MOST_ROOMS)
+    whole = kept.agg(F.collect_list(F.struct(*kept.columns)).alias("rooms")).select(F.lit(1).alias("schema"), "rooms")
+    return publish(whole.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")), path, generation, expected, "text")
 
 
 def operations(spark: SparkSession, path: str) -> DataFrame:
     """Operation log; what was in flight is queued; a corrupt file fails."""
-    log = spark.read.schema("id string, job_id string, kind string, state string, created_at double, updated_at double, token string, error string").option("mode", "FAILFAST").json(path)
+    log = spark.read.schema("id string, job_id string, kind string, state string, created_at double, updated_at double, token string, error string").option("mode", "FAILFAST").json(published(spark, path))
     return log.withColumn("state", F.when(F.col("state") == "running", "queued").otherwise(F.col("state")))
 
 
@@ -132,9 +147,9 @@ def trials(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame([], TRIALS) if path is None else spark.read.schema(TRIALS).parquet(path)
 
 
-def write_operations(log: DataFrame, path: str) -> None:
-    """The operation log as JSON lines, as `operations` reads it; readers see the old files or the new ones."""
-    log.write.mode("overwrite").json(path)
+def write_operations(log: DataFrame, path: str, generation: int = 0, expected: int | None = None) -> int:
+    """Publish the operation log as JSON lines, as `operations` reads it; the number of its version. Readers see the old log or the new one."""
+    return publish(log, path, generation, expected)
 
 
 def eligible(catalog: DataFrame, longest: float = 900) -> DataFrame:

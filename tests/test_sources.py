@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessitura.functions import clock, text
 from tessitura.operators import browse, history, imports, match, settings
-from tessitura.sources import catalog
+from tessitura.sources import catalog, media, publish
 
 
 def write(folder, name, body):
@@ -25,9 +27,77 @@ def test_catalog_scan(spark, tmp_path):
 
 
 def test_room_snapshot(spark, tmp_path):
-    room = {"id": "r", "created_at": 100.0, "updated_at": 100.0, "revision": 3, "queue": []}
-    (tmp_path / "rooms.json").write_text(json.dumps({"schema": 1, "rooms": [room, room | {"id": "old", "updated_at": -99999.0}, {"id": "bad"}]}))
-    assert [r.id for r in catalog.rooms(spark, str(tmp_path / "rooms.json"), 200.0).collect()] == ["r"]
+    playback = {"playing": True, "guide": True, "position": 7.5, "seek_version": 4}
+    room = {"id": "r", "created_at": 100.0, "updated_at": 100.0, "revision": 3, "queue": [{"id": "i1", "job_id": "s"}], "host": "h", "pair": "p", "controllers": [], "current": None, "playback": playback, "commands": [["c1", "x"]]}
+    without = [{k: v for k, v in room.items() if k != gone} for gone in ("host", "current", "commands")]
+    (tmp_path / "rooms.json").write_text(json.dumps({"schema": 1, "rooms": [room, room | {"id": "old", "updated_at": -99999.0}, {"id": "bad"}, "no room", *without]}))
+    restored = catalog.rooms(spark, str(tmp_path / "rooms.json"), 200.0)
+    (r,) = restored.collect()
+    assert (r.id, r.revision, r.playback.playing, r.playback.guide, r.playback.position, r.playback.seek_version) == ("r", 4, False, True, 7.5, 5)
+    assert catalog.write_rooms(restored, f"{tmp_path}/kept") == 1
+    (again,) = catalog.rooms(spark, f"{tmp_path}/kept", 200.0).collect()
+    assert (again.revision, again.playback.seek_version, again.commands, again.queue[0].job_id) == (5, 6, [["c1", "x"]], "s")
+
+
+def test_of_two_writers_one_publishes(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    log = lambda *ids: spark.createDataFrame([(i, "j", "k", "running", 1.0, 1.0, "t", "") for i in ids], "id string, job_id string, kind string, state string, created_at double, updated_at double, token string, error string")
+    assert catalog.write_operations(log("a"), path) == 1
+
+    def write(k):
+        try:
+            return publish.publish(log(f"w{k}"), path, generation=1, expected=1)
+        except publish.StaleWriter:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        done = list(pool.map(write, range(4)))
+    assert sorted(done, key=str) == [2, None, None, None]
+    assert [r.id for r in catalog.operations(spark, path).collect()] == [f"w{done.index(2)}"]
+    with pytest.raises(publish.StaleWriter):
+        catalog.write_operations(log("late"), path, generation=0)
+    old = catalog.operations(spark, path)
+    assert catalog.write_operations(old.unionByName(log("b")), path, generation=1) == 3  # from the path itself
+    assert catalog.operations(spark, path).count() == 2 and [r.id for r in old.collect()] == [f"w{done.index(2)}"]
+    assert publish.prune(spark, path, keep=1) == 2 and catalog.operations(spark, path).count() == 2
+
+
+def test_scan_prunes_stops_and_probes_once(spark, tmp_path):
+    for name in ("b/x [abcdefghijk].mp4", "b/c/y.flac", "a.mp3", "_hidden/z.mp4", "b/.secret/q.mp3", "b/note.txt", "c_[abcdefghij!].mp3", "b/c/d/deep.mkv"):
+        (tmp_path / "m" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "m" / name).write_bytes(b"12345")
+    for hidden in ("_hidden", "b/.secret"):
+        (tmp_path / "m" / hidden).chmod(0)  # a listing would fail for all but root
+    rows, more = media.scan(spark, [str(tmp_path / "m")])
+    assert [(r.rel_path, r.title, r.video_id) for r in rows.collect()] == [
+        ("a.mp3", "a", None), ("b/c/d/deep.mkv", "deep", None), ("b/c/y.flac", "y", None), ("b/x [abcdefghijk].mp4", "x", "abcdefghijk"), ("c_[abcdefghij!].mp3", "c_[abcdefghij!]", None),
+    ] and not more
+    few, more = media.scan(spark, [str(tmp_path / "m")], limit=2)
+    assert [r.rel_path for r in few.collect()] == ["a.mp3", "b/c/d/deep.mkv"] and more
+    listed = []
+    reader = media._Reader({"path": str(tmp_path / "m"), "limit": "1"})
+    real, media.os.scandir = media.os.scandir, lambda p: listed.append(str(p)) or real(p)
+    try:
+        assert [len(list(reader.read(p))) for p in reader.partitions()] == [1, 1, 1]
+    finally:
+        media.os.scandir = real
+    assert not any("hidden" in p or "secret" in p for p in listed)
+
+    tries = tmp_path / "tries"
+    tries.mkdir()
+
+    def probe(path):
+        (tries / path.replace("/", "+")).open("a").write("x")
+        return None if path.endswith(".mp3") else 12.5
+
+    none = spark.createDataFrame([], "path string, size long, mtime long, duration double")
+    every, known = media.probed(rows, none, probe)
+    known.write.parquet(f"{tmp_path}/known")
+    again, _ = media.probed(rows, spark.read.parquet(f"{tmp_path}/known"), probe)
+    before = {p.name: p.stat().st_size for p in tries.iterdir()}
+    assert sorted((r.rel_path, r.duration) for r in again.collect() if r.duration) == [("b/c/d/deep.mkv", 12.5), ("b/c/y.flac", 12.5), ("b/x [abcdefghijk].mp4", 12.5)]
+    grown = {n for n, size in before.items() if (tries / n).stat().st_size > size}
+    assert grown and all(n.endswith(".mp3") for n in grown)
 
 
 def test_media_scan(spark, tmp_path):
