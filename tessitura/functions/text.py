@@ -29,6 +29,12 @@ def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
+@F.pandas_udf(StringType())
+def casefolded(s: pd.Series) -> pd.Series:
+    """Full case folding; distinct values of a batch are folded once."""
+    return s.map({v: v.casefold() for v in s.dropna().unique()}).astype(object).where(s.notna(), None)
+
+
 def is_ascii(text: Column) -> Column:
     return F.length(text) == F.octet_length(text)
 
@@ -134,8 +140,8 @@ def tokens(text: Column) -> Column:
 
 
 def video_id(url: Column) -> Column:
-    """The eleven-character video id of a URL, null if there is none."""
-    return _found(url, r"(?:v=|/shorts/|youtu\.be/|/embed/)([A-Za-z0-9_-]{11})(?![A-Za-z0-9_-])")
+    """The video id of a URL: the eleven characters after one of the forms that name one, null if there is none."""
+    return _found(url, r"(?:v=|/shorts/|youtu\.be/|/embed/|/v/|/live/)([0-9A-Za-z_-]{11})")
 
 
 def playlist_id(url: Column) -> Column:
@@ -147,6 +153,13 @@ def name_id(path: Column) -> Column:
     return _found(path, r"\[([A-Za-z0-9_-]{11})\]\.[A-Za-z0-9]+$")
 
 
+def archived_id(path: Column) -> Column:
+    """The id in brackets, of six characters or more, that ends a file's name before its extension; null if there is none."""
+    name = F.substring_index(F.coalesce(path, F.lit("")), "/", -1)
+    stem = F.regexp_replace(name, r"(?<=[^.])\.[^.]+$", "")
+    return _found(stem, r"(?U)\s*\[([A-Za-z0-9_-]{6,})\]\s*$")
+
+
 def url_path_id(url: Column) -> Column:
     """The number that ends a URL's path."""
     return _found(url, r"/(\d+)(?:[?#]|$)")

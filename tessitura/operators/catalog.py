@@ -36,10 +36,10 @@ def keep_artist(jobs: DataFrame) -> DataFrame:
 
 
 def to_maintain(songs: DataFrame, most_lines: int | None = None, without_artist: bool = False, limit: int | None = None) -> DataFrame:
-    """Songs that a maintenance run takes: finished ones of at most so many lines (unknown is none), or those without an artist; by id, at most `limit`."""
-    rows = songs
+    """Finished songs that a maintenance run takes: all, those of at most so many lines (unknown is none), or those without an artist; by id, at most `limit`."""
+    rows = songs.where("state = 'done'")
     if most_lines is not None:
-        rows = rows.where((F.col("state") == "done") & (F.coalesce("line_count", F.lit(0)) <= most_lines))
+        rows = rows.where(F.coalesce("line_count", F.lit(0)) <= most_lines)
     if without_artist:
         rows = rows.where(trimmed(F.col("artist")) == "")
     return rows if limit is None else rows.orderBy("id").limit(limit)

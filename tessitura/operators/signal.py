@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TAPS = 9
+#: Fixed value: above it a sample counts as clipped.
+CLIP_LEVEL = 0.985
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,7 @@ def mean_spectrum(frames: DataFrame, key: str, spectrum: str) -> DataFrame:
 
 def spectrum_metrics(spectrum: DataFrame, key: str, reference: tuple[int, int], high: tuple[int, int], drop_db: float = 30.0) -> DataFrame:
     """Of a power spectrum (key, bin, power): level of the reference bins, cutoff (the last bin within `drop_db` of it), level of the high bins."""
-    db = spectrum.withColumn("db", 10 * F.log10(F.greatest("power", F.lit(1e-12))))
+    db = spectrum.withColumn("db", 10 * F.log10(F.col("power") + F.lit(1e-20)))
     smooth = moving_average(db, key, "bin", "db")
     ref = F.avg(F.when(F.col("bin").between(*reference), F.col("smooth"))).over(Window.partitionBy(key))
     return (
@@ -140,8 +142,8 @@ def loudness(samples: Column) -> Column:
     """Struct (rms_db, clip_pct) of samples in -1 to 1."""
     n = F.size(samples)
     square = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    clipped = F.size(F.filter(samples, lambda x: F.abs(x) >= 0.999))
-    return F.struct((20 * F.log10(F.greatest(F.sqrt(square / n), F.lit(1e-9)))).alias("rms_db"), (100.0 * clipped / n).alias("clip_pct"))
+    clipped = F.size(F.filter(samples, lambda x: F.abs(x) > CLIP_LEVEL))
+    return F.struct((20 * F.log10(F.sqrt(square / n) + F.lit(1e-12))).alias("rms_db"), (100.0 * clipped / n).alias("clip_pct"))
 
 
 def envelope(samples: np.ndarray, rate: int, hop: float = 0.1, frame: float = 0.2) -> np.ndarray:

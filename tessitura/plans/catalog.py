@@ -58,6 +58,12 @@ def songs_to_refetch(spark, sf):
     return catalog.to_maintain(A.catalog(spark, sf), most_lines=4).select("id")
 
 
+@query(sql(" SELECT id FROM catalog WHERE state = 'done' AND trim(CASE WHEN id % 3 = 0 THEN ' ' WHEN id % 3 = 1 THEN artist END) IS DISTINCT FROM artist", CATALOG))
+def songs_without_artist(spark, sf):
+    artist = F.when(F.col("id") % 3 == 0, " ").when(F.col("id") % 3 == 1, F.col("artist"))
+    return catalog.to_maintain(A.catalog(spark, sf).withColumn("artist", artist), without_artist=True).select("id")
+
+
 @query(sql(" SELECT id, id IN (SELECT o_custkey FROM orders) AS queued FROM catalog", CATALOG))
 def queued_markers(spark, sf):
     queue = A.table(spark, sf, "orders").select(F.col("o_custkey").alias("job_id"))

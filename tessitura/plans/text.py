@@ -93,17 +93,32 @@ def error_kinds(spark, sf):
     return rows.select("id", text.friendly_error(F.col("m")).alias("kind"), text.is_transient(F.col("m")).alias("transient"))
 
 
-@query("""WITH u AS (SELECT p_partkey AS id, ['PL', 'RD', 'UL', 'LL', 'WL', 'HL', 'OL'][p_partkey % 7 + 1] || lpad(p_partkey::VARCHAR, 9, 'a') AS ident FROM part),
-v AS (SELECT *, CASE id % 3 WHEN 0 THEN 'https://www.youtube.com/watch?v=' || ident || '&list=' || ident WHEN 1 THEN 'https://youtu.be/' || ident || '?t=3' ELSE 'https://example.org/' || ident END AS url FROM u)
-SELECT id, nullif(regexp_extract(url, '(?:v=|/shorts/|youtu\\.be/|/embed/)([A-Za-z0-9_-]{11})', 1), '') AS video, nullif(regexp_extract(url, '[?&]list=([A-Za-z0-9_-]+)', 1), '') AS list, left(ident, 2) IN ('RD', 'UL', 'LL', 'WL') AS dynamic FROM v""")
+#: URLs that name a video, by the remainder of the key; some ids are followed by more letters.
+URL_FORMS = ["https://www.youtube.com/watch?v={0}&list={0}", "https://youtu.be/{0}?t=3", "https://example.org/{0}", "https://www.youtube.com/shorts/{0}", "https://www.youtube.com/embed/{0}abc", "https://www.youtube.com/v/{0}", "https://www.youtube.com/live/{0}?list=x"]
+_URL_SQL = " ".join(f"WHEN {k} THEN replace('{form}', '{{0}}', ident)" for k, form in enumerate(URL_FORMS))
+
+
+@query(f"""WITH u AS (SELECT p_partkey AS id, ['PL', 'RD', 'UL', 'LL', 'WL', 'HL', 'OL'][p_partkey % 7 + 1] || lpad(p_partkey::VARCHAR, 9, 'a') AS ident FROM part),
+v AS (SELECT *, CASE (id // 7) % 7 {_URL_SQL} END AS url FROM u)
+SELECT id, nullif(regexp_extract(url, '(?:v=|/shorts/|youtu\\.be/|/embed/|/v/|/live/)([0-9A-Za-z_-]{{11}})', 1), '') AS video, nullif(regexp_extract(url, '[?&]list=([A-Za-z0-9_-]+)', 1), '') AS list, left(ident, 2) IN ('RD', 'UL', 'LL', 'WL') AS dynamic FROM v""")
 def listing_ids(spark, sf):
     k = F.col("p_partkey")
     ident = F.concat(F.element_at(F.array(*map(F.lit, ["PL", "RD", "UL", "LL", "WL", "HL", "OL"])), (k % 7 + 1).cast("int")), F.lpad(k.cast("string"), 9, "a"))
-    url = F.when(k % 3 == 0, F.concat(text.video_url(F.col("ident")), F.lit("&list="), "ident")).when(k % 3 == 1, F.concat(F.lit("https://youtu.be/"), "ident", F.lit("?t=3"))).otherwise(F.concat(F.lit("https://example.org/"), "ident"))
+    url = F.replace(F.element_at(F.array(*map(F.lit, URL_FORMS)), (F.floor(k / 7) % 7 + 1).cast("int")), F.lit("{0}"), F.col("ident"))
     rows = A.table(spark, sf, "part").select(k.alias("id"), k, ident.alias("ident")).withColumn("url", url)
     return rows.select("id", text.video_id(F.col("url")).alias("video"), text.playlist_id(F.col("url")).alias("list"), text.is_dynamic_playlist(F.col("ident")).alias("dynamic"))
 
 
+@query("""WITH n AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 5 WHEN 0 THEN ' [' || lpad(p_partkey::VARCHAR, 11, 'x') || '].mp4' WHEN 1 THEN '[' || lpad(p_partkey::VARCHAR, 6, 'x') || ']  .mkv' WHEN 2 THEN ' [short].mp4' WHEN 3 THEN ' [abcdef] live.mp4' ELSE '[no-suffix_]' END AS name FROM part)
+SELECT id, nullif(regexp_extract(regexp_replace(name, '\\.[^.]+$', ''), '\\[([A-Za-z0-9_-]{6,})\\]\\s*$', 1), '') AS archived, nullif(regexp_extract(name, '\\[([A-Za-z0-9_-]{11})\\]\\.[A-Za-z0-9]+$', 1), '') AS media FROM n""")
+def file_ids(spark, sf):
+    k = F.col("p_partkey")
+    tail = F.when(k % 5 == 0, F.concat(F.lit(" ["), F.lpad(k.cast("string"), 11, "x"), F.lit("].mp4"))).when(k % 5 == 1, F.concat(F.lit("["), F.lpad(k.cast("string"), 6, "x"), F.lit("]  .mkv")))
+    name = F.concat("p_name", tail.when(k % 5 == 2, " [short].mp4").when(k % 5 == 3, " [abcdef] live.mp4").otherwise("[no-suffix_]"))
+    rows = A.table(spark, sf, "part").select(k.alias("id"), name.alias("name"))
+    return rows.select("id", text.archived_id(F.col("name")).alias("archived"), text.name_id(F.col("name")).alias("media"))
+
+
 @query("""WITH f AS (SELECT doc_id, string_split(text, chr(10))[1] || CASE WHEN doc_id % 3 = 0 THEN ' 《 ' || source || '》' WHEN doc_id % 3 = 1 THEN '【mv】（x）' ELSE ' | bar' END AS t FROM documents),
 b AS (SELECT doc_id, regexp_extract(t, '《\\s*([^《》]+?)\\s*》', 1) AS n, trim(regexp_replace(regexp_replace(t, '[\\(（\\[【『「][^)）\\]】』」]*[\\)）\\]】』」]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM f)
 SELECT doc_id, left(CASE WHEN n <> '' AND NOT contains(s, n) THEN trim(s || ' ' || n) ELSE s END, 28) AS suggestion FROM b""")

@@ -169,14 +169,35 @@ def moving_average(spark, sf):
 
 
 @query(f"""WITH {SMOOTH.replace('vec_id,', 'label,')}, p AS (SELECT label, bin, sum(v * v) / count(*) AS power FROM e GROUP BY 1, 2),
-d AS (SELECT label, bin, 10 * log10(greatest(power, 1e-20)) AS db FROM p),
+d AS (SELECT label, bin, 10 * log10(power + 1e-20) AS db FROM p),
 s AS (SELECT label, bin, sum(db) OVER (PARTITION BY label ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) / 9.0 AS smooth FROM d),
 r AS (SELECT *, avg(smooth) FILTER (bin BETWEEN 8 AND 24) OVER (PARTITION BY label) AS ref FROM s)
 SELECT label, round(min(ref), 6) AS ref_db, max(bin) FILTER (smooth > ref - 1.0) AS cutoff_bin, round(avg(smooth) FILTER (bin BETWEEN 40 AND 60) - min(ref), 6) AS high_db FROM r GROUP BY 1""")
 def spectrum_metrics(spark, sf):
     power = signal.mean_spectrum(A.table(spark, sf, "embeddings").select("label", "embedding"), "label", "embedding")
-    out = signal.spectrum_metrics(power, "label", (8, 24), (40, 60), 1.0)
-    return out.select("label", F.round("ref_db", 6).alias("ref_db"), F.col("cutoff_bin").cast("long").alias("cutoff_bin"), F.round("high_db", 6).alias("high_db"))
+    return _rounded(signal.spectrum_metrics(power, "label", (8, 24), (40, 60), 1.0), "label")
+
+
+def _rounded(metrics, key):
+    return metrics.select(key, F.round("ref_db", 6).alias("ref_db"), F.col("cutoff_bin").cast("long").alias("cutoff_bin"), F.round("high_db", 6).alias("high_db"))
+
+
+@query("""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS bin, CASE WHEN unnest(embedding) > 0.05 THEN unnest(embedding)::DOUBLE * unnest(embedding)::DOUBLE ELSE 0 END AS power FROM embeddings),
+s AS (SELECT vec_id, bin, sum(10 * log10(power + 1e-20)) OVER (PARTITION BY vec_id ORDER BY bin ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) / 9.0 AS smooth FROM e),
+r AS (SELECT *, avg(smooth) FILTER (bin BETWEEN 8 AND 24) OVER (PARTITION BY vec_id) AS ref FROM s)
+SELECT vec_id, round(min(ref), 6) AS ref_db, max(bin) FILTER (smooth > ref - 30.0) AS cutoff_bin, round(avg(smooth) FILTER (bin BETWEEN 40 AND 60) - min(ref), 6) AS high_db FROM r GROUP BY 1""")
+def silent_spectrum(spark, sf):
+    loud = F.transform("embedding", lambda x: F.when(x > 0.05, x.cast("double") * x.cast("double")).otherwise(F.lit(0.0)))
+    power = A.table(spark, sf, "embeddings").select("vec_id", F.posexplode(loud).alias("bin", "power"))
+    return _rounded(signal.spectrum_metrics(power, "vec_id", (8, 24), (40, 60)), "vec_id")
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(embedding) * 6 AS x FROM embeddings)
+SELECT vec_id, round(20 * log10(sqrt(avg(x::DOUBLE * x::DOUBLE)) + 1e-12), 6) AS rms_db, 100.0::DOUBLE * count(*) FILTER (abs(x) > 0.985) / count(*) AS clip_pct FROM e GROUP BY 1""")
+def clipped_loudness(spark, sf):
+    loud = signal.loudness(F.transform("embedding", lambda x: (x * 6).cast("float")))
+    rows = A.table(spark, sf, "embeddings").select("vec_id", loud.alias("l"))
+    return rows.select("vec_id", F.round("l.rms_db", 6).alias("rms_db"), "l.clip_pct")
 
 
 #: A rule of the size of the test vectors: bins 2 to 40.
