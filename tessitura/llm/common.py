@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch between the JVM and Python workers, which hold a few copies of it.
@@ -116,8 +116,8 @@ def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
     """docs with a number of its own for each row, the same at every reading, and the name of that column.
 
     Rows of Parquet files are numbered by their file and their place in it, so nothing is written and no
-    row moves; other tables are written first, of which only the given columns are kept. The driver sees the names of
-    the files.
+    row moves; other tables are written first, of which only the given columns are kept. Files are numbered in order of
+    their names, in a table that is broadcast only after it was counted.
     """
     name = "_row"
     while name in docs.columns:
@@ -127,9 +127,9 @@ def numbered(docs: DataFrame, *columns: str) -> tuple[DataFrame, str]:
     file, place = f"_file{name}", f"_place{name}"
     meta = docs.metadataColumn("_metadata")
     placed = docs.select("*", meta["file_path"].alias(file), meta["row_index"].alias(place))
-    paths = sorted(r[0] for r in placed.select(file).distinct().collect())
-    files = docs.sparkSession.createDataFrame([(p, k << 33) for k, p in enumerate(paths)], f"{file} string, {name} long")
-    rows = placed.join(F.broadcast(files), file).withColumn(name, F.col(name) + F.col(place))
+    nth = F.row_number().over(Window.orderBy(file)) - 1  # a row for each file
+    files = written(placed.select(file).distinct().select(file, F.shiftleft(nth.cast("long"), 33).alias(name)), "files")
+    rows = placed.join(checked_broadcast(files), file).withColumn(name, F.col(name) + F.col(place))
     return rows.drop(file, place), name
 
 

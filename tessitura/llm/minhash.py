@@ -214,7 +214,8 @@ def _crossing(shared: DataFrame, roots: DataFrame, sig: DataFrame, texts: DataFr
     """Links between components: a, b.
 
     A bucket's members outside its largest component face all its members, block against block, so
-    no task holds more than two blocks and pairs within a component are not formed.
+    no task holds more than two blocks and pairs within a component are not formed. First only signatures meet; full sets
+    are brought to those cells, and for those members, that a signature has left open.
     """
     place = shared.select("band", "doc_id", "n_shingles").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     place = written(place.select("band", "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("root")), "placed-bands")
@@ -232,17 +233,25 @@ def _crossing(shared: DataFrame, roots: DataFrame, sig: DataFrame, texts: DataFr
     few = open_.where("root <> major").select(
         "band", "doc_id", "root", "major", F.lit(True).alias("minor"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("i"), F.pmod(F.xxhash64("doc_id"), "minor_blocks").alias("j")
     )
-    used = checked_broadcast(written(open_.select("doc_id").distinct(), "open-ids"))
-    sets = texts.join(used, "doc_id").mapInArrow(_sets, "doc_id long, set binary")
-    own = written(sig.join(used, "doc_id").join(sets, "doc_id"), "open-sets")
+    cells = written(every.unionByName(few), "cells")
+    sizes = open_.select("doc_id", "n_shingles").distinct()
+    own = written(sig.join(sizes, "doc_id"), "open-signatures")
+    left = _in_cells(cells.join(own, "doc_id"), "n_shingles").mapInArrow(_cell_open, "band long, i long, j long, minor boolean, doc_id long")
+    left = written(left, "open-members")
+    if left.isEmpty():
+        return left.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    used = checked_broadcast(written(left.select("doc_id").distinct(), "open-ids"))
+    sets = written(texts.join(used, "doc_id").mapInArrow(_sets, "doc_id long, set binary"), "open-sets")
+    met = cells.join(left, ["band", "i", "j", "minor", "doc_id"], "left_semi").join(own, "doc_id").join(sets, "doc_id")
+    return _in_cells(met, "set").mapInArrow(_cell_links, "a long, b long").distinct()
+
+
+def _in_cells(members: DataFrame, last: str) -> DataFrame:
+    """Members cell by cell, those of block i before the minor ones of block j."""
     return (
-        every.unionByName(few)
-        .join(own, "doc_id")
-        .repartition("band", "i", "j")
+        members.repartition("band", "i", "j")
         .sortWithinPartitions("band", "i", "j", "minor", "doc_id")
-        .select("band", "i", "j", "minor", "doc_id", F.struct("root", "major").alias("at"), "sig", "set")
-        .mapInArrow(_cell_links, "a long, b long")
-        .distinct()
+        .select("band", "i", "j", "minor", "doc_id", F.struct("root", "major").alias("at"), "sig", last)
     )
 
 
@@ -254,59 +263,75 @@ def _linked_sets(p: np.ndarray, q: np.ndarray) -> bool:
     return both > 0 and 100 * both >= NEED * (len(p) + len(q) - both)
 
 
-def _cell_links(batches):
-    """Cells of (band, i, j), in order, each with all members of block i before the minor ones of block j -> links across components."""
-    bounds, step = prune_bounds(), PERMS // ROWS
-
-    def found(band, rows):
-        nth = int(band) & (step - 1)
-        split = next((k for k, r in enumerate(rows) if r[0]), len(rows))
-        if not 0 < split < len(rows):
-            return [], []
-        ids = np.array([r[1] for r in rows], np.int64)
-        root = np.array([r[2]["root"] for r in rows], np.int64)
-        major = rows[0][2]["major"]
-        sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), PERMS)
-        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-        sizes = np.array([len(s) for s in sets])
-        left, right = [], []
-        for u in range(split, len(rows)):
-            # of two minor members the larger id asks; pairs of another earlier band are asked there
-            ask = (root[:split] != root[u]) & ((root[:split] == major) | (ids[:split] < ids[u]))
-            ask &= 100 * np.minimum(sizes[:split], sizes[u]) >= NEED * np.maximum(sizes[:split], sizes[u])
-            alive = np.flatnonzero(ask)
-            same = np.zeros(len(alive), np.int64)
-            for look, least in enumerate(bounds):
-                cut = slice(look * BATCH, (look + 1) * BATCH)
-                same = same + (sig[alive, cut] == sig[u, cut]).sum(axis=1)
-                stay = same >= least
-                alive, same = alive[stay], same[stay]
-            if nth and len(alive):
-                head = sig[alive, : nth * ROWS] == sig[u, : nth * ROWS]
-                met = head.reshape(len(alive), nth, ROWS).all(axis=2).any(axis=1)
-                alive, same = alive[~met], same[~met]
-            joined: set[int] = set()
-            for v in alive[np.argsort(-same, kind="stable")]:
-                if root[v] not in joined and _linked_sets(sets[u], sets[v]):
-                    joined.add(root[v])
-                    left.append(max(ids[u], ids[v]))
-                    right.append(min(ids[u], ids[v]))
-        return left, right
-
-    def out(cell, rows):
-        return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in found(cell[0], rows)], names=["a", "b"])
-
+def _cells(batches):
+    """(band, i, j) and the rows (minor, doc_id, at, signature, size or set) of each cell, in order."""
     cell, rows = None, []
     for batch in batches:
         cols = [batch.column(k).to_pylist() for k in range(8)]
-        for band, i, j, minor, doc, at, sig, own in zip(*cols, strict=True):
+        for band, i, j, *row in zip(*cols, strict=True):
             if (band, i, j) != cell:
                 if rows:
-                    yield out(cell, rows)
+                    yield cell, rows
                 cell, rows = (band, i, j), []
-            rows.append((minor, doc, at, sig, own))
+            rows.append(tuple(row))
     if rows:
-        yield out(cell, rows)
+        yield cell, rows
+
+
+def _left_open(band: int, rows: list[tuple], sizes: np.ndarray):
+    """For each minor member of block j its place, and the places of the members across components that sizes and signatures leave open, most alike first."""
+    bounds, nth = prune_bounds(), int(band) & (PERMS // ROWS - 1)
+    split = next((k for k, r in enumerate(rows) if r[0]), len(rows))
+    if not 0 < split < len(rows):
+        return
+    ids = np.array([r[1] for r in rows], np.int64)
+    root = np.array([r[2]["root"] for r in rows], np.int64)
+    major = rows[0][2]["major"]
+    sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(len(rows), PERMS)
+    for u in range(split, len(rows)):
+        # of two minor members the larger id asks; pairs of another earlier band are asked there
+        ask = (root[:split] != root[u]) & ((root[:split] == major) | (ids[:split] < ids[u]))
+        ask &= 100 * np.minimum(sizes[:split], sizes[u]) >= NEED * np.maximum(sizes[:split], sizes[u])
+        alive = np.flatnonzero(ask)
+        same = np.zeros(len(alive), np.int64)
+        for look, least in enumerate(bounds):
+            cut = slice(look * BATCH, (look + 1) * BATCH)
+            same = same + (sig[alive, cut] == sig[u, cut]).sum(axis=1)
+            stay = same >= least
+            alive, same = alive[stay], same[stay]
+        if nth and len(alive):
+            head = sig[alive, : nth * ROWS] == sig[u, : nth * ROWS]
+            met = head.reshape(len(alive), nth, ROWS).all(axis=2).any(axis=1)
+            alive, same = alive[~met], same[~met]
+        if len(alive):
+            yield u, alive[np.argsort(-same, kind="stable")]
+
+
+def _cell_open(batches):
+    """Cells with sizes of sets -> their members that have someone left to compare with."""
+    for cell, rows in _cells(batches):
+        kept = np.zeros(len(rows), bool)
+        for u, others in _left_open(cell[0], rows, np.array([r[4] for r in rows], np.int64)):
+            kept[u] = True
+            kept[others] = True
+        some = [rows[k] for k in np.flatnonzero(kept)]
+        place = [pa.array([c] * len(some), pa.int64()) for c in cell]
+        yield pa.RecordBatch.from_arrays([*place, pa.array([r[0] for r in some], pa.bool_()), pa.array([r[1] for r in some], pa.int64())], names=["band", "i", "j", "minor", "doc_id"])
+
+
+def _cell_links(batches):
+    """Cells with full sets -> links across components, one for each member and component at most."""
+    for cell, rows in _cells(batches):
+        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        left, right = [], []
+        for u, others in _left_open(cell[0], rows, np.array([len(s) for s in sets])):
+            joined: set[int] = set()
+            for v in others:
+                if rows[v][2]["root"] not in joined and _linked_sets(sets[u], sets[v]):
+                    joined.add(rows[v][2]["root"])
+                    left.append(max(rows[u][1], rows[v][1]))
+                    right.append(min(rows[u][1], rows[v][1]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(x, np.int64)) for x in (left, right)], names=["a", "b"])
 
 
 def _sets(batches):
