@@ -12,7 +12,7 @@ the first rank.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 
 import ahocorasick
@@ -26,6 +26,8 @@ from .words import text_column
 
 #: Shares of a template's words that a confirmed notice may lack, and have in between.
 LACKING, MORE = 0.1, 0.25
+#: Bytes, about, of blocks whose compressed sizes a worker keeps, and letters of a block that is kept.
+KEEP_BYTES, KEEP_BLOCK = 16 << 20, 1 << 14
 
 #: Cue words, in lower case.
 CUES = ("licen", "rights reserved", "copyright", "without warranty", "permission is hereby", "spdx", "public domain")
@@ -78,6 +80,7 @@ TEMPLATES: dict[str, str] = {
 TEMPLATES |= {f"SPDX {name}": f"SPDX-License-Identifier: {name}" for name in ("MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "AGPL-3.0-only", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "Unlicense", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0")}
 
 _WORD = re.compile(r"[a-z0-9]+(?:\.[a-z0-9]+)*")
+_BREAK = re.compile("\n")
 
 
 def lowered(text: str) -> str:
@@ -111,15 +114,16 @@ class Wording:
             out[word] = out.get(word, 0) | 1 << k
         return out
 
-    def common(self, words: list[str], back: bool = False, enough: int | None = None) -> tuple[int, int]:
-        """Length of the longest common subsequence with the template, and how many of the words it takes to reach it, or to reach `enough`.
+    def common(self, words: list[str], back: bool = False, enough: int | None = None, first: int = 0, end: int | None = None) -> tuple[int, int]:
+        """Length of the longest common subsequence of words[first:end] with the template, and how many of these it takes to reach it, or to reach `enough`.
 
         One bit of `row` for each word of the template; a bit that falls is a word that the subsequence gains. back: from the ends of both.
         """
         masks, full = self.masks[back], (1 << len(self.words)) - 1
         row, best, at = full, 0, 0
-        for k, word in enumerate(reversed(words) if back else words, 1):
-            hit = row & masks.get(word, 0)
+        end = len(words) if end is None else end
+        for k, place in enumerate(range(end - 1, first - 1, -1) if back else range(first, end), 1):
+            hit = row & masks.get(words[place], 0)
             if hit:
                 row = ((row + hit) | (row - hit)) & full
                 n = len(self.words) - row.bit_count()
@@ -133,16 +137,16 @@ class Wording:
         """(first, end, common words) of stretches of at most `most` words with at least `least` words of the template in order; they don't overlap."""
         out, at = [], 0
         while len(words) - at >= self.least > 0:
-            n, used = self.common(words[at:], enough=self.least)
+            n, used = self.common(words, enough=self.least, first=at)
             if n < self.least:
                 break
             end = at + used
-            first = end - self.common(words[at:end], back=True, enough=self.least)[1]
+            first = end - self.common(words, back=True, enough=self.least, first=at, end=end)[1]
             if end - first > self.most:
                 at = first + 1
                 continue
-            end = first + self.common(words[first : first + self.most])[1]
-            n, used = self.common(words[max(at, end - self.most) : end], back=True)
+            end = first + self.common(words, first=first, end=min(len(words), first + self.most))[1]
+            n, used = self.common(words, back=True, first=max(at, end - self.most), end=end)
             out.append((end - used, end, n))
             at = end
         return out
@@ -168,15 +172,21 @@ class Matcher:
             self.anchors.add_word(word, word)
         self.anchors.make_automaton()
         self.reach = max((w.most for w in self.wordings.values()), default=0)
-        self.known: dict[tuple, float] = {}
-
-    def saved(self, block: str, name: str | None = None) -> float:
-        """Bytes of a block, compressed alone or with a template as dictionary."""
-        if (block, name) not in self.known:
-            if len(self.known) > 5_000:
-                self.known.clear()
-            self.known[block, name] = len((self.plain if name is None else self.by[name]).compress(block.encode()))
-        return self.known[block, name]
+        self.known: dict[tuple, int] = {}
+        self.held = 0
+
+    def saved(self, block: str, name: str | None = None) -> int:
+        """Bytes of a block, compressed alone or with a template as dictionary. Those of short blocks are kept, KEEP_BYTES of blocks at most."""
+        found = self.known.get((block, name))
+        if found is None:
+            found = len((self.plain if name is None else self.by[name]).compress(block.encode()))
+            if len(block) <= KEEP_BLOCK:
+                if self.held > KEEP_BYTES:
+                    self.known.clear()
+                    self.held = 0
+                self.known[block, name] = found
+                self.held += 200 + 4 * len(block)
+        return found
 
     def rank(self, block: str, names) -> list[tuple[float, str]]:
         """(share saved, template), best first; the shares are of the block's length when compressed alone."""
@@ -211,11 +221,12 @@ class Matcher:
                 for share, name in self.rank(block, able):
                     n = len(self.wordings[name].words)
                     found += [(a + x, a + y, name, share, n - c, y - x - c) for x, y, c in self.wordings[name].places(words[a:b])]
-        out: list[tuple] = []
+        out: list[tuple] = []  # by place, none over another: only the neighbours can be in a row's way
         for row in sorted(found, key=lambda r: (-(len(self.wordings[r[2]].words) - 2 * r[4] - r[5]), -r[3], r[2], r[0])):
-            if all(row[1] <= x[0] or x[1] <= row[0] for x in out):
-                out.append(row)
-        return sorted(out)
+            k = bisect_left(out, row[0], key=lambda x: x[0])
+            if (k == 0 or out[k - 1][1] <= row[0]) and (k == len(out) or row[1] <= out[k][0]):
+                out.insert(k, row)
+        return out
 
     def scan(self, text: str) -> list[tuple]:
         """Rows of a text, by place: start, end, license, share saved, words lacking, words more, exact, confirmed."""
@@ -225,19 +236,21 @@ class Matcher:
             return []
         spans = [m.span() for m in _WORD.finditer(low)]
         words = [low[a:b] for a, b in spans]
+        breaks = [m.start() for m in _BREAK.finditer(low)]
         rows = []
         for a, b, name, share, lacking, more in self.notices(low, words, spans):
-            rows.append((*_lines(low, spans[a][0], spans[b - 1][1]), name, share, lacking, more, lacking == more == 0, True))
-        return sorted(rows + self.others(low, words, spans, [r[:2] for r in rows]))
+            rows.append((*_lines(low, breaks, spans[a][0], spans[b - 1][1]), name, share, lacking, more, lacking == more == 0, True))
+        return sorted(rows + self.others(low, breaks, words, spans, [r[:2] for r in rows]))
 
-    def others(self, low: str, words: list[str], spans: list[tuple[int, int]], sure: list[tuple[int, int]]) -> list[tuple]:
+    def others(self, low: str, breaks: list[int], words: list[str], spans: list[tuple[int, int]], sure: list[tuple[int, int]]) -> list[tuple]:
         """Unconfirmed rows: the lines of cues that no confirmed notice stands on, with the template of the first rank."""
         starts, rows, done = [a for a, _ in spans], [], 0
+        first, last = [a for a, _ in sure], [b for _, b in sure]  # both rise: notices are in order and cover whole lines
         for cue in CUES:
             at = low.find(cue)
             while at >= 0:
-                begin, end = _lines(low, at, at + len(cue))
-                if not any(a < end and begin < b for a, b in sure):
+                begin, end = _lines(low, breaks, at, at + len(cue))
+                if bisect_left(first, end) <= bisect_right(last, begin):
                     rows.append((begin, end, at))
                 at = low.find(cue, at + len(cue))
         out = []
@@ -257,10 +270,10 @@ class Matcher:
         return out
 
 
-def _lines(low: str, first: int, last: int) -> tuple[int, int]:
-    """The whole lines of a span."""
-    end = low.find("\n", last)
-    return low.rfind("\n", 0, first) + 1, len(low) if end < 0 else end
+def _lines(low: str, breaks: list[int], first: int, last: int) -> tuple[int, int]:
+    """The whole lines of a span; breaks: where lines end."""
+    before, after = bisect_left(breaks, first), bisect_left(breaks, last)
+    return breaks[before - 1] + 1 if before else 0, breaks[after] if after < len(breaks) else len(low)
 
 
 def _merged(parts: list[tuple[int, int, str]]) -> list[tuple[int, int, list[str]]]:
