@@ -89,15 +89,19 @@ def field(text: str, sounds: dict[str, str], phrases: dict[str, list[str]]) -> d
 
 
 def phonetic_field(value: Column, table: dict[str, str], sounds: dict[str, str], phrases: dict[str, list[str]] | None = None) -> Column:
-    """Struct (text, phonetics, initials) of a column. Distinct values of a batch are read once."""
+    """Struct (text, phonetics, initials) of a column. Only texts with Han characters go to Python, distinct values of a batch once."""
     phrases = PHRASES if phrases is None else phrases
 
     @F.pandas_udf("text string, phonetics array<string>, initials array<string>")
     def run(s: pd.Series) -> pd.DataFrame:
-        known = {v: field(v or "", sounds, phrases) for v in s.unique()}
-        return pd.DataFrame([known[v] for v in s], columns=["text", "phonetics", "initials"])
-
-    return run(words(value, table))
+        known = {v: field(v, sounds, phrases) for v in s.dropna().unique()}
+        none = {"text": None, "phonetics": None, "initials": None}
+        return pd.DataFrame([none if v is None else known[v] for v in s], columns=["text", "phonetics", "initials"])
+
+    text = words(value, table)
+    read = run(F.when(text.rlike(SEARCH_HAN), text))
+    none = F.array().cast("array<string>")
+    return F.struct(F.coalesce(read["text"], F.replace(text, F.lit(" "), F.lit(""))).alias("text"), F.coalesce(read["phonetics"], none).alias("phonetics"), F.coalesce(read["initials"], none).alias("initials"))
 
 
 def indexed(songs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions.text import trimmed
 from tessitura.functions.titles import cleaned_artist
+from tessitura.sources import publish as versions
 
 
 def safe_metadata(songs: DataFrame, limit: int = 400) -> DataFrame:
@@ -87,22 +86,14 @@ def digests(rows: DataFrame, key: str, content: str) -> DataFrame:
     return rows.select(key, F.sha2(F.col(content), 256).alias("sha256"), F.octet_length(F.coalesce(F.col(content), F.lit(""))).cast("long").alias("size"))
 
 
-def publish(spark: SparkSession, group: DataFrame, folder: str, name: str) -> str:
-    """Write a group of artifacts as a new version beside the old ones, then point to it.
-
-    Readers follow the pointer (`published`), so they see the old version or the new one, whole.
-    """
-    version = f"{folder}/{name}/v-{uuid.uuid4().hex}"
-    group.write.parquet(version)
-    last = F.unix_micros(F.current_timestamp())
-    spark.createDataFrame([(version,)], "path string").select("path", last.alias("at")).write.mode("append").parquet(f"{folder}/{name}/pointer")
-    return version
+def publish(group: DataFrame, folder: str, name: str, generation: int = 0, expected: int | None = None) -> int:
+    """Publish a group of artifacts as the next version of its name, fenced as in `sources.publish`; readers see the old version or the new one, whole."""
+    return versions.publish(group, f"{folder}/{name}", generation, expected, "parquet")
 
 
 def published(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The newest published version."""
-    pointer = spark.read.parquet(f"{folder}/{name}/pointer")
-    return spark.read.parquet(pointer.orderBy(F.col("at").desc()).first()["path"])
+    return spark.read.parquet(versions.published(spark, f"{folder}/{name}"))
 
 
 def archive_outcome(files: DataFrame) -> DataFrame:

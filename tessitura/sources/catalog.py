@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessitura.functions.states import ACTIVE
 from tessitura.functions.text import trimmed
 from tessitura.functions.titles import with_guess
+from tessitura.operators.browse import numbered
 from tessitura.sources.publish import publish, published
 
 JOB = (
@@ -25,6 +26,8 @@ ROOM = (
 #: Fields without which a room isn't restored; `current` may be null.
 ROOM_KEYS = ("id", "created_at", "updated_at", "host", "pair", "controllers", "queue", "current", "playback", "revision", "commands")
 MEDIA = ("mp3", "m4a", "flac", "wav", "ogg", "opus", "mp4", "mkv", "webm", "mov", "avi", "mpg", "mpeg", "wmv", "flv", "ts")
+#: Digests under one node of a result's tag.
+FAN = 4096
 #: Rooms that a snapshot restores; seconds that a room may be idle, and may last.
 MOST_ROOMS, IDLE, AGE = 64, 12 * 3600, 48 * 3600
 
@@ -158,10 +161,20 @@ def eligible(catalog: DataFrame, longest: float = 900) -> DataFrame:
 
 
 def etag(rows: DataFrame, order: list[str]) -> DataFrame:
-    """A weak tag of a result: the digest of its rows' digests in order of key, combined without gathering the rows' text."""
-    each = rows.select(F.struct(*order).alias("k"), F.sha2(F.to_json(F.struct(*rows.columns)), 256).alias("d"))
-    total = each.agg(F.sum(F.xxhash64("k", "d").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"))
-    return total.select(F.concat(F.lit('W/"'), F.sha2(F.concat_ws(":", F.col("s").cast("string"), F.col("n").cast("string")), 256), F.lit('"')).alias("etag"))
+    """A weak tag of a result in an order: the root of a tree of SHA-256 digests over its rows as text.
+
+    Rows are numbered in order, and each node digests the digests of FAN rows or nodes, so the tag changes with any row and any
+    place, doesn't depend on partitions, and no task holds more than FAN digests. Rows that the order doesn't tell apart go by their text.
+    """
+    text = rows.select(*(F.col(c).alias(f"_{n}") for n, c in enumerate(order)), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("d"))
+    level = numbered(text, [*(f"_{n}" for n in range(len(order))), "d"]).select("row", F.sha2("d", 256).alias("d"))
+    size = level.count()
+    while size > 1:
+        nodes = level.groupBy(F.expr(f"(row - 1) div {FAN} + 1").alias("row"))
+        level = nodes.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "d"))), lambda x: x["d"]), "").alias("d")).withColumn("d", F.sha2("d", 256))
+        size = -(-size // FAN)
+    root = level.agg(F.coalesce(F.first("d"), F.lit("")).alias("d"))
+    return root.select(F.concat(F.lit('W/"'), "d", F.lit('"')).alias("etag"))
 
 
 def with_recording(catalog: DataFrame, added: DataFrame) -> DataFrame:

@@ -111,6 +111,15 @@ def test_media_scan(spark, tmp_path):
     assert {(r.subtitle, r.language) for r in catalog.sidecars(media, subs).collect()} == {("/m/a.zh.srt", "zh"), ("/m/a.vtt", None)}
 
 
+def test_tag_changes_with_any_row_and_place(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "FAN", 3)
+    rows = [(k, f"t{k}", None if k % 3 else "x") for k in range(20)]
+    tag = lambda r, parts=2, order=("id",): catalog.etag(spark.createDataFrame(r, "id long, title string, note string").repartition(parts), list(order)).first()[0]
+    whole = tag(rows)
+    assert whole == tag(rows[::-1], 5) and whole.startswith('W/"') and len(whole) == 68
+    assert len({whole, tag(rows[:-1]), tag(rows[:7] + [(7, "t7", "x")] + rows[8:]), tag([(k, f"t{(k + 1) % 20}", n) for k, _, n in rows]), tag(rows, order=("title",)), tag(rows[:1]), tag([])}) == 7
+
+
 def test_names_and_times(spark):
     row = spark.range(1).select(
         text.origin(F.lit("HTTPS://Example.org:443/")).alias("o"), text.origin(F.lit("ftp://x")).alias("bad"), text.glob_escape(F.lit("a[1]*")).alias("g"),
