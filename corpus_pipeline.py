@@ -12,7 +12,6 @@ of any length are read whole.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -94,9 +93,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encodings of what is left. A stage's folder goes when the next is written, the last one when the driver ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    root = f"{common.scratch_root(spark)}/tessitura-pipeline/{uuid.uuid4().hex[:12]}"
+    before = None
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+        path = common.scratch(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            common.drop(spark, before)
+        before, docs = path, spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
