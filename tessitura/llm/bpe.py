@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import islice
 
@@ -113,20 +113,21 @@ class Vocabulary:
 
     def encode_words(self, words: list[bytes]) -> dict[bytes, list[int]]:
         """Encodings of distinct words."""
-        return {word: [int(i) for i in codes.split(",")] for word, codes in self.coded_words(words).items()}
-
-    def coded_words(self, words: list[bytes]) -> dict[bytes, str]:
-        """Encodings of distinct words as ids joined by commas; states of shared prefixes are computed once."""
-        out: dict[bytes, str] = {}
-        last, codes = [-1], [""]  # of each prefix on the current path: its last token, and its encoding
-        find, reach, fits, names, whole = self.ids.get, self.reach, self._fits, self.names, self._whole
+        return {word: [int(i) for i in codes.split(",")] for word, (codes, _) in self.coded_words(words).items()}
+
+    def coded_words(self, words: list[bytes]) -> dict[bytes, tuple[str, bytes]]:
+        """Encodings of distinct words as ids joined by commas, and what these ids decode to; states of shared prefixes are computed once."""
+        out: dict[bytes, tuple[str, bytes]] = {}
+        # of each prefix on the current path: its last token, its encoding, and the bytes of its tokens
+        last, codes, spelled = [-1], [""], [b""]
+        find, reach, fits, names, tokens, whole = self.ids.get, self.reach, self._fits, self.names, self.tokens, self._whole
         path = b""
         for word in sorted(words):
             size = len(word)
             shared, most = 0, min(len(path), size)
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], codes[shared + 1 :]
+            del last[shared + 1 :], codes[shared + 1 :], spelled[shared + 1 :]
             for end in range(shared + 1, size + 1):
                 begin = max(0, end - reach.get(word[end - 3 : end], 2)) if end > 2 else 0
                 while True:
@@ -134,18 +135,20 @@ class Vocabulary:
                     if token is not None and (whole[token] or whole[token] is None and self.whole(token)):
                         if not begin:
                             codes.append(names[token])
+                            spelled.append(tokens[token])
                             break
                         before = last[begin]
                         two = before << 32 | token
                         if fits[two] if two in fits else self.fits(before, token):
                             codes.append(f"{codes[begin]},{names[token]}")
+                            spelled.append(spelled[begin] + tokens[token])
                             break
                     begin += 1
                     if begin == end:
                         raise ValueError(f"no token of the vocabulary ends {word[:end]!r}")
                 last.append(token)
             path = word
-            out[word] = codes[size]
+            out[word] = codes[size], spelled[size]
         return out
 
     def whole(self, token: int) -> bool:
@@ -196,31 +199,25 @@ class Encoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words not known yet, all in one walk of their trie."""
-        fresh = [w for w in words if w not in self.known]
+        fresh = list(words - self.known.keys())
         if not fresh:
             return
         if self.used > KEEP_BYTES:
             self.known = {w: self.known[w] for w in words if w in self.known and len(w) <= KEEP_WORD}
             self.spelled = {w: self.spelled[w] for w in self.known}
-            fresh = [w for w in words if w not in self.known]
-            self.used = sum(map(_cost, self.known))
+            fresh = list(words - self.known.keys())
+            self.used = _cost(self.known)
         codes = self.vocabulary.coded_words([w.encode() for w in fresh])
         for w in fresh:
-            self.known[w] = own = codes[w.encode()]
-            self.spelled[w] = self.bytes_of(own)
-            self.used += _cost(w)
-        for mark, own in self.marks.items():
-            self.known[mark], self.spelled[mark] = own, self.bytes_of(own)
+            self.known[w], self.spelled[w] = codes[w.encode()]
+        self.used += _cost(fresh)
+        for mark, own in self.vocabulary.added.items():
+            self.known[mark], self.spelled[mark] = self.marks[mark], self.vocabulary.tokens[own]
 
     def entries(self, words: list[str]) -> list[str]:
         self.learn(set(words))
         return list(map(self.known.__getitem__, words))
 
-    def bytes_of(self, codes: str) -> bytes:
-        """What ids joined by commas stand for."""
-        tokens = self.vocabulary.tokens
-        return b"".join([tokens[int(i)] for i in codes.split(",")])
-
     def decoded(self, words: list[str]) -> bytes:
         """Known words as their ids decode, in UTF-8; ids that spell no UTF-8 give replacement characters."""
         raw = b"".join(map(self.spelled.__getitem__, words))
@@ -233,9 +230,10 @@ class Encoder:
         return b"".join([self.vocabulary.tokens[i] for i in ids]).decode("utf-8", "replace")
 
 
-def _cost(word: str) -> int:
-    """Bytes, about, that a word and its entry take."""
-    return 280 + 6 * len(word)
+def _cost(words: Iterable[str]) -> int:
+    """Bytes, about, that words and their entries take."""
+    sizes = list(map(len, words))
+    return 280 * len(sizes) + 6 * sum(sizes)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -271,7 +269,7 @@ def encoded_texts(own: Encoder, texts: pa.Array) -> Iterator[Iterator[tuple[list
             letters += len(text)
             at += 1
         if group:
-            own.learn({w for words in group for w in words})
+            own.learn(set().union(*group))
             for words in group:
                 yield iter([(words, list(map(own.known.__getitem__, words)))])
         else:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 
 import public_tokenizers
 import pytest
@@ -56,13 +57,18 @@ def test_bpe_in_runs_and_with_little_memory(spark, library, monkeypatch):
     assert got == sorted((str(i), len(library.encode(t, add_special_tokens=False).ids)) for i, t in rows[:5])
 
 
-def test_a_wrong_id_shows_in_the_decoded_digest(spark):
+def test_a_wrong_id_shows_in_the_decoded_text():
     own = bpe.Encoder(bpe.Vocabulary.load(open(VOCABULARY, encoding="utf-8").read()))
-    coded = own.vocabulary.coded_words
-    own.vocabulary.coded_words = lambda words: {w: c if w != b" plain" else coded([b" plane"])[b" plane"] for w, c in coded(words).items()}
-    runs = [list(r) for r in bpe.encoded_texts(own, bpe.pa.array(["a text", "a plain text"]))]
-    spelled = [b"".join(own.decoded(words) for words, _ in r) for r in runs]
-    assert spelled == [b"a text", b"a plane text"]
+    v = own.vocabulary
+    right, wrong = [i for i, t in enumerate(v.tokens) if t[:1] == b" " and t[1:].isalpha() and len(t) > 5 and v.whole(i)][:2]
+    text = f"a{v.tokens[right].decode()} b"
+    assert [own.decoded(words) for words, _ in next(bpe.encoded_texts(own, bpe.pa.array([text])))] == [text.encode()]
+    assert own.decode(own.ids(text)) == text
+    own.known.clear()
+    own.spelled.clear()
+    v.ids[v.tokens[right]] = wrong
+    ((words, codes),) = next(bpe.encoded_texts(own, bpe.pa.array([text])))
+    assert str(wrong) in codes and own.decoded(words) == b"a" + v.tokens[wrong] + b" b"
 
 
 def test_bpe_decodes(spark):
@@ -262,6 +268,16 @@ def test_licenses(spark):
     assert licenses.scan_licenses(frame(spark, [])).collect() == []
 
 
+def test_many_notices_of_one_text_take_time_in_proportion():
+    own, took = licenses.Matcher(licenses.TEMPLATES), []
+    for n in (3_000, 24_000):
+        text = "".join(f"line {k} SPDX-License-Identifier: MIT\nAll rights reserved. Part {k}\n" for k in range(n))
+        began = time.process_time()
+        assert len(own.scan(text)) == 2 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 1  # eight times the text
+
+
 def test_licenses_wrapped_and_several(spark):
     def wrapped(name, width=40, mark="# "):
         return "\n".join(mark + x for x in textwrap.wrap(licenses.TEMPLATES[name], width))
