@@ -51,3 +51,11 @@ def test_containment_equals_brute_force(spark):
     want = sorted((d, c) for d, t in docs for title in [loose(t.split("\n")[0])] for c, n in names if n in title)
     got = sorted(tuple(r) for r in entry.queries()["substring_match"](spark, SF).collect())
     assert want and got == want
+
+
+def test_containment_broadcasts_no_runs(spark):
+    titles = spark.createDataFrame([(1, "stonebridge live"), (1, "stonebridge live"), (2, "x")], "t long, title string")
+    names = spark.createDataFrame([("a", "bridge"), ("b", "bridge")], "n string, name string")
+    found = match.contained(titles, names, "t", "title", "n", "name")
+    assert sorted((r.t, r.n) for r in found.collect()) == [(1, "a"), (1, "a"), (1, "b"), (1, "b")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
