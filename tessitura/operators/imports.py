@@ -60,7 +60,9 @@ def summary(entries: DataFrame, column: str = "status") -> DataFrame:
 def create_or_reuse(requests: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(requests that need a new job, requests with the newest active or finished job of their video or path). Blank videos and paths are those of nothing."""
     live = jobs.where(F.col("state").isin(*ACTIVE, "done")).select("id", "video_id", F.col("local_path").alias("path"), "created_at")
-    found = [requests.join(live.where(F.col(key) != "").select("id", key, "created_at"), key).select("request_id", "id", "created_at") for key in ("video_id", "path")]
+    # of a video's or path's jobs only the newest can be the answer, so a request meets two rows at most
+    last = lambda key: live.where(F.col(key) != "").groupBy(key).agg(F.max(F.struct("created_at", "id")).alias("_l")).select(key, "_l.*")
+    found = [requests.join(last(key), key).select("request_id", "id", "created_at") for key in ("video_id", "path")]
     reused = found[0].unionByName(found[1]).groupBy("request_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("job_id"))
     return requests.join(reused, "request_id", "left_anti"), reused
 

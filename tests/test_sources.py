@@ -142,6 +142,16 @@ def test_states_and_reuse(spark):
     assert {r.video_id: r.status for r in imports.listing_status(entries, rows).collect()} == {"v": "failed", "w": "failed", "x": "pending", "": "new", "n": "new"}
 
 
+def test_requests_meet_only_the_newest_job_of_a_key(spark):
+    jobs = spark.range(300).selectExpr("id", "if(id % 3 = 0, 'v', '') AS video_id", "if(id % 3 = 1, 'p', '') AS local_path", "'done' AS state", "double(id % 7) AS created_at")
+    ask = spark.range(200).selectExpr("id AS request_id", "'v' AS video_id", "if(id % 2 = 0, 'p', 'q') AS path")
+    fresh, reused = imports.create_or_reuse(ask, jobs)
+    video, path = (max((k % 7, k) for k in range(300) if k % 3 == r) for r in (0, 1))
+    assert fresh.count() == 0 and {r.request_id: r.job_id for r in reused.collect()} == {k: max(video, path)[1] if k % 2 == 0 else video[1] for k in range(200)}
+    # jobs are folded by key before they meet requests, twice, and the answers once more
+    assert reused._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3
+
+
 def test_paging(spark):
     rows = spark.range(544).withColumnRenamed("id", "n")
     first = browse.offset_page(rows, ["n"], -3).collect()
