@@ -115,6 +115,40 @@ class Vocabulary:
         """Encodings of distinct words."""
         return {word: [int(i) for i in codes.split(",")] for word, (codes, _) in self.coded_words(words).items()}
 
+    def counted_words(self, words: list[bytes]) -> dict[bytes, int]:
+        """Numbers of tokens of distinct words, by the walk of `coded_words`."""
+        out: dict[bytes, int] = {}
+        # of each prefix on the current path: its last token and how many it has
+        last, counts = [-1], [0]
+        find, reach, fits, whole = self.ids.get, self.reach, self._fits, self._whole
+        path = b""
+        for word in sorted(words):
+            size = len(word)
+            shared, most = 0, min(len(path), size)
+            while shared < most and path[shared] == word[shared]:
+                shared += 1
+            del last[shared + 1 :], counts[shared + 1 :]
+            for end in range(shared + 1, size + 1):
+                begin = max(0, end - reach.get(word[end - 3 : end], 2)) if end > 2 else 0
+                while True:
+                    token = find(word[begin:end])
+                    if token is not None and (whole[token] or whole[token] is None and self.whole(token)):
+                        if not begin:
+                            counts.append(1)
+                            break
+                        before = last[begin]
+                        two = before << 32 | token
+                        if fits[two] if two in fits else self.fits(before, token):
+                            counts.append(counts[begin] + 1)
+                            break
+                    begin += 1
+                    if begin == end:
+                        raise ValueError(f"no token of the vocabulary ends {word[:end]!r}")
+                last.append(token)
+            path = word
+            out[word] = counts[size]
+        return out
+
     def coded_words(self, words: list[bytes]) -> dict[bytes, tuple[str, bytes]]:
         """Encodings of distinct words as ids joined by commas, and what these ids decode to; states of shared prefixes are computed once."""
         out: dict[bytes, tuple[str, bytes]] = {}
@@ -159,14 +193,14 @@ class Vocabulary:
 
 
 class Encoder:
-    """Encodes whole texts; keeps the encodings of words between batches."""
+    """Encodes whole texts; keeps the encodings of words between batches, or only their numbers of tokens if `counts`."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, counts: bool = False):
+        self.vocabulary, self.counts = vocabulary, counts
         self.split = regex.compile(SPLIT)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(vocabulary.added, key=len, reverse=True))) if vocabulary.added else None
-        #: word -> ids joined by commas, and the bytes that these ids stand for
-        self.known: dict[str, str] = {}
+        #: word -> ids joined by commas (or how many), and the bytes that these ids stand for
+        self.known: dict[str, str | int] = {}
         self.spelled: dict[str, bytes] = {}
         self.used = 0
         self.marks = {t: str(i) for t, i in vocabulary.added.items()}
@@ -204,17 +238,28 @@ class Encoder:
             return
         if self.used > KEEP_BYTES:
             self.known = {w: self.known[w] for w in words if w in self.known and len(w) <= KEEP_WORD}
-            self.spelled = {w: self.spelled[w] for w in self.known}
+            self.spelled = {w: self.spelled[w] for w in self.known} if not self.counts else {}
             fresh = list(words - self.known.keys())
             self.used = _cost(self.known)
-        codes = self.vocabulary.coded_words([w.encode() for w in fresh])
-        for w in fresh:
-            self.known[w], self.spelled[w] = codes[w.encode()]
+        if self.counts:
+            plain = self.vocabulary.counted_words([w.encode() for w in fresh])
+            self.known.update((w, plain[w.encode()]) for w in fresh)
+        else:
+            codes = self.vocabulary.coded_words([w.encode() for w in fresh])
+            for w in fresh:
+                self.known[w], self.spelled[w] = codes[w.encode()]
         self.used += _cost(fresh)
         for mark, own in self.vocabulary.added.items():
-            self.known[mark], self.spelled[mark] = self.marks[mark], self.vocabulary.tokens[own]
+            if self.counts:
+                self.known[mark] = 1
+            else:
+                self.known[mark], self.spelled[mark] = self.marks[mark], self.vocabulary.tokens[own]
+
+    def codes(self, word: str) -> str:
+        """The ids of one word, joined by commas."""
+        return self.marks.get(word) or self.vocabulary.coded_words([word.encode()])[word.encode()][0]
 
-    def entries(self, words: list[str]) -> list[str]:
+    def entries(self, words: list[str]) -> list[str] | list[int]:
         self.learn(set(words))
         return list(map(self.known.__getitem__, words))
 
@@ -236,14 +281,14 @@ def _cost(words: Iterable[str]) -> int:
     return 280 * len(sizes) + 6 * sum(sizes)
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(spec: str) -> Encoder:
-    """One encoder for each vocabulary and worker process."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
+def encoder(spec: str, counts: bool = False) -> Encoder:
+    """One encoder for each vocabulary and worker process, and one that only counts."""
+    key = hashlib.sha256(spec.encode()).hexdigest(), counts
     if key not in _encoders:
-        _encoders[key] = Encoder(Vocabulary.load(spec))
+        _encoders[key] = Encoder(Vocabulary.load(spec), counts)
     return _encoders[key]
 
 

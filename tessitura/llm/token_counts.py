@@ -47,18 +47,18 @@ def tokens_before(own: Encoder, word: str, codes: str, cut: int, rule: str) -> f
     return sum(min(max(cut - a, 0), b - a) / (b - a) for a, b in spans)
 
 
-def section_counts(own: Encoder, runs: Iterable[tuple[list[str], list[str]]], ends: list[int], rule: str) -> list[float]:
-    """Tokens of consecutive sections of a text, given by runs of its words with their encodings, that end at the given places, the last at the text's end."""
+def section_counts(own: Encoder, runs: Iterable[tuple[list[str], list[int]]], ends: list[int], rule: str) -> list[float]:
+    """Tokens of consecutive sections of a text, given by runs of its words with their numbers of tokens, that end at the given places, the last at the text's end."""
     upto: list[float] = []
     place = total = 0
     for words, found in runs:
         starts = list(accumulate(map(len, words), initial=place))
-        before = list(accumulate((e.count(",") + 1 for e in found), initial=total))
+        before = list(accumulate(found, initial=total))
         while len(upto) < len(ends) - 1 and ends[len(upto)] < starts[-1]:
             end = ends[len(upto)]
             k = bisect_right(starts, end) - 1
             inside = end - starts[k]
-            upto.append(before[k] + (tokens_before(own, words[k], found[k], inside, rule) if inside else 0))
+            upto.append(before[k] + (tokens_before(own, words[k], own.codes(words[k]), inside, rule) if inside else 0))
         place, total = starts[-1], before[-1]
     upto += [total] * (len(ends) - len(upto))
     return [b - a for a, b in zip([0, *upto], upto, strict=False)]
@@ -79,7 +79,7 @@ def token_counts(
     spec = docs.sparkSession.sparkContext.broadcast(vocabulary_text(docs.sparkSession, vocabulary))
 
     def run(batches):
-        own, cut = encoder(spec.value), re.compile(boundary)
+        own, cut = encoder(spec.value, counts=True), re.compile(boundary)
         types = pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64()
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])

@@ -85,6 +85,14 @@ def test_trie_equals_merging():
     assert all(got[w] == v.merged(w) for w in words)
 
 
+def test_counting_carries_numbers_only():
+    own = bpe.encoder(open(VOCABULARY, encoding="utf-8").read(), counts=True)
+    words = [w for t in odd_texts() if t for w in own.words(t)]
+    whole = bpe.Encoder(own.vocabulary)
+    assert own.entries(words) == [e.count(",") + 1 for e in whole.entries(words)] and not own.spelled
+    assert list(map(own.codes, words)) == whole.entries(words)
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts(spark, library, rule):
     rows = [(1, "one two\n\n\n three\nfour"), (2, ""), (3, None), (4, "é\n😀 x\n"), (5, "no end")]
