@@ -59,3 +59,12 @@ def test_containment_broadcasts_no_runs(spark):
     found = match.contained(titles, names, "t", "title", "n", "name")
     assert sorted((r.t, r.n) for r in found.collect()) == [(1, "a"), (1, "a"), (1, "b"), (1, "b")]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_of_other_artists_do_not_meet(spark):
+    songs = spark.createDataFrame([(1, "Rain", "A", 10.0), (2, "Rain", "", None), (3, "", "A", 1.0)], "id long, track string, artist string, duration double")
+    records = spark.createDataFrame([(1, "rain", "a", 12.0), (2, "rain ", "b", 10.0), (3, None, "a", 1.0)], "record_id long, record_track string, record_artist string, record_duration double")
+    found = match.exact_names(songs, records)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 2.0, 1), (2, 1, 12.0, 2), (2, 2, 10.0, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "(ak#" in plan.split("Join Inner, ")[1].split("\n")[0] and "OR" not in plan.split("Join Inner, ")[1].split("\n")[0]
