@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.sources.shared import bounded
+
 from .text import SEARCH_HAN, words
 
 #: Phrases (simplified) whose characters are read otherwise than alone.
@@ -112,4 +114,4 @@ def indexed(songs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     sounds = readings(spark, {*characters, *table.values()})
     shown = F.coalesce(F.nullif("track", F.lit("")), F.col("title"))
     fields = [phonetic_field(c, table, sounds) for c in (shown, F.col("artist"), F.col("title"))]
-    return songs.withColumn("index", F.array(*fields)), table
+    return bounded(songs).withColumn("index", F.array(*fields)), table

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessitura.sources.shared import bounded
+
 from .text import normalize, parse_query
 
 #: Scores of an exact hit in each field; what a prefix and an inner hit lose; phonetic and initial hits; title with artist.
@@ -74,7 +76,7 @@ def search(songs: DataFrame, query: str, table: Mapping[str, str] | None = None,
     """
     text, terms = parse_query(query, table)
     needle = F.struct(F.lit(text).alias("text"), F.array(*map(F.lit, terms)).cast("array<string>").alias("terms"))
-    rows = songs.withColumn("_all", F.array_join(F.flatten(F.transform("index", lambda f: F.concat(F.array(f["text"]), f["phonetics"], f["initials"]))), "\n"))
+    rows = bounded(songs).withColumn("_all", F.array_join(F.flatten(F.transform("index", lambda f: F.concat(F.array(f["text"]), f["phonetics"], f["initials"]))), "\n"))
     near = F.col("_all").contains(text)
     if terms:
         near |= reduce(lambda a, b: a & b, (F.col("_all").contains(t) for t in terms))
