@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, worker_state
 from .words import text_column
 
 #: Fixed pattern of the byte-level pre-tokenizer.
@@ -281,15 +281,13 @@ def _cost(words: Iterable[str]) -> int:
     return 280 * len(sizes) + 6 * sum(sizes)
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def encoder(spec: str, counts: bool = False) -> Encoder:
-    """One encoder for each vocabulary and worker process, and one that only counts."""
+    """One encoder for each vocabulary and worker process, and one that only counts; it goes when the worker serves another operator."""
     key = hashlib.sha256(spec.encode()).hexdigest(), counts
-    if key not in _encoders:
-        _encoders[key] = Encoder(Vocabulary.load(spec), counts)
-    return _encoders[key]
+    kept = worker_state("bpe")
+    if key not in kept:
+        kept[key] = Encoder(Vocabulary.load(spec), counts)
+    return kept[key]
 
 
 def vocabulary_text(spark: SparkSession, path: str) -> str:

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ BATCH_BYTES = 2 << 20
 BROADCAST_ROWS = 500_000
 
 _made: list[tuple[SparkSession, str]] = []
+_kept: dict[str, dict] = {}
 _scope: ContextVar[list | None] = ContextVar("scratch", default=None)
 
 
@@ -96,6 +98,15 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def worker_state(operator: str) -> dict:
+    """What this worker process keeps between tasks of an operator. What it kept for another operator goes first, so that the
+    memory of the operators of a session doesn't add up in workers that serve them all."""
+    if operator not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+    return _kept.setdefault(operator, {})
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checked_broadcast, components, numbered, written
+from .common import bound_batches, checked_broadcast, components, numbered, worker_state, written
 from .words import sequence_digest, text_column, word_hashes
 
 #: Words of a shingle, least similarity of a link (as NEED of 100).
@@ -104,6 +104,7 @@ def signatures(counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def _sequence_keys(batches):
     """number, text, id -> number, key of the word sequence (null without words), number of distinct shingles, signature, id."""
+    worker_state("minhash")
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         n_shingles = np.zeros(len(ids), np.int64)

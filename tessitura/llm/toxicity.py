@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, checked_broadcast, numbered, without, written
+from .common import bound_batches, checked_broadcast, numbered, without, worker_state, written
 from .words import text_column
 
 #: Labelled texts of each kind that are sampled at most (lowest hash of their id first), and bytes of a text that may train a dictionary.
@@ -201,6 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = Model(*dictionaries(*kinds), (0.0,) * N_FEATURES)
 
     def run(batches):
+        worker_state("toxicity")
         of = model.measure()
         for batch in batches:
             x = [of(t.as_buffer().to_pybytes()).tolist() for t in batch.column(1)]
@@ -221,6 +222,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches):
+        worker_state("toxicity")
         of = model.scorer()
         for batch in batches:
             values = [of(t.as_buffer().to_pybytes()) for t in batch.column(1)]

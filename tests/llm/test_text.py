@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessitura.llm import bpe, decontaminate, licenses, pii, token_counts, toxicity, warc
+from tessitura.llm import bpe, decontaminate, licenses, minhash, pii, token_counts, toxicity, warc
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, key long, w string, score double"
@@ -71,6 +71,14 @@ def test_a_wrong_id_shows_in_the_decoded_text():
     assert str(wrong) in codes and own.decoded(words) == b"a" + v.tokens[wrong] + b" b"
 
 
+def test_a_worker_keeps_what_one_operator_needs_at_a_time():
+    spec = open(VOCABULARY, encoding="utf-8").read()
+    own = bpe.encoder(spec)
+    assert bpe.encoder(spec) is own
+    list(minhash._sequence_keys(iter([])))
+    assert bpe.encoder(spec) is not own
+
+
 def test_bpe_decodes(spark):
     rows = list(enumerate(odd_texts()))
     back = bpe.decode(bpe.encode(frame(spark, rows), VOCABULARY, with_ids=True), VOCABULARY).collect()
