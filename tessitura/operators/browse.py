@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.sources.shared import kept
+
 PAGE = 24
 LETTERS = [*(chr(65 + k) for k in range(26)), "#"]
 
@@ -80,10 +82,13 @@ def popular(songs: DataFrame, ranked: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list) -> DataFrame:
-    """Global row numbers in an order without one task for all rows: range partitions, their sizes, an offset for each."""
+    """Global row numbers in an order without one task for all rows: range partitions, their sizes, an offset for each.
+
+    The partitions are kept, as their bounds come from a sample that another reading may draw differently.
+    """
     spark = rows.sparkSession
     ranged = rows.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    ranged = kept(ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(*order))))
     sizes = ranged.groupBy("_p").agg(F.max("_k").alias("_size"))  # one row for each partition
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("_p", before.alias("_before"))

@@ -8,11 +8,13 @@ end; and as a worker of several kinds takes from the longer queue, a wrong guess
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessitura.operators.browse import numbered
 from tessitura.operators.rooms import requeued
@@ -29,62 +31,97 @@ def assigned(tasks: DataFrame, requests: DataFrame, block: int = BLOCK) -> DataF
     the smallest id) and still free. Kinds that no task has, null kinds and empty lists get nothing.
     """
     spark = tasks.sparkSession
-    waiting = tasks.where("state = 'waiting'").select("kind", "created_at", "task_id")
-    ranked = numbered(waiting, ["kind", "created_at", "task_id"])
-    first = ranked.groupBy("kind").agg(F.min("row").alias("first"))
-    queue = kept(ranked.join(first, "kind").select("kind", "created_at", "task_id", (F.col("row") - F.col("first")).alias("place")))
-    totals = {r["kind"]: r["count"] for r in queue.groupBy("kind").count().collect()}  # kinds of work: a handful
-    turns = kept(numbered(requests.select("turn", "worker_id", "kinds"), ["turn"]).withColumn("block", F.expr(f"(row - 1) div {block}")).drop("row"))
-    blocks = (turns.agg(F.max("block")).first()[0] if totals else None) or 0
-    blocks = blocks + 1 if totals and not turns.isEmpty() else 0
-    out = f"turn {_type(turns, 'turn')}, worker_id {_type(turns, 'worker_id')}, task_id {_type(queue, 'task_id')}"
+    waiting = tasks.where("state = 'waiting' AND kind IS NOT NULL").select("kind", "created_at", "task_id")
+    ranked = numbered(waiting, ["created_at", "task_id", "kind"]).select("kind", "task_id", F.col("row").alias("rank"))
+    placed = numbered(ranked, ["kind", "rank"])
+    # a row for each kind and block of places: its tasks in order
+    first = placed.groupBy("kind").agg(F.min("row").alias("first"))
+    placed = placed.join(F.broadcast(first), "kind").withColumn("place", F.col("row") - F.col("first"))
+    own = F.array_sort(F.collect_list(F.struct("rank", "task_id")))
+    queue = kept(placed.groupBy("kind", F.expr(f"place div {block}").alias("chunk")).agg(own.alias("own")).select("kind", "chunk", F.col("own.rank").alias("ranks"), F.col("own.task_id").alias("task_ids")))
+    totals = {r["kind"]: r["n"] for r in queue.groupBy("kind").agg(F.sum(F.size("ranks")).alias("n")).collect()}  # kinds of work: a handful
+    out = f"turn {_type(requests, 'turn')}, worker_id {_type(requests, 'worker_id')}, task_id {_type(tasks, 'task_id')}"
+    if not totals:
+        return spark.createDataFrame([], out)
+    # a row for each block of requests: in order of turn, the kinds by their numbers
+    names = F.array(*map(F.lit, totals))
+    kinds = F.filter(F.transform("kinds", lambda k: F.array_position(names, k).cast("int") - 1), lambda n: n >= 0)
+    asked = numbered(requests.select("turn", "worker_id", F.coalesce(kinds, F.array().cast("array<int>")).alias("kinds")), ["turn"])
+    own = F.array_sort(F.collect_list(F.struct("row", "turn", "worker_id", "kinds")))
+    asked = asked.groupBy(F.expr(f"(row - 1) div {block}").alias("block")).agg(own.alias("own"))
+    turns = kept(asked.select("block", F.col("own.turn").alias("turns"), F.col("own.worker_id").alias("workers"), F.col("own.kinds").alias("kinds")))
+    blocks = turns.count()
     every = sum(totals.values())
-    starts = {b: {k: min(n, b * block * n // every) for k, n in totals.items()} for b in range(blocks)}
-    done, at = [], 0
+    starts = {b: tuple(min(n, b * block * n // every) for n in totals.values()) for b in range(blocks)}
+    took: dict[int, tuple] = {}  # of each block, what it took from `tried`
+    tried: dict[int, tuple] = {}
+    at = 0
     while at < blocks:
-        played = kept(_played(turns.where(F.col("block") >= at), queue, {b: s for b, s in starts.items() if b >= at}, totals, block, out))
-        took = defaultdict(lambda: dict.fromkeys(totals, 0))
-        for r in played.groupBy("block", "kind").count().collect():
-            took[r["block"]][r["kind"]] = r["count"]
-        right, state = at, dict(starts[at])
+        open_ = {b: starts[b] for b in range(at, blocks) if tried.get(b) != starts[b]}
+        for r in _met(turns.select("block", "kinds"), queue.select("kind", "chunk", "ranks"), open_, totals, block).applyInArrow(_counted(len(totals)), "block long, took array<long>").collect():
+            took[r["block"]] = tuple(r["took"])
+        tried |= open_
+        # blocks are right as far as each began where the one before ended
+        state = starts[at]
         for b in range(at, blocks):
-            if starts[b] == state and right == b:
-                right = b + 1
-            starts[b] = dict(state)
-            for k in totals:
-                state[k] += took[b][k]
-        done.append(played.where(F.col("block") < right).drop("block", "kind"))
-        at = right
-    result = spark.createDataFrame([], out)
-    for part in done:
-        result = result.unionByName(part)
-    return result
+            if at == b and tried[b] == state:
+                at = b + 1
+            starts[b] = state
+            state = tuple(x + y for x, y in zip(state, took[b], strict=True))
+    return _met(turns, queue, starts, totals, block).applyInArrow(_given(to_arrow_schema(StructType.fromDDL(out))), out)
 
 
 def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _played(turns: DataFrame, queue: DataFrame, starts: dict[int, dict], totals: dict, block: int, out: str) -> DataFrame:
-    """What each block's requests get if the blocks before have taken `starts` tasks of each kind; also block and kind."""
-    # the tasks that a block can reach: as many of each kind as it has requests
-    spans = [(b, k, n, chunk) for b, own in starts.items() for k, n in own.items() for chunk in (n // block, n // block + 1)]
-    spans = queue.sparkSession.createDataFrame(spans, f"block long, kind {_type(queue, 'kind')}, start long, chunk long")
-    near = queue.withColumn("chunk", F.expr(f"place div {block}")).join(spans, ["kind", "chunk"])
-    near = near.where(f"place >= start AND place < start + {block}").select("block", "kind", "place", "created_at", "task_id")
-
-    def play(requests: pd.DataFrame, tasks: pd.DataFrame) -> pd.DataFrame:
-        heads = {k: list(zip(own["created_at"], own["task_id"], strict=True))[::-1] for k, own in tasks.sort_values("place").groupby("kind", sort=False)}
-        rows = []
-        for turn, worker, kinds, number in requests.sort_values("turn")[["turn", "worker_id", "kinds", "block"]].itertuples(index=False):
-            open_ = [(heads[k][-1], k) for k in (kinds if kinds is not None else ()) if heads.get(k)]
-            if open_:
-                (_, task), kind = min(open_)
-                heads[kind].pop()
-                rows.append((turn, worker, task, number, kind))
-        return pd.DataFrame(rows, columns=["turn", "worker_id", "task_id", "block", "kind"])
-
-    return turns.groupBy("block").cogroup(near.groupBy("block")).applyInPandas(play, f"{out}, block long, kind {_type(queue, 'kind')}")
+def _met(turns: DataFrame, queue: DataFrame, starts: dict[int, tuple], totals: dict, block: int):
+    """The blocks of `starts`, each with the chunks of the queue that it can reach: as many tasks of each kind as it has requests."""
+    spans = [(b, k, n, kind, chunk) for b, own in starts.items() for k, (n, kind) in enumerate(zip(own, totals, strict=True)) for chunk in (n // block, n // block + 1)]
+    spans = queue.sparkSession.createDataFrame(spans, f"block long, k int, start long, kind {_type(queue, 'kind')}, chunk long")
+    near = queue.join(F.broadcast(spans), ["kind", "chunk"]).withColumn("skip", F.greatest(F.lit(0), F.col("start") - F.col("chunk") * block)).drop("kind", "start")
+    own = turns.join(F.broadcast(spans.select("block").distinct()), "block")
+    return own.groupBy("block").cogroup(near.groupBy("block"))
+
+
+def _played(kinds: list[list[int]], tasks: pa.Table) -> Iterator[tuple[int, int, int]]:
+    """For each request served: its place in the block, the kind, and how many tasks of that kind were taken before."""
+    heads: dict[int, list[int]] = {}
+    for k, _, skip, ranks in sorted(zip(*(tasks[c].to_pylist() for c in ("k", "chunk", "skip", "ranks")), strict=True), key=lambda r: r[:2]):
+        heads.setdefault(k, []).extend(ranks[skip:])
+    taken = dict.fromkeys(heads, 0)
+    for nth, own in enumerate(kinds):
+        free = [(heads[k][taken[k]], k) for k in own if k in heads and taken[k] < len(heads[k])]
+        if free:
+            k = min(free)[1]
+            yield nth, k, taken[k]
+            taken[k] += 1
+
+
+def _counted(kinds: int):
+    """How many tasks of each kind a block takes."""
+
+    def play(requests: pa.Table, tasks: pa.Table) -> pa.Table:
+        took = [0] * kinds
+        for _, k, _ in _played(requests["kinds"][0].as_py(), tasks):
+            took[k] += 1
+        return pa.table({"block": requests["block"], "took": pa.array([took], pa.list_(pa.int64()))})
+
+    return play
+
+
+def _given(schema: pa.Schema):
+    """What each request of a block gets."""
+
+    def play(requests: pa.Table, tasks: pa.Table) -> pa.Table:
+        ids: dict[int, list] = {}
+        for k, _, skip, own in sorted(zip(*(tasks[c].to_pylist() for c in ("k", "chunk", "skip", "task_ids")), strict=True), key=lambda r: r[:2]):
+            ids.setdefault(k, []).extend(own[skip:])
+        turns, workers = requests["turns"][0].as_py(), requests["workers"][0].as_py()
+        rows = [(turns[nth], workers[nth], ids[k][n]) for nth, k, n in _played(requests["kinds"][0].as_py(), tasks)]
+        return pa.table([pa.array([r[c] for r in rows], field.type) for c, field in enumerate(schema)], schema=schema)
+
+    return play
 
 
 def all_claimed(tasks: DataFrame, requests: DataFrame, now: float, lease: float, block: int = BLOCK) -> DataFrame:

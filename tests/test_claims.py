@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessitura.operators import claims
+from tessitura.operators.browse import numbered
 
 TASKS = "task_id long, kind string, state string, created_at long, worker_id string, claim_token string, attempts int, lease_expires double"
 REQUESTS = "turn long, worker_id string, kinds array<string>, token string"
@@ -48,3 +49,27 @@ def test_nothing_to_give_and_nobody_to_ask(spark):
     assert claims.assigned(tasks, asked).collect() == []
     one = spark.createDataFrame([(1, "a", "waiting", 0, None, None, 0, 0.0)], TASKS)
     assert claims.assigned(one, asked.where(F.lit(False))).collect() == []
+
+
+def test_row_numbers_of_many_rows_are_whole(spark):
+    many = spark.range(0, 100_000, 1, 4).select((F.col("id") * 7919 % 100_003).alias("x"), F.concat(F.lit("w"), "id").alias("other"))
+    got = sorted((r.row, r.x) for r in numbered(many, ["x"]).where("other <> ''").collect())
+    assert [n for n, _ in got] == list(range(1, 100_001)) and [x for _, x in got] == sorted(x for _, x in got)
+
+
+def test_a_round_moves_packed_blocks_and_counts_only(spark, monkeypatch):
+    r = random.Random(5)
+    tasks = [(i, r.choice("abc"), "waiting", r.randint(0, 40), None, None, 0, 0.0) for i in range(400)]
+    requests = [(i, None if i % 7 == 0 else f"w{i % 9}", r.choice([["a"], ["b", None], ["a", "b"], ["a", "b", "c"], ["c", "zz"]]), f"t{i}") for i in range(300)]
+    met, rounds = claims._met, []
+
+    def seen(turns, queue, starts, totals, block):
+        rounds.append((turns.columns, turns.count(), queue.columns, queue.count(), dict(starts)))
+        return met(turns, queue, starts, totals, block)
+
+    monkeypatch.setattr(claims, "_met", seen)
+    got = sorted(map(tuple, claims.assigned(spark.createDataFrame(tasks, TASKS), spark.createDataFrame(requests, REQUESTS), 50).collect()))
+    assert got == serial(tasks, [(t, w, [k for k in kinds if k], token) for t, w, kinds, token in requests])
+    *plays, last = rounds
+    assert all(x[:4] == (["block", "kinds"], 6, ["kind", "chunk", "ranks"], plays[0][3]) for x in plays) and plays[0][3] <= 12
+    assert len(last[4]) == 6 and all(a[4].get(b) != n for a, c in zip(plays, plays[1:]) for b, n in c[4].items())
