@@ -1,9 +1,10 @@
 """Claims of many workers at once: every task goes to one worker, as if the workers had asked one after the other.
 
 A worker gets the oldest waiting task of its kinds, so all that earlier workers mean to a later one is how many tasks of each
-kind they took. Workers are cut into blocks by turn, and all blocks are played at the same time from a guess of those counts. Where the
+kind they took. Workers are cut into blocks by turn, and several blocks are played at the same time from a guess of those counts. Where the
 blocks before took other numbers than guessed, a block is played again. The first block of a round always started right, so rounds
-end; and as a worker of several kinds takes from the longer queue, a wrong guess soon stops mattering.
+end. A round plays twice the blocks that the last one got right, so all rounds together play little more than twice the blocks there are;
+blocks of workers and of the queue are packed, a row each, only counts come back, and tasks are given out once, at the end.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from tessitura.operators.browse import numbered
 from tessitura.operators.rooms import requeued
 from tessitura.sources.shared import kept
 
-#: Workers of a block: what one task plays in order.
-BLOCK = 10_000
+#: Workers of a block: what one task plays in order. Blocks of the first round; a later one plays twice as many as were right in the one before.
+BLOCK, WIDTH = 10_000, 8
 
 
 def assigned(tasks: DataFrame, requests: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -55,19 +56,21 @@ def assigned(tasks: DataFrame, requests: DataFrame, block: int = BLOCK) -> DataF
     starts = {b: tuple(min(n, b * block * n // every) for n in totals.values()) for b in range(blocks)}
     took: dict[int, tuple] = {}  # of each block, what it took from `tried`
     tried: dict[int, tuple] = {}
-    at = 0
+    at, width = 0, WIDTH
     while at < blocks:
-        open_ = {b: starts[b] for b in range(at, blocks) if tried.get(b) != starts[b]}
+        open_ = {b: starts[b] for b in range(at, min(blocks, at + width)) if tried.get(b) != starts[b]}
         for r in _met(turns.select("block", "kinds"), queue.select("kind", "chunk", "ranks"), open_, totals, block).applyInArrow(_counted(len(totals)), "block long, took array<long>").collect():
             took[r["block"]] = tuple(r["took"])
         tried |= open_
-        # blocks are right as far as each began where the one before ended
-        state = starts[at]
+        # blocks are right as far as each began where the one before ended; those not played yet are guessed to take what the last one took
+        began, state, last = at, starts[at], (0,) * len(totals)
         for b in range(at, blocks):
-            if at == b and tried[b] == state:
+            if at == b and tried.get(b) == state:
                 at = b + 1
             starts[b] = state
-            state = tuple(x + y for x, y in zip(state, took[b], strict=True))
+            last = took.get(b, last)
+            state = tuple(min(x + y, n) for x, y, n in zip(state, last, totals.values(), strict=True))
+        width = 2 * (at - began)
     return _met(turns, queue, starts, totals, block).applyInArrow(_given(to_arrow_schema(StructType.fromDDL(out))), out)
 
 

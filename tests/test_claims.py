@@ -68,8 +68,9 @@ def test_a_round_moves_packed_blocks_and_counts_only(spark, monkeypatch):
         return met(turns, queue, starts, totals, block)
 
     monkeypatch.setattr(claims, "_met", seen)
-    got = sorted(map(tuple, claims.assigned(spark.createDataFrame(tasks, TASKS), spark.createDataFrame(requests, REQUESTS), 50).collect()))
+    got = sorted(map(tuple, claims.assigned(spark.createDataFrame(tasks, TASKS), spark.createDataFrame(requests, REQUESTS), 12).collect()))
     assert got == serial(tasks, [(t, w, [k for k in kinds if k], token) for t, w, kinds, token in requests])
     *plays, last = rounds
-    assert all(x[:4] == (["block", "kinds"], 6, ["kind", "chunk", "ranks"], plays[0][3]) for x in plays) and plays[0][3] <= 12
-    assert len(last[4]) == 6 and all(a[4].get(b) != n for a, c in zip(plays, plays[1:]) for b, n in c[4].items())
+    assert all(x[:4] == (["block", "kinds"], 25, ["kind", "chunk", "ranks"], plays[0][3]) for x in plays) and plays[0][3] <= 37
+    assert sum(len(x[4]) for x in plays) <= 2 * 25 + claims.WIDTH
+    assert len(last[4]) == 25 and all(a[4].get(b) != n for a, c in zip(plays, plays[1:]) for b, n in c[4].items())
