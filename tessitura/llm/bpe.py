@@ -33,9 +33,9 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for texts of ASCII letters only, where Python's own expressions do; their \s would take U+001C to U+001F too.
 SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Bytes of word encodings that a worker keeps; beyond that only those of the words at hand stay.
-KEEP_BYTES = 48 << 20
+KEEP_BYTES = 24 << 20
 #: Bytes of a word that is kept at all, and pairs of tokens whose test is kept.
-KEEP_WORD, KEEP_PAIRS = 1 << 10, 200_000
+KEEP_WORD, KEEP_PAIRS = 1 << 10, 100_000
 #: Letters of texts that share one walk; words of a longer text that do.
 GROUP, WORDS = 1 << 20, 100_000
 
