@@ -23,8 +23,8 @@ def _nearest(songs, records, tolerance, apart):
     return sorted((i, r, off) for i, (off, r) in best.items())
 
 
-def _joined(df) -> int:
-    """Rows that the joins of a collected table made."""
+def _counted(df, kinds: str, metric: str) -> int:
+    """A figure of a collected table's steps of some kind, added up."""
 
     def count(plan) -> int:
         kind = plan.getClass().getSimpleName()
@@ -32,7 +32,7 @@ def _joined(df) -> int:
             return count(plan.executedPlan())
         if kind.endswith("QueryStageExec"):
             return count(plan.plan())
-        own = plan.metrics().get("numOutputRows").get().value() if "Join" in kind else 0
+        own = plan.metrics().get(metric).get().value() if kinds in kind else 0
         return own + sum(count(plan.children().apply(n)) for n in range(plan.children().size()))
 
     return count(df._jdf.queryExecution().executedPlan())
@@ -59,4 +59,22 @@ def test_nearest_length_does_not_meet_all_of_a_key(spark, tmp_path):
     got = sorted(map(tuple, found.collect()))
     songs, records = [(i, k, s) for i, k, _, s in parts if s], [(i, k, s) for i, k, _, s in parts if s is not None]
     assert got == _nearest(songs, records, 8, True)
-    assert _joined(found) <= 2 * n
+    assert _counted(found, "Join", "numOutputRows") <= 2 * n
+
+
+def test_containment_shuffles_no_pairs(spark):
+    titles = [(i, "a" * 50 + "b" * i) for i in range(40)]
+    names = [(f"n{i}", "a" * (5 + i)) for i in range(40)]
+    found = match.contained(spark.createDataFrame(titles, "t long, title string"), spark.createDataFrame(names, "n string, name string"), "t", "title", "n", "name")
+    assert sorted((r.t, r.n) for r in found.collect()) == sorted((t, n) for t, _ in titles for n, _ in names)
+    assert _counted(found, "ShuffleExchangeExec", "shuffleRecordsWritten") < len(titles) * len(names)
+
+
+def test_containment_is_exact_by_parts_of_names(spark, monkeypatch):
+    dice = random.Random(3)
+    word = lambda n: "".join(dice.choice("ab𠀀石") for _ in range(n))
+    titles = [(i, word(dice.randrange(60))) for i in range(60)]
+    names = [(i, word(dice.randrange(1, 12))) for i in range(80)] + [(80 + i, t[dice.randrange(5) :][: dice.randrange(9, 50)]) for i, (_, t) in enumerate(titles)]
+    monkeypatch.setattr(match, "HELD", 40)  # names in four parts
+    found = match.contained(spark.createDataFrame(titles, "t long, title string"), spark.createDataFrame(names, "n long, name string"), "t", "title", "n", "name")
+    assert sorted(map(tuple, found.collect())) == sorted((t, n, title, name) for t, title in titles for n, name in names if name and name in title)
